@@ -45,12 +45,14 @@ def tiered_rank(df: DataFrame, keys: Sequence[str], tiers: Sequence[str], name:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], step: float = 64.0, suffix: str = ""
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], step: float = 64.0, suffix: str = "",
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, one row per group, columns ``p<prob*100>``.
 
     Values are counted first, the counts are summed into buckets ``step`` wide, running sums over the
     buckets show which of them hold a wanted rank, and only those buckets are looked at value by value.
+    With ``weight`` a row stands for that many equal values.
     """
     keys = list(keys)
     by = keys or ["_all"]
@@ -58,7 +60,7 @@ def exact_percentiles(
     counts = (
         base.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
         .withColumn("_b", F.floor(F.col("_v") / step))
     )
     run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -99,15 +99,16 @@ VIEWS = {
     ),
     "fx_tris": (
         "customer",
-        [("k", "3")],
+        [],
         [
             "c_custkey AS bid",
             "CAST((c_custkey - c_custkey % 1500) / 1500 AS INT) AS district",
-            "CAST(k AS INT) AS pos",
-            """CAST((c_custkey * 48271 + 3) % 65521 % 1000
-               + CASE k WHEN 0 THEN 0 WHEN 1 THEN 6 + c_custkey % 11 ELSE 3 + c_custkey % 5 END AS DOUBLE) AS x""",
-            """CAST((c_custkey * 16807 + 9) % 65521 % 1000
-               + CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 + c_custkey % 3 ELSE 7 + c_custkey % 9 END AS DOUBLE) AS y""",
+            "CAST((c_custkey * 48271 + 3) % 65521 % 1000 AS DOUBLE) AS xa",
+            "CAST((c_custkey * 16807 + 9) % 65521 % 1000 AS DOUBLE) AS ya",
+            "CAST((c_custkey * 48271 + 3) % 65521 % 1000 + 6 + c_custkey % 11 AS DOUBLE) AS xb",
+            "CAST((c_custkey * 16807 + 9) % 65521 % 1000 + 2 + c_custkey % 3 AS DOUBLE) AS yb",
+            "CAST((c_custkey * 48271 + 3) % 65521 % 1000 + 3 + c_custkey % 5 AS DOUBLE) AS xc",
+            "CAST((c_custkey * 16807 + 9) % 65521 % 1000 + 7 + c_custkey % 9 AS DOUBLE) AS yc",
             "CAST(c_custkey % 4 AS INT) AS class",
             "CAST(c_custkey % 3 - 1 AS INT) AS level",
         ],
@@ -196,7 +197,7 @@ VIEWS = {
             "CAST(p_partkey AS STRING) AS route_id",
             "CAST(p_partkey % 15 AS STRING) AS route_short_name",
             "CAST(p_partkey % 4 AS STRING) AS route_type",
-            "CAST(p_partkey % 3 AS STRING) AS agency_id",
+            "CAST(p_partkey % 7 AS STRING) AS agency_id",
         ],
         None,
     ),
