@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cellweave.operators.grids import disc_offsets, spread
 
 
-def edges(polys: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per ring edge; rings close themselves. Horizontal edges never cross a row and are left out."""
+def edges(polys: DataFrame, keys: Sequence[str], horizontal: bool = False) -> DataFrame:
+    """One row per ring edge; rings close themselves. Horizontal edges never cross a row and are left out by default."""
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("_ring")),
         lambda i: F.struct(
@@ -23,7 +23,7 @@ def edges(polys: DataFrame, keys: Sequence[str]) -> DataFrame:
         polys.select(*keys, F.explode("rings").alias("_ring")).filter(F.size("_ring") >= 3)
         .select(*keys, F.explode(pairs).alias("_e"))
         .select(*keys, F.col("_e.a.x").alias("x1"), F.col("_e.a.y").alias("y1"), F.col("_e.b.x").alias("x2"), F.col("_e.b.y").alias("y2"))
-        .filter("y1 <> y2")
+        .filter(F.lit(horizontal) | (F.col("y1") != F.col("y2")))
     )
 
 
@@ -82,6 +82,31 @@ def with_bbox(polys: DataFrame) -> DataFrame:
     return polys.withColumns({"bx0": F.array_min(xs), "bx1": F.array_max(xs), "by0": F.array_min(ys), "by1": F.array_max(ys)})
 
 
+def touching_box(polys: DataFrame, keys: Sequence[str], x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Polygons that share a point with the box; they are kept whole, not clipped.
+
+    Bounding boxes first (plain columns reach a Parquet scan), then the exact test: some edge meets the
+    box, or the centre of the box lies inside the polygon.
+    """
+    near = with_bbox(polys).filter(f"bx1 >= {x0} AND bx0 <= {x1} AND by1 >= {y0} AND by0 <= {y1}")
+    e = edges(near, keys, horizontal=True)
+
+    def side(x: float, y: float) -> Column:
+        return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
+
+    corners = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
+    overlaps = (F.greatest("x1", "x2") >= x0) & (F.least("x1", "x2") <= x1) & (F.greatest("y1", "y2") >= y0) & (
+        F.least("y1", "y2") <= y1)
+    meets = overlaps & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+    crosses = (F.col("y1") != F.col("y2")) & ((F.col("y1") > cy) != (F.col("y2") > cy))
+    at = F.when(crosses, F.col("x1") + (cy - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.expr("nullif(y2 - y1, 0)"))
+    return (
+        e.groupBy(*keys).agg(F.bool_or(meets).alias("_m"), F.count_if(F.coalesce(at > cx, F.lit(False))).alias("_n"))
+        .filter("_m OR _n % 2 = 1").select(*keys)
+    )
+
+
 def hosts(points: DataFrame, polys: DataFrame, frame: Sequence[str], pid: str, bid: str, cell: float = 32.0) -> DataFrame:
     """``(frame, pid, bid)`` for every point inside a polygon; points outside are absent (left join them back).
 

@@ -83,3 +83,8 @@ def lowest_third(ground: DataFrame, value: str) -> DataFrame:
         .filter((F.col("_n") >= MIN_PIXELS) & (F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 3))))
         .drop("_rank", "_n")
     )
+
+
+def next_class(atom: Atom, n_classes: int = 4) -> Atom:
+    """Wrong-description control: the next class of the same layer."""
+    return Atom(atom.layer, (atom.cls + 1) % n_classes)

@@ -109,9 +109,8 @@ CAP_M2 = 150.0
     o AS (SELECT a.a AS dy, b.b AS dx FROM (SELECT unnest(range(-8, 9)) AS a) a, (SELECT unnest(range(-8, 9)) AS b) b),
     host_cells AS (SELECT district, row, CAST(unnest(range(x0, x0 + w)) AS INT) AS col, cls, 0 AS late FROM (SELECT *,
       CAST(unnest(range(y0, y0 + h)) AS INT) AS row FROM small)),
-    disc AS (SELECT district, x, y, cls, 4.0 AS r2, NULL AS bid, NULL AS x0, NULL AS y0, NULL AS w, NULL AS h FROM pc
-      WHERE id NOT IN (SELECT id FROM hit)
-      UNION ALL SELECT district, x, y, cls, 150.0 / pi(), bid, x0, y0, w, h FROM hit WHERE area > 150),
+    disc AS (SELECT district, x, y, cls, 150.0 / pi() AS r2, bid, x0, y0, w, h FROM hit WHERE area > 150
+      UNION ALL SELECT district, x, y, cls, 4.0, NULL, NULL, NULL, NULL, NULL FROM pc WHERE id NOT IN (SELECT id FROM hit)),
     disc_cells AS (SELECT district, CAST(floor(y) + dy AS INT) AS row, CAST(floor(x) + dx AS INT) AS col, cls, 1 AS late FROM disc, o
       WHERE (floor(x) + dx + 0.5 - x) * (floor(x) + dx + 0.5 - x) + (floor(y) + dy + 0.5 - y) * (floor(y) + dy + 0.5 - y) <= r2
       AND (bid IS NULL OR (floor(x) + dx >= x0 AND floor(x) + dx < x0 + w AND floor(y) + dy >= y0 AND floor(y) + dy < y0 + h)))
@@ -230,15 +229,7 @@ def half_open_box(spark, sf):
         AND (x2 - x1) * (200 - y1) - (y2 - y1) * (456 - x1) < 0 AND (x2 - x1) * (456 - y1) - (y2 - y1) * (456 - x1) < 0) AS parted
       FROM e GROUP BY 1, 2) SELECT bid, district FROM ax WHERE NOT parted""")
 def polygons_touching_box(spark, sf):
-    """Bounding boxes first, then a separating edge: all box corners on the outer side of one edge."""
-    polys = rs.with_bbox(triangles(spark, sf)).filter("bx1 >= 200 AND bx0 <= 456 AND by1 >= 200 AND by0 <= 456")
-    e = rs.edges(polys, ["bid", "district"])
-
-    def side(x, y):
-        return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
-
-    apart = (side(200, 200) < 0) & (side(200, 456) < 0) & (side(456, 200) < 0) & (side(456, 456) < 0)
-    return e.groupBy("bid", "district").agg(F.bool_or(apart).alias("apart")).filter("NOT apart").drop("apart")
+    return rs.touching_box(triangles(spark, sf), ["bid", "district"], 200, 200, 456, 456)
 
 
 @query("p12_label_classes", """SELECT CASE poi_class WHEN 'services' THEN 1 WHEN 'shop' THEN 2 WHEN 'food&drink' THEN 3 END AS cls, count(*) AS n
