@@ -154,21 +154,21 @@ def simplify(points: DataFrame, frame: DataFrame, buildings: DataFrame, tol: flo
             F.max_by(F.struct("x", "y"), F.struct("_d", -F.col("pos"))).alias("m"),
         )
         hits = crossing(spans.join(frame, line), "crop_id", buildings, [*line, "i"], side)
-        split = cut_lineage(
+        split = (
             spans.join(hits, [*line, "i"]).filter((F.col("d") > tol) | F.col("crosses"))
             .select(*line, "i", "j", "k", F.col("m.x").alias("mx"), F.col("m.y").alias("my"))
         )
-        kept.append(split.select(*line, F.col("k").alias("pos")))
         left = F.col("pos") < F.col("k")
-        inner = cut_lineage(
-            inner.join(split, [*line, "i", "j"]).filter("pos <> k")
-            .select(
-                *line, "pos", "x", "y", F.when(left, F.col("i")).otherwise(F.col("k")).alias("i"),
-                F.when(left, F.col("k")).otherwise(F.col("j")).alias("j"),
+        step = cut_lineage(
+            inner.join(split, [*line, "i", "j"]).select(
+                *line, "pos", "x", "y", (F.col("pos") == F.col("k")).alias("kept"),
+                F.when(left, F.col("i")).otherwise(F.col("k")).alias("i"), F.when(left, F.col("k")).otherwise(F.col("j")).alias("j"),
                 F.when(left, F.col("x1")).otherwise(F.col("mx")).alias("x1"), F.when(left, F.col("y1")).otherwise(F.col("my")).alias("y1"),
                 F.when(left, F.col("mx")).otherwise(F.col("x2")).alias("x2"), F.when(left, F.col("my")).otherwise(F.col("y2")).alias("y2"),
             )
         )
+        kept.append(step.filter("kept").select(*line, "pos"))
+        inner = step.filter("NOT kept").drop("kept")
     else:
         raise RuntimeError(f"simplification not finished after {max_rounds} rounds")
     out = kept[0]

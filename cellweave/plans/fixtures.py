@@ -242,8 +242,7 @@ VIEWS = {
             "CAST((c_custkey - c_custkey % 15) / 15 AS BIGINT) AS crop_id",
             "CAST(k AS INT) AS pos",
             "CAST(k + 3 AS DOUBLE) + 0.5 AS x",
-            """CAST(4 + c_custkey % 20 + (CASE WHEN k < 12 THEN k ELSE 24 - k END) % (2 + c_custkey % 7)
-               AS DOUBLE) + 0.5 AS y""",
+            "CAST(4 + c_custkey % 20 + (c_custkey * 31 + k * k * 7) % 5 AS DOUBLE) + 0.5 AS y",
         ],
         None,
     ),

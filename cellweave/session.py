@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +23,27 @@ def local_session(app: str = "cellweave", cores: str = "*", partitions: int = 8)
     )
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without the setting gets a folder of its own; a cluster session without it is
+    an error, because a machine-local folder would not be visible to the other executors.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives the loss of executors.
+    """Write the rows to the shared folder and go on from the written table.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local session without the setting gets
-    a folder of its own; a cluster session without it is an error, because a machine-local folder
-    would not be visible to the other executors.
+    Survives the loss of executors. A written table also forgets the inferred constraints of its plan,
+    which a checkpoint keeps and which grow with every round of a loop.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
