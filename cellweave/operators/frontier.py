@@ -7,6 +7,8 @@ take the parent with the smallest (row, col).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,83 +17,133 @@ from cellweave.operators.grids import neighbours8
 from cellweave.session import cut_lineage
 
 MICRO = 1_000_000
-ROOT2 = 2.0 ** 0.5
 STEPS_PER_CUT = 8
 
 
-def _neighbour_rows(key_cols: Sequence[str]) -> Column:
-    """The row itself and, where it has just improved, an offer to each of its eight neighbours."""
-    none = F.lit(None)
+NONE = "CAST(NULL AS BIGINT)"
 
-    def offer(dy: int, dx: int) -> Column:
-        diagonal = dy != 0 and dx != 0
-        cost = F.col("cost") + (F.col("half_d") if diagonal else F.col("half_s"))
-        val = F.struct(cost.alias("c"), F.col("row").alias("r"), F.col("col").alias("k"))
-        typed = none.cast("struct<c:bigint,r:int,k:int>")
-        return F.struct(
-            (F.col("row") + dy).alias("row"), (F.col("col") + dx).alias("col"), none.cast("bigint").alias("half_s"),
-            none.cast("bigint").alias("half_d"), none.cast("struct<c:bigint,r:int,k:int>").alias("own"),
-            (typed if diagonal else val).alias("straight"), (val if diagonal else typed).alias("diag"),
+
+@dataclass(frozen=True)
+class Moves:
+    """Allowed steps. A cell's best offer is one BIGINT, ``cost * 32 + code of the parent's direction``; codes follow the
+    (row, col) order of the parents, so the smaller number is the cheaper offer and, at equal cost, the smaller parent."""
+
+    offsets: tuple[tuple[int, int], ...]
+
+    @property
+    def lengths(self) -> list[float]:
+        return sorted({(dy * dy + dx * dx) ** 0.5 for dy, dx in self.offsets})
+
+    @property
+    def start_code(self) -> int:
+        return len(self.offsets)
+
+    def halves(self) -> list[str]:
+        return [f"h{i}" for i in range(len(self.lengths))]
+
+    def sent(self) -> str:
+        """The row itself and, where it has just improved, an offer along each allowed step."""
+        lengths, codes = self.lengths, {o: i for i, o in enumerate(sorted(self.offsets))}
+
+        def row(dy: int, dx: int, own: bool) -> str:
+            cls = lengths.index((dy * dy + dx * dx) ** 0.5) if not own else -1
+            fields = [f"'row', row + {dy}", f"'col', col + {dx}", f"'moves', {'moves' if own else NONE}", f"'own', {'best' if own else NONE}"]
+            for i in range(len(lengths)):
+                fields.append(f"'h{i}', {f'h{i}' if own else NONE}")
+            for i in range(len(lengths)):
+                value = f"(best DIV 32 + h{i}) * 32 + {codes[(-dy, -dx)]}" if i == cls else NONE
+                fields.append(f"'o{i}', {value}")
+            return f"named_struct({', '.join(fields)})"
+
+        me = row(0, 0, True)
+        offers = ", ".join(
+            f"IF((moves & {1 << codes[(dy, dx)]}L) <> 0, {row(dy, dx, False)}, NULL)" for dy, dx in self.offsets
         )
+        return f"explode(IF(changed, array({me}, {offers}), array({me}))) AS _m"
+
+    def best(self) -> str:
+        return f"least(own, {', '.join(f'o{i} + h{i} * 32' for i in range(len(self.lengths)))})"
 
-    typed = none.cast("struct<c:bigint,r:int,k:int>")
-    own = F.when(F.col("cost").isNotNull(), F.struct(F.col("cost").alias("c"), F.col("prow").alias("r"), F.col("pcol").alias("k")))
-    me = F.struct(
-        F.col("row"), F.col("col"), F.col("half_s"), F.col("half_d"), own.alias("own"), typed.alias("straight"), typed.alias("diag")
-    )
-    return F.when(F.col("changed"), F.array(me, *[offer(dy, dx) for dy, dx in neighbours8()])).otherwise(F.array(me))
 
+KING = Moves(tuple(neighbours8()))
+# sixteen directions: the steps of the king and of the knight
+KNIGHT = Moves(tuple(
+    (dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if (dy, dx) != (0, 0) and gcd(abs(dy), abs(dx)) == 1
+))
 
-def relax(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+
+def relax(state: DataFrame, keys: Sequence[str], moves: Moves = KING) -> DataFrame:
     """One round over all windows: a single shuffle by cell, no join.
 
     Offers meet the row of their cell in one aggregate; cells without a row of their own are not free and
-    drop out. The half price of the cell itself is added after the minimum, straight and diagonal apart.
+    drop out. The half price of the cell itself is added after the minimum, one minimum per step length.
     """
-    sent = state.select(*keys, F.explode(_neighbour_rows(keys)).alias("_m")).select(*keys, "_m.*")
-    met = sent.groupBy(*keys, "row", "col").agg(
-        F.max("half_s").alias("half_s"), F.max("half_d").alias("half_d"), F.max("own").alias("own"),
-        F.min("straight").alias("_s"), F.min("diag").alias("_d"),
-    ).filter("half_s IS NOT NULL")
-
-    def priced(c: str, half: str) -> Column:
-        v = F.col(c)
-        return F.when(v.isNotNull(), F.struct((v["c"] + F.col(half)).alias("c"), v["r"].alias("r"), v["k"].alias("k")))
-
-    best = F.least("own", priced("_s", "half_s"), priced("_d", "half_d"))
-    return met.withColumn("_b", best).select(
-        *keys, "row", "col", "half_s", "half_d", F.col("_b.c").alias("cost"), F.col("_b.r").alias("prow"), F.col("_b.k").alias("pcol"),
-        F.coalesce(F.col("_b.c") < F.col("own.c"), F.col("_b").isNotNull() & F.col("own").isNull()).alias("changed"),
+    half = moves.halves()
+    offers = [f"o{i}" for i in range(len(half))]
+    met = state.selectExpr(*keys, moves.sent()).filter("_m IS NOT NULL").selectExpr(*keys, "_m.*").groupBy(*keys, "row", "col").agg(
+        *[F.expr(f"max({c}) AS {c}") for c in ("moves", "own", *half)], *[F.expr(f"min({c}) AS {c}") for c in offers]
+    )
+    best = moves.best()
+    return met.filter("moves IS NOT NULL").selectExpr(
+        *keys, "row", "col", "moves", *half, f"{best} AS best",
+        f"coalesce({best} DIV 32 < own DIV 32, own IS NULL AND {best} IS NOT NULL) AS changed",
     )
 
 
-def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], price: Column | float = 1.0, max_rounds: int = 4096) -> DataFrame:
+def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], price: str = "1.0D", moves: Moves = KING,
+                   max_rounds: int = 4096) -> DataFrame:
     """Cheapest cost from the start of every window to each of its free cells, with parents.
 
-    ``cells``: keys, row, col of the free cells; ``starts``: keys, srow, scol. A step costs the mean price of both
-    cells times its length. Only cells that improved send offers; every few rounds the state is written out.
-    Runs until nothing changes and fails loudly at ``max_rounds``.
+    ``cells``: keys, row, col of the free cells and, if some steps are barred, a bit mask ``moves``; ``starts``: keys,
+    srow, scol. A step costs the mean price of both cells times its length. Only cells that improved send
+    offers; every few rounds the state is written out. Runs until nothing changes, fails loudly at ``max_rounds``.
     """
-    p = price if isinstance(price, Column) else F.lit(float(price))
-    state = cells.withColumns({
-        "half_s": F.round(p * (MICRO / 2)).cast("bigint"), "half_d": F.round(p * (MICRO / 2 * ROOT2)).cast("bigint")
-    }).select(*keys, "row", "col", "half_s", "half_d")
-    at = starts.select(*keys, F.col("srow").alias("row"), F.col("scol").alias("col")).distinct().withColumn("_at", F.lit(True))
-    here = F.coalesce("_at", F.lit(False))
-    state = state.join(at, [*keys, "row", "col"], "left").select(
-        *keys, "row", "col", "half_s", "half_d", F.when(here, F.lit(0)).cast("bigint").alias("cost"),
-        F.lit(None).cast("int").alias("prow"), F.lit(None).cast("int").alias("pcol"), here.alias("changed"),
+    every = f"{(1 << len(moves.offsets)) - 1}L"
+    at = starts.selectExpr(*keys, "srow AS row", "scol AS col", "true AS changed").distinct()
+    state = cells.selectExpr(
+        *keys, "row", "col", f"{'moves' if 'moves' in cells.columns else every} AS moves",
+        *[f"CAST(round({price} * {MICRO / 2 * n}D) AS BIGINT) AS {h}" for h, n in zip(moves.halves(), moves.lengths)],
+    ).join(at, [*keys, "row", "col"], "left").selectExpr(
+        *keys, "row", "col", "moves", *moves.halves(), f"CAST(IF(changed, {moves.start_code}, NULL) AS BIGINT) AS best",
+        "coalesce(changed, false) AS changed",
     )
     state = cut_lineage(state)
-    for done in range(0, max_rounds, STEPS_PER_CUT):
+    pdy, pdx = ([str(o[i]) for o in sorted(moves.offsets)] for i in (0, 1))
+    for _ in range(0, max_rounds, STEPS_PER_CUT):
         if state.filter("changed").isEmpty():
-            return state.drop("half_s", "half_d", "changed")
+            return state.selectExpr(
+                *keys, "row", "col", "best DIV 32 AS cost",
+                f"row + try_element_at(array({', '.join(pdy)}), CAST(best % 32 + 1 AS INT)) AS prow",
+                f"col + try_element_at(array({', '.join(pdx)}), CAST(best % 32 + 1 AS INT)) AS pcol",
+            )
         for _ in range(STEPS_PER_CUT):
-            state = relax(state, keys)
+            state = relax(state, keys, moves)
         state = cut_lineage(state)
     raise RuntimeError(f"field not settled after {max_rounds} rounds")
 
 
+def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Free cells with the mask of the sixteen steps that cut no corner: the cells between must be free as well."""
+    around = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if (dy, dx) != (0, 0)]
+    bit = {o: 1 << i for i, o in enumerate(around)}
+    # every cell reports itself to its neighbourhood; the centre row marks free cells
+    rows = ", ".join(f"named_struct('row', row - {dy}, 'col', col - {dx}, 'b', {bit[(dy, dx)]}L)" for dy, dx in around)
+    seen = cells.selectExpr(*keys, f"explode(array(named_struct('row', row, 'col', col, 'b', {1 << 40}L), {rows})) AS _m").selectExpr(
+        *keys, "_m.*"
+    ).groupBy(*keys, "row", "col").agg(F.expr("bit_or(b) AS b")).filter(f"(b & {1 << 40}L) <> 0")
+    terms = []
+    for i, (dy, dx) in enumerate(sorted(KNIGHT.offsets)):
+        sy, sx = (dy > 0) - (dy < 0), (dx > 0) - (dx < 0)
+        need = {(dy, dx)}
+        if abs(dy) + abs(dx) == 3:
+            need |= {(sy if abs(dy) == 2 else 0, sx if abs(dx) == 2 else 0), (sy, sx)}
+        elif abs(dy) + abs(dx) == 2:
+            need |= {(0, dx), (dy, 0)}
+        mask = sum(bit[o] for o in need)
+        terms.append(f"IF((b & {mask}L) = {mask}L, {1 << i}L, 0L)")
+    return seen.selectExpr(*keys, "row", "col", " + ".join(terms) + " AS moves")
+
+
 def walked_metres(field: DataFrame, keys: Sequence[str], max_rounds: int = 40) -> DataFrame:
     """Real metres along the tree of parents, by pointer doubling: every round halves what is left of each way."""
     me = [*keys, "row", "col"]
@@ -105,13 +157,9 @@ def walked_metres(field: DataFrame, keys: Sequence[str], max_rounds: int = 40) -
     for _ in range(max_rounds):
         if tree.filter("NOT home").isEmpty():
             return tree.select(*me, F.round("m", 6).alias("metres"))
-        up = tree.select(
-            *keys, F.col("row").alias("jr"), F.col("col").alias("jc"), F.col("m").alias("_m"), F.col("jr").alias("_r"), F.col("jc").alias("_c"),
-            F.col("home").alias("_h"),
-        )
-        tree = tree.join(up, [*keys, "jr", "jc"]).select(
-            *me, F.when(F.col("home"), F.col("jr")).otherwise(F.col("_r")).alias("jr"), F.when(F.col("home"), F.col("jc")).otherwise(F.col("_c")).alias("jc"),
-            F.when(F.col("home"), F.col("m")).otherwise(F.col("m") + F.col("_m")).alias("m"), (F.col("home") | F.col("_h")).alias("home"),
+        up = tree.selectExpr(*keys, "row AS jr", "col AS jc", "m AS _m", "jr AS _r", "jc AS _c", "home AS _h")
+        tree = tree.join(up, [*keys, "jr", "jc"]).selectExpr(
+            *me, "IF(home, jr, _r) AS jr", "IF(home, jc, _c) AS jc", "IF(home, m, m + _m) AS m", "home OR _h AS home"
         )
         tree = cut_lineage(tree)
     raise RuntimeError("ways longer than 2^40 steps")
@@ -130,12 +178,12 @@ def way_back(field: DataFrame, goals: DataFrame, keys: Sequence[str], max_rounds
     ).withColumn("pos", F.lit(0).cast("bigint"))
     path = cut_lineage(path)
     for k in range(max_rounds):
-        more = path.join(jump, me).select(*keys, F.col("jr").alias("row"), F.col("jc").alias("col"), (F.col("pos") + (1 << k)).alias("pos"))
+        more = path.join(jump, me).selectExpr(*keys, "jr AS row", "jc AS col", f"pos + {1 << k} AS pos")
         if more.isEmpty():
             return path
         path = cut_lineage(path.unionByName(more))
-        far = jump.select(*keys, F.col("row").alias("jr"), F.col("col").alias("jc"), F.col("jr").alias("_r"), F.col("jc").alias("_c"))
-        jump = cut_lineage(jump.join(far, [*keys, "jr", "jc"]).select(*me, F.col("_r").alias("jr"), F.col("_c").alias("jc")))
+        far = jump.selectExpr(*keys, "row AS jr", "col AS jc", "jr AS _r", "jc AS _c")
+        jump = cut_lineage(jump.join(far, [*keys, "jr", "jc"]).selectExpr(*me, "_r AS jr", "_c AS jc"))
     raise RuntimeError("ways longer than 2^40 steps")
 
 
@@ -155,7 +203,7 @@ def shortest_chain(cells: DataFrame, walks: DataFrame, keys: Sequence[str], side
     Windows whose markers are not connected are absent from both.
     """
     lit = lit_with_markers(cells, walks, keys, side)
-    field = cut_lineage(cheapest_field(lit, walks, keys))
+    field = cheapest_field(lit, walks, keys)
     goals = walks.select(*keys, "grow", "gcol")
     length = field.join(
         goals.withColumnsRenamed({"grow": "row", "gcol": "col"}), [*keys, "row", "col"]
@@ -186,15 +234,19 @@ def label_runs(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int,
     edges = cut_lineage(touch.unionByName(touch.select(*keys, F.col("_j").alias("id"), F.col("id").alias("_j"))))
     labels = runs.select(*keys, "id", F.col("id").alias("label"))
     for _ in range(max_rounds):
-        offers = edges.join(labels.select(*keys, F.col("id").alias("_j"), F.col("label")), [*keys, "_j"]).select(*keys, "id", "label")
-        low = labels.select(*keys, "id", "label", F.col("label").alias("old")).unionByName(
-            offers.withColumn("old", F.lit(None).cast("bigint"))
-        ).groupBy(*keys, "id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        ends = edges.join(labels.selectExpr(*keys, "id AS _j", "label"), [*keys, "_j"]).join(
+            labels.selectExpr(*keys, "id", "label AS mine"), [*keys, "id"]
+        ).filter("label < mine")
+        # the lower label goes to the run itself and to the run its group is named after
+        offers = ends.selectExpr(*keys, "explode(array(id, mine)) AS id", "label")
+        low = labels.selectExpr(*keys, "id", "label", "label AS old").union(
+            offers.selectExpr(*keys, "id", "label", "CAST(NULL AS BIGINT) AS old")
+        ).groupBy(*keys, "id").agg(F.expr("min(label) AS label"), F.expr("max(old) AS old"))
         low = cut_lineage(low)
         if low.filter("label <> old").isEmpty():
             return runs.join(low.drop("old"), [*keys, "id"]).drop("id")
-        jump = low.select(*keys, F.col("id").alias("label"), F.col("label").alias("_l"))
-        labels = cut_lineage(low.join(jump, [*keys, "label"]).select(*keys, "id", F.col("_l").alias("label")))
+        jump = low.selectExpr(*keys, "id AS label", "label AS _l")
+        labels = low.join(jump, [*keys, "label"]).selectExpr(*keys, "id", "_l AS label")
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 

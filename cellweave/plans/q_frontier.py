@@ -106,7 +106,7 @@ def walk_starts(spark, sf):
 
 def walking_field(spark, sf):
     cells = priced_free(spark, sf)
-    return fr.cheapest_field(cells, walks(spark, sf), K, F.col("price"))
+    return fr.cheapest_field(cells, walks(spark, sf), K, "price")
 
 
 PRICED_SQL = DIST_SQL.replace("{cond}", "a.surface <> 3 AND b.surface = 3") + ", " + _field_sql(
@@ -118,3 +118,306 @@ PRICED_SQL = DIST_SQL.replace("{cond}", "a.surface <> 3 AND b.surface = 3") + ",
 @query("r03_walking_field", PRICED_SQL + " SELECT crop_id, row, col, cost FROM fld")
 def walking_field_costs(spark, sf):
     return walking_field(spark, sf).filter("cost IS NOT NULL").select("crop_id", "row", "col", "cost")
+
+
+# ------------------------------------------------------------------ drawings on the 8 x 8 grid
+
+G = fx.GRID
+CELL_M = 4.0
+PAD8_SQL = "SELECT crop_id, gr AS row, gc AS col FROM fx_pred WHERE task_key = 'surface_2' AND pct > 45"
+WALK8_SQL = """w8 AS (SELECT crop_id, srow // 4 AS srow, scol // 4 AS scol, grow // 4 AS grow, gcol // 4 AS gcol,
+    round(sqrt((srow - grow) * (srow - grow) + (scol - gcol) * (scol - gcol)) * 1.15 + 3, 6) AS teacher_m FROM fx_walks)"""
+CHAIN8_SQL = WALK8_SQL + f""", pad AS MATERIALIZED ({PAD8_SQL}),
+    frame AS (SELECT s_suppkey AS crop_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM supplier, (SELECT unnest(range(8)) AS r) a, (SELECT unnest(range(8)) AS c) b),
+    mk AS (SELECT crop_id, srow AS r, scol AS c FROM w8 UNION ALL SELECT crop_id, grow, gcol FROM w8),
+    lit AS MATERIALIZED (SELECT * FROM pad UNION SELECT f.crop_id, f.row, f.col FROM frame f JOIN mk USING (crop_id) WHERE abs(f.row - mk.r) <= 1 AND abs(f.col - mk.c) <= 1), """ + _field_sql(
+    "SELECT *, CAST(500000 AS BIGINT) AS hs, CAST(707107 AS BIGINT) AS hd FROM lit", "SELECT crop_id, srow AS row, scol AS col FROM w8"
+) + """, par AS MATERIALIZED (SELECT f.crop_id, f.row, f.col, min(n.row * 32 + n.col) AS p FROM fld f JOIN off ON TRUE
+      JOIN fld n ON n.crop_id = f.crop_id AND n.row = f.row + off.dy AND n.col = f.col + off.dx
+      WHERE f.cost = n.cost + CASE WHEN off.diag THEN 1414214 ELSE 1000000 END GROUP BY 1, 2, 3),
+    way AS (SELECT w.crop_id, CAST(w.grow AS INT) AS row, CAST(w.gcol AS INT) AS col, CAST(0 AS BIGINT) AS pos FROM w8 w JOIN fld f ON f.crop_id = w.crop_id AND f.row = w.grow AND f.col = w.gcol
+      UNION ALL SELECT p.crop_id, CAST(p.p // 32 AS INT), CAST(p.p % 32 AS INT), pos + 1 FROM way JOIN par p USING (crop_id, row, col)),
+    len AS (SELECT w.crop_id, f.cost * 0.000004 AS length_m FROM w8 w JOIN fld f ON f.crop_id = w.crop_id AND f.row = w.grow AND f.col = w.gcol),
+    blk AS (SELECT crop_id, CAST(row // 4 AS INT) AS row, CAST(col // 4 AS INT) AS col, count(*) FILTER (WHERE surface = 3) AS nb,
+      min(CASE WHEN surface <> 3 THEN row * 32 + col END) AS free_px, bool_or(row % 4 = 2 AND col % 4 = 2 AND surface = 3) AS centre_built FROM fx_raster GROUP BY 1, 2, 3),
+    shr AS (SELECT crop_id, avg(CASE WHEN nb = 16 THEN 1.0 ELSE 0.0 END) AS blocked, avg(CASE WHEN nb > 0 THEN 1.0 ELSE 0.0 END) AS touch, count(*) AS k
+      FROM way JOIN blk USING (crop_id, row, col) GROUP BY 1),
+    wide AS MATERIALIZED (SELECT DISTINCT f.crop_id, f.row, f.col FROM frame f JOIN way w USING (crop_id) WHERE abs(f.row - w.row) <= 1 AND abs(f.col - w.col) <= 1),
+    wn AS (SELECT crop_id, count(*) AS n_chain, count(p.row) AS n_both FROM wide LEFT JOIN (SELECT crop_id, row, col FROM pad) p USING (crop_id, row, col) GROUP BY 1),
+    pn AS (SELECT crop_id, count(*) AS n_lit FROM pad GROUP BY 1)"""
+_ONCE: dict = {}
+
+
+def once(spark, sf, name, build):
+    """Tables several queries share are written once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _ONCE:
+        _ONCE[key] = build()
+    return _ONCE[key]
+
+
+def pad8(spark, sf):
+    return fx.view(spark, sf, "fx_pred").filter("task_key = 'surface_2' AND pct > 45").selectExpr("crop_id", "gr AS row", "gc AS col")
+
+
+def walks8(spark, sf):
+    return walks(spark, sf).selectExpr(
+        "crop_id", *[f"CAST({c} DIV 4 AS INT) AS {c}" for c in ("srow", "scol", "grow", "gcol")],
+        "round(sqrt(CAST((srow - grow) * (srow - grow) + (scol - gcol) * (scol - gcol) AS DOUBLE)) * 1.15D + 3, 6) AS teacher_m",
+    )
+
+
+def chain8(spark, sf):
+    return once(spark, sf, "chain8", lambda: fr.shortest_chain(pad8(spark, sf), walks8(spark, sf), K, G, CELL_M))
+
+
+def blocks8(spark, sf):
+    """Per 4 m cell: building pixels and the first free pixel."""
+    gr, gc = grids.cell_of("row", "col", 4)
+    px = fx.view(spark, sf, "fx_raster").select("crop_id", gr, gc, "row", "col", (F.col("surface") == 3).alias("b"))
+    return px.groupBy("crop_id", F.col("gr").alias("r"), F.col("gc").alias("c")).agg(
+        F.count_if("b").alias("nb"), F.min(F.when(~F.col("b"), F.struct("row", "col"))).alias("free_px"),
+        F.bool_or(F.col("b") & (F.col("row") % 4 == 2) & (F.col("col") % 4 == 2)).alias("centre_built"),
+    ).withColumnsRenamed({"r": "row", "c": "col"})
+
+
+def chain_shares(spark, sf):
+    chain, _ = chain8(spark, sf)
+    return chain.join(blocks8(spark, sf), ["crop_id", "row", "col"]).groupBy("crop_id").agg(
+        F.avg((F.col("nb") == 16).cast("double")).alias("blocked"), F.avg((F.col("nb") > 0).cast("double")).alias("touch"), F.count("*").alias("k")
+    )
+
+
+@query("j18_way_back_cells", CHAIN8_SQL + " SELECT crop_id, pos, row, col FROM way")
+def way_back_cells(spark, sf):
+    return chain8(spark, sf)[0].select("crop_id", "pos", "row", "col")
+
+
+@query("a38_cell_rule", CHAIN8_SQL + """ SELECT w.crop_id, l.length_m IS NOT NULL AS connected, round(l.length_m / w.teacher_m, 6) AS length_ratio,
+    round(s.blocked, 6) AS building_share, coalesce(l.length_m / w.teacher_m <= 1.1 AND s.blocked = 0, FALSE) AS success, coalesce(n_lit, 0) AS lit_cells
+    FROM w8 w LEFT JOIN len l USING (crop_id) LEFT JOIN shr s USING (crop_id) LEFT JOIN pn USING (crop_id)""")
+def cell_rule(spark, sf):
+    from cellweave.operators.chains import cell_rule_scores
+
+    return cell_rule_scores(walks8(spark, sf), chain8(spark, sf)[1], chain_shares(spark, sf), pad8(spark, sf), K).select(
+        "crop_id", "connected", F.round("length_ratio", 6).alias("length_ratio"), F.round("blocked", 6).alias("building_share"), "success", "lit_cells"
+    )
+
+
+@query("a39_cleanliness", CHAIN8_SQL + """ SELECT crop_id, n_chain AS chain_cells, round(n_lit / n_chain, 6) AS excess_ratio, n_lit / n_chain <= 1.25 AS clean,
+    round(n_both / (n_chain + n_lit - n_both), 6) AS iou_own_chain FROM wn JOIN pn USING (crop_id)""")
+def cleanliness(spark, sf):
+    from cellweave.operators.chains import cleanliness as clean
+
+    out = clean(chain8(spark, sf)[0], pad8(spark, sf), K, G)
+    return out.select("crop_id", "chain_cells", F.round("excess_ratio", 6).alias("excess_ratio"), "clean", F.round("iou_own_chain", 6).alias("iou_own_chain"))
+
+
+@query("a41_cleanup_targets", CHAIN8_SQL + """, q AS (SELECT w.crop_id, CAST(CASE WHEN l.length_m IS NULL THEN 1 WHEN l.length_m / teacher_m <= 1.1 AND s.blocked = 0 THEN 0
+      WHEN s.blocked > 0 THEN 2 ELSE 3 END AS INT) AS reason FROM w8 w LEFT JOIN len l USING (crop_id) LEFT JOIN shr s USING (crop_id))
+    SELECT reason, reason = 0 AS own_chain, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM q GROUP BY 1""")
+def cleanup_targets(spark, sf):
+    from cellweave.operators.chains import cell_rule_scores, cleanup_reason
+
+    scores = cell_rule_scores(walks8(spark, sf), chain8(spark, sf)[1], chain_shares(spark, sf), pad8(spark, sf), K)
+    total = walks8(spark, sf).agg(F.count("*")).scalar()
+    return scores.groupBy(cleanup_reason().alias("reason")).agg(F.count("*").alias("n")).select(
+        "reason", (F.col("reason") == 0).alias("own_chain"), "n", F.round(F.col("n") / total, 6).alias("share")
+    )
+
+
+@query("a42_chain_building_contact", CHAIN8_SQL + """ SELECT round(sum(touch * k) / sum(k), 6) AS pooled, round(avg(touch), 6) AS per_route, CAST(sum(k) AS BIGINT) AS chain_cells FROM shr""")
+def chain_building_contact(spark, sf):
+    s = chain_shares(spark, sf)
+    return s.agg(
+        F.round(F.sum(F.col("touch") * F.col("k")) / F.sum("k"), 6).alias("pooled"), F.round(F.avg("touch"), 6).alias("per_route"), F.sum("k").alias("chain_cells")
+    )
+
+
+@query("a42_moved_points", CHAIN8_SQL + """ SELECT crop_id, pos, CASE WHEN centre_built AND nb < 16 THEN free_px % 32 + 0.5 ELSE col * 4 + 2.0 END::DOUBLE AS x,
+    CASE WHEN centre_built AND nb < 16 THEN free_px // 32 + 0.5 ELSE row * 4 + 2.0 END::DOUBLE AS y FROM way JOIN blk USING (crop_id, row, col)""")
+def moved_points(spark, sf):
+    """Chain points whose cell centre is on a building move to the first free pixel of the cell."""
+    pts = chain8(spark, sf)[0].join(blocks8(spark, sf), ["crop_id", "row", "col"])
+    move = F.col("centre_built") & (F.col("nb") < 16)
+    return pts.select(
+        "crop_id", "pos", F.when(move, F.col("free_px.col") + 0.5).otherwise(F.col("col") * 4 + 2.0).alias("x"),
+        F.when(move, F.col("free_px.row") + 0.5).otherwise(F.col("row") * 4 + 2.0).alias("y"),
+    )
+
+
+@query("r17_drawing_to_polyline", CHAIN8_SQL + """, m AS (SELECT crop_id, max(pos) AS last FROM way GROUP BY 1)
+    SELECT crop_id, last - pos AS pos, round((col + 0.5) * 8, 3) AS px, round((row + 0.5) * 8, 3) AS py FROM way JOIN m USING (crop_id)""")
+def drawing_to_polyline(spark, sf):
+    from cellweave.operators.chains import chain_polyline
+
+    return chain_polyline(chain8(spark, sf)[0], K, CELL_M, 2.0)
+
+
+@query("a32_markers_connected", WALK8_SQL + ", " + _labels_sql(PAD8_SQL, True) + """,
+    a AS (SELECT DISTINCT w.crop_id, l.label FROM w8 w JOIN lab l ON l.crop_id = w.crop_id AND abs(l.row - w.srow) <= 1 AND abs(l.col - w.scol) <= 1),
+    b AS (SELECT DISTINCT w.crop_id, l.label FROM w8 w JOIN lab l ON l.crop_id = w.crop_id AND abs(l.row - w.grow) <= 1 AND abs(l.col - w.gcol) <= 1),
+    c AS (SELECT crop_id, min(label) AS label FROM a JOIN b USING (crop_id, label) GROUP BY 1),
+    n AS (SELECT crop_id, label, count(*) AS n FROM lab GROUP BY 1, 2)
+    SELECT w.crop_id, c.label IS NOT NULL AS connected, coalesce(n.n, 0) * CAST(4.0 AS DOUBLE) AS length_m FROM w8 w LEFT JOIN c USING (crop_id) LEFT JOIN n USING (crop_id, label)""".replace("row * 32 + col", "row * 8 + col"))
+def markers_connected(spark, sf):
+    from cellweave.operators.chains import connected_markers
+
+    labels = once(spark, sf, "labels8", lambda: fr.label_cells(pad8(spark, sf), K, True, 32))
+    return connected_markers(labels, walks8(spark, sf), K, CELL_M)
+
+
+# ------------------------------------------------------------------ walking fields
+
+WALKED_SQL = PRICED_SQL + """, par AS MATERIALIZED (SELECT f.crop_id, f.row, f.col, min(n.row * 32 + n.col) AS p FROM fld f JOIN cel cf USING (crop_id, row, col) JOIN off ON TRUE
+      JOIN fld n ON n.crop_id = f.crop_id AND n.row = f.row + off.dy AND n.col = f.col + off.dx JOIN cel cn ON cn.crop_id = n.crop_id AND cn.row = n.row AND cn.col = n.col
+      WHERE f.cost = n.cost + CASE WHEN off.diag THEN cf.hd + cn.hd ELSE cf.hs + cn.hs END GROUP BY 1, 2, 3),
+    walk_m AS (SELECT crop_id, row, col, CAST(0 AS DOUBLE) AS m FROM fld WHERE cost = 0
+      UNION ALL SELECT p.crop_id, p.row, p.col, w.m + sqrt((p.row - w.row) * (p.row - w.row) + (p.col - w.col) * (p.col - w.col)) FROM walk_m w
+        JOIN par p ON p.crop_id = w.crop_id AND p.p = w.row * 32 + w.col),
+    met AS MATERIALIZED (SELECT crop_id, row, col, round(m, 6) AS m FROM walk_m),
+    two AS MATERIALIZED (SELECT r.crop_id, CAST(r.row // 2 AS INT) AS r2, CAST(r.col // 2 AS INT) AS c2, CASE WHEN min(met.m) IS NULL THEN NULL
+      ELSE least(round_even(min(met.m) / 2, 0), 254) END AS d2 FROM fx_raster r LEFT JOIN met USING (crop_id, row, col) GROUP BY 1, 2, 3),
+    goal AS (SELECT w.crop_id, met.m AS goal_m, CAST(CASE WHEN met.m > 0 THEN floor(met.m / 10) + 1 ELSE 1 END AS INT) AS n_goal FROM fx_walks w
+      LEFT JOIN met ON met.crop_id = w.crop_id AND met.row = w.grow AND met.col = w.gcol),
+    dm AS MATERIALIZED (SELECT crop_id, CAST(r2 // 2 AS INT) AS gr, CAST(c2 // 2 AS INT) AS gc, min(d2) * 2 AS dmin,
+      CASE WHEN count(d2) = count(*) THEN max(d2) * 2 + 2.9 END AS dmax, count(d2) > 0 AS reached FROM two GROUP BY 1, 2, 3)"""
+HORIZON_M = 10.0
+
+
+def field(spark, sf):
+    return once(spark, sf, "field", lambda: walking_field(spark, sf))
+
+
+def metres(spark, sf):
+    return once(spark, sf, "metres", lambda: fr.walked_metres(field(spark, sf), K))
+
+
+def two_metre(spark, sf):
+    from cellweave.operators import wave
+
+    frame = fx.view(spark, sf, "fx_raster").select("crop_id", "row", "col")
+    return wave.two_metre_field(frame.join(metres(spark, sf), ["crop_id", "row", "col"], "left"), K)
+
+
+def goals(spark, sf):
+    from cellweave.operators import wave
+
+    g = walks(spark, sf).selectExpr("crop_id", "grow AS row", "gcol AS col", "srow", "scol")
+    return g.join(metres(spark, sf), ["crop_id", "row", "col"], "left").select(
+        "crop_id", "srow", "scol", F.col("metres").alias("goal_m"), wave.n_goal(F.col("metres"), HORIZON_M).alias("n_goal")
+    )
+
+
+def cell_min_max(spark, sf):
+    from cellweave.operators import wave
+
+    return wave.cell_min_max(two_metre(spark, sf), K, 2)
+
+
+@query("r03_walked_metres", WALKED_SQL + " SELECT crop_id, row, col, m AS metres FROM met")
+def walked_metres(spark, sf):
+    return metres(spark, sf)
+
+
+@query("r03_two_metre_cells", WALKED_SQL + " SELECT crop_id, r2, c2, CAST(d2 AS INT) AS d2 FROM two")
+def two_metre_cells(spark, sf):
+    return two_metre(spark, sf)
+
+
+@query("a53_field_statistics", WALKED_SQL + """ SELECT count(*) AS n, round(avg(CASE WHEN goal_m IS NULL THEN 1.0 ELSE 0.0 END), 6) AS unreachable,
+    round(quantile_cont(goal_m, 0.5), 6) AS p50, round(quantile_cont(goal_m, 0.9), 6) AS p90, round(max(goal_m), 6) AS max_m, CAST(sum(2 * n_goal + 1) AS BIGINT) AS passes,
+    (SELECT count(d2) FROM two) AS cells_reached FROM goal""")
+def field_statistics(spark, sf):
+    from cellweave.operators.ranking import exact_percentiles
+
+    g = goals(spark, sf).withColumn("all", F.lit(1))
+    reached = two_metre(spark, sf).agg(F.count("d2")).scalar()
+    base = g.groupBy("all").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("goal_m").isNull().cast("double")), 6).alias("unreachable"),
+        F.round(F.max("goal_m"), 6).alias("max_m"), F.sum((2 * F.col("n_goal") + 1).cast("bigint")).alias("passes"),
+    )
+    spread = exact_percentiles(g, ["all"], "goal_m", [0.5, 0.9], step=4.0)
+    return base.join(spread, "all").withColumns({"p50": F.round("p50", 6), "p90": F.round("p90", 6), "cells_reached": reached}).drop("all")
+
+
+FRONT_SQL = WALKED_SQL + """, ring AS (SELECT crop_id, gr, gc, CAST(k AS INT) AS j FROM dm, (SELECT unnest(range(1, 13)) AS k) k WHERE dmin < k * 10 AND (dmax >= k * 10 OR dmax IS NULL)),
+    sd AS (SELECT f.crop_id, f.gr, f.gc FROM dm f JOIN fx_walks w USING (crop_id) WHERE abs(f.gr - w.srow // 4) <= 1 AND abs(f.gc - w.scol // 4) <= 1)"""
+
+
+@query("r09_fronts", FRONT_SQL + " SELECT crop_id, j, gr, gc FROM ring")
+def fronts(spark, sf):
+    from cellweave.operators import wave
+
+    return wave.rings(cell_min_max(spark, sf), HORIZON_M, 12).select("crop_id", "j", "gr", "gc")
+
+
+@query("r09_start_disc", FRONT_SQL + " SELECT crop_id, gr, gc FROM sd")
+def start_disc(spark, sf):
+    from cellweave.operators import wave
+
+    return wave.start_disc(walks(spark, sf), K, 4, G)
+
+
+@query("r10_pass_schedule", WALKED_SQL + """, p AS (SELECT crop_id, n_goal, unnest(range(CAST(2 * n_goal + 1 AS BIGINT))) AS pos FROM goal)
+    SELECT crop_id, CAST(pos AS INT) AS pos, CASE WHEN pos = 2 * n_goal THEN 'draw' WHEN pos = 2 * n_goal - 1 THEN 'origin' WHEN pos >= n_goal THEN 'back'
+      WHEN pos = n_goal - 1 AND n_goal > 1 THEN 'reach' WHEN pos = 0 THEN 'first' ELSE 'step' END AS kind,
+    CASE WHEN pos = 2 * n_goal THEN 'DONE' WHEN pos = 2 * n_goal - 1 THEN 'DRAW' WHEN pos >= n_goal - 1 AND (n_goal > 1 OR pos > 0) THEN 'BACK' ELSE 'SEARCH' END AS token FROM p""")
+def pass_schedule(spark, sf):
+    from cellweave.operators import wave
+
+    return wave.schedule(goals(spark, sf).select("crop_id", "n_goal"))
+
+
+@query("r10_teacher_drawings", FRONT_SQL + """, p AS (SELECT crop_id, n_goal, unnest(range(CAST(n_goal AS BIGINT))) AS k FROM goal)
+    SELECT crop_id, CAST(k AS INT) AS k, count(*) FILTER (WHERE i) AS cells_in, count(*) AS cells_out FROM (
+      SELECT crop_id, k, gr, gc, bool_or(j <= k) AS i FROM (SELECT p.crop_id, p.k, r.gr, r.gc, r.j FROM p JOIN ring r ON r.crop_id = p.crop_id AND r.j <= p.k + 1
+        UNION ALL SELECT p.crop_id, p.k, sd.gr, sd.gc, 0 FROM p JOIN sd USING (crop_id)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""")
+def teacher_drawings(spark, sf):
+    from cellweave.operators import wave
+
+    passes = wave.forward_drawings(goals(spark, sf), cell_min_max(spark, sf), wave.start_disc(walks(spark, sf), K, 4, G), K, HORIZON_M)
+    return passes.groupBy("crop_id", "k").agg(F.count_if("pad_in").alias("cells_in"), F.count("*").alias("cells_out"))
+
+
+@query("r09_way_cells_beyond_front", WALKED_SQL + """, way AS (SELECT w.crop_id, CAST(w.grow AS INT) AS row, CAST(w.gcol AS INT) AS col FROM fx_walks w JOIN met ON met.crop_id = w.crop_id AND met.row = w.grow AND met.col = w.gcol
+      UNION ALL SELECT p.crop_id, CAST(p.p // 32 AS INT), CAST(p.p % 32 AS INT) FROM way JOIN par p USING (crop_id, row, col)),
+    c AS (SELECT DISTINCT way.crop_id, way.row // 4 AS gr, way.col // 4 AS gc FROM way JOIN two ON two.crop_id = way.crop_id AND two.r2 = way.row // 2 AND two.c2 = way.col // 2 WHERE d2 * 2 >= 10)
+    SELECT DISTINCT d.crop_id, d.gr, d.gc FROM dm d JOIN c USING (crop_id) WHERE abs(d.gr - c.gr) <= 1 AND abs(d.gc - c.gc) <= 1""")
+def way_cells_beyond_front(spark, sf):
+    from cellweave.operators import wave
+
+    way = once(spark, sf, "way", lambda: fr.way_back(field(spark, sf), walks(spark, sf).select("crop_id", "grow", "gcol"), K))
+    return wave.way_cells(way, two_metre(spark, sf), K, 4, G, 10.0)
+
+
+@query("r20_tie_family", PRICED_SQL + """, """ + _field_sql("SELECT * FROM cel", "SELECT crop_id, grow AS row, gcol AS col FROM fx_walks").replace(OFFS_SQL + ", cel AS MATERIALIZED (SELECT * FROM cel),", "").replace("fld", "bak") + """,
+    t AS (SELECT w.crop_id, f.cost AS total FROM fx_walks w JOIN fld f ON f.crop_id = w.crop_id AND f.row = w.grow AND f.col = w.gcol)
+    SELECT t.crop_id, count(*) FILTER (WHERE f.cost + b.cost - total <= 0) AS tie, count(*) FILTER (WHERE f.cost + b.cost - total <= 500000) AS within_half,
+    count(*) FILTER (WHERE f.cost + b.cost - total <= 2000000) AS within_two FROM t JOIN fld f USING (crop_id) JOIN bak b USING (crop_id, row, col) GROUP BY 1""")
+def tie_family(spark, sf):
+    """Cells on some cheapest way between start and goal, exactly and within a slack."""
+    ahead = field(spark, sf)
+    back = once(spark, sf, "field_back", lambda: fr.cheapest_field(
+        priced_free(spark, sf), walks(spark, sf).selectExpr("crop_id", "grow AS srow", "gcol AS scol"), K, "price"))
+    total = walks(spark, sf).selectExpr("crop_id", "grow AS row", "gcol AS col").join(ahead, ["crop_id", "row", "col"]).filter(
+        "cost IS NOT NULL").select("crop_id", F.col("cost").alias("total"))
+    both = ahead.select("crop_id", "row", "col", "cost").join(
+        back.select("crop_id", "row", "col", F.col("cost").alias("rest")), ["crop_id", "row", "col"]
+    ).join(total, "crop_id").withColumn("slack", F.col("cost") + F.col("rest") - F.col("total"))
+    return both.groupBy("crop_id").agg(
+        F.count_if(F.col("slack") <= 0).alias("tie"), F.count_if(F.col("slack") <= 500000).alias("within_half"),
+        F.count_if(F.col("slack") <= 2000000).alias("within_two"),
+    )
+
+
+@query("r19_path_optimality")
+def path_optimality(spark, sf):
+    """Stored walking length over the length on a sixteen-direction grid that cuts no corner; worst eight (see tests)."""
+    cells = fr.clear_moves(free(spark, sf), K)
+    dense = once(spark, sf, "field16", lambda: fr.cheapest_field(cells, walks(spark, sf), K, "1.0D", fr.KNIGHT))
+    grid = walks(spark, sf).selectExpr("crop_id", "grow AS row", "gcol AS col").join(dense, ["crop_id", "row", "col"]).selectExpr(
+        "crop_id", "cost / 1000000.0D AS grid_m")
+    out = goals(spark, sf).filter("goal_m > 0").join(grid, "crop_id").filter("grid_m > 0").selectExpr(
+        "crop_id", "round(goal_m, 6) AS stored_m", "round(grid_m, 6) AS grid_m", "round(goal_m / grid_m, 6) AS ratio")
+    return out.orderBy(F.desc("ratio"), "crop_id").limit(8)
