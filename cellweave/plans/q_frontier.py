@@ -247,7 +247,7 @@ def moved_points(spark, sf):
 
 
 @query("r17_drawing_to_polyline", CHAIN8_SQL + """, m AS (SELECT crop_id, max(pos) AS last FROM way GROUP BY 1)
-    SELECT crop_id, last - pos AS pos, round((col + 0.5) * 8, 3) AS px, round((row + 0.5) * 8, 3) AS py FROM way JOIN m USING (crop_id)""")
+    SELECT crop_id, last - pos AS pos, round(CAST((col + 0.5) * 8 AS DOUBLE), 3) AS px, round(CAST((row + 0.5) * 8 AS DOUBLE), 3) AS py FROM way JOIN m USING (crop_id)""")
 def drawing_to_polyline(spark, sf):
     from cellweave.operators.chains import chain_polyline
 
