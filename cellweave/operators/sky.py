@@ -24,10 +24,14 @@ def shadows(heights: DataFrame, suns: DataFrame, keys: Sequence[str], res: float
 
     A cell lies in shadow when k steps towards the sun stands something higher than k * res * tan(elevation).
     Seen from the tall cell, its shadow falls k steps away from the sun, so only tall cells are expanded, each only
-    as far as its own height reaches; rasters never wrap. The sun positions of a day are at most 1440 rows.
+    as far as its own height reaches; rasters never wrap. The sun positions of a day, at most 1440, go along as one array.
     """
-    sun = suns.select("instant", F.tan(F.radians("elevation")).alias("_t"), F.cos(F.radians("azimuth")).alias("_ca"), F.sin(F.radians("azimuth")).alias("_sa"))
-    cast = heights.filter("height > 0").join(F.broadcast(sun))
+    sun = suns.agg(F.collect_list(F.struct(
+        "instant", F.tan(F.radians("elevation")).alias("t"), F.cos(F.radians("azimuth")).alias("ca"), F.sin(F.radians("azimuth")).alias("sa")
+    ))).scalar()
+    cast = heights.filter("height > 0").withColumn("_s", F.explode(sun)).select(
+        *keys, "row", "col", "height", "_s.instant", F.col("_s.t").alias("_t"), F.col("_s.ca").alias("_ca"), F.col("_s.sa").alias("_sa")
+    )
     reach = F.floor(F.least(F.lit(max_dist), F.col("height") / F.col("_t")) / res)
     k = F.col("_k")
     return (

@@ -144,10 +144,10 @@ def upsample(spark, sf):
     return grids.upsample(fx.view(spark, sf, "fx_raster").select("crop_id", "row", "col", "surface"), 2)
 
 
-@query("p29_cell_addressing", """SELECT route_id, CAST(floor(sy) // 4 AS INT) AS cell_row, CAST(floor(sx) // 4 AS INT) AS cell_col,
-    CAST(floor(sy) // 8 * 4 + floor(sx) // 8 AS INT) AS patch, CAST((floor(sy) // 4 % 2) * 2 + floor(sx) // 4 % 2 AS INT) AS sub_cell,
-    CAST(greatest(floor(sy) // 4 - 1, 0) AS INT) AS block_r0, CAST(least(floor(sy) // 4 + 1, 7) AS INT) AS block_r1,
-    CAST(greatest(floor(sx) // 4 - 1, 0) AS INT) AS block_c0, CAST(least(floor(sx) // 4 + 1, 7) AS INT) AS block_c1 FROM fx_routes""")
+@query("p29_cell_addressing", """SELECT route_id, CAST(CAST(floor(sy) AS INT) // 4 AS INT) AS cell_row, CAST(CAST(floor(sx) AS INT) // 4 AS INT) AS cell_col,
+    CAST(CAST(floor(sy) AS INT) // 8 * 4 + CAST(floor(sx) AS INT) // 8 AS INT) AS patch, CAST((CAST(floor(sy) AS INT) // 4 % 2) * 2 + CAST(floor(sx) AS INT) // 4 % 2 AS INT) AS sub_cell,
+    CAST(greatest(CAST(floor(sy) AS INT) // 4 - 1, 0) AS INT) AS block_r0, CAST(least(CAST(floor(sy) AS INT) // 4 + 1, 7) AS INT) AS block_r1,
+    CAST(greatest(CAST(floor(sx) AS INT) // 4 - 1, 0) AS INT) AS block_c0, CAST(least(CAST(floor(sx) AS INT) // 4 + 1, 7) AS INT) AS block_c1 FROM fx_routes""")
 def cell_addressing(spark, sf):
     at = fx.view(spark, sf, "fx_routes").selectExpr("route_id", "CAST(floor(sy) AS INT) AS r", "CAST(floor(sx) AS INT) AS c")
     return at.selectExpr(
