@@ -275,13 +275,13 @@ def source_slots(spark, sf):
     )
 
 
-@query("j21_missing_side_files", """r AS (SELECT DISTINCT p_type AS task, s.s AS split FROM part, (SELECT unnest(['train', 'val']) AS s) s),
-    h AS (SELECT DISTINCT p_type AS task, CASE WHEN p_size % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM part WHERE p_size < 3)
+@query("j21_missing_side_files", """r AS (SELECT DISTINCT p_type || '-' || p_brand AS task, s.s AS split FROM part, (SELECT unnest(['train', 'val']) AS s) s),
+    h AS (SELECT DISTINCT p_type || '-' || p_brand AS task, CASE WHEN p_size % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM part WHERE p_size < 5)
     SELECT r.task, r.split FROM r ANTI JOIN h USING (task, split)""")
 def missing_side_files(spark, sf):
     part = fx.table(spark, sf, "part")
-    required = part.select(F.col("p_type").alias("task")).distinct().select("task", F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
-    present = part.filter("p_size < 3").selectExpr("p_type AS task", "IF(p_size % 2 = 0, 'train', 'val') AS split")
+    required = part.selectExpr("p_type || '-' || p_brand AS task").distinct().select("task", F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
+    present = part.filter("p_size < 5").selectExpr("p_type || '-' || p_brand AS task", "IF(p_size % 2 = 0, 'train', 'val') AS split")
     return checks.without_partner(required, present, ["task", "split"])
 
 
