@@ -516,3 +516,12 @@ def point_report(spark, sf):
     return counts.join(spread, ["split", "cls"]).select(
         "split", "cls", "items", "disagree", *[F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")]
     )
+
+
+@query("f04_task_registry", TARGETS_SQL + """ SELECT t.task_key, t.layer_a, t.class_a, t.layer_b, t.class_b, count(*) FILTER (WHERE tg.fg) AS positive FROM fx_tasks t JOIN tg USING (task_key) GROUP BY 1, 2, 3, 4, 5""")
+def task_registry(spark, sf):
+    """The task dimension as a table, with what it yields on the rasters."""
+    from cellweave.plans.fixtures import tasks
+
+    positive = task_targets(spark, sf).groupBy("task_key").agg(F.count_if("fg").alias("positive"))
+    return tasks(spark).join(positive, "task_key")

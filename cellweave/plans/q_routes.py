@@ -320,3 +320,23 @@ def simplified_lines(spark, sf):
     lines = fx.view(spark, sf, "fx_dense_lines").withColumnRenamed("line_id", "route_id")
     pts, frame = lines.select("route_id", "pos", "x", "y"), lines.filter("pos = 0").select("route_id", "crop_id")
     return rt.simplify(pts, frame, buildings(spark, sf), 1.5, SIDE)
+
+
+@query("o04_worst_routes", VERDICT_SQL + """ SELECT route_id, round(ratio, 6) AS ratio FROM vd WHERE ratio IS NOT NULL ORDER BY ratio DESC, route_id LIMIT 8""")
+def worst_routes(spark, sf):
+    v = verdicts(spark, sf).filter("ratio IS NOT NULL")
+    return v.orderBy(F.desc("ratio"), "route_id").limit(8).select("route_id", F.round("ratio", 6).alias("ratio"))
+
+
+#: Baselines by name: each gives a vertex table for every route.
+BASELINES = {"straight": straight}
+
+
+@query("f03_baselines", """SELECT 'straight' AS baseline, count(*) AS vertices, round(sum(sx + gx), 3) AS sum_x, round(sum(sy + gy), 3) AS sum_y FROM fx_routes, (SELECT 1) t""".replace("count(*)", "2 * count(*)"))
+def baselines(spark, sf):
+    out = None
+    for name, build in BASELINES.items():
+        part = build(spark, sf).agg(
+            F.lit(name).alias("baseline"), F.count("*").alias("vertices"), F.round(F.sum("x"), 3).alias("sum_x"), F.round(F.sum("y"), 3).alias("sum_y"))
+        out = part if out is None else out.unionByName(part)
+    return out
