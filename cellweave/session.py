@@ -23,6 +23,9 @@ def local_session(app: str = "cellweave", cores: str = "*", partitions: int = 8)
     )
 
 
+_LOCAL: dict[str, str] = {}  # folders of local sessions that name none
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -33,8 +36,7 @@ def scratch_folder(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
     return f"{root}/{uuid.uuid4().hex}"
 
 
