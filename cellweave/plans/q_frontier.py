@@ -359,6 +359,20 @@ def start_disc(spark, sf):
     return wave.start_disc(walks(spark, sf), K, 4, G)
 
 
+@query("r16_detour_strata", WALKED_SQL + """ SELECT w.crop_id, round(goal_m / sqrt((srow - grow) * (srow - grow) + (scol - gcol) * (scol - gcol)), 6) AS detour_ratio,
+    CAST(CASE WHEN goal_m / sqrt((srow - grow) * (srow - grow) + (scol - gcol) * (scol - gcol)) < 1.1 THEN 0
+      WHEN goal_m / sqrt((srow - grow) * (srow - grow) + (scol - gcol) * (scol - gcol)) < 1.4 THEN 1 ELSE 2 END AS INT) AS stratum
+    FROM fx_walks w JOIN goal USING (crop_id) WHERE goal_m > 0""")
+def detour_strata(spark, sf):
+    """Walking length over the straight distance, and its stratum, for every reached goal."""
+    from cellweave.functions.bins import detour_stratum
+
+    straight = F.expr("sqrt(CAST((srow - grow) * (srow - grow) + (scol - gcol) * (scol - gcol) AS DOUBLE))")
+    w = walks(spark, sf).withColumn("straight_m", straight).select("crop_id", "straight_m")
+    out = goals(spark, sf).filter("goal_m > 0").join(w, "crop_id").withColumn("detour_ratio", F.col("goal_m") / F.col("straight_m"))
+    return out.select("crop_id", F.round("detour_ratio", 6).alias("detour_ratio"), detour_stratum(F.col("detour_ratio"), [0.0, 1.1, 1.4, 1e9]).alias("stratum"))
+
+
 @query("r10_pass_schedule", WALKED_SQL + """, p AS (SELECT crop_id, n_goal, unnest(range(CAST(2 * n_goal + 1 AS BIGINT))) AS pos FROM goal)
     SELECT crop_id, CAST(pos AS INT) AS pos, CASE WHEN pos = 2 * n_goal THEN 'draw' WHEN pos = 2 * n_goal - 1 THEN 'origin' WHEN pos >= n_goal THEN 'back'
       WHEN pos = n_goal - 1 AND n_goal > 1 THEN 'reach' WHEN pos = 0 THEN 'first' ELSE 'step' END AS kind,

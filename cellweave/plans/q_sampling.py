@@ -9,7 +9,9 @@ from cellweave.operators import checks, ranking
 from cellweave.operators import routes as rt
 from cellweave.operators import sampling as sp
 from cellweave.operators import wave
+from cellweave.operators.frontier import label_cells
 from cellweave.plans import fixtures as fx
+from cellweave.plans.q_frontier import _labels_sql
 from cellweave.plans.q_raster import TASKS
 from cellweave.plans.q_routes import SEG_SQL, buildings, points, routes
 from cellweave.plans.registry import query
@@ -82,25 +84,27 @@ FREE_SQL = """inner_px AS MATERIALIZED (SELECT a.crop_id, a.row, a.col FROM fx_r
     rk AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY row, col) AS rn, count(*) OVER (PARTITION BY crop_id) AS n FROM inner_px)"""
 
 
-@query("r16_route_candidates", FREE_SQL + f""", dr AS (SELECT crop_id, j.j AS draw, {uniform_sql('crop_id * 8 + j.j', 41)} AS ua, {uniform_sql('crop_id * 8 + j.j', 42)} AS ub
+@query("r16_route_candidates", FREE_SQL + ", " + _labels_sql("SELECT crop_id, row, col FROM fx_raster WHERE surface <> 3", False) + f""", dr AS (SELECT crop_id, j.j AS draw, {uniform_sql('crop_id * 8 + j.j', 41)} AS ua, {uniform_sql('crop_id * 8 + j.j', 42)} AS ub
       FROM fx_markers, (SELECT unnest(range(8)) AS j) j)
     SELECT d.crop_id, d.draw, a.row AS arow, a.col AS acol, b.row AS brow, b.col AS bcol FROM dr d JOIN rk a ON a.crop_id = d.crop_id AND a.rn = CAST(floor(ua * a.n) AS BIGINT) + 1
       JOIN rk b ON b.crop_id = d.crop_id AND b.rn = CAST(floor(ub * b.n) AS BIGINT) + 1
-    WHERE (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) BETWEEN 64 AND 784""")
+      JOIN lab la ON la.crop_id = a.crop_id AND la.row = a.row AND la.col = a.col JOIN lab lb ON lb.crop_id = b.crop_id AND lb.row = b.row AND lb.col = b.col
+    WHERE la.label = lb.label AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) BETWEEN 64 AND 784""")
 def route_candidates(spark, sf):
-    """Seeded pairs on inner free ground, 8 to 28 m apart. Free ground of these windows is one component (see tests)."""
+    """Seeded pairs on inner free ground, 8 to 28 m apart, both ends in one component of the free ground."""
     free = fx.view(spark, sf, "fx_raster").filter("surface <> 3").select("crop_id", "row", "col")
     inner = sp.inner_ground(free, ["crop_id"], 32, 2)
     n = inner.groupBy("crop_id").agg(F.count("*").alias("n"))
-    ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"])
+    labels = label_cells(free, ["crop_id"], False, 32)
+    ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"]).join(labels, ["crop_id", "row", "col"])
     seed = F.col("crop_id") * 8 + F.col("draw")
     draws = fx.view(spark, sf, "fx_markers").selectExpr("crop_id", "explode(sequence(0L, 7L)) AS draw").join(n, "crop_id").select(
         "crop_id", "draw", (F.floor(uniform(seed, 41) * F.col("n")) + 1).alias("ra"), (F.floor(uniform(seed, 42) * F.col("n")) + 1).alias("rb")
     )
-    a = ranked.selectExpr("crop_id", "rn AS ra", "row AS arow", "col AS acol")
-    b = ranked.selectExpr("crop_id", "rn AS rb", "row AS brow", "col AS bcol")
+    a = ranked.selectExpr("crop_id", "rn AS ra", "row AS arow", "col AS acol", "label AS la")
+    b = ranked.selectExpr("crop_id", "rn AS rb", "row AS brow", "col AS bcol", "label AS lb")
     out = draws.join(a, ["crop_id", "ra"]).join(b, ["crop_id", "rb"])
-    return out.filter("(arow - brow) * (arow - brow) + (acol - bcol) * (acol - bcol) BETWEEN 64 AND 784").select("crop_id", "draw", "arow", "acol", "brow", "bcol")
+    return out.filter("la = lb AND (arow - brow) * (arow - brow) + (acol - bcol) * (acol - bcol) BETWEEN 64 AND 784").select("crop_id", "draw", "arow", "acol", "brow", "bcol")
 
 
 READ_SQL = f"""u AS (SELECT route_id, crop_id, sx, sy, gx, gy, {uniform_sql('route_id', 1)} AS u0, {uniform_sql('route_id', 2)} AS u1, {uniform_sql('route_id', 5)} < 0.5 AS whole FROM fx_routes),
