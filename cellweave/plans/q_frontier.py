@@ -338,7 +338,7 @@ def field_statistics(spark, sf):
         F.round(F.max("goal_m"), 6).alias("max_m"), F.sum((2 * F.col("n_goal") + 1).cast("bigint")).alias("passes"),
     )
     spread = exact_percentiles(g, ["all"], "goal_m", [0.5, 0.9], step=4.0)
-    return base.join(spread, "all").withColumns({"p50": F.round("p50", 6), "p90": F.round("p90", 6), "cells_reached": reached}).drop("all")
+    return base.join(spread, "all", "left").withColumns({"p50": F.round("p50", 6), "p90": F.round("p90", 6), "cells_reached": reached}).drop("all")
 
 
 FRONT_SQL = WALKED_SQL + """, ring AS (SELECT crop_id, gr, gc, CAST(k AS INT) AS j FROM dm, (SELECT unnest(range(1, 13)) AS k) k WHERE dmin < k * 10 AND (dmax >= k * 10 OR dmax IS NULL)),

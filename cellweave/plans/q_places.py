@@ -138,7 +138,7 @@ def distribution_profile(spark, sf):
         F.count_if((F.col("height_m") < 5) | (F.col("height_m") > 20)).alias("out_of_range"),
     )
     spread = ranking.exact_percentiles(r, ["all"], "height_m", probs)
-    return base.join(spread, "all").select(*base.columns[1:], *[F.round(f"p{round(p * 100)}", 6).alias(f"p{round(p * 100)}") for p in probs])
+    return base.join(spread, "all", "left").select(*base.columns[1:], *[F.round(f"p{round(p * 100)}", 6).alias(f"p{round(p * 100)}") for p in probs])
 
 
 @query("a15_coverage_shares", """SELECT coalesce(key, '<all>') AS key, count(*) AS n, round(avg(CASE WHEN name IS NOT NULL

@@ -464,7 +464,7 @@ def rule_relativity(spark, sf):
         F.round(F.avg((F.col("s1") > 0.8).cast("double")), 6).alias("nearly_one"),
         F.countDistinct("low").alias("n_low"), F.countDistinct("med").alias("n_med"),
         F.round(F.avg("n_levels"), 6).alias("mean_levels"),
-    ).join(spread.select("all", *[F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")]), "all").drop("all")
+    ).join(spread.select("all", *[F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")]), "all", "left").drop("all")
 
 
 @query("a54_level_shares", LEVELS_SQL + """, u AS (SELECT lev.n AS n, unnest(['low', 'med']) AS which, unnest([low, med]) AS level

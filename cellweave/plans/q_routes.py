@@ -216,7 +216,7 @@ def export_summary(spark, sf):
         F.count_if(band == "6+").alias("band_6_up"),
     )
     spread = ranking.exact_percentiles(per, ["all"], "k", [0.5, 0.9])
-    return base.join(spread, "all").withColumn("skipped", total - F.col("exported")).withColumns(
+    return base.join(spread, "all", "left").withColumn("skipped", total - F.col("exported")).withColumns(
         {"p50": F.round("p50", 6), "p90": F.round("p90", 6)}
     ).drop("all")
 

@@ -162,7 +162,7 @@ def headway_and_density(spark, sf):
         F.count_if(F.col("n_routes") == 0).alias("routeless"), F.count_if(outside).alias("outside"),
         F.round(F.count("*") / 0.8464, 6).alias("per_km2"), F.sum("departures").alias("departures"),
     )
-    return base.join(served, "all").select(
+    return base.join(served, "all", "left").select(
         *base.columns[1:], *[F.round(p, 6).alias(p) for p in ("p25", "p50", "p75")], F.round(720 / F.col("p50"), 6).alias("headway_min")
     )
 
