@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.session import measured_broadcasts
+
 SIDE = 32  # cells along a window
 GRID = 8  # output cells along a window
 TASK_ROWS = [
@@ -312,7 +314,7 @@ SQL["fx_marks"] = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return measured_broadcasts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,6 +23,19 @@ def local_session(app: str = "cellweave", cores: str = "*", partitions: int = 8)
     )
 
 
+def measured_broadcasts(spark: SparkSession) -> SparkSession:
+    """Let Spark broadcast a join side only on its measured size.
+
+    Size estimates do not see how many rows an ``explode`` makes, so a side that looks small in the plan may be
+    large. Estimates are switched off for broadcasting; adaptive execution still broadcasts a side once it has
+    been shuffled and its real size is known. Explicit hints on fixed-size dimensions stay in force.
+    """
+    if spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1":
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return spark
+
+
 _LOCAL: dict[str, str] = {}  # folders of local sessions that name none
 
 
