@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellweave.llm import mixing, secrets, simhash, token_counts, winnow
-from cellweave.llm.common import table
+from cellweave.llm import mixing, quality, secrets, simhash, token_counts, toxicity, winnow
+from cellweave.llm.common import crc_bucket, table
+from cellweave.session import cut_lineage
 
 BPE = "byte_bpe_50k.json"
 
@@ -22,10 +24,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    taught = docs.filter(crc_bucket(F.col("doc_id"), 5) != 0)
+    lexicon = toxicity.learn(toxicity.training_rows(taught, table(spark, sf_dir, "labels"), "toxic"))
+    scored = toxicity.toxicity(docs, lexicon)
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    featured = cut_lineage(quality.with_features(table(spark, sf_dir, "documents"), ["doc_id"]))
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    ranking = quality.learn(featured.join(labels, "doc_id").select(F.col("doc_id").alias("id"), F.col("_x").alias("x"), "label"))
+    scored = quality.quality(featured, ranking)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +54,6 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_simhash_components, op7_secret_spans, op9_winnowing)
+    f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_toxicity, op4_simhash_components, op5_quality, op7_secret_spans, op9_winnowing)
 }
 ORACLES: dict[str, str] = {}
