@@ -117,3 +117,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
+
+
+def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it (0 to ``cap`` times), with their columns.
+
+    Rows that repeat id, source and size are taken as often as the one of them that is taken most.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    name = lambda ident, source, n: F.concat_ws("\x01", F.coalesce(ident.cast("string"), F.lit("\x02")), F.coalesce(source, F.lit("\x02")), n)
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    copies = mixed.filter("copies > 0").groupBy(name(F.col(id_col), F.col(source_col), F.col("size")).alias("_row")).agg(F.max("copies").cast("int").alias("_copies"))
+    found = docs.withColumn("_row", name(F.col(id_col), F.col(source_col), size)).join(copies, "_row")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import mixing, quality, secrets, simhash, token_counts, toxicity, winnow
+from cellweave.llm import kneser_ney, lattice, mixing, packing, quality, secrets, simhash, token_counts, toxicity, winnow
 from cellweave.llm.common import crc_bucket, table
 from cellweave.session import cut_lineage
 
@@ -45,15 +45,34 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 7) == 2
+    scored = kneser_ney.score(docs, kneser_ney.train(docs.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_toxicity, op4_simhash_components, op5_quality, op7_secret_spans, op9_winnowing)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_token_counts, op3_toxicity, op4_simhash_components, op5_quality,
+        op6_curve_packing, op7_secret_spans, op8_lattice_links, op9_winnowing, op10_kneser_ney,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -187,8 +187,8 @@ def _calibrate(lexicon: Lexicon, labelled: DataFrame, text_col: str, label_col:
     return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (2.0, -2.0)
 
 
-def raw_scores(docs: DataFrame, lexicon: Lexicon, kept: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``kept`` of every row and ``raw``."""
+def raw_scores(docs: DataFrame, lexicon: Lexicon, kept: list[str], text_col: str = "text", raw_col: str = "raw") -> DataFrame:
+    """The columns ``kept`` of every row and their raw score."""
     weights, exceptions = lexicon.weights, lexicon.exceptions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +196,19 @@ def raw_scores(docs: DataFrame, lexicon: Lexicon, kept: list[str], text_col: str
         auto = own.automaton()
         for batch in slices(batches, text_col):
             raw = [own.raw(auto, t) for t in column(batch, text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in kept], pa.array(raw, pa.float64())], [*kept, "raw"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in kept], pa.array(raw, pa.float64())], [*kept, raw_col])
 
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], "raw double"])
-    return docs.select(*kept, text_col).mapInArrow(run, schema)
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], f"`{raw_col}` double"])
+    return docs.select(*kept, *[text_col][: text_col not in kept]).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with their columns. Null and empty texts stay."""
+    raw = "raw"
+    while raw in docs.columns:
+        raw += "_"
+    scored = raw_scores(docs, lexicon, docs.columns, text_col, raw)
+    return scored.filter(lexicon.slope * F.col(raw) + lexicon.offset < 0).select(*docs.columns)
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
