@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 FENCED = r"(?si)```(?:json)?\s*(.*?)\s*```"
 PAIR = r"\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]"
 POINT_KEYS = ("path", "route", "points", "polyline")
-MAX_POINTS = 12
 GRID_SIDE = 1000.0
 
 POINTS = "array<array<double>>"
@@ -41,8 +40,11 @@ def valid_points(points: Column) -> Column:
     return F.when(points.isNotNull(), _pairs_only(points))
 
 
-def answer_points(text: Column, max_points: int = MAX_POINTS) -> Column:
-    """Points of an answer in grid units, or null; broken JSON falls back to the pairs found in the text."""
+def answer_points(text: Column, max_points: int | None = None) -> Column:
+    """Points of an answer in grid units, or null; broken JSON falls back to the pairs found in the text.
+
+    All points are returned unless ``max_points`` is given.
+    """
     raw = json_part(text)
     good = F.try_parse_json(raw).isNotNull()
     schema = "struct<" + ",".join(f"{k}:{POINTS}" for k in POINT_KEYS) + ">"
@@ -54,7 +56,8 @@ def answer_points(text: Column, max_points: int = MAX_POINTS) -> Column:
         F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)),
         lambda m: F.array(F.regexp_extract(m, PAIR, 1).cast("double"), F.regexp_extract(m, PAIR, 2).cast("double")),
     )
-    return F.slice(F.coalesce(_pairs_only(listed), _pairs_only(F.slice(found, 1, max_points))), 1, max_points)
+    cut = (lambda points: points) if max_points is None else (lambda points: F.slice(points, 1, max_points))
+    return cut(F.coalesce(_pairs_only(listed), _pairs_only(cut(found))))
 
 
 def failure_hint(text: Column) -> Column:

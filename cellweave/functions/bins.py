@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+OPEN = 10**9  # beyond any number of fronts
 # Report bands of the number of fronts; one front counts in the first band
-FRONT_BANDS = (("2-3", 0, 3), ("4-5", 4, 5), ("6+", 6, 10**9))
+FRONT_BANDS = (("2-3", 0, 3), ("4-5", 4, 5), ("6+", 6, OPEN))
 # Overlapping bands of the rollout report
 ROLLOUT_BANDS = (
-    ("n_goal 2-3", 2, 3), ("n_goal 4-5", 4, 5), ("n_goal 6+", 6, 999), ("n_goal 6-8", 6, 8), ("n_goal 9+", 9, 999),
-    ("n_goal 9-12", 9, 12), ("n_goal 13+", 13, 999),
+    ("n_goal 2-3", 2, 3), ("n_goal 4-5", 4, 5), ("n_goal 6+", 6, OPEN), ("n_goal 6-8", 6, 8), ("n_goal 9+", 9, OPEN),
+    ("n_goal 9-12", 9, 12), ("n_goal 13+", 13, OPEN),
 )
 LENGTH_BIN_M = 10
 LAST_LENGTH_BIN = 36

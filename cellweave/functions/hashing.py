@@ -41,3 +41,14 @@ def uniform_sql(ident: str, salt: int) -> str:
     b = mul(f"xor({a}, {a} >> 16)", MIX_A)
     c = mul(f"xor({b}, {b} >> 15)", MIX_B)
     return f"((xor({c}, {c} >> 16) & 16777215) / 16777216.0)"
+
+
+def draw(*ids: Column, salt: int) -> Column:
+    """Uniform number in [0, 1), 52 bits fine, from any number of ids and a salt. Ids far apart never share a draw."""
+    text = F.concat_ws("|", *[i.cast("string") for i in ids], F.lit(str(salt)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+
+
+def draw_sql(*ids: str, salt: int) -> str:
+    """The same draw as SQL text for the comparison engine."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(ids)}, '{salt}')), 1, 13) AS BIGINT) / 4503599627370496.0)"

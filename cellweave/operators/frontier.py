@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,13 +91,12 @@ def relax(state: DataFrame, keys: Sequence[str], moves: Moves = KING) -> DataFra
     )
 
 
-def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], price: str = "1.0D", moves: Moves = KING,
-                   max_rounds: int = 4096) -> DataFrame:
+def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], price: str = "1.0D", moves: Moves = KING) -> DataFrame:
     """Cheapest cost from the start of every window to each of its free cells, with parents.
 
     ``cells``: keys, row, col of the free cells and, if some steps are barred, a bit mask ``moves``; ``starts``: keys,
     srow, scol. A step costs the mean price of both cells times its length. Only cells that improved send
-    offers; every few rounds the state is written out. Runs until nothing changes, fails loudly at ``max_rounds``.
+    offers; every few rounds the state is written out. Runs until nothing changes; costs only fall, so it ends.
     """
     every = f"{(1 << len(moves.offsets)) - 1}L"
     at = starts.selectExpr(*keys, "srow AS row", "scol AS col", "true AS changed").distinct()
@@ -109,17 +109,17 @@ def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], pri
     )
     state = cut_lineage(state)
     pdy, pdx = ([str(o[i]) for o in sorted(moves.offsets)] for i in (0, 1))
-    for _ in range(0, max_rounds, STEPS_PER_CUT):
+    while True:
         if state.filter("changed").isEmpty():
             return state.selectExpr(
                 *keys, "row", "col", "best DIV 32 AS cost",
                 f"row + try_element_at(array({', '.join(pdy)}), CAST(best % 32 + 1 AS INT)) AS prow",
                 f"col + try_element_at(array({', '.join(pdx)}), CAST(best % 32 + 1 AS INT)) AS pcol",
             )
+        settled = state
         for _ in range(STEPS_PER_CUT):
             state = relax(state, keys, moves)
-        state = cut_lineage(state)
-    raise RuntimeError(f"field not settled after {max_rounds} rounds")
+        state = cut_lineage(state, settled)
 
 
 def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,7 +144,7 @@ def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return seen.selectExpr(*keys, "row", "col", " + ".join(terms) + " AS moves")
 
 
-def walked_metres(field: DataFrame, keys: Sequence[str], max_rounds: int = 40) -> DataFrame:
+def walked_metres(field: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Real metres along the tree of parents, by pointer doubling: every round halves what is left of each way."""
     me = [*keys, "row", "col"]
     tree = field.filter("cost IS NOT NULL").select(
@@ -154,18 +154,17 @@ def walked_metres(field: DataFrame, keys: Sequence[str], max_rounds: int = 40) -
         ).alias("m"), F.col("prow").isNull().alias("home"),
     )
     tree = cut_lineage(tree)
-    for _ in range(max_rounds):
+    while True:
         if tree.filter("NOT home").isEmpty():
             return tree.select(*me, F.round("m", 6).alias("metres"))
         up = tree.selectExpr(*keys, "row AS jr", "col AS jc", "m AS _m", "jr AS _r", "jc AS _c", "home AS _h")
-        tree = tree.join(up, [*keys, "jr", "jc"]).selectExpr(
+        further = tree.join(up, [*keys, "jr", "jc"]).selectExpr(
             *me, "IF(home, jr, _r) AS jr", "IF(home, jc, _c) AS jc", "IF(home, m, m + _m) AS m", "home OR _h AS home"
         )
-        tree = cut_lineage(tree)
-    raise RuntimeError("ways longer than 2^40 steps")
+        tree = cut_lineage(further, tree)
 
 
-def way_back(field: DataFrame, goals: DataFrame, keys: Sequence[str], max_rounds: int = 40) -> DataFrame:
+def way_back(field: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells from the goal to the start with their position (goal first), for every reached goal.
 
     The known part of the way doubles each round: the jump table skips 2^k parents, and every cell found so far
@@ -177,14 +176,13 @@ def way_back(field: DataFrame, goals: DataFrame, keys: Sequence[str], max_rounds
         field.filter("cost IS NOT NULL").select(*me), me, "left_semi"
     ).withColumn("pos", F.lit(0).cast("bigint"))
     path = cut_lineage(path)
-    for k in range(max_rounds):
+    for k in count():
         more = path.join(jump, me).selectExpr(*keys, "jr AS row", "jc AS col", f"pos + {1 << k} AS pos")
         if more.isEmpty():
             return path
-        path = cut_lineage(path.unionByName(more))
+        path = cut_lineage(path.unionByName(more), path)
         far = jump.selectExpr(*keys, "row AS jr", "col AS jc", "jr AS _r", "jc AS _c")
-        jump = cut_lineage(jump.join(far, [*keys, "jr", "jc"]).selectExpr(*me, "_r AS jr", "_c AS jc"))
-    raise RuntimeError("ways longer than 2^40 steps")
+        jump = cut_lineage(jump.join(far, [*keys, "jr", "jc"]).selectExpr(*me, "_r AS jr", "_c AS jc"), jump)
 
 
 def lit_with_markers(cells: DataFrame, walks: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
@@ -218,7 +216,7 @@ def row_runs(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return marked.groupBy(*keys, "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_g")
 
 
-def label_runs(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int, max_rounds: int = 64) -> DataFrame:
+def label_runs(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int) -> DataFrame:
     """Connected components as runs ``(keys, row, c0, c1, label)``; the label is the smallest row * side + col inside.
 
     Rows are packed into runs first, so the graph has runs for nodes. Each round takes the smallest label among
@@ -233,21 +231,21 @@ def label_runs(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int,
     touch = stretch.join(below, [*keys, "row", "_s"]).filter(f"_a <= c1 + {reach} AND _b >= c0 - {reach}").select(*keys, "id", "_j").distinct()
     edges = cut_lineage(touch.unionByName(touch.select(*keys, F.col("_j").alias("id"), F.col("id").alias("_j"))))
     labels = runs.select(*keys, "id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
+    low = None
+    while True:
         ends = edges.join(labels.selectExpr(*keys, "id AS _j", "label"), [*keys, "_j"]).join(
             labels.selectExpr(*keys, "id", "label AS mine"), [*keys, "id"]
         ).filter("label < mine")
         # the lower label goes to the run itself and to the run its group is named after
         offers = ends.selectExpr(*keys, "explode(array(id, mine)) AS id", "label")
-        low = labels.selectExpr(*keys, "id", "label", "label AS old").union(
+        found = labels.selectExpr(*keys, "id", "label", "label AS old").union(
             offers.selectExpr(*keys, "id", "label", "CAST(NULL AS BIGINT) AS old")
         ).groupBy(*keys, "id").agg(F.expr("min(label) AS label"), F.expr("max(old) AS old"))
-        low = cut_lineage(low)
+        low = cut_lineage(found, low)
         if low.filter("label <> old").isEmpty():
             return runs.join(low.drop("old"), [*keys, "id"]).drop("id")
         jump = low.selectExpr(*keys, "id AS label", "label AS _l")
         labels = low.join(jump, [*keys, "label"]).selectExpr(*keys, "id", "_l AS label")
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def label_cells(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int) -> DataFrame:

@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 from cellweave.operators.ranking import first_row
 
 
+def _last(rows: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
+    """The row of largest ``order`` per key; numbers, times and texts all order, null comes before everything."""
+    best = F.max_by(F.struct(*cols), F.struct(order)).alias("_r")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Insert or replace by key, the latest ``order`` wins; a partial aggregate, no sort of a hot key."""
     both = table.unionByName(changes)
     rest = [c for c in both.columns if c not in keys]
-    return first_row(both, keys, [-F.col(order)], rest).select(*table.columns)
+    return _last(both, keys, order, rest).select(*table.columns)
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
-    return first_row(rows, keys, [-F.col(order)], rest)
+    return _last(rows, keys, order, rest)
 
 
 def delta(rows: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:

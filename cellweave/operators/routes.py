@@ -123,7 +123,7 @@ def visited_pixels(segs: DataFrame, keys: Sequence[str], side: int) -> DataFrame
     return tiered_rank(flat, keys, ["_seg", "_i"], "ord").drop("_seg", "_i")
 
 
-def simplify(points: DataFrame, frame: DataFrame, buildings: DataFrame, tol: float, side: int, max_rounds: int = 64) -> DataFrame:
+def simplify(points: DataFrame, frame: DataFrame, buildings: DataFrame, tol: float, side: int) -> DataFrame:
     """Vertices kept when spans beyond the tolerance, or whose chord meets a building, are split at their farthest vertex.
 
     All open spans of all lines are handled in one round. Every inner vertex carries the ends of its span, so a
@@ -141,9 +141,7 @@ def simplify(points: DataFrame, frame: DataFrame, buildings: DataFrame, tol: flo
         return spans.join(a, [*line, "i"]).join(b, [*line, "j"])
 
     inner = cut_lineage(at.join(coords(ends), line).filter("pos > i AND pos < j"))
-    for _ in range(max_rounds):
-        if inner.isEmpty():
-            break
+    while not inner.isEmpty():
         length = seg_length()
         off = F.abs((F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1")))
         away = F.sqrt(F.pow(F.col("x") - F.col("x1"), 2) + F.pow(F.col("y") - F.col("y1"), 2))
@@ -169,8 +167,6 @@ def simplify(points: DataFrame, frame: DataFrame, buildings: DataFrame, tol: flo
         )
         kept.append(step.filter("kept").select(*line, "pos"))
         inner = step.filter("NOT kept").drop("kept")
-    else:
-        raise RuntimeError(f"simplification not finished after {max_rounds} rounds")
     out = kept[0]
     for k in kept[1:]:
         out = out.union(k)

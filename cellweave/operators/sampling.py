@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.hashing import uniform
+from cellweave.functions.hashing import draw
 from cellweave.operators.grids import inside
 from cellweave.operators.ranking import first_row, top_k
+from cellweave.session import cut_lineage
 
 
 def touching(windows: DataFrame, size: int, block: int) -> DataFrame:
@@ -44,14 +45,16 @@ def first_origins(windows: DataFrame, district: str, n: int) -> DataFrame:
     return top_k(distinct, [district], [F.col("draw"), F.col("dx"), F.col("dy")], n, "rank")
 
 
-def marker_sets(ids: DataFrame, key: str, k: int, min_dist: int, side: int, attempts: int = 64) -> DataFrame:
+def marker_sets(ids: DataFrame, key: str, k: int, min_dist: int, side: int, attempts: int = 64, most_rounds: int = 64) -> DataFrame:
     """K marker cells per id, every pair at least ``min_dist`` apart: the first attempt that passes.
 
-    Attempts and pairs are arrays of fixed size inside the row, so nothing is shuffled. Null when no attempt passes.
+    Attempts and pairs are arrays of fixed size inside the row. Ids without a passing attempt are drawn on in further
+    rounds of ``attempts``, so none is lost; ids still open after ``most_rounds`` rounds make a setting impossible, and
+    that is an error.
     """
 
     def cell(a: Column, i: int, salt: int) -> Column:
-        return F.floor(uniform(F.col(key) * 4096 + a * 16 + i, salt) * side).cast("int")
+        return F.floor(draw(F.col(key), a, F.lit(i), salt=salt) * side).cast("int")
 
     def attempt(a: Column) -> Column:
         return F.array(*[F.struct(cell(a, i, 11).alias("row"), cell(a, i, 12).alias("col")) for i in range(k)])
@@ -64,10 +67,18 @@ def marker_sets(ids: DataFrame, key: str, k: int, min_dist: int, side: int, atte
                 ok = ok & (dr * dr + dc * dc >= min_dist * min_dist)
         return ok
 
-    tries = F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(attempts - 1).cast("bigint")), attempt), spaced)
-    return ids.select(key, F.posexplode(F.try_element_at(tries, F.lit(1))).alias("slot", "_m")).select(
-        key, "slot", F.col("_m.row").alias("mrow"), F.col("_m.col").alias("mcol")
-    )
+    def tried(open_ids: DataFrame, r: int) -> DataFrame:
+        numbers = F.sequence(F.lit(r * attempts).cast("bigint"), F.lit((r + 1) * attempts - 1).cast("bigint"))
+        return cut_lineage(open_ids.select(key, F.try_element_at(F.filter(F.transform(numbers, attempt), spaced), F.lit(1)).alias("_m")))
+
+    found = tried(ids, 0)
+    done, left, r = found.filter("_m IS NOT NULL"), found.filter("_m IS NULL"), 1
+    while not left.isEmpty():
+        if r == most_rounds:
+            raise ValueError(f"{left.count()} ids have no {k} markers {min_dist} apart on {side} x {side} cells in {r * attempts} attempts")
+        found = tried(left.select(key), r)
+        done, left, r = done.unionByName(found.filter("_m IS NOT NULL")), found.filter("_m IS NULL"), r + 1
+    return done.select(key, F.posexplode("_m").alias("slot", "_m")).select(key, "slot", F.col("_m.row").alias("mrow"), F.col("_m.col").alias("mcol"))
 
 
 def weighted_pick(u: Column, weights: Sequence[float]) -> Column:
@@ -109,9 +120,9 @@ def noisy_drawings(lit: DataFrame, frame: DataFrame, key: str, side: int, p: flo
     ``lit``: key, row, col; ``frame``: every id once. Each drawing's draws come from its id, each cell's from id and cell.
     """
     k = F.col(key)
-    pick = uniform(k, 21) < p
-    wide, move = pick & (uniform(k, 22) < thicken), pick & (uniform(k, 23) < shift)
-    way = F.floor(uniform(k, 24) * 4)
+    pick = draw(k, salt=21) < p
+    wide, move = pick & (draw(k, salt=22) < thicken), pick & (draw(k, salt=23) < shift)
+    way = F.floor(draw(k, salt=24) * 4)
     dy = F.when(~move, 0).when(way == 0, -1).when(way == 1, 1).otherwise(0)
     dx = F.when(~move, 0).when(way == 2, -1).when(way == 3, 1).otherwise(0)
     all9 = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -119,7 +130,7 @@ def noisy_drawings(lit: DataFrame, frame: DataFrame, key: str, side: int, p: flo
     spreaded = lit.withColumns({"_o": F.when(wide, all9).otherwise(one), "_dy": dy, "_dx": dx}).withColumn("_o", F.explode("_o"))
     widened = spreaded.withColumns({"row": F.col("row") + F.col("_o.i"), "col": F.col("col") + F.col("_o.j")}).filter(inside("row", "col", side))
     moved = widened.select(key, (F.col("row") + F.col("_dy")).alias("row"), (F.col("col") + F.col("_dx")).alias("col")).filter(inside("row", "col", side))
-    u = uniform(k * (side * side) + F.col("row") * side + F.col("col"), 25)
+    u = draw(k, F.col("row") * side + F.col("col"), salt=25)
     kept = moved.filter(~(pick & (u < drop))).select(key, "row", "col")
     specks = frame.select(key).filter(pick).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))).select(
         key, F.expr(f"CAST(_c DIV {side} AS INT)").alias("row"), F.expr(f"CAST(_c % {side} AS INT)").alias("col")

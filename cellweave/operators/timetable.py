@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.calendar import WINDOW_END_S, WINDOW_START_S, service_seconds
 from cellweave.operators.ranking import first_row, tiered_rank
+from cellweave.session import small_side
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -24,14 +25,14 @@ def active_services(calendar: DataFrame | None, dates: DataFrame, day: str, week
 
 
 def local_stop_times(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
-    """The big table reduced to local stops while it is scanned; Spark broadcasts the ids only if they are few."""
-    return stop_times.join(stops.select("stop_id"), "stop_id", "left_semi")
+    """The big table reduced to local stops: while it is scanned if the counted stops are few, else by a shuffle join."""
+    return stop_times.join(small_side(stops.select("stop_id").distinct()), "stop_id", "left_semi")
 
 
 def with_trips(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
-    return stop_times.join(trips, "trip_id", "left").join(
-        routes.select("route_id", "route_short_name", "route_type"), "route_id", "left"
-    )
+    """Trips meet their routes first, both small next to the stop times, which are then joined once, by trip."""
+    named = trips.join(routes.select("route_id", "route_short_name", "route_type"), "route_id", "left")
+    return stop_times.join(named, "trip_id", "left")
 
 
 def in_window(departure: str = "departure_time"):

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cellweave.operators.grids import dilate
 
 # Fixed values of the stored field
-TOP_2M = 254  # largest stored distance in 2 m units for windows up to 256 m
 SUB_CELL_SPAN_M = 2.9  # a 2 m cell holds its minimum; its maximum is at most this much more
 PATH_WIDTH = 3
 
@@ -18,7 +17,7 @@ PATH_WIDTH = 3
 def two_metre_field(metres: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Minimum walking distance per 2 m cell, in 2 m units; null where nothing was reached."""
     return metres.groupBy(*keys, F.expr("CAST(row DIV 2 AS INT) AS r2"), F.expr("CAST(col DIV 2 AS INT) AS c2")).agg(
-        F.least(F.rint(F.min("metres") / 2), F.when(F.min("metres").isNotNull(), F.lit(float(TOP_2M)))).cast("int").alias("d2")
+        F.rint(F.min("metres") / 2).cast("int").alias("d2")
     )
 
 
@@ -34,12 +33,16 @@ def cell_min_max(field: DataFrame, keys: Sequence[str], s: int) -> DataFrame:
     )
 
 
-def rings(minmax: DataFrame, horizon: float, k_max: int) -> DataFrame:
-    """Cells on ring j: the line at j * horizon runs through them."""
-    line = F.col("j") * horizon
-    return minmax.filter("dmin IS NOT NULL").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(k_max)))).filter(
-        (F.col("dmin") < line) & (F.col("dmax").isNull() | (F.col("dmax") >= line))
-    )
+def rings(minmax: DataFrame, goals: DataFrame, keys: Sequence[str], horizon: float) -> DataFrame:
+    """Cells on ring j: the line at j * horizon runs through them.
+
+    The rings of a cell follow from its own smallest and largest distance; a cell without a largest one goes on to the
+    last front of its window (and lies on one ring at least).
+    """
+    low = F.floor(F.col("dmin") / horizon) + 1
+    high = F.coalesce(F.floor(F.col("dmax") / horizon), F.greatest(F.col("n_goal"), low))
+    own = minmax.filter("dmin IS NOT NULL").join(goals.select(*keys, "n_goal"), list(keys))
+    return own.withColumn("j", F.explode(F.when(high >= low, F.sequence(low, high)))).withColumn("j", F.col("j").cast("int"))
 
 
 def start_disc(walks: DataFrame, keys: Sequence[str], s: int, side: int) -> DataFrame:
@@ -67,10 +70,7 @@ def forward_drawings(goals: DataFrame, minmax: DataFrame, disc: DataFrame, keys:
     the distance to the goal.
     """
     n = goals.select(*keys, "n_goal")
-    line = F.col("j") * horizon
-    ring = minmax.filter("dmin IS NOT NULL").join(n, list(keys)).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n_goal")))).filter(
-        (F.col("dmin") < line) & (F.col("dmax").isNull() | (F.col("dmax") >= line))
-    ).select(*keys, "gr", "gc", "j", "n_goal")
+    ring = rings(minmax, goals, keys, horizon).filter("j <= n_goal").select(*keys, "gr", "gc", "j", "n_goal")
     start = disc.join(n, list(keys)).select(*keys, "gr", "gc", F.lit(0).alias("j"), "n_goal")
     first = ring.unionByName(start).groupBy(*keys, "gr", "gc").agg(F.min("j").alias("j"), F.max("n_goal").alias("n_goal"))
     return first.withColumn("k", F.explode(F.sequence(F.greatest(F.col("j") - 1, F.lit(0)), F.col("n_goal") - 1))).select(

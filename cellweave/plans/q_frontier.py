@@ -277,7 +277,7 @@ WALKED_SQL = PRICED_SQL + """, par AS MATERIALIZED (SELECT f.crop_id, f.row, f.c
         JOIN par p ON p.crop_id = w.crop_id AND p.p = w.row * 32 + w.col),
     met AS MATERIALIZED (SELECT crop_id, row, col, round(m, 6) AS m FROM walk_m),
     two AS MATERIALIZED (SELECT r.crop_id, CAST(r.row // 2 AS INT) AS r2, CAST(r.col // 2 AS INT) AS c2, CASE WHEN min(met.m) IS NULL THEN NULL
-      ELSE least(round_even(min(met.m) / 2, 0), 254) END AS d2 FROM fx_raster r LEFT JOIN met USING (crop_id, row, col) GROUP BY 1, 2, 3),
+      ELSE round_even(min(met.m) / 2, 0) END AS d2 FROM fx_raster r LEFT JOIN met USING (crop_id, row, col) GROUP BY 1, 2, 3),
     goal AS (SELECT w.crop_id, met.m AS goal_m, CAST(CASE WHEN met.m > 0 THEN floor(met.m / 10) + 1 ELSE 1 END AS INT) AS n_goal FROM fx_walks w
       LEFT JOIN met ON met.crop_id = w.crop_id AND met.row = w.grow AND met.col = w.gcol),
     dm AS MATERIALIZED (SELECT crop_id, CAST(r2 // 2 AS INT) AS gr, CAST(c2 // 2 AS INT) AS gc, min(d2) * 2 AS dmin,
@@ -341,7 +341,8 @@ def field_statistics(spark, sf):
     return base.join(spread, "all", "left").withColumns({"p50": F.round("p50", 6), "p90": F.round("p90", 6), "cells_reached": reached}).drop("all")
 
 
-FRONT_SQL = WALKED_SQL + """, ring AS (SELECT crop_id, gr, gc, CAST(k AS INT) AS j FROM dm, (SELECT unnest(range(1, 13)) AS k) k WHERE dmin < k * 10 AND (dmax >= k * 10 OR dmax IS NULL)),
+FRONT_SQL = WALKED_SQL + """, ring AS (SELECT crop_id, gr, gc, CAST(unnest(range(CAST(floor(dmin / 10) + 1 AS BIGINT),
+      CAST(coalesce(floor(dmax / 10), greatest(n_goal, floor(dmin / 10) + 1)) AS BIGINT) + 1)) AS INT) AS j FROM dm JOIN goal USING (crop_id) WHERE dmin IS NOT NULL),
     sd AS (SELECT f.crop_id, f.gr, f.gc FROM dm f JOIN fx_walks w USING (crop_id) WHERE abs(f.gr - w.srow // 4) <= 1 AND abs(f.gc - w.scol // 4) <= 1)"""
 
 
@@ -349,7 +350,7 @@ FRONT_SQL = WALKED_SQL + """, ring AS (SELECT crop_id, gr, gc, CAST(k AS INT) AS
 def fronts(spark, sf):
     from cellweave.operators import wave
 
-    return wave.rings(cell_min_max(spark, sf), HORIZON_M, 12).select("crop_id", "j", "gr", "gc")
+    return wave.rings(cell_min_max(spark, sf), goals(spark, sf), K, HORIZON_M).select("crop_id", "j", "gr", "gc")
 
 
 @query("r09_start_disc", FRONT_SQL + " SELECT crop_id, gr, gc FROM sd")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.hashing import uniform, uniform_sql
+from cellweave.functions.hashing import draw, draw_sql
 from cellweave.operators import grids, ranking, targets
 from cellweave.plans.fixtures import GRID, SIDE, TASK_ROWS, view
 from cellweave.plans.registry import query
@@ -208,8 +208,8 @@ def below_median(spark, sf):
     return targets.below_median(ground(spark, sf), "noise7").select("crop_id", "row", "col")
 
 
-@query("w12_balanced_points", f"""u AS (SELECT crop_id, d.j, {uniform_sql('crop_id * 8 + d.j', 1)} AS u1,
-      {uniform_sql('crop_id * 8 + d.j', 2)} AS u2 FROM fx_markers, (SELECT unnest(range(3)) AS j) d),
+@query("w12_balanced_points", f"""u AS (SELECT crop_id, d.j, {draw_sql('crop_id', 'd.j', salt=1)} AS u1,
+      {draw_sql('crop_id', 'd.j', salt=2)} AS u2 FROM fx_markers, (SELECT unnest(range(3)) AS j) d),
     cls AS (SELECT crop_id, surface, count(*) AS n, row_number() OVER (PARTITION BY crop_id ORDER BY surface) - 1 AS ci,
       count(*) OVER (PARTITION BY crop_id) AS nc FROM fx_raster GROUP BY 1, 2),
     pick AS (SELECT u.crop_id, u.j, c.surface, CAST(floor(u2 * c.n) AS BIGINT) AS k FROM u JOIN cls c
@@ -226,8 +226,8 @@ def balanced_points(spark, sf):
         F.count("*").over(crop).alias("nc"),
     )
     draws = view(spark, sf, "fx_markers").select("crop_id", F.explode(F.expr("sequence(0L, 2L)")).alias("j"))
-    seed = F.col("crop_id") * 8 + F.col("j")
-    draws = draws.select("crop_id", "j", uniform(seed, 1).alias("u1"), uniform(seed, 2).alias("u2"))
+    seed = F.col("crop_id"), F.col("j")
+    draws = draws.select("crop_id", "j", draw(*seed, salt=1).alias("u1"), draw(*seed, salt=2).alias("u2"))
     picks = (
         draws.join(classes, "crop_id")
         .filter(F.col("ci") == F.floor(F.col("u1") * F.col("nc")))
@@ -497,7 +497,7 @@ def best_fixed_rule(spark, sf):
     return per.groupBy("threshold").agg(F.round(F.avg(F.col("i") / F.col("u")), 6).alias("mean_iou"), F.count("*").alias("crops"))
 
 
-@query("a50_point_report", f"""u AS (SELECT crop_id, d.j, {uniform_sql('crop_id * 8 + d.j', 1)} AS u1 FROM fx_markers,
+@query("a50_point_report", f"""u AS (SELECT crop_id, d.j, {draw_sql('crop_id', 'd.j', salt=1)} AS u1 FROM fx_markers,
       (SELECT unnest(range(3)) AS j) d),
     it AS (SELECT CASE crop_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split,
       CAST(floor(u1 * 4) AS INT) AS cls, CAST(floor(u1 * 4000) AS INT) % 4 AS coarse, floor(u1 * 100000) % 97 AS dist FROM u)
@@ -506,7 +506,7 @@ def best_fixed_rule(spark, sf):
     FROM it GROUP BY 1, 2""")
 def point_report(spark, sf):
     draws = view(spark, sf, "fx_markers").select("crop_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
-    items = draws.withColumn("u1", uniform(F.col("crop_id") * 8 + F.col("j"), 1)).selectExpr(
+    items = draws.withColumn("u1", draw(F.col("crop_id"), F.col("j"), salt=1)).selectExpr(
         "CASE crop_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split",
         "CAST(floor(u1 * 4) AS INT) AS cls", "CAST(floor(u1 * 4000) AS INT) % 4 AS coarse",
         "CAST(floor(u1 * 100000) % 97 AS DOUBLE) AS dist",

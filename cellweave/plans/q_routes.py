@@ -180,8 +180,8 @@ def paired_verdicts(spark, sf):
     return per.groupBy(group.alias("verdict_group")).agg(F.count("*").alias("n"))
 
 
-@query("a40_band_means", VERDICT_SQL + """, b AS (SELECT * FROM (VALUES ('n_goal 2-3', 2, 3), ('n_goal 4-5', 4, 5), ('n_goal 6+', 6, 999), ('n_goal 6-8', 6, 8),
-      ('n_goal 9+', 9, 999), ('n_goal 9-12', 9, 12)) AS t(band, lo, hi))
+@query("a40_band_means", VERDICT_SQL + """, b AS (SELECT * FROM (VALUES ('n_goal 2-3', 2, 3), ('n_goal 4-5', 4, 5), ('n_goal 6+', 6, 1000000000), ('n_goal 6-8', 6, 8),
+      ('n_goal 9+', 9, 1000000000), ('n_goal 9-12', 9, 12)) AS t(band, lo, hi))
     SELECT band, count(*) AS n, round(avg(CASE WHEN reason IS NULL THEN 1.0 ELSE 0.0 END), 6) AS solved, round(avg(ratio), 6) AS ratio,
     round(avg(CASE WHEN reason IS NULL AND stratum > 0 THEN 1.0 ELSE 0.0 END), 6) AS solved_and_finished FROM vd JOIN b ON n_goal BETWEEN lo AND hi GROUP BY 1""")
 def band_means(spark, sf):
@@ -250,7 +250,7 @@ PAIRS_SQL = r"""pr AS (SELECT route_id, regexp_extract_all(text, '\[\s*-?\d+(?:\
 @query("p16_answer_points", PAIRS_SQL + r""" SELECT route_id, CAST(pos AS INT) AS pos, round(CAST(regexp_extract(p, '(-?\d+(?:\.\d+)?)\s*,', 1) AS DOUBLE) / 1000 * 64, 6) AS x,
     round(CAST(regexp_extract(p, ',\s*(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) / 1000 * 64, 6) AS y FROM pt WHERE pos < 12""")
 def answer_points(spark, sf):
-    pts = fx.view(spark, sf, "fx_answers").select("route_id", F.posexplode(an.answer_points(F.col("text"))).alias("pos", "p"))
+    pts = fx.view(spark, sf, "fx_answers").select("route_id", F.posexplode(an.answer_points(F.col("text"), 12)).alias("pos", "p"))
     return pts.select("route_id", "pos", F.round(an.grid_to_px(F.col("p")[0], 64), 6).alias("x"), F.round(an.grid_to_px(F.col("p")[1], 64), 6).alias("y"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.functions.hashing import uniform, uniform_sql
+from cellweave.functions.hashing import draw, draw_sql, uniform, uniform_sql
 from cellweave.operators import checks, ranking
 from cellweave.operators import routes as rt
 from cellweave.operators import sampling as sp
@@ -18,14 +18,14 @@ from cellweave.plans.registry import query
 
 HELD = [(0, 2), (3, 1), (1, 0), (2, 3)]
 VAL = [(0, 2), (3, 1)]
-CAND_SQL = f"""cand AS (SELECT crop_id // 16 AS district, crop_id * 3 + d.j AS draw, CAST(floor({uniform_sql('crop_id * 3 + d.j', 31)} * 105) AS INT) AS dx,
-    CAST(floor({uniform_sql('crop_id * 3 + d.j', 32)} * 105) AS INT) AS dy FROM fx_markers, (SELECT unnest(range(3)) AS j) d)"""
+CAND_SQL = f"""cand AS (SELECT crop_id // 16 AS district, crop_id * 3 + d.j AS draw, CAST(floor({draw_sql('crop_id', 'd.j', salt=31)} * 105) AS INT) AS dx,
+    CAST(floor({draw_sql('crop_id', 'd.j', salt=32)} * 105) AS INT) AS dy FROM fx_markers, (SELECT unnest(range(3)) AS j) d)"""
 
 
 def candidates(spark, sf):
     d = fx.view(spark, sf, "fx_markers").selectExpr("crop_id DIV 16 AS district", "crop_id", "explode(sequence(0L, 2L)) AS j").selectExpr(
-        "district", "crop_id * 3 + j AS draw")
-    return d.withColumns({"dx": F.floor(uniform(F.col("draw"), 31) * 105).cast("int"), "dy": F.floor(uniform(F.col("draw"), 32) * 105).cast("int")})
+        "district", "crop_id", "j", "crop_id * 3 + j AS draw")
+    return d.withColumns({"dx": F.floor(draw(F.col("crop_id"), F.col("j"), salt=31) * 105).cast("int"), "dy": F.floor(draw(F.col("crop_id"), F.col("j"), salt=32) * 105).cast("int")}).drop("crop_id", "j")
 
 
 @query("p24_seeded_uniform", f"SELECT o_orderkey AS id, {uniform_sql('o_orderkey', 1)} AS u1, {uniform_sql('o_orderkey', 7)} AS u7 FROM orders")
@@ -55,8 +55,8 @@ def window_origins(spark, sf):
     return train.unionByName(val).select("split", "district", "dx", "dy")
 
 
-@query("r14_marker_sets", f"""t AS (SELECT crop_id, a.a, i.i, CAST(floor({uniform_sql('crop_id * 4096 + a.a * 16 + i.i', 11)} * 32) AS INT) AS r,
-      CAST(floor({uniform_sql('crop_id * 4096 + a.a * 16 + i.i', 12)} * 32) AS INT) AS c FROM fx_markers, (SELECT unnest(range(64)) AS a) a, (SELECT unnest(range(4)) AS i) i),
+@query("r14_marker_sets", f"""t AS (SELECT crop_id, a.a, i.i, CAST(floor({draw_sql('crop_id', 'a.a', 'i.i', salt=11)} * 32) AS INT) AS r,
+      CAST(floor({draw_sql('crop_id', 'a.a', 'i.i', salt=12)} * 32) AS INT) AS c FROM fx_markers, (SELECT unnest(range(64)) AS a) a, (SELECT unnest(range(4)) AS i) i),
     bad AS (SELECT DISTINCT x.crop_id, x.a FROM t x JOIN t y ON x.crop_id = y.crop_id AND x.a = y.a AND x.i < y.i AND (x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c) < 100),
     ok AS (SELECT crop_id, min(a) AS a FROM (SELECT DISTINCT crop_id, a FROM t ANTI JOIN bad USING (crop_id, a)) GROUP BY 1)
     SELECT t.crop_id, CAST(i AS INT) AS slot, r AS mrow, c AS mcol FROM t JOIN ok USING (crop_id, a)""")
@@ -65,9 +65,9 @@ def marker_sets(spark, sf):
 
 
 @query("r15_weighted_tasks", f"""SELECT CAST(CASE WHEN u * 10 < 4 THEN 0 WHEN u * 10 < 7 THEN 1 WHEN u * 10 < 9 THEN 2 ELSE 3 END AS INT) AS task, count(*) AS n
-    FROM (SELECT {uniform_sql('route_id', 9)} AS u FROM fx_routes) GROUP BY 1""")
+    FROM (SELECT {draw_sql('route_id', salt=9)} AS u FROM fx_routes) GROUP BY 1""")
 def weighted_tasks(spark, sf):
-    pick = sp.weighted_pick(uniform(F.col("route_id"), 9), [4.0, 3.0, 2.0, 1.0])
+    pick = sp.weighted_pick(draw(F.col("route_id"), salt=9), [4.0, 3.0, 2.0, 1.0])
     return routes(spark, sf).groupBy(pick.alias("task")).agg(F.count("*").alias("n"))
 
 
@@ -84,7 +84,7 @@ FREE_SQL = """inner_px AS MATERIALIZED (SELECT a.crop_id, a.row, a.col FROM fx_r
     rk AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY row, col) AS rn, count(*) OVER (PARTITION BY crop_id) AS n FROM inner_px)"""
 
 
-@query("r16_route_candidates", FREE_SQL + ", " + _labels_sql("SELECT crop_id, row, col FROM fx_raster WHERE surface <> 3", False) + f""", dr AS (SELECT crop_id, j.j AS draw, {uniform_sql('crop_id * 8 + j.j', 41)} AS ua, {uniform_sql('crop_id * 8 + j.j', 42)} AS ub
+@query("r16_route_candidates", FREE_SQL + ", " + _labels_sql("SELECT crop_id, row, col FROM fx_raster WHERE surface <> 3", False) + f""", dr AS (SELECT crop_id, j.j AS draw, {draw_sql('crop_id', 'j.j', salt=41)} AS ua, {draw_sql('crop_id', 'j.j', salt=42)} AS ub
       FROM fx_markers, (SELECT unnest(range(8)) AS j) j)
     SELECT d.crop_id, d.draw, a.row AS arow, a.col AS acol, b.row AS brow, b.col AS bcol FROM dr d JOIN rk a ON a.crop_id = d.crop_id AND a.rn = CAST(floor(ua * a.n) AS BIGINT) + 1
       JOIN rk b ON b.crop_id = d.crop_id AND b.rn = CAST(floor(ub * b.n) AS BIGINT) + 1
@@ -97,9 +97,9 @@ def route_candidates(spark, sf):
     n = inner.groupBy("crop_id").agg(F.count("*").alias("n"))
     labels = label_cells(free, ["crop_id"], False, 32)
     ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"]).join(labels, ["crop_id", "row", "col"])
-    seed = F.col("crop_id") * 8 + F.col("draw")
+    seed = F.col("crop_id"), F.col("draw")
     draws = fx.view(spark, sf, "fx_markers").selectExpr("crop_id", "explode(sequence(0L, 7L)) AS draw").join(n, "crop_id").select(
-        "crop_id", "draw", (F.floor(uniform(seed, 41) * F.col("n")) + 1).alias("ra"), (F.floor(uniform(seed, 42) * F.col("n")) + 1).alias("rb")
+        "crop_id", "draw", (F.floor(draw(*seed, salt=41) * F.col("n")) + 1).alias("ra"), (F.floor(draw(*seed, salt=42) * F.col("n")) + 1).alias("rb")
     )
     a = ranked.selectExpr("crop_id", "rn AS ra", "row AS arow", "col AS acol", "label AS la")
     b = ranked.selectExpr("crop_id", "rn AS rb", "row AS brow", "col AS bcol", "label AS lb")
@@ -107,7 +107,7 @@ def route_candidates(spark, sf):
     return out.filter("la = lb AND (arow - brow) * (arow - brow) + (acol - bcol) * (acol - bcol) BETWEEN 64 AND 784").select("crop_id", "draw", "arow", "acol", "brow", "bcol")
 
 
-READ_SQL = f"""u AS (SELECT route_id, crop_id, sx, sy, gx, gy, {uniform_sql('route_id', 1)} AS u0, {uniform_sql('route_id', 2)} AS u1, {uniform_sql('route_id', 5)} < 0.5 AS whole FROM fx_routes),
+READ_SQL = f"""u AS (SELECT route_id, crop_id, sx, sy, gx, gy, {draw_sql('route_id', salt=1)} AS u0, {draw_sql('route_id', salt=2)} AS u1, {draw_sql('route_id', salt=5)} < 0.5 AS whole FROM fx_routes),
     t AS (SELECT *, CASE WHEN whole THEN 0.0 ELSE 0.7 * u0 END AS t0 FROM u), tt AS (SELECT *, CASE WHEN whole THEN 1.0 ELSE t0 + 0.1 + (1.0 - t0 - 0.1) * u1 END AS t1 FROM t),
     rd AS (SELECT *, (t1 - t0) * sqrt((gx - sx) * (gx - sx) + (gy - sy) * (gy - sy)) AS len FROM tt)"""
 
@@ -117,9 +117,9 @@ def line_length_readings(spark, sf):
     from cellweave.functions.bins import length_bin
 
     r = F.col("route_id")
-    whole = uniform(r, 5) < 0.5
-    t0 = F.when(whole, 0.0).otherwise(0.7 * uniform(r, 1))
-    t1 = F.when(whole, 1.0).otherwise(t0 + 0.1 + (1.0 - t0 - 0.1) * uniform(r, 2))
+    whole = draw(r, salt=5) < 0.5
+    t0 = F.when(whole, 0.0).otherwise(0.7 * draw(r, salt=1))
+    t1 = F.when(whole, 1.0).otherwise(t0 + 0.1 + (1.0 - t0 - 0.1) * draw(r, salt=2))
     full = F.sqrt(F.pow(F.col("gx") - F.col("sx"), 2) + F.pow(F.col("gy") - F.col("sy"), 2))
     return routes(spark, sf).select("route_id", ((t1 - t0) * full).alias("len")).select(
         "route_id", F.round("len", 6).alias("length_m"), length_bin(F.col("len")).alias("bin")
@@ -127,30 +127,30 @@ def line_length_readings(spark, sf):
 
 
 @query("r18_path_prefix_readings", SEG_SQL + f""", nn AS (SELECT route_id, count(*) AS n FROM fx_route_points GROUP BY 1),
-    k AS (SELECT route_id, CASE WHEN {uniform_sql('route_id', 4)} < 0.5 THEN n ELSE least(greatest(least(3, n) + least(CAST(floor({uniform_sql('route_id', 3)}
+    k AS (SELECT route_id, CASE WHEN {draw_sql('route_id', salt=4)} < 0.5 THEN n ELSE least(greatest(least(3, n) + least(CAST(floor({draw_sql('route_id', salt=3)}
       * (n - least(3, n) + 1)) AS BIGINT), n - least(3, n)), 2), n) END AS k FROM nn)
     SELECT route_id, max(k.k) AS vertices, round(sum(len), 6) AS length_m FROM sg JOIN k USING (route_id) WHERE seg + 1 <= k.k GROUP BY 1""")
 def path_prefix_readings(spark, sf):
     """The stored path, in half the cases cut to a prefix that keeps a corner when there is one."""
     r, n = F.col("route_id"), F.col("n")
     low = F.least(F.lit(3), n)
-    cut = F.greatest(low + F.least(F.floor(uniform(r, 3) * (n - low + 1)), n - low), F.lit(2))
+    cut = F.greatest(low + F.least(F.floor(draw(r, salt=3) * (n - low + 1)), n - low), F.lit(2))
     k = points(spark, sf).groupBy("route_id").agg(F.count("*").alias("n")).select(
-        "route_id", F.when(uniform(r, 4) < 0.5, n).otherwise(F.least(cut, n)).alias("k"))
+        "route_id", F.when(draw(r, salt=4) < 0.5, n).otherwise(F.least(cut, n)).alias("k"))
     segs = rt.segments(points(spark, sf), ["route_id"]).join(k, "route_id").filter("seg + 1 <= k")
     return segs.groupBy("route_id").agg(F.max("k").alias("vertices"), F.round(F.sum(rt.seg_length()), 6).alias("length_m"))
 
 
 NOISE_SQL = f"""lit AS (SELECT sample_id, gr AS row, gc AS col FROM fx_marks WHERE score > 0.15), ids AS (SELECT vec_id AS sample_id FROM embeddings),
-    dr AS (SELECT sample_id, {uniform_sql('sample_id', 21)} < 0.5 AS pick, {uniform_sql('sample_id', 22)} < 0.5 AS wide, {uniform_sql('sample_id', 23)} < 0.3 AS mv,
-      CAST(floor({uniform_sql('sample_id', 24)} * 4) AS INT) AS way FROM ids),
+    dr AS (SELECT sample_id, {draw_sql('sample_id', salt=21)} < 0.5 AS pick, {draw_sql('sample_id', salt=22)} < 0.5 AS wide, {draw_sql('sample_id', salt=23)} < 0.3 AS mv,
+      CAST(floor({draw_sql('sample_id', salt=24)} * 4) AS INT) AS way FROM ids),
     o AS (SELECT i.i, j.j FROM (SELECT unnest([-1, 0, 1]) AS i) i, (SELECT unnest([-1, 0, 1]) AS j) j),
     w AS (SELECT l.sample_id, l.row + o.i AS row, l.col + o.j AS col, pick AND mv AS mv, way, pick FROM lit l JOIN dr USING (sample_id) JOIN o ON (i = 0 AND j = 0) OR (pick AND wide)
       WHERE l.row + o.i BETWEEN 0 AND 7 AND l.col + o.j BETWEEN 0 AND 7),
     m AS (SELECT sample_id, pick, row + CASE WHEN mv AND way = 0 THEN -1 WHEN mv AND way = 1 THEN 1 ELSE 0 END AS row,
       col + CASE WHEN mv AND way = 2 THEN -1 WHEN mv AND way = 3 THEN 1 ELSE 0 END AS col FROM w),
-    kept AS (SELECT sample_id, row, col FROM m WHERE row BETWEEN 0 AND 7 AND col BETWEEN 0 AND 7 AND NOT (pick AND {uniform_sql('sample_id * 64 + row * 8 + col', 25)} < 0.05)),
-    spk AS (SELECT sample_id, CAST(c // 8 AS INT) AS row, CAST(c % 8 AS INT) AS col FROM dr, (SELECT unnest(range(64)) AS c) c WHERE pick AND {uniform_sql('sample_id * 64 + c', 25)} > 1.0 - 0.01)"""
+    kept AS (SELECT sample_id, row, col FROM m WHERE row BETWEEN 0 AND 7 AND col BETWEEN 0 AND 7 AND NOT (pick AND {draw_sql('sample_id', 'row * 8 + col', salt=25)} < 0.05)),
+    spk AS (SELECT sample_id, CAST(c // 8 AS INT) AS row, CAST(c % 8 AS INT) AS col FROM dr, (SELECT unnest(range(64)) AS c) c WHERE pick AND {draw_sql('sample_id', 'c', salt=25)} > 1.0 - 0.01)"""
 
 
 @query("r12_drawing_noise", NOISE_SQL + " SELECT * FROM kept UNION SELECT * FROM spk")
@@ -289,13 +289,13 @@ def missing_side_files(spark, sf):
     return checks.without_partner(required, present, ["task", "split"])
 
 
-@query("j22_seeded_pairs", f"""n AS (SELECT count(*) AS n FROM fx_markers), p AS (SELECT route_id AS pair, CAST(floor({uniform_sql('route_id', 51)} * n.n) AS BIGINT) AS crop_id,
-      CAST(floor({uniform_sql('route_id', 52)} * 4) AS INT) AS task FROM fx_routes, n) SELECT pair, p.crop_id, task, m.mrow FROM p JOIN fx_markers m USING (crop_id)""")
+@query("j22_seeded_pairs", f"""n AS (SELECT count(*) AS n FROM fx_markers), p AS (SELECT route_id AS pair, CAST(floor({draw_sql('route_id', salt=51)} * n.n) AS BIGINT) AS crop_id,
+      CAST(floor({draw_sql('route_id', salt=52)} * 4) AS INT) AS task FROM fx_routes, n) SELECT pair, p.crop_id, task, m.mrow FROM p JOIN fx_markers m USING (crop_id)""")
 def seeded_pairs(spark, sf):
     markers = fx.view(spark, sf, "fx_markers")
     n = markers.agg(F.count("*")).scalar()
     picks = routes(spark, sf).select(
-        F.col("route_id").alias("pair"), F.floor(uniform(F.col("route_id"), 51) * n).alias("crop_id"), F.floor(uniform(F.col("route_id"), 52) * 4).cast("int").alias("task")
+        F.col("route_id").alias("pair"), F.floor(draw(F.col("route_id"), salt=51) * n).alias("crop_id"), F.floor(draw(F.col("route_id"), salt=52) * 4).cast("int").alias("task")
     )
     return picks.join(markers, "crop_id").select("pair", "crop_id", "task", "mrow")
 

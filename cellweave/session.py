@@ -6,34 +6,33 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def local_session(app: str = "cellweave", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench. On a cluster the submitter's session is used as it is."""
+def local_session(app: str = "cellweave", cores: str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
+    """A session for tests and the bench. On a cluster the submitter's session is used as it is.
+
+    Size estimates do not see how many rows an ``explode`` makes, so this session broadcasts on sizes measured after a
+    shuffle only; sides that are counted first carry a hint.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
-def measured_broadcasts(spark: SparkSession) -> SparkSession:
-    """Let Spark broadcast a join side only on its measured size.
-
-    Size estimates do not see how many rows an ``explode`` makes, so a side that looks small in the plan may be
-    large. Estimates are switched off for broadcasting; adaptive execution still broadcasts a side once it has
-    been shuffled and its real size is known. Explicit hints on fixed-size dimensions stay in force.
-    """
-    if spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1":
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    return spark
+def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted and is small, else as it is (a shuffle join then)."""
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 _LOCAL: dict[str, str] = {}  # folders of local sessions that name none
@@ -49,16 +48,27 @@ def scratch_folder(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+        root = _LOCAL[app]
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
     Survives the loss of executors. A written table also forgets the inferred constraints of its plan,
-    which a checkpoint keeps and which grow with every round of a loop.
+    which a checkpoint keeps and which grow with every round of a loop. ``instead_of`` is a table of an earlier
+    round that nothing reads any more: its files go once the new table is complete.
     """
-    folder = scratch_folder(df.sparkSession)
+    spark = df.sparkSession
+    folder = scratch_folder(spark)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.written_to = folder
+    old = getattr(instead_of, "written_to", None)
+    if old is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
