@@ -37,6 +37,11 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("full"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.col("tilt") * F.col("size") / F.col("mean"))))
 
 
+def _exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of its rows, so that reruns give the same bits."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
+
+
 def tilts(groups: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-9) -> DataFrame:
     """The multiplier of each source: minimum of the convex dual sum(phi(tilt * size)) - tilt * target.
 
@@ -53,9 +58,10 @@ def tilts(groups: DataFrame, sources: DataFrame, cap: float, tolerance: float =
         sums = (
             groups.join(state.filter("NOT done"), "key")
             .groupBy("key")
-            .agg(F.sum(F.col("n") * F.col("size") * r).alias("got"), F.sum(F.when(r < cap, F.col("n") * F.col("size") * r * F.col("size") / F.col("mean"))).alias("slope"))
+            .agg(_exact_sum(F.col("n") * F.col("size") * r).alias("got"), _exact_sum(F.when(r < cap, F.col("n") * F.col("size") * r * F.col("size") / F.col("mean"))).alias("slope"))
         )
         gap = F.col("got") - F.col("target")
+        met = F.abs(gap) <= F.greatest(F.col("target") * tolerance, F.lit(1e-6))
         low, high = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low")), F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
         step = F.col("tilt") - F.least(F.greatest(gap / F.col("slope"), F.lit(-1.0)), F.lit(1.0))
         newton = F.coalesce(step, F.col("tilt") - F.signum(gap))
@@ -64,11 +70,11 @@ def tilts(groups: DataFrame, sources: DataFrame, cap: float, tolerance: float =
         moved = state.join(sums, "key", "left").withColumn("low2", low).withColumn("high2", high)
         state = cut_lineage(moved.select(
             "key", "source_size", "target", "full", "mean",
-            F.when(F.col("done") | (F.abs(gap) <= F.col("target") * tolerance), F.col("tilt"))
+            F.when(F.col("done") | met, F.col("tilt"))
             .when(F.coalesce(outside, F.lit(False)), (F.coalesce("low2", F.col("high2") - 1) + F.coalesce("high2", F.col("low2") + 1)) / 2)
             .otherwise(newton).alias("tilt"),
             F.col("low2").alias("low"), F.col("high2").alias("high"),
-            (F.col("done") | (F.abs(gap) <= F.col("target") * tolerance) | nearly).alias("done"),
+            (F.col("done") | met | nearly).alias("done"),
         ))
     return state
 

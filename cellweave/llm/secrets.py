@@ -114,7 +114,8 @@ def secret_report(docs: DataFrame, reach: int = 300, id_col: str = "doc_id", tex
     found = based.filter("_digest IS NOT NULL")
     some = found.join(linked_spans(found, reach), "_digest", "left").select("_id", "_base", _all_spans().alias("_spans"))
     none = based.filter("_digest IS NULL").select("_id", "_base", F.col("_base").alias("_spans"))
-    counts = [F.size(F.filter("_base", lambda x, i=i: x["no"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = lambda no: F.size(F.filter("_base", lambda x: x["no"] == no)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return some.union(none).select(F.col("_id").alias(id_col), *counts, F.sha2(_shown(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"))
 
 
