@@ -139,7 +139,9 @@ class Model:
         blocks = ids[order] >> BLOCK_BITS
         for a, b in zip(*_runs(blocks)):
             at = order[a:b]
-            out[at] = _open(self.folder, f"{name}-{int(blocks[a])}", kind)[ids[at] & ((1 << BLOCK_BITS) - 1)]
+            values = _open(self.folder, f"{name}-{int(blocks[a])}", kind)
+            if len(values):  # a model without texts has no blocks
+                out[at] = values[ids[at] & ((1 << BLOCK_BITS) - 1)]
         return out
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -162,7 +162,8 @@ def learn(rows: DataFrame, least_weight: float = 2.5, least_share: float = 0.005
     odds = math.log(max(n_bad, 4) / max(n_good, 4))
     bad = _specific(bad)
     weights = {e: min(math.log((b + 0.25) / (good.get(e, 0) + 0.25)) - odds, 8.0) for e, b in bad.items()}
-    lexicon = Lexicon({e: w for e, w in weights.items() if w >= least_weight})
+    known = {fold(word) for word in INSULTS}  # stay unless the labels speak against them
+    lexicon = Lexicon({e: w for e, w in weights.items() if w >= least_weight or e in known and w > 0})
     lexicon.slope, lexicon.offset = _calibrate(lexicon, rows, "text", "label")
     return lexicon
 
