@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from itertools import count
 from math import gcd
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,6 @@ from cellweave.operators.grids import neighbours8
 from cellweave.session import cut_lineage
 
 MICRO = 1_000_000
-STEPS_PER_CUT = 8
 
 
 NONE = "CAST(NULL AS BIGINT)"
@@ -91,35 +92,94 @@ def relax(state: DataFrame, keys: Sequence[str], moves: Moves = KING) -> DataFra
     )
 
 
+BLOCK = 256  # cells along a side of what one task settles at a time
+
+
+def _settle(pdf: pd.DataFrame, offsets: tuple[tuple[int, int], ...], half: list[str]) -> pd.DataFrame:
+    """Relax one block of one window until nothing inside it changes.
+
+    Only cells that improved in the last step send offers, all directions at once; the grid has a rim of absent cells
+    as wide as the longest step. Cells near the block's edge that improved keep the mark ``changed``, because cells of
+    other blocks may gain from them.
+    """
+    far = np.iinfo(np.int64).max
+    order = sorted(offsets)
+    lengths = sorted({(dy * dy + dx * dx) ** 0.5 for dy, dx in offsets})
+    rim = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+    row, col = pdf["row"].to_numpy() % BLOCK + rim, pdf["col"].to_numpy() % BLOCK + rim
+    width = BLOCK + 2 * rim
+    cell = row.astype(np.int64) * width + col
+    present = np.zeros(width * width, bool)
+    present[cell] = True
+    best, steps = np.full(width * width, far), np.zeros(width * width, np.int64)
+    had = pdf["best"].isna().to_numpy()
+    best[cell] = np.where(had, far, pdf["best"].fillna(0).to_numpy(np.int64))
+    steps[cell] = pdf["moves"].to_numpy(np.int64)
+    price = np.zeros((len(half), width * width), np.int64)
+    for i, h in enumerate(half):
+        price[i, cell] = pdf[h].to_numpy(np.int64)
+    shift = np.array([dy * width + dx for dy, dx in order])
+    kind = np.array([lengths.index((dy * dy + dx * dx) ** 0.5) for dy, dx in order])
+    code = np.array([order.index((-dy, -dx)) for dy, dx in order])
+    before = best.copy()
+    front = cell[pdf["changed"].to_numpy(bool)]
+    while len(front):
+        to = front[:, None] + shift
+        cost = (best[front] // 32)[:, None] + price[kind, front[:, None]] + price[kind, to]
+        open_ = ((steps[front][:, None] >> np.arange(len(order))) & 1).astype(bool) & present[to]
+        to, offer = to[open_], (cost * 32 + code)[open_]
+        old = best[to] // 32
+        np.minimum.at(best, to, offer)
+        front = np.unique(to[best[to] // 32 < old])
+    out = pdf.assign(best=pd.array(np.where(best[cell] == far, 0, best[cell]), dtype="Int64"))
+    out.loc[best[cell] == far, "best"] = pd.NA
+    edge = (row < 2 * rim) | (row >= BLOCK) | (col < 2 * rim) | (col >= BLOCK)
+    out["changed"] = edge & ((best[cell] // 32 < before[cell] // 32) | pdf["changed"].to_numpy(bool))
+    return out
+
+
 def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], price: str = "1.0D", moves: Moves = KING) -> DataFrame:
     """Cheapest cost from the start of every window to each of its free cells, with parents.
 
     ``cells``: keys, row, col of the free cells and, if some steps are barred, a bit mask ``moves``; ``starts``: keys,
-    srow, scol. A step costs the mean price of both cells times its length. Only cells that improved send
-    offers; every few rounds the state is written out. Runs until nothing changes; costs only fall, so it ends.
+    srow, scol. A step costs the mean price of both cells times its length.
+
+    Windows are cut into blocks of ``BLOCK`` x ``BLOCK`` cells, the bound of what a task holds. A round settles every
+    block by itself and then sends the offers that cross a block's edge, as one aggregate by cell. So a window within
+    one block takes one shuffle, and larger ones a few rounds per block on the way. Costs only fall, so it ends.
     """
     every = f"{(1 << len(moves.offsets)) - 1}L"
+    half = moves.halves()
     at = starts.selectExpr(*keys, "srow AS row", "scol AS col", "true AS changed").distinct()
     state = cells.selectExpr(
         *keys, "row", "col", f"{'moves' if 'moves' in cells.columns else every} AS moves",
-        *[f"CAST(round({price} * {MICRO / 2 * n}D) AS BIGINT) AS {h}" for h, n in zip(moves.halves(), moves.lengths)],
+        *[f"CAST(round({price} * {MICRO / 2 * n}D) AS BIGINT) AS {h}" for h, n in zip(half, moves.lengths)],
     ).join(at, [*keys, "row", "col"], "left").selectExpr(
-        *keys, "row", "col", "moves", *moves.halves(), f"CAST(IF(changed, {moves.start_code}, NULL) AS BIGINT) AS best",
+        *keys, "row", "col", "moves", *half, f"CAST(IF(changed, {moves.start_code}, NULL) AS BIGINT) AS best",
         "coalesce(changed, false) AS changed",
     )
-    state = cut_lineage(state)
-    pdy, pdx = ([str(o[i]) for o in sorted(moves.offsets)] for i in (0, 1))
+    offsets = moves.offsets
+    run = lambda pdf: _settle(pdf, offsets, half)
+    written = None
     while True:
-        if state.filter("changed").isEmpty():
-            return state.selectExpr(
-                *keys, "row", "col", "best DIV 32 AS cost",
-                f"row + try_element_at(array({', '.join(pdy)}), CAST(best % 32 + 1 AS INT)) AS prow",
-                f"col + try_element_at(array({', '.join(pdx)}), CAST(best % 32 + 1 AS INT)) AS pcol",
-            )
-        settled = state
-        for _ in range(STEPS_PER_CUT):
-            state = relax(state, keys, moves)
-        state = cut_lineage(state, settled)
+        br, bc = F.floor(F.col("row") / BLOCK), F.floor(F.col("col") / BLOCK)
+        settled = cut_lineage(state.groupBy(*keys, br.alias("_br"), bc.alias("_bc")).applyInPandas(run, state.schema), written)
+        if settled.filter("changed").isEmpty():
+            break
+        wide = settled.groupBy(*keys).agg(((F.min(br) < F.max(br)) | (F.min(bc) < F.max(bc))).alias("wide"))
+        if wide.filter("wide").isEmpty():  # every window lies in one block
+            break
+        written = cut_lineage(relax(settled, keys, moves), settled)
+        if written.filter("changed").isEmpty():
+            settled = written
+            break
+        state = written
+    pdy, pdx = ([str(o[i]) for o in sorted(moves.offsets)] for i in (0, 1))
+    return settled.selectExpr(
+        *keys, "row", "col", "best DIV 32 AS cost",
+        f"row + try_element_at(array({', '.join(pdy)}), CAST(best % 32 + 1 AS INT)) AS prow",
+        f"col + try_element_at(array({', '.join(pdx)}), CAST(best % 32 + 1 AS INT)) AS pcol",
+    )
 
 
 def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -258,3 +258,93 @@ def test_stage_folder_follows_the_session():
     with pytest.raises(ValueError):
         scratch_folder(NamedSession(None, "yarn"))
     assert scratch_folder(NamedSession(None, "local[2]"))
+
+
+def _plain_field(cells, start, king):
+    """Dijkstra over unit prices, in micro-units."""
+    import heapq
+
+    cost, heap = {start: 0}, [(0, start)]
+    while heap:
+        c, (r, q) = heapq.heappop(heap)
+        if c > cost[(r, q)]:
+            continue
+        for dy, dx in king:
+            to, w = (r + dy, q + dx), 2 * round((dy * dy + dx * dx) ** 0.5 * 500000)
+            if to in cells and c + w < cost.get(to, 1 << 60):
+                cost[to] = c + w
+                heapq.heappush(heap, (c + w, to))
+    return cost
+
+
+def test_field_across_blocks(spark, monkeypatch):
+    """Ways that cross blocks often give what one block gives, for king and knight steps; negative cells count too."""
+    import random
+
+    from cellweave.operators import frontier
+
+    rng = random.Random(3)
+    free = [(r - 5, c - 7) for r in range(30) for c in range(30) if rng.random() > 0.3 or (r, c) == (2, 2)]
+    cells = spark.createDataFrame([(w, r, c) for w in (1, 2) for r, c in free], "w long, row int, col int")
+    starts = spark.createDataFrame([(1, -3, -5), (2, *free[-1])], "w long, srow int, scol int")
+    for moves in (frontier.KING, frontier.KNIGHT):
+        want = {w: _plain_field(set(free), s, moves.offsets) for w, s in ((1, (-3, -5)), (2, free[-1]))}
+        for block in (8, 256):
+            monkeypatch.setattr(frontier, "BLOCK", block)
+            rows = frontier.cheapest_field(cells, starts, ["w"], "1.0D", moves).collect()
+            assert len(rows) == 2 * len(free)
+            assert all(r.cost == want[r.w].get((r.row, r.col)) for r in rows)
+
+
+def test_long_walks_keep_distance_and_fronts(spark):
+    """A walk of 1.5 km keeps its distance, and its cells lie on fronts beyond the 12th."""
+    from cellweave.operators import wave
+
+    line = spark.createDataFrame([(1, 0, c, float(c)) for c in range(1500)], "crop_id long, row int, col int, metres double")
+    field = wave.two_metre_field(line, ["crop_id"])
+    assert field.agg({"d2": "max"}).first()[0] == 749
+    goals = spark.createDataFrame([(1, 150)], "crop_id long, n_goal int")
+    rings = wave.rings(wave.cell_min_max(field, ["crop_id"], 2), goals, ["crop_id"], 10.0)
+    assert {r.j for r in rings.collect()} >= set(range(1, 150))
+
+
+def test_marker_sets_lose_no_id(spark):
+    import pytest
+
+    from cellweave.operators.sampling import marker_sets
+
+    ids = spark.range(300).withColumnRenamed("id", "k")
+    rows = marker_sets(ids, "k", 4, 18, 32).collect()
+    assert len(rows) == 1200
+    by = {}
+    for r in rows:
+        by.setdefault(r.k, []).append((r.mrow, r.mcol))
+    assert all((a - c) ** 2 + (b - d) ** 2 >= 324 for m in by.values() for i, (a, b) in enumerate(m) for c, d in m[:i])
+    with pytest.raises(ValueError):
+        marker_sets(ids.limit(2), "k", 4, 40, 32, 4, 2)
+
+
+def test_draws_of_distant_ids_differ(spark):
+    from cellweave.functions.hashing import draw, uniform
+
+    ids = [5 + d for d in (0, 1 << 20, 1 << 26, 1 << 32, 1 << 40)]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").select(draw(F.col("i"), salt=3).alias("u"), uniform(F.col("i"), 1).alias("v"))
+    assert len({r.u for r in df.collect()}) == len(ids)
+    u = spark.range(4000).select(draw(F.col("id"), salt=3).alias("u")).agg(F.avg("u"), F.min("u"), F.max("u")).first()
+    assert abs(u[0] - 0.5) < 0.03 and 0 <= u[1] and u[2] < 1
+
+
+def test_latest_by_text_stamps(spark):
+    from cellweave.operators.ledger import upsert
+
+    a = spark.createDataFrame([("x", "2026-01-01T00:00:00Z", 1), ("y", None, 1)], "layer string, stamp string, v int")
+    b = spark.createDataFrame([("x", "2026-01-02T00:00:00Z", 2), ("y", "2025-01-01T00:00:00Z", 2)], "layer string, stamp string, v int")
+    assert {(r.layer, r.v) for r in upsert(a, b, ["layer"], "stamp").collect()} == {("x", 2), ("y", 2)}
+
+
+def test_night_is_dark(spark):
+    from cellweave.operators.sky import shadows
+
+    heights = spark.createDataFrame([(1, r, c, 0, False) for r in range(3) for c in range(3)], "w long, row int, col int, height int, built boolean")
+    suns = spark.createDataFrame([(0, -5.0, 10.0), (1, 40.0, 180.0)], "instant long, elevation double, azimuth double")
+    assert [r["count"] for r in shadows(heights, suns, ["w"]).groupBy("instant").count().collect()] == [9]
