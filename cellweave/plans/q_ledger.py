@@ -59,15 +59,16 @@ def filtered_big_table(spark, sf):
     return spark.read.schema(src.schema).parquet(f"{work}/out").groupBy("stop_id").agg(F.count("*").alias("n"))
 
 
-@query("s09_long_metrics", """SELECT run_id, step, u.metric, u.value FROM (SELECT run_id, step, max(value) FILTER (WHERE metric = 'view') AS a, max(value) FILTER (WHERE metric = 'click') AS b
-    FROM fx_eval_rows GROUP BY 1, 2), LATERAL (SELECT unnest(['val_view', 'val_click']) AS metric, unnest([a, b]) AS value) u WHERE u.value IS NOT NULL""")
+@query("s09_long_metrics", "SELECT run_id, step, 'val_' || metric AS metric, max(value) AS value FROM fx_eval_rows WHERE value IS NOT NULL GROUP BY 1, 2, 3")
 def long_metrics(spark, sf):
+    """Every metric of a step in one JSON line, whatever its name, and back to rows."""
     from cellweave.sources.jsonl import eval_long
 
-    wide = rows(spark, sf).filter("metric IN ('view', 'click')").groupBy("run_id", "step").agg(
-        F.max(F.when(F.col("metric") == "view", F.col("value"))).alias("val_view"), F.max(F.when(F.col("metric") == "click", F.col("value"))).alias("val_click"))
-    lines = wide.select("run_id", "step", F.to_json(F.struct("run_id", "step", "val_view", "val_click")).alias("value"))
-    return eval_long(lines.select("value"), ["run_id", "step"])
+    best = rows(spark, sf).groupBy("run_id", "step", "metric").agg(F.max("value").alias("value"))
+    named = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("val_"), "metric"), "value")))
+    wide = best.groupBy("run_id", "step").agg(F.to_json(named).alias("metrics"), F.to_json(F.struct("run_id", "step")).alias("head"))
+    lines = wide.select(F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(","), F.expr("substring(metrics, 2)")).alias("value"))
+    return eval_long(lines, ["run_id", "step"])
 
 
 @query("o05_rows_by_step", LATEST_SQL + " SELECT run_id, step, metric, round(value + 0.5, 6) AS value FROM last ORDER BY run_id, step, metric")

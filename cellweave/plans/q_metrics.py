@@ -257,24 +257,24 @@ def token_scores(spark, sf):
     )
 
 
-@query("a43_shortcut_bands", """c AS (SELECT pct > 50 AS p, sqrt((gr - mrow / 4.0) * (gr - mrow / 4.0) + (gc - mcol / 4.0) * (gc - mcol / 4.0)) * 4 AS d
-      FROM fx_pred JOIN fx_markers USING (crop_id) WHERE task_key = 'surface_2'),
+@query("a43_shortcut_bands", """c AS (SELECT task_key, pct > 50 AS p, sqrt((gr - mrow / 4.0) * (gr - mrow / 4.0) + (gc - mcol / 4.0) * (gc - mcol / 4.0)) * 4 AS d
+      FROM fx_pred JOIN fx_markers USING (crop_id)),
     b AS (SELECT unnest([0, 5, 10, 15, 20]) AS lo, unnest([5, 10, 15, 20, 100]) AS hi)
-    SELECT lo AS band_from, hi AS band_to, count(*) AS cells, round(avg(CASE WHEN p THEN 1.0 ELSE 0.0 END), 6) AS marked
-    FROM c JOIN b ON d >= lo AND d < hi GROUP BY 1, 2""")
+    SELECT task_key, lo AS band_from, hi AS band_to, count(*) AS cells, round(avg(CASE WHEN p THEN 1.0 ELSE 0.0 END), 6) AS marked
+    FROM c JOIN b ON d >= lo AND d < hi GROUP BY 1, 2, 3""")
 def shortcut_bands(spark, sf):
     from cellweave.functions.bins import band_of
 
     edges = [0, 5, 10, 15, 20, 100]
     dr, dc = F.col("gr") - F.col("mrow") / 4.0, F.col("gc") - F.col("mcol") / 4.0
-    cells = fx.view(spark, sf, "fx_pred").filter("task_key = 'surface_2'").join(fx.view(spark, sf, "fx_markers"), "crop_id").withColumn(
+    cells = fx.view(spark, sf, "fx_pred").join(fx.view(spark, sf, "fx_markers"), "crop_id").withColumn(
         "d", F.sqrt(dr * dr + dc * dc) * 4
     )
     banded = cells.withColumn("b", band_of(F.col("d"), edges)).filter("b IS NOT NULL")
     lows, highs = F.array(*[F.lit(e) for e in edges[:-1]]), F.array(*[F.lit(e) for e in edges[1:]])
-    return banded.groupBy("b").agg(
+    return banded.groupBy("task_key", "b").agg(
         F.count("*").alias("cells"), F.round(F.avg((F.col("pct") > 50).cast("double")), 6).alias("marked")
-    ).select(F.element_at(lows, F.col("b") + 1).alias("band_from"), F.element_at(highs, F.col("b") + 1).alias("band_to"), "cells", "marked")
+    ).select("task_key", F.element_at(lows, F.col("b") + 1).alias("band_from"), F.element_at(highs, F.col("b") + 1).alias("band_to"), "cells", "marked")
 
 
 @query("a45_composition_ceiling", """c AS (SELECT crop_id, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc,

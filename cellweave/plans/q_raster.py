@@ -47,10 +47,10 @@ def pool_rules(spark, sf):
 
 
 @query("a05_pool_odd_block", """SELECT crop_id, CAST(row // 3 AS INT) AS gr, CAST(col // 3 AS INT) AS gc,
-    count(*) FILTER (WHERE surface = 3) >= 5 AS majority FROM fx_raster WHERE row < 30 AND col < 30 GROUP BY 1, 2, 3""")
+    count(*) FILTER (WHERE surface = 3) >= 5 AS majority FROM fx_raster GROUP BY 1, 2, 3""")
 def pool_odd_block(spark, sf):
-    px = raster(spark, sf).filter("row < 30 AND col < 30")
-    return grids.pool_mask(px, ["crop_id"], 3, F.col("surface") == 3).select("crop_id", "gr", "gc", "majority")
+    """Blocks that the window's edge cuts stay, as the part that is there."""
+    return grids.pool_mask(raster(spark, sf), ["crop_id"], 3, F.col("surface") == 3).select("crop_id", "gr", "gc", "majority")
 
 
 @query("a06_pure_cells", """SELECT crop_id, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc,
