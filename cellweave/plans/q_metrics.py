@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import metrics as mt
 from cellweave.operators import ranking
 from cellweave.plans import fixtures as fx
-from cellweave.plans.q_raster import TARGETS_SQL, raster, task_targets
+from cellweave.plans.q_raster import TARGETS_SQL, TASKS, raster, task_targets
 from cellweave.plans.registry import query
 
 COUNT_SQL = """count(*) FILTER (WHERE p AND t) AS inter, count(*) FILTER (WHERE p OR t) AS uni, count(*) FILTER (WHERE p) AS n_pred,
@@ -117,24 +117,33 @@ def pooled_precision_recall(spark, sf):
     return per.select("task_id", F.explode(rows).alias("r")).select("task_id", "r.*")
 
 
-@query("a28_error_attribution", TARGETS_SQL + """, a AS (SELECT crop_id, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc,
-      count(*) FILTER (WHERE noise7 = 0) >= 8 AS ma, count(*) FILTER (WHERE surface = 2) >= 8 AS mb FROM fx_raster GROUP BY 1, 2, 3),
-    w AS (SELECT ma, mb FROM tg JOIN fx_pred p USING (crop_id, task_key, gr, gc) JOIN a USING (crop_id, gr, gc)
-      WHERE task_key = 'noise7_0+surface_2' AND (pct > 50) <> fg)
+PAIR_SQL = " UNION ALL ".join(
+    f"SELECT crop_id, '{key}' AS task_key, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc, count(*) FILTER (WHERE {x}) >= 8 AS ma, "
+    f"count(*) FILTER (WHERE {y}) >= 8 AS mb FROM fx_raster GROUP BY 1, 2, 3, 4"
+    for key, x, y in (("noise7_0+surface_2", "noise7 = 0", "surface = 2"), ("surface_3+estab_0", "surface = 3", "estab = 0"))
+)
+
+
+@query("a28_error_attribution", TARGETS_SQL + f""", a AS ({PAIR_SQL}),
+    w AS (SELECT ma, mb FROM tg JOIN fx_pred p USING (crop_id, task_key, gr, gc) JOIN a USING (crop_id, task_key, gr, gc) WHERE (pct > 50) <> fg)
     SELECT count(*) AS wrong, round(count(*) FILTER (WHERE NOT ma AND mb) / greatest(count(*), 1), 6) AS only_a,
     round(count(*) FILTER (WHERE ma AND NOT mb) / greatest(count(*), 1), 6) AS only_b,
     round(count(*) FILTER (WHERE NOT ma AND NOT mb) / greatest(count(*), 1), 6) AS both,
     round(count(*) FILTER (WHERE ma AND mb) / greatest(count(*), 1), 6) AS neither FROM w""")
 def error_attribution(spark, sf):
+    """Which atom of a two-atom condition a wrong cell fails, over all such tasks."""
     from cellweave.operators.grids import cell_of, majority
 
-    a, b = F.col("noise7") == 0, F.col("surface") == 2
-    # target and both atoms are pooled in one pass over the pixels
-    cells = raster(spark, sf).groupBy("crop_id", *cell_of("row", "col", 4)).agg(
-        majority(F.count_if(a & b), 4).alias("fg"), majority(F.count_if(a), 4).alias("ma"), majority(F.count_if(b), 4).alias("mb")
+    pairs = {key: [atom.hit() for atom in atoms] for key, atoms in TASKS.items() if len(atoms) == 2}
+    # targets and atoms of all tasks are pooled in one pass over the pixels
+    pooled = raster(spark, sf).groupBy("crop_id", *cell_of("row", "col", 4)).agg(
+        *[majority(F.count_if(c), 4).alias(f"{n}{i}") for i, (a, b) in enumerate(pairs.values()) for n, c in (("fg", a & b), ("ma", a), ("mb", b))]
     )
-    pred = fx.view(spark, sf, "fx_pred").filter("task_key = 'noise7_0+surface_2'")
-    wrong = cells.join(pred, ["crop_id", "gr", "gc"]).filter((F.col("pct") > 50) != F.col("fg"))
+    by_task = F.array(*[
+        F.struct(F.lit(key).alias("task_key"), *[F.col(f"{n}{i}").alias(n) for n in ("fg", "ma", "mb")]) for i, key in enumerate(pairs)
+    ])
+    cells = pooled.select("crop_id", "gr", "gc", F.explode(by_task).alias("t")).select("crop_id", "gr", "gc", "t.*")
+    wrong = cells.join(fx.view(spark, sf, "fx_pred"), ["crop_id", "task_key", "gr", "gc"]).filter((F.col("pct") > 50) != F.col("fg"))
     ma, mb, n = F.col("ma"), F.col("mb"), F.greatest(F.count("*"), F.lit(1))
     return wrong.agg(
         F.count("*").alias("wrong"), F.round(F.count_if(~ma & mb) / n, 6).alias("only_a"), F.round(F.count_if(ma & ~mb) / n, 6).alias("only_b"),
