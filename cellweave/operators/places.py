@@ -46,7 +46,7 @@ def name_matches(a: DataFrame, b: DataFrame, keys: list[str], radius: float) ->
     sums = pairs.groupBy(*keys).agg(F.sum("w").alias("pairs"))
     left = pairs.select(*keys, "nk", "ax", "ay", "na").distinct().groupBy(*keys).agg(F.sum("na").alias("a_matched"))
     right = pairs.select(*keys, "nk", "x", "y", "nb").distinct().groupBy(*keys).agg(F.sum("nb").alias("b_matched"))
-    median = exact_percentiles(pairs, keys, "d", [0.5], step=1.0, weight="w")
+    median = exact_percentiles(pairs, keys, "d", [0.5], weight="w")
     near = pairs_within(an, bn, keys, radius, []).groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("candidates"))
     named = an.groupBy(*keys).agg(F.count("*").alias("a_named"))
     out = named

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.session import cut_lineage, small_side
+
 
 def tiered_rank(df: DataFrame, keys: Sequence[str], tiers: Sequence[str], name: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by tiers)`` without sorting a whole group in one task.
@@ -44,48 +46,47 @@ def tiered_rank(df: DataFrame, keys: Sequence[str], tiers: Sequence[str], name:
     )
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], step: float = 64.0, suffix: str = "",
-    weight: str | None = None,
-) -> DataFrame:
+BUCKETS = 1024
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], suffix: str = "", weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated percentiles per group, one row per group, columns ``p<prob*100>``.
 
-    Values are counted first, the counts are summed into buckets ``step`` wide, running sums over the
-    buckets show which of them hold a wanted rank, and only those buckets are looked at value by value.
-    With ``weight`` a row stands for that many equal values.
+    Values are counted first. Then the span that holds a wanted rank is narrowed level by level: it is cut into
+    ``BUCKETS`` equal parts between its own smallest and largest value, and the part with the rank is the next span,
+    until it is one value. A level is one aggregate whatever the size of a group, a task sorts one span's parts at
+    most, and no width has to be chosen. Nulls and values that are not finite are left out. With ``weight`` a row
+    stands for that many equal values.
     """
     keys = list(keys)
     by = keys or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(1))
-    counts = (
-        base.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
-        .withColumn("_b", F.floor(F.col("_v") / step))
+    counts = cut_lineage(
+        base.filter(F.abs(F.col(value).cast("double")) < float("inf")).groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     )
-    run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_m")).select(
-        *by, "_b", "_m",
-        F.coalesce(F.sum("_m").over(run), F.lit(0)).alias("_before"),
-        F.sum("_m").over(Window.partitionBy(*by)).alias("_total"),
-    )
-    want = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), F.lit(float(side)).alias("side")) for p in probs for side in (0, 1)
-    ])
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(side)).alias("side")) for p in probs for side in (0, 1)])
     pos = F.col("_w.p") * (F.col("_total") - 1)
-    hits = (
-        buckets.withColumn("_w", F.explode(want))
+    ranks = cut_lineage(
+        counts.groupBy(*by).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_w", F.explode(wanted))
         .withColumn("_r", F.floor(pos) + F.col("_w.side").cast("bigint"))
         .withColumn("_wt", F.when(F.col("_w.side") == 0, 1 - (pos - F.floor(pos))).otherwise(pos - F.floor(pos)))
-        .filter("_wt > 0 AND _r >= _before AND _r < _before + _m")
-        .select(*by, "_b", "_before", F.col("_w.p").alias("_p"), "_r", "_wt")
+        .filter("_wt > 0")
+        .select(*by, F.col("_w.p").alias("_p"), "_wt", "_r", "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"))
     )
-    inner = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    near = counts.join(hits.select(*by, "_b").distinct(), by + ["_b"], "left_semi")
-    values = near.select(*by, "_b", "_v", "_n", F.coalesce(F.sum("_n").over(inner), F.lit(0)).alias("_in"))
-    picked = values.join(hits, by + ["_b"]).filter("_r >= _before + _in AND _r < _before + _in + _n")
-    out = picked.groupBy(*by).agg(*[
-        F.sum(F.when(F.col("_p") == float(p), F.col("_v") * F.col("_wt"))).alias(f"p{round(p * 100)}{suffix}")
+    span = [*by, "_lo", "_hi"]
+    while not ranks.filter("_lo < _hi").isEmpty():
+        open_ = ranks.filter("_lo < _hi")
+        near = counts.join(small_side(open_.select(*span, "_before").distinct()), by).filter("_v BETWEEN _lo AND _hi")
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        parts = near.groupBy(*span, "_before", part.alias("_b")).agg(F.sum("_n").alias("_m"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"))
+        run = Window.partitionBy(*span).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        found = parts.select(*span, "_m", "_nlo", "_nhi", (F.col("_before") + F.coalesce(F.sum("_m").over(run), F.lit(0))).alias("_from"))
+        narrowed = open_.join(found, span).filter("_r >= _from AND _r < _from + _m").select(
+            *by, "_p", "_wt", "_r", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"), F.col("_from").alias("_before"))
+        ranks = cut_lineage(ranks.filter("_lo >= _hi").unionByName(narrowed), ranks)
+    out = ranks.groupBy(*by).agg(*[
+        F.sum(F.when(F.col("_p") == float(p), F.col("_lo") * F.col("_wt"))).alias(f"p{round(p * 100)}{suffix}")
         for p in probs
     ])
     return out if keys else out.drop("_all")

@@ -33,8 +33,8 @@ def cross_check(pairs: DataFrame) -> DataFrame:
     """Two sources at the same points ``(a, b)``: correlation and spread of the difference."""
     p = pairs.select("a", "b", (F.col("b") - F.col("a")).alias("d"), F.abs(F.col("b") - F.col("a")).alias("e"), F.lit(1).alias("all"))
     base = p.groupBy("all").agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("r"))
-    diff = exact_percentiles(p, ["all"], "d", [0.05, 0.5, 0.95], step=1.0)
-    size = exact_percentiles(p, ["all"], "e", [0.5], step=1.0, suffix="_abs")
+    diff = exact_percentiles(p, ["all"], "d", [0.05, 0.5, 0.95])
+    size = exact_percentiles(p, ["all"], "e", [0.5], suffix="_abs")
     return base.join(diff, "all").join(size, "all").select(
         "n", "r", F.round("p50_abs", 6).alias("median_abs"), F.round("p50", 6).alias("median_diff"), F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95")
     )

@@ -337,7 +337,7 @@ def field_statistics(spark, sf):
         F.count("*").alias("n"), F.round(F.avg(F.col("goal_m").isNull().cast("double")), 6).alias("unreachable"),
         F.round(F.max("goal_m"), 6).alias("max_m"), F.sum((2 * F.col("n_goal") + 1).cast("bigint")).alias("passes"),
     )
-    spread = exact_percentiles(g, ["all"], "goal_m", [0.5, 0.9], step=4.0)
+    spread = exact_percentiles(g, ["all"], "goal_m", [0.5, 0.9])
     return base.join(spread, "all", "left").withColumns({"p50": F.round("p50", 6), "p90": F.round("p90", 6), "cells_reached": reached}).drop("all")
 
 

@@ -75,7 +75,7 @@ def localisation(spark, sf):
         share("patch_hit", "patch_hit"), F.round(mt.ratio(both, F.count_if("patch_hit"), 0.0), 6).alias("sub_cell_given_patch"),
         share("in_patch_share", "in_patch_share"), share("dist", "mean_dist"),
     )
-    median = ranking.exact_percentiles(per, ["task_id"], "dist", [0.5], step=1.0)
+    median = ranking.exact_percentiles(per, ["task_id"], "dist", [0.5])
     return base.join(median, "task_id").withColumn("median_dist", F.round("p50", 6)).drop("p50")
 
 

@@ -118,7 +118,7 @@ def name_matches(spark, sf):
 def frequency_table(spark, sf):
     p = poi_a(spark, sf).withColumn("name", F.coalesce("name", F.lit("<null>")))
     sums = p.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"))
-    return sums.join(ranking.exact_percentiles(p, ["name"], "x", [0.5], step=16), "name").select(
+    return sums.join(ranking.exact_percentiles(p, ["name"], "x", [0.5]), "name").select(
         "name", "n", "sum_x", F.round("p50", 6).alias("median_x")
     )
 

@@ -254,7 +254,7 @@ def crop_shares(spark, sf):
 def task_stats(spark, sf):
     per = crop_shares(spark, sf)
     base = per.groupBy("task_key").agg(F.avg("share").alias("f"), F.avg((F.col("share") == 0).cast("double")).alias("empty"))
-    return base.join(ranking.exact_percentiles(per, ["task_key"], "share", [0.1, 0.5, 0.9], step=0.05), "task_key")
+    return base.join(ranking.exact_percentiles(per, ["task_key"], "share", [0.1, 0.5, 0.9]), "task_key")
 
 
 @query("a22_task_stats", PER_SQL + """ SELECT task_key, round(f, 6) AS f, round(empty, 6) AS empty_share,
@@ -367,7 +367,7 @@ def relative_rule_sweep(spark, sf):
     means = per.groupBy("rule").agg(F.count("*").alias("n_used"), F.greatest(*[
         F.avg(F.when(F.col(f"_u{t}") > 0, F.col(f"_i{t}") / F.col(f"_u{t}")).otherwise(1.0)) for t in range(1, 8)
     ]).alias("best"))
-    spread = ranking.exact_percentiles(per, ["rule"], "share", [0.1, 0.5, 0.9], step=0.05)
+    spread = ranking.exact_percentiles(per, ["rule"], "share", [0.1, 0.5, 0.9])
     total = view(spark, sf, "fx_markers").agg(F.count("*").alias("n_crops")).scalar()
     return means.join(spread, "rule").select(
         "rule", "n_used", F.round(1 - F.col("n_used") / total, 6).alias("empty_share"),
@@ -458,7 +458,7 @@ def rule_relativity(spark, sf):
     crops = targets.relative_levels(ground(spark, sf), "noise7").filter(F.col("n") >= targets.MIN_PIXELS).withColumn(
         "s1", F.col("n_low") / F.col("n")
     ).withColumn("all", F.lit(1))
-    spread = ranking.exact_percentiles(crops, ["all"], "s1", [0.1, 0.5, 0.9], step=0.05)
+    spread = ranking.exact_percentiles(crops, ["all"], "s1", [0.1, 0.5, 0.9])
     return crops.groupBy("all").agg(
         F.count("*").alias("crops"), F.round(F.avg((F.col("n_levels") == 1).cast("double")), 6).alias("one_level"),
         F.round(F.avg((F.col("s1") > 0.8).cast("double")), 6).alias("nearly_one"),
@@ -512,7 +512,7 @@ def point_report(spark, sf):
         "CAST(floor(u1 * 100000) % 97 AS DOUBLE) AS dist",
     )
     counts = items.groupBy("split", "cls").agg(F.count("*").alias("items"), F.count_if(F.col("cls") != F.col("coarse")).alias("disagree"))
-    spread = ranking.exact_percentiles(items, ["split", "cls"], "dist", [0.1, 0.5, 0.9], step=16)
+    spread = ranking.exact_percentiles(items, ["split", "cls"], "dist", [0.1, 0.5, 0.9])
     return counts.join(spread, ["split", "cls"]).select(
         "split", "cls", "items", "disagree", *[F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")]
     )

@@ -151,7 +151,7 @@ def host_statistics(spark, sf):
     )
     inside = hits.select("id").distinct().agg(F.count("*")).scalar()
     total = pts.agg(F.count("*")).scalar()
-    median = exact_percentiles(per.filter(F.col("area") <= CAP_M2), ["all"], "area", [0.5], step=16)
+    median = exact_percentiles(per.filter(F.col("area") <= CAP_M2), ["all"], "area", [0.5])
     return base.join(median, "all", "left").select(
         *base.columns[1:], inside.alias("inside"), (total - inside).alias("outside"), F.round("p50", 6).alias("median_m2")
     )

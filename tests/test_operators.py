@@ -25,13 +25,13 @@ def test_tiered_rank_with_one_hot_group(spark):
             assert got[(k, r[3])] == i
 
 
-@pytest.mark.parametrize("step", [0.5, 7.0, 1000.0])
-def test_exact_percentiles(spark, step):
+
+def test_exact_percentiles(spark):
     rng = random.Random(2)
     rows = [(rng.choice([0, 0, 0, 1]), rng.choice([rng.uniform(-50, 50), 3.0])) for _ in range(500)]
     df = spark.createDataFrame(rows, "k int, v double")
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {r.k: r for r in ranking.exact_percentiles(df, ["k"], "v", probs, step=step).collect()}
+    got = {r.k: r for r in ranking.exact_percentiles(df, ["k"], "v", probs).collect()}
     want = df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("p")).collect()
     for w in want:
         assert [got[w.k][f"p{round(p * 100)}"] for p in probs] == pytest.approx(w.p)
@@ -348,3 +348,19 @@ def test_night_is_dark(spark):
     heights = spark.createDataFrame([(1, r, c, 0, False) for r in range(3) for c in range(3)], "w long, row int, col int, height int, built boolean")
     suns = spark.createDataFrame([(0, -5.0, 10.0), (1, 40.0, 180.0)], "instant long, elevation double, azimuth double")
     assert [r["count"] for r in shadows(heights, suns, ["w"]).groupBy("instant").count().collect()] == [9]
+
+
+def test_percentiles_of_narrow_and_wide_columns(spark):
+    """One group, a million distinct values in [0, 1), and values up to 10^12 with most of them near zero."""
+    import numpy as np
+
+    from cellweave.operators.ranking import exact_percentiles
+
+    one = spark.range(1_000_000).selectExpr("(id * 7919 % 1000003) / 1000003 AS v")
+    got = exact_percentiles(one, [], "v", [0.1, 0.5, 0.999]).first()
+    want = np.quantile([(i * 7919 % 1000003) / 1000003 for i in range(1_000_000)], [0.1, 0.5, 0.999])
+    assert np.allclose([got.p10, got.p50, got.p100], want, rtol=0, atol=1e-12)
+    wide = [10.0 ** (i % 13) + i for i in range(2000)] + [-3.5, 1e12]
+    df = spark.createDataFrame([(v,) for v in wide] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+    got = exact_percentiles(df, [], "v", [0.0, 0.25, 0.5, 1.0]).first()
+    assert np.allclose(list(got), np.quantile(wide, [0.0, 0.25, 0.5, 1.0]), rtol=1e-12)
