@@ -6,7 +6,7 @@ tasks) followed by a small aggregate per task, so neither a hot task nor a hot s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,14 +126,17 @@ def tolerant_scores(counts: DataFrame) -> DataFrame:
     })
 
 
-def copy_new_counts(cells: DataFrame, keys: Sequence[str], pred: Column) -> DataFrame:
-    """Recall on target cells that were already on the drawing, on new ones, and marks on empty cells."""
-    t, d = F.col("tgt"), F.col("pad")
-    per = cells.groupBy(*keys).agg(
-        F.count_if(t & d).alias("nc"), F.count_if(t & d & pred).alias("hc"), F.count_if(t & ~d).alias("nn"),
-        F.count_if(t & ~d & pred).alias("hn"), F.count_if(~t).alias("ne"), F.count_if(~t & pred).alias("he"),
-    )
-    return per.withColumns({
+def copy_new_counts(cells: DataFrame, keys: Sequence[str], preds: Mapping[str, Column], label: str = "rule") -> DataFrame:
+    """Recall on target cells that were already on the drawing, on new ones, and marks on empty cells, for each rule.
+
+    All rules are counted in one pass over the cells; only the counted rows are multiplied.
+    """
+    t, d, names = F.col("tgt"), F.col("pad"), list(preds)
+    hits = [F.count_if(c & preds[n]).alias(f"_{h}{i}") for i, n in enumerate(names) for h, c in (("hc", t & d), ("hn", t & ~d), ("he", ~t))]
+    per = cells.groupBy(*keys).agg(F.count_if(t & d).alias("nc"), F.count_if(t & ~d).alias("nn"), F.count_if(~t).alias("ne"), *hits)
+    rules = F.array(*[F.struct(F.lit(n).alias(label), *[F.col(f"_{h}{i}").alias(h) for h in ("hc", "hn", "he")]) for i, n in enumerate(names)])
+    each = per.withColumn("_r", F.explode(rules)).select(*keys, "nc", "nn", "ne", "_r.*")
+    return each.withColumns({
         "copied_recall": ratio(F.col("hc"), F.col("nc")), "new_recall": ratio(F.col("hn"), F.col("nn")),
         "false_marks": ratio(F.col("he"), F.col("ne"), 0.0),
     })

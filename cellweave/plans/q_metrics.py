@@ -242,15 +242,11 @@ PAD_SQL = "pd AS (SELECT *, ((sample_id * 64 + gr * 8 + gc) * 16807) % 65521 % 3
     round(avg(CASE WHEN nn > 0 THEN hn / nn ELSE 1.0 END), 6) AS new_recall, round(avg(CASE WHEN ne > 0 THEN he / ne ELSE 0.0 END), 6) AS false_marks
     FROM k GROUP BY 1, 2""")
 def copied_and_new_recall(spark, sf):
-    out = None
-    for rule, tau in (("plain", 0.05), ("rule", 0.12)):
-        per = mt.copy_new_counts(pads(spark, sf), ["sample_id", "task_id"], F.col("score") > tau)
-        part = per.groupBy("task_id").agg(
-            F.lit(rule).alias("rule"), F.count("*").alias("n"),
-            *[F.round(F.avg(c), 6).alias(c) for c in ("copied_recall", "new_recall", "false_marks")],
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    rules = {"plain": F.col("score") > 0.05, "rule": F.col("score") > 0.12}
+    per = mt.copy_new_counts(pads(spark, sf), ["sample_id", "task_id"], rules)
+    return per.groupBy("task_id", "rule").agg(
+        F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("copied_recall", "new_recall", "false_marks")]
+    )
 
 
 @query("a35_token_scores", """SELECT task_id, count(*) AS n, round(avg(CASE WHEN e = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy,

@@ -9,6 +9,7 @@ from cellweave.operators import raster as rs
 from cellweave.plans import fixtures as fx
 from cellweave.plans.q_places import CLASS_SQL
 from cellweave.plans.registry import query
+from cellweave.session import cut_lineage
 
 
 def triangles(spark, sf):
@@ -98,7 +99,7 @@ def establishments(spark, sf):
     pts, polys = label_places(spark, sf), rect_polys(spark, sf)
     inside = rs.hosts(pts, polys, ["district"], "id", "bid")
     hits = pts.join(inside, ["district", "id"]).join(polys.select("district", "bid", "area"), ["district", "bid"])
-    return pts, polys, hits
+    return pts, polys, cut_lineage(hits)  # several branches read it
 
 
 CAP_M2 = 150.0
@@ -121,7 +122,7 @@ def places_in_hosts(spark, sf):
     pts, polys, hits = establishments(spark, sf)
     small = hits.filter(F.col("area") <= CAP_M2).groupBy("district", "bid").agg(F.max("cls").alias("cls"))
     runs = rs.spans(polys.join(hits.select("district", "bid").distinct(), ["district", "bid"], "left_semi"), ["district", "bid"])
-    cells = rs.span_cells(runs)
+    cells = cut_lineage(rs.span_cells(runs))
     host_cells = cells.join(small, ["district", "bid"]).selectExpr("district", "row", "col", "cls", "0 AS late")
     outside = pts.join(hits.select("district", "id"), ["district", "id"], "left_anti")
     loose = rs.burn_points(outside, ["district"], 2.0, "cls").withColumn("late", F.lit(1))
