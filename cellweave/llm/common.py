@@ -137,7 +137,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         maps.append(step)
         at, bt = step.select(F.col("node").alias("a"), F.col("rep").alias("ra")), step.select(F.col("node").alias("b"), F.col("rep").alias("rb"))
         moved = left.join(at, "a").join(bt, "b").filter("ra <> rb")
-        left = cut_lineage(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        left = cut_lineage(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), left)
     if not maps:
         kind = edges.schema[a].dataType
         return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")

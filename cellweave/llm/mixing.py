@@ -75,7 +75,7 @@ def tilts(groups: DataFrame, sources: DataFrame, cap: float, tolerance: float =
             .otherwise(newton).alias("tilt"),
             F.col("low2").alias("low"), F.col("high2").alias("high"),
             (F.col("done") | met | nearly).alias("done"),
-        ))
+        ), state)
     return state
 
 
