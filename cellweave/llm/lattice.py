@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import column, components
 from cellweave.session import cut_lineage
 
-CHUNK = 1 << 19  # candidate pairs that are compared at once
+CHUNK = 1 << 16  # candidate pairs that are compared at once: two gathered vectors each
 BLOCK = 4096  # rows of a bucket that one task takes as its left side
 
 
@@ -71,12 +71,18 @@ def cells(unit: np.ndarray, labels: np.ndarray, tables: int, scale: float, reach
     return own, probes
 
 
+def _kind(vectors: DataFrame) -> str:
+    """Components travel as they are stored: single precision stays so, sums are in double precision."""
+    return "<f4" if vectors.schema["vec"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def _spread(classes: DataFrame, tables: int, scale: float, reach: float) -> DataFrame:
     """A row for each class and cell that it lies in or probes: bucket, base, table, and what comparing needs."""
     names = ["bucket", "base", "tab", "cls", "mult", "label", "vec", "own", "probes", "starts"]
+    kind = _kind(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             vectors = column(batch, "vec").to_pylist()
             cls, mult, label = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("cls", "mult", "label"))
             sizes = np.array([len(v) for v in vectors])
@@ -90,7 +96,7 @@ def _spread(classes: DataFrame, tables: int, scale: float, reach: float) -> Data
                     lists = probes[k]
                     flat = np.concatenate(lists)
                     starts = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                    fixed = (int(cls[i]), int(mult[i]), int(label[i]), x[k].tobytes(), own[k].tobytes(), flat.tobytes(), starts.tobytes())
+                    fixed = (int(cls[i]), int(mult[i]), int(label[i]), x[k].astype(kind).tobytes(), own[k].tobytes(), flat.tobytes(), starts.tobytes())
                     for t in range(tables):
                         for bucket, base in [(own[k, t], 1), *[(p, 0) for p in lists[t]]]:
                             for c, v in zip(out, (int(bucket), base, t, *fixed)):
@@ -113,12 +119,12 @@ def _member(key: np.ndarray, flat: list[np.ndarray], starts: np.ndarray, rows: n
     return hit
 
 
-def _links(rows: pa.Table, tables: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(rows: pa.Table, tables: int, least: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, links, local root) from whole buckets, each pair counted in the first table that brings it together."""
     get = lambda c: rows.column(c).to_numpy()
-    blob = lambda c, kind: [np.frombuffer(b, kind) for b in rows.column(c).to_pylist()]
+    blob = lambda c, of: [np.frombuffer(b, of) for b in rows.column(c).to_pylist()]
     bucket, blk, base, left, right, tab, cls, mult, label = (get(c) for c in ("bucket", "blk", "base", "left", "right", "tab", "cls", "mult", "label"))
-    vectors, own, probes, starts = blob("vec", np.float64), np.array(blob("own", np.int64)), blob("probes", np.int64), np.array(blob("starts", np.int32))
+    vectors, own, probes, starts = [v.astype(np.float64) for v in blob("vec", kind)], np.array(blob("own", np.int64)), blob("probes", np.int64), np.array(blob("starts", np.int32))
     sizes = np.array([len(v) for v in vectors])
     width = int(sizes.max(initial=1))
     unit = np.zeros((len(vectors), width))
@@ -209,6 +215,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 4, reach
     dealt = spread.join(sizes, ["bucket", "tab"]).withColumn("mine", mine).withColumn("at", F.explode(places)).select(
         "bucket", "tab", (F.col("at.lb") * F.col("blocks") + F.col("at.rb")).alias("blk"), ((F.col("base") == 1) & (F.col("at.lb") == F.col("mine"))).cast("int").alias("left"),
         (F.col("at.rb") == F.col("mine")).cast("int").alias("right"), "base", "cls", "mult", "label", "vec", "own", "probes", "starts")
+    kind = _kind(classes)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "bucket", "tab", "blk").sortWithinPartitions("bucket", "tab", "blk")
 
@@ -216,7 +223,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 4, reach
         kept: list[pa.RecordBatch] = []
 
         def out(rows: pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _links(rows, tables, least)], ["cls", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _links(rows, tables, least, kind)], ["cls", "links", "root"])
 
         for batch in batches:
             if not batch.num_rows:
