@@ -65,7 +65,7 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray, signs: np.ndarray) -> np.nda
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n, ids): Hilbert key and all token ids with the end id, as little-endian unsigned 32-bit bytes."""
+    """(id, key, n, ids): Hilbert key and all token ids with the end id, little-endian, two bytes each if all ids fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = per_process(f"vocabulary {tokenizer}", lambda: bpe.load(tokenizer))
@@ -75,8 +75,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
             ids, counts = bpe.token_ids(vocab, column(batch, text_col), known)
             keys = curve_keys(ids, counts, signs)
             ends = np.cumsum(counts)
-            flat = np.insert(ids.astype("<u4"), ends, end_id)
-            offsets = np.concatenate([[0], 4 * (ends + np.arange(1, len(ends) + 1))]).astype(np.int64)
+            flat = np.insert(ids.astype("<u2" if max(len(signs), end_id) < 1 << 16 else "<u4"), ends, end_id)
+            offsets = np.concatenate([[0], flat.itemsize * (ends + np.arange(1, len(ends) + 1))]).astype(np.int64)
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([column(batch, id_col), pa.array(keys), pa.array(counts + 1), packed], ["id", "key", "n", "ids"])
 
@@ -116,10 +116,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
             kind = column(batch, "id").type
             part = column(batch, "part")[0].as_py() if batch.num_rows else part
             for ident, n, blob in zip(column(batch, "id").to_pylist(), column(batch, "n").to_pylist(), column(batch, "ids")):
-                view, start = memoryview(blob.as_buffer()), 0
+                buffer, start = blob.as_buffer(), 0
+                tokens = np.frombuffer(buffer, f"<u{buffer.size // n}")
                 while start < n:
                     size = min(n - start, length - fill)
-                    last.append((ident, start, size, bytes(view[4 * start : 4 * (start + size)]), n))
+                    last.append((ident, start, size, tokens[start : start + size].astype("<u4").tobytes(), n))
                     start, fill = start + size, fill + size
                     if fill == length:
                         at = 0
