@@ -1,4 +1,4 @@
-"""SimHash fingerprints linked by meet-in-the-middle balls (operator 4)."""
+"""SimHash fingerprints linked by meet-in-the-middle balls (operator 4), and near copies by shingle sets."""
 
 from __future__ import annotations
 
@@ -65,17 +65,16 @@ def ball(value: Column, bits: int, radius: int) -> Column:
     return F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: m.bitwiseXOR(value))
 
 
-def near_pairs(values: DataFrame, bits: int = 64, radius: int = 2, part: str | None = None) -> DataFrame:
+def near_pairs(values: DataFrame, bits: int = 64, radius: int = 2) -> DataFrame:
     """Pairs (a, b) of the distinct BIGINTs in ``values.fp`` that connect all values at ``radius`` or fewer bits.
 
     Each value emits its ball of half the radius; two values within the radius share a variant. All values at one
     variant lie in its ball, so a bucket is bounded by the ball size (65 for radius 2), whatever the data. Values of
-    a bucket are chained in order; each pair is verified. ``part`` names a column that must be equal as well.
+    a bucket are chained in order; each pair is verified.
     """
-    keys = [part] if part else []
-    spread = values.select(*keys, "fp", F.explode(ball(F.col("fp"), bits, radius // 2)).alias("variant"))
-    chain = Window.partitionBy(*keys, "variant").orderBy("fp")
-    pairs = spread.withColumn("a", F.lag("fp").over(chain)).filter("a IS NOT NULL").select(*keys, "a", F.col("fp").alias("b")).distinct()
+    spread = values.select("fp", F.explode(ball(F.col("fp"), bits, radius // 2)).alias("variant"))
+    chain = Window.partitionBy("variant").orderBy("fp")
+    pairs = spread.withColumn("a", F.lag("fp").over(chain)).filter("a IS NOT NULL").select("a", F.col("fp").alias("b")).distinct()
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -133,29 +132,48 @@ def _row_key(text_col: str, ident: Column) -> Column:
     return F.concat_ws(":", _text_key(text_col), F.coalesce(ident.cast("string"), F.lit("null")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key per band over a set of hashes: the smallest values under ``rows`` random linear maps, hashed together."""
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 2**64, (2, bands * rows), np.uint64)
+    a |= np.uint64(1)
+    least = np.full(bands * rows, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 2048):  # a block stays in the cache
+        np.minimum(least, (np.multiply.outer(a, hashes[at : at + 2048]) + b[:, None]).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)], np.uint64)
+
+
+def _sketches(keyed: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, key, size, bands): the number of distinct shingles of each text and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, shingle, 0, True)) for t in column(batch, "text").to_pylist()]
+            flat = pa.array(np.concatenate([band_keys(x, bands, rows) for x in sets]).view(np.int64))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "key"), pa.array(map(len, sets), pa.int64()), keys], ["id", "key", "size", "bands"])
+
+    return keyed.select("id", "key", "text").mapInArrow(run, f"id {keyed.schema['id'].dataType.simpleString()}, key string, size long, bands array<long>")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text: ``key``, its smallest id ``first_id`` and the smallest id of its group, ``component_id``.
 
     Texts are near copies if their sets of ``shingle``-word shingles have Jaccard ``similarity`` or more. At 0.8 about
-    10 of 64 bits differ, too many for one ball, so each text has ``tables`` 32-bit fingerprints over its distinct
-    word pairs, linked at 2 bits each. Texts with equal fingerprint are met at one member, the fingerprints of a
-    variant by their chain. Only linked pairs are compared, by their full shingle sets. Null counts as empty.
+    10 of 64 SimHash bits differ, too many for a ball, so candidates come from MinHash over the same shingles: texts
+    meet if all ``rows`` smallest values of one of ``bands`` bands agree. A pair of similarity J is missed with
+    probability (1 - J^rows)^bands, at 0.8 three in a million, whatever kind of edit lies between the two. Each text
+    of a bucket is compared with the first one, by the full shingle sets. Null counts as empty.
     """
-    seeds = tuple(range(42, 42 + (tables + 1) // 2))
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    prints = cut_lineage(fingerprints(keyed, 2, seeds, True))
-    reps = cut_lineage(prints.groupBy("key").agg(F.min("id").alias("first_id"), F.max("fp").alias("fp")).withColumn("num", F.xxhash64("key")))
-    halves = F.array(*[x for i in range(len(seeds)) for x in (F.col("fp")[i].bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.col("fp")[i], 32))][:tables])
-    spread = reps.select("num", F.posexplode(halves).alias("tab", "fp"))
-    classes = cut_lineage(spread.groupBy("tab", "fp").agg(F.min("num").alias("head")))
-    inside = spread.join(classes, ["tab", "fp"]).filter("num <> head").select(F.col("head").alias("a"), F.col("num").alias("b"))
-    across = near_pairs(classes.select("tab", "fp"), 32, 2, "tab")
-    heads = classes.select("tab", F.col("fp").alias("a"), F.col("head").alias("ha"))
-    others = classes.select("tab", F.col("fp").alias("b"), F.col("head").alias("hb"))
-    linked = across.join(heads, ["tab", "a"]).join(others, ["tab", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    pairs = inside.union(linked).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut_lineage(pairs.distinct())
-    met = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct().join(reps, "num")
+    prints = cut_lineage(_sketches(keyed, shingle, bands, rows))
+    reps = cut_lineage(prints.groupBy("key").agg(F.min("id").alias("first_id"), F.max("size").alias("size"), F.max("bands").alias("bands")).withColumn("num", F.xxhash64("key")), prints)
+    spread = reps.select("num", "size", F.explode("bands").alias("bucket"))
+    heads = spread.groupBy("bucket").agg(F.min(F.struct("num", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = cut_lineage(spread.join(heads, "bucket").filter("num <> head.num"))
+    alike_sizes = F.least("size", "head.size") >= similarity * F.greatest("size", "head.size") - 1e-9
+    pairs = cut_lineage(members.filter(alike_sizes).select(F.col("head.num").alias("a"), F.col("num").alias("b")).distinct())
+    met = members.select(F.explode(F.array("num", "head.num")).alias("num")).distinct().join(reps, "num")
     wanted = met.select("num", F.concat_ws(":", "key", F.coalesce(F.col("first_id").cast("string"), F.lit("null"))).alias("row_key"))
     texts = keyed.withColumn("row_key", _row_key("text", F.col("id"))).join(wanted, "row_key")
     sets = cut_lineage(_packed_shingles(texts, shingle).dropDuplicates(["num"]))

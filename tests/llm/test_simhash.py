@@ -103,3 +103,31 @@ def test_dropping_keeps_awkward_rows_once(awkward, none):
     rows = kept.collect()
     ids = [r.doc_id for r in rows]
     assert ids.count(0) == 1 and 104 not in ids and 103 in ids and not {106, 107, 108, 109} & set(ids) and 100 in ids and 101 not in ids
+
+
+EDITS = {  # the edit, and the most changed words that leave five-word shingles of n words at Jaccard 0.8
+    "appended": (lambda w, k, fresh: w + fresh[:k], lambda n: (n - 4) // 4),
+    "replaced": (lambda w, k, fresh: w[: len(w) - k] + fresh[:k], lambda n: (n - 4) // 9),
+    "scattered": (lambda w, k, fresh: [fresh[i] if i in range(len(w) // k // 2, len(w), len(w) // k) else x for i, x in enumerate(w)], lambda n: (n - 4) // 45),
+}
+
+
+def test_near_copies_are_found_whatever_the_edit(spark):
+    """Pairs of Jaccard 0.80 to 0.85: at least 99 of 100 are found for each kind of edit and length."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for kind, (edit, most) in EDITS.items():
+        for n in (120, 400):
+            for _ in range(100):
+                w, fresh = [list(map(str, rng.integers(0, 10**9, n))) for _ in range(2)]
+                both = [" ".join(x) for x in (w, edit(w, most(n), fresh))]
+                a, b = map(_shingles, both)
+                assert 0.8 <= len(a & b) / len(a | b) < 0.85
+                rows += [(kind, n, t) for t in both]
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    groups = {r.first_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(groups[i] == i for i in range(0, len(rows), 2))
+    found = {}
+    for i in range(1, len(rows), 2):
+        found[rows[i][:2]] = found.get(rows[i][:2], 0) + (groups[i] == i - 1)
+    assert len(found) == 6 and all(n >= 99 for n in found.values()), found
