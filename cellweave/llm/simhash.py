@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import column, components, slices, words
 from cellweave.session import cut_lineage
 
+BLOCK = 256  # texts of a cluster that meet as many others in one task
+
 
 def shingle_hashes(text: str | None, k: int, seed: int, distinct: bool = False) -> np.ndarray:
     """XXH64 of every ``k``-word shingle of the whole text, in order; a shorter text is one shingle."""
@@ -122,6 +124,54 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _links(rows: pa.Table, least: float) -> pa.Table:
+    """Pairs (a, b) that link all roots among (num, root, side, set) that have near sets; two sides meet each other only."""
+    num, root, side = (rows.column(c).to_numpy() for c in ("num", "root", "side"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    num, side, sets = num[order], side[order], [sets[i] for i in order]
+    root = np.unique(root[order], return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    two, found = side.min() != side.max(), []
+    mine = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    for i in np.flatnonzero(size).tolist():
+        stop = int(np.searchsorted(size * least - 1e-9, size[i], "right"))  # longer sets are too long for this one
+        open_ = (root[i + 1 : stop] != root[i]) & ((side[i + 1 : stop] != side[i]) | (not two))
+        if not open_.any():
+            continue
+        mine[ids[ends[i] : ends[i + 1]]] = True
+        same = np.add.reduceat(mine[ids[ends[i + 1] : ends[stop]]], ends[i + 1 : stop] - ends[i + 1], dtype=np.int64)
+        mine[ids[ends[i] : ends[i + 1]]] = False
+        for j in (np.flatnonzero(open_ & (same >= least * (size[i] + size[i + 1 : stop] - same) - 1e-9)) + i + 1).tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                found.append((num[i], num[j]))
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+
+def _rest_links(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between texts of a bucket that the comparison with its first text has left in different components.
+
+    Buckets whose other texts are all in one component are done. The texts of the rest form clusters by shared
+    buckets; a cluster is cut into blocks of about ``BLOCK`` texts that meet two at a time, so every text meets every
+    text of the other components of its cluster. A task holds two blocks and sends links between components, no pairs.
+    """
+    known = members.select("bucket", "num").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
+    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("num").alias("first")).filter("low <> high").select("bucket", "first")
+    edges = cut_lineage(known.join(mixed, "bucket").select(F.col("first").alias("a"), F.col("num").alias("b"), "root"))
+    clusters = components(edges).withColumnsRenamed({"node": "num", "root": "cluster"})
+    nodes = cut_lineage(edges.select(F.col("b").alias("num"), "root").distinct().join(clusters, "num"))
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")
+    dealt = nodes.join(blocks, "cluster").withColumn("own", own).join(sets, "num").select(
+        "cluster", "num", "root", "set", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "num", "root", (F.col("own") > F.col("other")).cast("int").alias("side"), "set")
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(lambda rows: _links(rows, least), "a long, b long")
+
+
 def _text_key(text_col: str) -> Column:
     """Stands for a text: XXH64 under two seeds, 128 bits."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -163,7 +213,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     10 of 64 SimHash bits differ, too many for a ball, so candidates come from MinHash over the same shingles: texts
     meet if all ``rows`` smallest values of one of ``bands`` bands agree. A pair of similarity J is missed with
     probability (1 - J^rows)^bands, at 0.8 three in a million, whatever kind of edit lies between the two. Each text
-    of a bucket is compared with the first one, by the full shingle sets. Null counts as empty.
+    of a bucket is compared with the first one, by the full shingle sets; texts that are still apart then meet in
+    :func:`_rest_links`, so no pair of a bucket is left out. Null counts as empty.
     """
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     prints = cut_lineage(_sketches(keyed, shingle, bands, rows))
@@ -177,7 +228,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     wanted = met.select("num", F.concat_ws(":", "key", F.coalesce(F.col("first_id").cast("string"), F.lit("null"))).alias("row_key"))
     texts = keyed.withColumn("row_key", _row_key("text", F.col("id"))).join(wanted, "row_key")
     sets = cut_lineage(_packed_shingles(texts, shingle).dropDuplicates(["num"]))
-    roots = components(_alike(pairs, sets, similarity)).withColumnRenamed("node", "num")
+    links = cut_lineage(_alike(pairs, sets, similarity))
+    rest = _rest_links(members, components(links).withColumnRenamed("node", "num"), sets, similarity)
+    roots = components(links.union(rest)).withColumnRenamed("node", "num")
     named = reps.select("num", "key", "first_id").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return named.join(smallest, "root").select("key", "first_id", "component_id")

@@ -131,3 +131,27 @@ def test_near_copies_are_found_whatever_the_edit(spark):
     for i in range(1, len(rows), 2):
         found[rows[i][:2]] = found.get(rows[i][:2], 0) + (groups[i] == i - 1)
     assert len(found) == 6 and all(n >= 99 for n in found.values()), found
+
+
+def test_all_texts_of_a_bucket_meet(spark, monkeypatch):
+    """Texts of one template: near pairs among strangers that share their bucket, and sort before and between them."""
+    rng = np.random.default_rng(21)
+    base, texts = [f"t{i}" for i in range(100)], []
+    for i in range(60):
+        own = [str(x) for x in rng.integers(0, 10**9, 30)]
+        texts += [" ".join(base + own), " ".join(base + own[: 25 - i % 20])]
+    sets = [simhash.shingle_hashes(t, 5, 0, True) for t in texts]
+    keys = [simhash.band_keys(x, 1, 1)[0] for x in sets]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            same = len(np.intersect1d(sets[a], sets[b]))
+            if keys[a] == keys[b] and same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert max(keys.count(k) for k in set(keys)) > 60 and 20 < len(set(root)) < 110
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (256, 7):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.first_id: r.component_id for r in simhash.near_duplicates(docs, bands=1, rows=1).collect()}
+        assert [got[i] for i in range(len(texts))] == root
