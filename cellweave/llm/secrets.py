@@ -14,15 +14,16 @@ HEX = r"[0-9a-f]+"
 LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"  # the same runs without the short ones
 KINDS = ("assign", "access", "hex")
 
-# Weak candidates: (kind, role, pattern). They count only near a base span of another role.
+# Weak candidates: (kind, role, pattern). They count only near a part of another role.
 WEAK = (
     ("user", "id", r"""(?i:\b(?:user(?:name|_?id)?|login|client_?id|account))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""),
     ("key", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_-])"),
     ("url", "endpoint", r"""(?:https?|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+"""),
     ("host", "endpoint", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])"),
 )
-ROLE = {"assign": "secret", "hex": "secret", "access": "id"} | {k: r for k, r, _ in WEAK}
-NAMES = KINDS + tuple(k for k, _, _ in WEAK)
+# Assignments of fewer than 12 characters are weak as well: kind "short"
+ROLE = {"assign": "secret", "hex": "secret", "access": "id"} | {k: r for k, r, _ in WEAK} | {"short": "secret"}
+NAMES = KINDS + tuple(k for k, _, _ in WEAK) + ("short",)
 SPANS = "array<struct<start:bigint,no:int,stop:bigint,ok:boolean>>"
 BLOCK = 256
 
@@ -40,9 +41,11 @@ def _running(values: Column) -> Column:
     return F.when(n > 0, F.flatten(F.zip_with(blocks, F.transform(blocks, lambda _, i: add(F.slice(sums, 1, i))), inner))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _with_spans(df: DataFrame, text_col: str, name: str, pattern: str, no: int, least: int = 1, group: int = 0) -> DataFrame:
+def _with_spans(df: DataFrame, text_col: str, name: str, pattern: str, no: int, least: int = 1, group: int = 0, rest: int | None = None) -> DataFrame:
     """Add ``name``: leftmost non-overlapping matches as (start, no, stop, ok) in code points, the group long enough.
 
+    With ``rest`` the shorter matches are kept too, with that number and ok false.
+
     The texts between matches and the matches alternate, so their lengths give the positions.
     """
     text, hit, gap, own = F.coalesce(F.col(text_col), F.lit("")), f"{name}_h", f"{name}_g", f"{name}_o"
@@ -55,8 +58,8 @@ def _with_spans(df: DataFrame, text_col: str, name: str, pattern: str, no: int,
     long = F.transform(hit, lambda h: F.length(h) >= least) if not group else F.transform(
         F.when(n > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>")), lambda h: F.length(h) >= least)
     found = F.zip_with(F.arrays_zip(F.col(gap).alias("b"), size.alias("s")), long, lambda x, ok: F.struct(
-        x["b"].alias("start"), F.lit(no).alias("no"), (x["b"] + x["s"]).alias("stop"), ok.alias("ok")))
-    return out.withColumn(name, F.filter(found, lambda x: x["ok"]).cast(SPANS)).drop(hit, gap, own)
+        x["b"].alias("start"), (F.lit(no) if rest is None else F.when(ok, no).otherwise(rest)).alias("no"), (x["b"] + x["s"]).alias("stop"), ok.alias("ok")))
+    return out.withColumn(name, (found if rest is not None else F.filter(found, lambda x: x["ok"])).cast(SPANS)).drop(hit, gap, own)
 
 
 def _shown(spans: Column) -> Column:
@@ -64,59 +67,75 @@ def _shown(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", kinds[x["no"]], x["start"], x["stop"])))
 
 
-def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``_base``: the matches of the three base patterns, by start, then in the listed order."""
-    out = docs
-    for no, (pattern, least, group) in enumerate(((ASSIGN, 12, 2), (LONG_ACCESS, 1, 0), (LONG_HEX, 1, 0))):
-        out = _with_spans(out, text_col, f"_base{no}", pattern, no, least, group)
-    return out.withColumn("_base", F.array_sort(F.concat("_base0", "_base1", "_base2"))).drop("_base0", "_base1", "_base2")
-
-
-def linked_spans(based: DataFrame, reach: int = 300) -> DataFrame:
-    """(_digest, _linked) of (_digest, _base, _text): the weak candidates that a base span of another role supports.
+def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``_base``, the matches of the three base patterns, by start, then in the listed order, and ``_weak``.
 
-    Weak candidates (user names, mixed keys, addresses) are reported only if a base span of another role (identifier,
-    secret, endpoint) starts within ``reach`` code points of them. The link is an interval join: weak parts are laid
-    into the scopes of ``reach`` code points round their start, base parts into their own scope, and the two meet per
-    (text, scope) in a left semi join. Spans depend on the text alone, so each distinct text is linked once.
+    Weak candidates that overlap a base span are part of it and left out.
     """
-    parts = based.dropDuplicates(["_digest"])
+    out = _with_spans(docs, text_col, "_base0", ASSIGN, 0, 12, 2, NAMES.index("short"))
+    for no, pattern in ((1, LONG_ACCESS), (2, LONG_HEX)):
+        out = _with_spans(out, text_col, f"_base{no}", pattern, no)
     for i, (_, _, pattern) in enumerate(WEAK):
-        parts = _with_spans(parts, "_text", f"_weak{i}", pattern, len(KINDS) + i)
-    free = F.filter(F.concat(*[f"_weak{i}" for i in range(len(WEAK))]), lambda w: ~F.exists(F.col("_base"), lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    parts = cut_lineage(parts.select("_digest", "_base", free.alias("_weak")))
+        out = _with_spans(out, text_col, f"_weak{i}", pattern, len(KINDS) + i)
+    out = out.withColumn("_base", F.array_sort(F.concat(F.filter("_base0", lambda x: x["ok"]), "_base1", "_base2")))
+    weak = F.concat(*[f"_weak{i}" for i in range(len(WEAK))], F.filter("_base0", lambda x: ~x["ok"]))
+    free = F.filter(weak, lambda w: ~F.exists(F.col("_base"), lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+    return out.withColumn("_weak", free).drop("_base0", "_base1", "_base2", *[f"_weak{i}" for i in range(len(WEAK))])
+
+
+def linked_spans(found: DataFrame, reach: int = 300) -> DataFrame:
+    """(_digest, _linked, _paired) of (_digest, _base, _weak): the weak candidates that a part of another role supports.
+
+    Weak candidates (user names, mixed keys, short assignments, addresses) are reported only if a part of another role
+    (identifier, secret, endpoint) starts within ``reach`` code points of them: ``_linked`` if one of these is a base
+    span, ``_paired`` if all are weak themselves. Weak parts that overlap do not support each other, but an address and
+    the short assignment in it do. The link is an interval join: candidates are laid into the scopes of ``reach`` code
+    points round their start, parts into their own scope, and the two meet per (text, scope) in a left semi join.
+    Spans depend on the text alone, so each distinct text is linked once.
+    """
+    parts = cut_lineage(found.dropDuplicates(["_digest"]).filter("size(_weak) > 0").select("_digest", "_base", "_weak"))
     roles = F.array(*[F.lit(ROLE[n]) for n in NAMES])
     scope = F.floor(F.col("x.start") / reach)
-    strong = parts.select("_digest", F.explode("_base").alias("x")).select("_digest", scope.alias("scope"), F.col("x.start").alias("at"), roles[F.col("x.no")].alias("role"))
     loose = parts.select("_digest", F.explode("_weak").alias("x")).select("_digest", "x", F.explode(F.array(scope - 1, scope, scope + 1)).alias("scope"))
-    meets = (loose["_digest"] == strong["_digest"]) & (loose["scope"] == strong["scope"]) & (F.abs(loose["x.start"] - strong["at"]) <= reach) & (roles[loose["x.no"]] != strong["role"])
-    return loose.join(strong, meets, "left_semi").groupBy("_digest").agg(F.collect_set("x").alias("_linked"))
+
+    def supported(kind: str, name: str) -> DataFrame:
+        y = parts.select("_digest", F.explode(kind).alias("x")).select("_digest", scope.alias("scope"), F.col("x").alias("y"))
+        a, b = loose["x"], y["y"]
+        nested = F.array_sort(F.array(a["no"], b["no"])) == F.array(F.lit(NAMES.index("url")), F.lit(NAMES.index("short")))
+        meets = (loose["_digest"] == y["_digest"]) & (loose["scope"] == y["scope"]) & (F.abs(a["start"] - b["start"]) <= reach) & (roles[a["no"]] != roles[b["no"]])
+        meets &= (a["stop"] <= b["start"]) | (b["stop"] <= a["start"]) | nested
+        return loose.join(y, meets, "left_semi").groupBy("_digest").agg(F.collect_set("x").alias(name))
+
+    none = F.array().cast(SPANS)
+    both = supported("_base", "_linked").join(supported("_weak", "_paired"), "_digest", "full")
+    return both.select("_digest", F.coalesce("_linked", none).alias("_linked"), F.array_except(F.coalesce("_paired", none), F.coalesce("_linked", none)).alias("_paired"))
 
 
-def _based(docs: DataFrame, text_col: str, *kept: str) -> DataFrame:
-    """Written table of ``kept``, ``_base`` and, where there is a base span, the text and its digest."""
-    found = base_spans(docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_t")), "_t")
-    some = F.size("_base") > 0
-    return cut_lineage(found.select(*kept, "_base", F.when(some, F.sha2(F.col("_t").cast("binary"), 256)).alias("_digest"), F.when(some, F.col("_t")).alias("_text")))
+def _found(docs: DataFrame, text_col: str, *kept: str) -> DataFrame:
+    """Written table of ``kept``, ``_base``, ``_weak`` and, where there is a span, the digest of the text."""
+    found = scanned(docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_t")), "_t")
+    some = F.size("_base") + F.size("_weak") > 0
+    return cut_lineage(found.select(*kept, "_base", "_weak", F.when(some, F.sha2(F.col("_t").cast("binary"), 256)).alias("_digest")))
 
 
-def _all_spans() -> Column:
-    return F.array_sort(F.concat("_base", F.coalesce("_linked", F.array().cast(SPANS))))
+def _all_spans(*names: str, base: bool = True) -> Column:
+    return F.array_sort(F.concat(*["_base"][:base], *[F.coalesce(n, F.array().cast(SPANS)) for n in names]))
 
 
 def secret_report(docs: DataFrame, reach: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256 and spans (``kind:start:stop``, joined).
+    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans (``kind:start:stop``, joined) and weak_spans.
 
-    Null and empty texts have no spans and the digest of the empty string. Repeated rows and null ids stay rows of
-    their own; other columns are not read. The texts are scanned once; only texts with a base span go on.
+    ``spans`` holds base spans and what they support, ``weak_spans`` the weak parts that support each other alone. Null
+    and empty texts have no spans and the digest of the empty string. Repeated rows and null ids stay rows of their
+    own; other columns are not read. The texts are scanned once; only the spans of texts that have some go on.
     """
-    based = _based(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")), "_x", "_id")
+    based = _found(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")), "_x", "_id")
     found = based.filter("_digest IS NOT NULL")
-    some = found.join(linked_spans(found, reach), "_digest", "left").select("_id", "_base", _all_spans().alias("_spans"))
-    none = based.filter("_digest IS NULL").select("_id", "_base", F.col("_base").alias("_spans"))
+    some = found.join(linked_spans(found, reach), "_digest", "left").select("_id", "_base", _all_spans("_linked").alias("_spans"), _all_spans("_paired", base=False).alias("_pairs"))
+    none = based.filter("_digest IS NULL").select("_id", "_base", F.col("_base").alias("_spans"), F.col("_base").alias("_pairs"))
     of_kind = lambda no: F.size(F.filter("_base", lambda x: x["no"] == no)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return some.union(none).select(F.col("_id").alias(id_col), *counts, F.sha2(_shown(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"))
+    return some.union(none).select(F.col("_id").alias(id_col), *counts, F.sha2(_shown(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"), _shown(F.col("_pairs")).alias("weak_spans"))
 
 
 def redact(docs: DataFrame, reach: int = 300, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
@@ -131,7 +150,7 @@ def redact(docs: DataFrame, reach: int = 300, mask: str = "[SECRET]", text_col:
         ),
         lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
-    found = _based(docs, text_col).filter("_digest IS NOT NULL").dropDuplicates(["_digest"])
-    spans = cut_lineage(found.join(linked_spans(found, reach), "_digest", "left").select("_digest", _all_spans().alias("_spans")))
+    found = _found(docs, text_col).filter("_digest IS NOT NULL").dropDuplicates(["_digest"])
+    spans = cut_lineage(found.join(linked_spans(found, reach), "_digest", "left").select("_digest", _all_spans("_linked", "_paired").alias("_spans")).filter("size(_spans) > 0"))
     marked = docs.withColumn("_digest", F.sha2(text.cast("binary"), 256)).join(spans, "_digest", "left")
     return marked.withColumn(text_col, F.when(F.col("_spans").isNotNull(), fold).otherwise(text)).select(*docs.columns)
