@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import column, slices
+from cellweave.session import cut_lineage
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -76,14 +77,22 @@ def _sample(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["x"] for r in found], float).reshape(-1, N_FEATURES), np.array([r["label"] for r in found], int)
 
 
+def _raw(x: Column, ranking: Ranking) -> Column:
+    n = N_FEATURES
+    z = F.zip_with(F.zip_with(x, F.array(*[F.lit(float(m)) for m in ranking.mean]), lambda a, b: a - b), F.array(*[F.lit(float(v)) for v in ranking.scale]), lambda a, b: a / b)
+    parts = F.zip_with(z, F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in zip(ranking.weights[:n], ranking.weights[n:])]),
+                       lambda v, w: v * w["a"] + v * v * w["b"])
+    return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
+
+
 def learn(rows: DataFrame, limit: int = 5000, pairs: int = 200_000, cut: float = 0.3, seed: int = 7) -> Ranking:
     """Scores from (id, x, label): features ``x`` of labelled rows, labels 0 and 1.
 
     Bradley-Terry: a pair (good, bad) is won by the good text with probability sigmoid(score difference).
 
     The logistic loss on feature differences of ``pairs`` random preference pairs is minimised by Newton steps. The
-    threshold is the score quantile at the share of bad rows among all labelled rows. The fit uses a bounded sample:
-    at most ``limit`` rows of each label; the shares are counted over all rows. With one label only, all weights are
+    threshold is the score quantile at the share of bad rows, and the curve is fitted to a histogram; both are taken over
+    the scores of all labelled rows. Only the fit of the weights uses a sample: at most ``limit`` rows of each label. With one label only, all weights are
     zero and every text gets the same side.
     """
     counts = {r["label"]: r["count"] for r in rows.filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
@@ -107,14 +116,33 @@ def learn(rows: DataFrame, limit: int = 5000, pairs: int = 200_000, cut: float =
         if np.abs(step).max() < 1e-8:
             break
     ranking = Ranking(mean, scale, w, 0.0, 1.0, cut)
-    raw = ranking.raw(x)
-    weight = np.where(y == 1, (1 - share_bad) / len(good), share_bad / len(bad))
-    order = np.argsort(raw)
-    ranking.threshold = float(np.interp(share_bad, np.cumsum(weight[order]) - weight[order] / 2, raw[order]))
-    ranking.slope = _slope(raw - ranking.threshold, y, weight, math.log(cut / (1 - cut)))
+    scored = cut_lineage(rows.filter(F.col("label").isin(0, 1)).select(_raw(F.col("x"), ranking).alias("raw"), F.col("label").cast("int").alias("label")))
+    ranking.threshold = _quantile(scored, share_bad, sum(counts.values()))
+    step = F.floor(F.greatest(F.least((F.col("raw") - ranking.threshold) * 64, F.lit(2047.0)), F.lit(-2048.0)))
+    bins = scored.groupBy(step.alias("bin"), "label").agg(F.count("*").alias("n")).collect()
+    at, side, n = (np.array([r[c] for r in bins], float) for c in ("bin", "label", "n"))
+    ranking.slope = _slope((at + 0.5) / 64, side, n / n.sum(), math.log(cut / (1 - cut)))
     return ranking
 
 
+def _quantile(scored: DataFrame, share: float, n: int) -> float:
+    """A score with ``share`` of all ``n`` scores below it: counts of 1024 parts narrow its span until it holds one value."""
+    low, high = (float(v) for v in scored.agg(F.min("raw"), F.max("raw")).first())
+    rank = min(int(share * n), n - 1)
+    while low < high:
+        width = (high - low) / 1024
+        part = F.least(F.floor((F.col("raw") - low) / width), F.lit(1023))
+        inside = scored.filter(F.col("raw").between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+        for r in sorted(inside.collect(), key=lambda r: r["part"]):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        if (r["low"], r["high"]) == (low, high):
+            break
+        low, high = r["low"], r["high"]
+    return low
+
+
 def _slope(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float) -> float:
     """Steepness of the logistic curve through the threshold, by golden-section search on the weighted log loss."""
     loss = lambda a: float(np.sum(weight * np.logaddexp(0, np.where(y == 1, -1, 1) * np.clip(math.exp(a) * x + offset, -500, 500))))
@@ -131,11 +159,7 @@ def quality(featured: DataFrame, ranking: Ranking, id_col: str = "doc_id") -> Da
     Null and empty texts are scored by their features like any other. Repeated rows and null ids stay rows of their
     own. The linear score is plain column arithmetic.
     """
-    n = N_FEATURES
-    z = F.zip_with(F.zip_with("_x", F.array(*[F.lit(float(m)) for m in ranking.mean]), lambda a, b: a - b), F.array(*[F.lit(float(x)) for x in ranking.scale]), lambda a, b: a / b)
-    parts = F.zip_with(z, F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in zip(ranking.weights[:n], ranking.weights[n:])]),
-                       lambda x, w: x * w["a"] + x * x * w["b"])
-    raw = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    raw = _raw(F.col("_x"), ranking)
     at = F.lit(ranking.slope) * (raw - F.lit(ranking.threshold)) + F.lit(math.log(ranking.cut / (1 - ranking.cut)))
     score = 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-30.0))))
     return featured.select(id_col, score.alias("score")).withColumn("predicted", (F.col("score") >= ranking.cut).cast("int"))

@@ -77,6 +77,16 @@ def test_quality_on_awkward_rows(spark, awkward, none):
     assert quality.quality(quality.with_features(none, ["doc_id"]), ranking).count() == 0
 
 
+def test_quality_threshold_covers_all_rows(spark):
+    """The sample fits the weights only: the threshold is the quantile over all labelled rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, quality.N_FEATURES))
+    label = (x[:, 0] + rng.normal(size=3000) > -0.5).astype(int)
+    rows = spark.createDataFrame([(i, [float(v) for v in a], int(y)) for i, (a, y) in enumerate(zip(x, label))], "id long, x array<double>, label int")
+    ranking = quality.learn(rows, limit=40, pairs=2000)
+    assert abs(np.mean(ranking.raw(x) < ranking.threshold) - np.mean(label == 0)) < 1e-3
+
+
 def test_column_score_is_the_array_score(spark, awkward):
     x = quality.with_features(awkward, ["doc_id"]).filter("doc_id IS NOT NULL")
     known = x.selectExpr("doc_id AS id", "_x AS x", "CAST(doc_id % 2 AS INT) AS label")
