@@ -85,7 +85,7 @@ def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
     copies, error = [], 0.0
     for size, n, rate, cap in zip(pdf["size"], pdf["n"], pdf["rate"], pdf["cap"]):
         want = n * rate * size + error
-        k = min(max(int(want / size + 0.5), 0), int(n * cap)) if size else 0
+        k = min(max(int(want / size + 0.5), 0), int(n * cap)) if size else n
         error = want - k * size
         copies.append(k)
     return pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "n": pdf["n"], "copies": copies})
@@ -95,7 +95,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """One row per row of ``docs``: id, source, size, source_size, target, rate, copies and taken = copies x size.
 
     Sizes are words between ASCII white space (null text: 0). Rates come from :func:`tilts`; copies are 0 to ``cap``,
-    rounded so that the error of a source ends below its smallest documents. Within equal (source, size) the extra
+    rounded so that the error of a source ends below its smallest documents. Documents of size 0 cost no words and keep
+    one copy. Within equal (source, size) the extra
     copies go by a hash of the id, so reruns agree. Null sources form the last source; rows with null or repeated ids
     stay rows of their own; an empty table gives an empty result. Other columns are not read.
 
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     sources = groups.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
     sources = cut_lineage(targets(sources, weights, share, cap))
     state = tilts(groups, sources, cap)
-    rated = groups.join(state, "key").select("key", "size", "n", F.when(F.col("target") <= 0, 0.0).otherwise(_rate(cap)).alias("rate"), F.lit(float(cap)).alias("cap"))
+    rated = groups.join(state, "key").select("key", "size", "n", F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).otherwise(_rate(cap)).alias("rate"), F.lit(float(cap)).alias("cap"))
     taken = rated.groupBy("key").applyInPandas(_carry, "key string, size long, n long, copies long")
     ranked = tiered_rank(
         sized.withColumn("_h", F.xxhash64("id")).withColumn("_bucket", F.pmod(F.col("_h"), F.lit(1024))), ["key", "size"], ["_bucket", "_h"], "_rank"

@@ -56,3 +56,10 @@ def test_awkward_rows(awkward, none):
     again = mixing.repeat_by_mix(awkward)
     assert again.columns == awkward.columns and again.filter("length(trim(text)) = 0 OR text IS NULL").count() >= 0
     assert mixing.repeat_by_mix(none).count() == 0
+
+
+def test_documents_without_words_keep_one_copy(awkward):
+    rows = [r for r in mixing.mix(awkward).collect() if r.size == 0]
+    assert len(rows) >= 4 and all(r.copies == 1 and r.rate == 1 and r.taken == 0 for r in rows)
+    empty = "text IS NULL OR text NOT RLIKE '[^ \\\\t-\\\\r]'"
+    assert mixing.repeat_by_mix(awkward).filter(empty).count() == awkward.filter(empty).count() >= 4
