@@ -10,7 +10,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.session import cut_lineage, scratch_folder
@@ -146,3 +146,46 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = roots.select(F.col("node").alias("rep"), "root")
         roots = step.join(up, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
     return roots
+
+
+ROWS_A_PART = 1 << 19
+
+
+def in_order(rows: DataFrame, key: str, order: list[str], size: str | None = None) -> DataFrame:
+    """``rank`` of each row (from 0) among the rows of its ``key`` in the order of the columns ``order``, and ``before``,
+    the sum of ``size`` over the earlier ones.
+
+    ``rows`` is a written table with unique ``order`` values; ``key`` is not null. Rows are range-sorted by key and
+    order, so a key of any share spreads over tasks. Each task counts on within the runs of its keys, and what earlier
+    tasks hold of a key comes from the counts of runs: a task has at most one run that began before it, so the side
+    that is broadcast has at most one row a partition.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_PART))
+    ordered = rows.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ranked, summed = None, 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = column(batch, key)
+            ends = np.array(pc.run_end_encode(keys).run_ends)
+            first = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0))
+            sizes = column(batch, size).to_numpy(zero_copy_only=False).astype(np.int64) if size else np.ones(n, np.int64)
+            before = np.cumsum(sizes) - sizes
+            before -= before[first]
+            rank = np.arange(n) - first
+            if keys[0].as_py() == last:
+                rank[: ends[0]] += ranked
+                before[: ends[0]] += summed
+            last, ranked, summed = keys[-1].as_py(), int(rank[-1]) + 1, int(before[-1] + sizes[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank), pa.array(before)], [*batch.schema.names, "rank", "before"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    written = cut_lineage(ordered.mapInArrow(run, f"{schema}, rank long, before long"))
+    runs = written.groupBy("_part", key).agg(F.count("*").alias("_n"), F.sum(F.col(size) if size else F.lit(1)).cast("long").alias("_s"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select("_part", key, F.sum("_n").over(earlier).alias("_n"), F.sum("_s").over(earlier).alias("_s")).filter("_n > 0")
+    return written.join(F.broadcast(carried), ["_part", key], "left").select(
+        *rows.columns, (F.col("rank") + F.coalesce("_n", F.lit(0))).alias("rank"), (F.col("before") + F.coalesce("_s", F.lit(0))).alias("before"))

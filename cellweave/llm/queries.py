@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import kneser_ney, lattice, mixing, packing, quality, secrets, simhash, token_counts, toxicity, winnow
+from cellweave.llm import kneser_ney, lattice, manifest, mixing, packing, quality, secrets, sharding, simhash, token_counts, toxicity, whitening, winnow
 from cellweave.llm.common import crc_bucket, table
+from cellweave.llm.sql import ORACLES  # noqa: F401
 from cellweave.session import cut_lineage
 
 BPE = "byte_bpe_50k.json"
@@ -68,11 +69,28 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    models = whitening.fit(vectors)
+    return whitening.component_rows(whitening.whiten(vectors, models), models)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return manifest.audit(manifest.build(table(spark, sf_dir, "documents"), seen=found))
+
+
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_token_counts, op3_toxicity, op4_simhash_components, op5_quality,
         op6_curve_packing, op7_secret_spans, op8_lattice_links, op9_winnowing, op10_kneser_ney,
+        op11_whitening, op12_merkle_manifest, op13_hilbert_shards,
     )
 }
-ORACLES: dict[str, str] = {}
+

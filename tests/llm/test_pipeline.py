@@ -28,4 +28,4 @@ def test_stages_on_awkward_rows(spark, sf_dir, awkward, none):
 
 def test_registered(spark):
     names = entry.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
