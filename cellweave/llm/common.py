@@ -123,7 +123,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round contracts each node into the neighbour (or itself) of smallest random priority, so the number of
     nodes that still have edges falls by a constant factor, whatever the shape of the graph. The maps of the rounds
-    are composed at the end. Hubs are met by partial aggregation and by inner joins that AQE may split.
+    are composed at the end, one after the other, and the result is a written table. Hubs are met by partial aggregation and by inner joins that AQE may split.
     """
     spark = edges.sparkSession
     left = cut_lineage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
@@ -142,9 +142,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         kind = edges.schema[a].dataType
         return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
     roots = maps[-1].select("node", F.col("rep").alias("root"))
-    for step in reversed(maps[:-1]):
+    written = None
+    for step in reversed(maps[:-1]):  # each map is a fraction of the one before it, so the writes add up to a few tables
         up = roots.select(F.col("node").alias("rep"), "root")
-        roots = step.join(up, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
+        roots = written = cut_lineage(step.join(up, "rep", "left").select("node", F.coalesce("root", "rep").alias("root")), written)
     return roots
 
 

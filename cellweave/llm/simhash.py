@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import column, components, slices, words
 from cellweave.session import cut_lineage
 
-BLOCK = 256  # texts of a cluster that meet as many others in one task
+BLOCK = 256  # texts of a bucket that meet as many others in one task
 
 
 def shingle_hashes(text: str | None, k: int, seed: int, distinct: bool = False) -> np.ndarray:
@@ -108,68 +108,68 @@ def _packed_shingles(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("num", "text").mapInArrow(run, "num long, set binary")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
-    both = pairs.join(sets.select(F.col("num").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("num").alias("b"), F.col("set").alias("sb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(column(batch, "sa"), column(batch, "sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(same >= least * (len(x) + len(y) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def _links(rows: pa.Table, least: float) -> pa.Table:
     """Pairs (a, b) that link all roots among (num, root, side, set) that have near sets; two sides meet each other only."""
     num, root, side = (rows.column(c).to_numpy() for c in ("num", "root", "side"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
     order = np.argsort([len(x) for x in sets], kind="stable")
     num, side, sets = num[order], side[order], [sets[i] for i in order]
-    root = np.unique(root[order], return_inverse=True)[1]
-    size = np.array([len(x) for x in sets])
+    names, root = np.unique(root[order], return_inverse=True)
+    given, size = root.copy(), np.array([len(x) for x in sets])
     ends = np.concatenate([[0], np.cumsum(size)])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     two, found = side.min() != side.max(), []
+    few = np.argmin(np.bincount(side, minlength=2)) if two else 0
     mine = np.zeros(int(ids.max(initial=0)) + 1, bool)
-    for i in np.flatnonzero(size).tolist():
-        stop = int(np.searchsorted(size * least - 1e-9, size[i], "right"))  # longer sets are too long for this one
-        open_ = (root[i + 1 : stop] != root[i]) & ((side[i + 1 : stop] != side[i]) | (not two))
+    for i in np.flatnonzero((size > 0) & (side == few)).tolist():
+        # sets that are too long or too short for this one are left out; on one side the shorter ones have had their turn
+        low = int(np.searchsorted(size, least * size[i] - 1e-9)) if two else i + 1
+        stop = int(np.searchsorted(size * least - 1e-9, size[i], "right"))
+        open_ = (root[low:stop] != root[i]) & ((side[low:stop] != few) | (not two))
         if not open_.any():
             continue
         mine[ids[ends[i] : ends[i + 1]]] = True
-        same = np.add.reduceat(mine[ids[ends[i + 1] : ends[stop]]], ends[i + 1 : stop] - ends[i + 1], dtype=np.int64)
+        same = np.add.reduceat(mine[ids[ends[low] : ends[stop]]], ends[low:stop] - ends[low], dtype=np.int64)
         mine[ids[ends[i] : ends[i + 1]]] = False
-        for j in (np.flatnonzero(open_ & (same >= least * (size[i] + size[i + 1 : stop] - same) - 1e-9)) + i + 1).tolist():
+        for j in (np.flatnonzero(open_ & (same >= least * (size[i] + size[low:stop] - same) - 1e-9)) + low).tolist():
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
-                found.append((num[i], num[j]))
+                found.append((names[given[i]], names[given[j]]))
     both = np.array(found, np.int64).reshape(-1, 2)
     return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
 
-def _rest_links(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links between texts of a bucket that the comparison with its first text has left in different components.
+def _meet(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of roots that join near sets of different roots inside each bucket of (bucket, num, root, side).
 
-    Buckets whose other texts are all in one component are done. The texts of the rest form clusters by shared
-    buckets; a cluster is cut into blocks of about ``BLOCK`` texts that meet two at a time, so every text meets every
-    text of the other components of its cluster. A task holds two blocks and sends links between components, no pairs.
+    Texts of side 0 have one root and meet side 1 only; those of side 1 meet each other as well, unless they are marked
+    ``star``. Both sides are cut into blocks of about ``BLOCK`` texts, and two blocks meet in one task, so a bucket of
+    any size is many small groups, and a bucket with few texts outside side 0 costs in proportion to its size.
+    """
+    counts = members.groupBy("bucket").agg(*[F.ceil(F.count_if(F.col("side") == s) / BLOCK).cast("int").alias(f"n{s}") for s in (0, 1)])
+    dealt = members.join(counts, "bucket")
+    own = F.pmod(F.xxhash64("num"), F.greatest(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.lit(1))).cast("int")
+    pair = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("at"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.transform(upto(F.col("n1")), lambda k: pair(-1 - F.col("own"), k, 0))
+    with_first = F.transform(upto(F.col("n0")), lambda k: pair(-1 - k, F.col("own"), 1))
+    each_other = F.transform(upto(F.col("n1")), lambda k: F.struct(F.least("own", k).alias("low"), F.greatest("own", k).alias("high"), (F.col("own") > k).cast("int").alias("at")))
+    cells = F.when(F.col("side") == 0, first).when(F.col("star"), with_first).otherwise(F.concat(with_first, each_other))
+    dealt = dealt.withColumn("own", own).select("bucket", "num", "root", F.explode(cells).alias("cell")).join(sets, "num").select(
+        "bucket", "cell.low", "cell.high", "num", "root", F.col("cell.at").alias("side"), "set")
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(lambda rows: _links(rows, least), "a long, b long")
+
+
+def _unlike(spread: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (bucket, num, root, side, star) of the buckets that still hold more than one component.
+
+    The component with most texts of a bucket is side 0. Buckets with the same members are one.
     """
-    known = members.select("bucket", "num").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("num").alias("first")).filter("low <> high").select("bucket", "first")
-    edges = cut_lineage(known.join(mixed, "bucket").select(F.col("first").alias("a"), F.col("num").alias("b"), "root"))
-    clusters = components(edges).withColumnsRenamed({"node": "num", "root": "cluster"})
-    nodes = cut_lineage(edges.select(F.col("b").alias("num"), "root").distinct().join(clusters, "num"))
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")
-    dealt = nodes.join(blocks, "cluster").withColumn("own", own).join(sets, "num").select(
-        "cluster", "num", "root", "set", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "num", "root", (F.col("own") > F.col("other")).cast("int").alias("side"), "set")
-    return dealt.groupBy("cluster", "low", "high").applyInArrow(lambda rows: _links(rows, least), "a long, b long")
+    known = spread.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
+    sizes = known.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("num").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "num")).alias("xor"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor")).filter("roots > 1")
+    once = mixed.groupBy("sum", "xor").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("b")).select("b.bucket", "b.main")
+    return known.join(once, "bucket").select("bucket", "num", "root", (F.col("root") != F.col("main")).cast("int").alias("side"), F.lit(False).alias("star"))
 
 
 def _text_key(text_col: str) -> Column:
@@ -213,25 +213,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     10 of 64 SimHash bits differ, too many for a ball, so candidates come from MinHash over the same shingles: texts
     meet if all ``rows`` smallest values of one of ``bands`` bands agree. A pair of similarity J is missed with
     probability (1 - J^rows)^bands, at 0.8 three in a million, whatever kind of edit lies between the two. Each text
-    of a bucket is compared with the first one, by the full shingle sets; texts that are still apart then meet in
-    :func:`_rest_links`, so no pair of a bucket is left out. Null counts as empty.
+    of a bucket is compared with the first one, by the full shingle sets; buckets that still hold more than one
+    component then compare every text with those of the other components, block by block, so no pair of a bucket is
+    left out. Null counts as empty.
     """
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     prints = cut_lineage(_sketches(keyed, shingle, bands, rows))
     reps = cut_lineage(prints.groupBy("key").agg(F.min("id").alias("first_id"), F.max("size").alias("size"), F.max("bands").alias("bands")).withColumn("num", F.xxhash64("key")), prints)
-    spread = reps.select("num", "size", F.explode("bands").alias("bucket"))
-    heads = spread.groupBy("bucket").agg(F.min(F.struct("num", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut_lineage(spread.join(heads, "bucket").filter("num <> head.num"))
-    alike_sizes = F.least("size", "head.size") >= similarity * F.greatest("size", "head.size") - 1e-9
-    pairs = cut_lineage(members.filter(alike_sizes).select(F.col("head.num").alias("a"), F.col("num").alias("b")).distinct())
-    met = members.select(F.explode(F.array("num", "head.num")).alias("num")).distinct().join(reps, "num")
+    spread = reps.select("num", F.explode("bands").alias("bucket"))
+    heads = spread.groupBy("bucket").agg(F.min("num").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = cut_lineage(spread.join(heads, "bucket").filter("num <> head"))
+    met = members.select(F.explode(F.array("num", "head")).alias("num")).distinct().join(reps, "num")
     wanted = met.select("num", F.concat_ws(":", "key", F.coalesce(F.col("first_id").cast("string"), F.lit("null"))).alias("row_key"))
     texts = keyed.withColumn("row_key", _row_key("text", F.col("id"))).join(wanted, "row_key")
     sets = cut_lineage(_packed_shingles(texts, shingle).dropDuplicates(["num"]))
-    links = cut_lineage(_alike(pairs, sets, similarity))
-    rest = _rest_links(members, components(links).withColumnRenamed("node", "num"), sets, similarity)
-    roots = components(links.union(rest)).withColumnRenamed("node", "num")
-    named = reps.select("num", "key", "first_id").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
+    pairs = members.select(F.col("head").alias("bucket"), "num").distinct()
+    heads = pairs.select("bucket").distinct()
+    star = pairs.select("bucket", "num", F.lit(1).alias("side")).union(heads.select("bucket", F.col("bucket").alias("num"), F.lit(0).alias("side")))
+    near = components(_meet(cut_lineage(star.withColumn("root", F.col("num")).withColumn("star", F.lit(True))), sets, similarity)).withColumnRenamed("node", "num")
+    bucketed = members.select("bucket", "num").union(members.select("bucket", F.col("head").alias("num")).distinct())
+    rest = components(_meet(cut_lineage(_unlike(bucketed, near)), sets, similarity)).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    named = reps.select("num", "key", "first_id").join(near, "num", "left").withColumn("root", F.coalesce("root", "num"))
+    named = named.join(rest, "root", "left").withColumn("root", F.coalesce("whole", "root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return named.join(smallest, "root").select("key", "first_id", "component_id")
 

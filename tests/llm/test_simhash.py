@@ -155,3 +155,17 @@ def test_all_texts_of_a_bucket_meet(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block)
         got = {r.first_id: r.component_id for r in simhash.near_duplicates(docs, bands=1, rows=1).collect()}
         assert [got[i] for i in range(len(texts))] == root
+
+
+def test_a_bucket_of_boilerplate(spark):
+    """5000 texts of one template share a bucket; copies among them are found wherever they stand, and nothing else is linked."""
+    rng = np.random.default_rng(33)
+    base = [f"t{i}" for i in range(24)]
+    own = [[str(x) for x in rng.integers(0, 10**9, 6)] for _ in range(4980)]
+    texts = [" ".join(base + o) for o in own] + [" ".join(base + own[250 * i][:5] + ["end"]) for i in range(20)]
+    sets = [simhash.shingle_hashes(t, 5, 0, True) for t in texts]
+    rows = next(r for r in range(1, 40) if sum(simhash.band_keys(x, r, 1)[r - 1] == simhash.band_keys(sets[0], r, 1)[r - 1] for x in sets[:200]) > 120)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.first_id: r.component_id for r in simhash.near_duplicates(docs, bands=rows + 8, rows=1).collect()}
+    assert [got[4980 + i] for i in range(20)] == [250 * i for i in range(20)]
+    assert sum(got[i] == i for i in range(4980)) == 4980
