@@ -16,7 +16,7 @@ KINDS = ("assign", "access", "hex")
 
 # Weak candidates: (kind, role, pattern). They count only near a part of another role.
 WEAK = (
-    ("user", "id", r"""(?i:\b(?:user(?:name|_?id)?|login|client_?id|account))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""),
+    ("user", "id", r"""(?<![A-Za-z0-9_])(?i:(?:user(?:name|_?id)?|login|client_?id|account))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""),
     ("key", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_-])"),
     ("url", "endpoint", r"""(?:https?|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+"""),
     ("host", "endpoint", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])"),
@@ -125,13 +125,13 @@ def _all_spans(*names: str, base: bool = True) -> Column:
 def secret_report(docs: DataFrame, reach: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans (``kind:start:stop``, joined) and weak_spans.
 
-    ``spans`` holds base spans and what they support, ``weak_spans`` the weak parts that support each other alone. Null
-    and empty texts have no spans and the digest of the empty string. Repeated rows and null ids stay rows of their
+    ``spans`` holds base spans, what they support, and the weak parts that support each other; these last are in
+    ``weak_spans`` as well. Null and empty texts have no spans and the digest of the empty string. Repeated rows and null ids stay rows of their
     own; other columns are not read. The texts are scanned once; only the spans of texts that have some go on.
     """
     based = _found(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")), "_x", "_id")
     found = based.filter("_digest IS NOT NULL")
-    some = found.join(linked_spans(found, reach), "_digest", "left").select("_id", "_base", _all_spans("_linked").alias("_spans"), _all_spans("_paired", base=False).alias("_pairs"))
+    some = found.join(linked_spans(found, reach), "_digest", "left").select("_id", "_base", _all_spans("_linked", "_paired").alias("_spans"), _all_spans("_paired", base=False).alias("_pairs"))
     none = based.filter("_digest IS NULL").select("_id", "_base", F.col("_base").alias("_spans"), F.col("_base").alias("_pairs"))
     of_kind = lambda no: F.size(F.filter("_base", lambda x: x["no"] == no)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]

@@ -69,6 +69,17 @@ def entries(folded: str) -> set[str]:
     return out
 
 
+def _outside(found: dict[int, float], void: list[tuple[int, int]]) -> dict[int, float]:
+    """The hits that begin in none of the half-open spans ``void``: one sweep over both, sorted."""
+    kept, spans, reach, k = {}, sorted(void), -1, 0
+    for at in sorted(found):
+        while k < len(spans) and spans[k][0] <= at:
+            reach, k = max(reach, spans[k][1]), k + 1
+        if at >= reach:
+            kept[at] = found[at]
+    return kept
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float]
@@ -98,7 +109,7 @@ class Lexicon:
             else:
                 found[end - n + 1] = max(found.get(end - n + 1, 0.0), weight)
         if void:
-            found = {at: w for at, w in found.items() if not any(a <= at < b for a, b in void)}
+            found = _outside(found, void)
         words: dict[str, list[float]] = {}
         for at, weight in found.items():
             words.setdefault(flat[at + 1 : flat.index(" ", at + 1)], []).append(weight)
@@ -120,20 +131,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     return cut_lineage(docs.select(F.col(id_col).alias("_id"), text.alias("text")).join(ids, "_id").select("text", "label"))
 
 
-def _document_frequency(texts: DataFrame, among: frozenset[str] | None) -> DataFrame:
-    """(entry, n): in how many of the texts an entry occurs. Counted per task first."""
+def _document_frequency(rows: DataFrame) -> DataFrame:
+    """(entry, bad, good): in how many toxic and clean texts an entry occurs. Counted per task first, one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for label, found in enumerate(counts):
+                n, none = pa.array(found.values(), pa.int64()), pa.array(np.zeros(len(found), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *([n, none] if label else [none, n])], ["entry", "bad", "good"])
+                found.clear()
+
         for batch in batches:
-            for text in column(batch, "text").to_pylist():
-                counts.update(entries(fold(text)) if among is None else entries(fold(text)) & among)
-                if len(counts) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
-                    counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
+            for text, label in zip(column(batch, "text").to_pylist(), column(batch, "label").to_pylist()):
+                counts[label].update(entries(fold(text)))
+                if len(counts[label]) > 300_000:
+                    yield from sent()
+        yield from sent()
 
-    return texts.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return rows.select("text", "label").mapInArrow(run, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def _specific(bad: dict[str, float], nearly: float = 0.8) -> dict[str, float]:
@@ -146,23 +163,22 @@ def _specific(bad: dict[str, float], nearly: float = 0.8) -> dict[str, float]:
     return {e: n for e, n in bad.items() if e.endswith(" ") or best.get(e, 0.0) < nearly * n}
 
 
-def learn(rows: DataFrame, least_weight: float = 2.5, least_share: float = 0.005, prior: float = 2.0) -> Lexicon:
+def learn(rows: DataFrame, least_weight: float = 2.5, least_count: int = 3, prior: float = 2.0) -> Lexicon:
     """A lexicon from all rows of :func:`training_rows`: smoothed log-odds of words and word beginnings, calibrated.
 
-    An entry must occur in at least three toxic texts and in ``least_share`` of them, so the entries that come to the
-    driver are bounded by the words of a text over that share, whatever the corpus. Known insults count as seen in
-    ``prior`` toxic texts. Without labels only the known insults remain.
+    Entries are counted and weighed in Spark; an entry is taken if it occurs in ``least_count`` toxic texts and weighs
+    ``least_weight`` or more, at every size of the corpus. Only such entries come to the driver. Known insults count as
+    seen in ``prior`` toxic texts. Without labels only the known insults remain.
     """
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
-    bad = {r["entry"]: r["n"] for r in _document_frequency(rows.filter("label = 1"), None).filter(F.col("n") >= max(3, least_share * n_bad)).collect()}
-    for word in INSULTS:
-        bad[fold(word)] = bad.get(fold(word), 0) + prior
-    good = {r["entry"]: r["n"] for r in _document_frequency(rows.filter("label = 0"), frozenset(bad)).collect()}
-    odds = math.log(max(n_bad, 4) / max(n_good, 4))
-    bad = _specific(bad)
-    weights = {e: min(math.log((b + 0.25) / (good.get(e, 0) + 0.25)) - odds, 8.0) for e, b in bad.items()}
+    odds = math.log(max(sizes.get(1, 0), 4) / max(sizes.get(0, 0), 4))
     known = {fold(word) for word in INSULTS}  # stay unless the labels speak against them
+    heavy = F.log((F.col("bad") + 0.25) / (F.col("good") + 0.25)) - odds >= least_weight
+    counts = _document_frequency(rows).filter((F.col("bad") >= least_count) & heavy | F.col("entry").isin(sorted(known))).collect()
+    bad, good = {r["entry"]: float(r["bad"]) for r in counts}, {r["entry"]: r["good"] for r in counts}
+    for word in known:
+        bad[word] = bad.get(word, 0.0) + prior
+    weights = {e: min(math.log((b + 0.25) / (good.get(e, 0) + 0.25)) - odds, 8.0) for e, b in _specific(bad).items()}
     lexicon = Lexicon({e: w for e, w in weights.items() if w >= least_weight or e in known and w > 0})
     lexicon.slope, lexicon.offset = _calibrate(lexicon, rows, "text", "label")
     return lexicon

@@ -1,4 +1,7 @@
 import math
+import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -44,6 +47,37 @@ def test_learned_stems(spark):
     assert fresh[0] > 0.5 > fresh[1]
 
 
+def test_rare_words_are_learned_in_large_tables(spark):
+    """A word of 400 among 100,000 toxic texts, and of no clean one, is an entry."""
+    rows = spark.range(200_000).selectExpr(
+        "concat('text of river ', id % 50, if(id % 2 = 1, ' bogtrotter', ''), if(id % 500 = 1, ' zanybrute', '')) AS text", "CAST(id % 2 AS INT) AS label")
+    lexicon = toxicity.learn(rows)
+    assert {" zanybrute ", " bogtrotter "} <= set(lexicon.weights) and not {" text ", " river ", " of "} & set(lexicon.weights)
+
+
+def test_exceptions_void_hits_like_a_plain_search():
+    lexicon = toxicity.Lexicon({toxicity.fold("trash"): 3.0, toxicity.fold("rat"): 2.0, " idio": 4.0, toxicity.fold("pig"): 1.5})
+    auto, rng = lexicon.automaton(), random.Random(6)
+    words = ["trash", "can", "rat", "race", "lab", "idiot", "idiotic", "pig", "iron", "guinea", "taking", "out", "the", "clean"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        flat = toxicity.fold(text)
+        void = [(m.start(), m.start() + len(toxicity.fold(p)) - 1) for p in toxicity.EXCEPTIONS for m in re.finditer(f"(?={re.escape(toxicity.fold(p))})", flat)]
+        heavy = {}
+        for e, w in lexicon.weights.items():
+            for m in re.finditer(f"(?={re.escape(e)})", flat):
+                if not any(a <= m.start() < b for a, b in void):
+                    heavy[m.start()] = max(heavy.get(m.start(), 0.0), w)
+        per = {}
+        for at, w in sorted(heavy.items()):
+            per.setdefault(flat[at + 1 :].split(" ")[0], []).append(w)
+        want = sum(w[0] * (1 + math.log(len(w))) for w in per.values()) / math.log2(8 + flat.count(" ")) if text else 0.0
+        assert abs(lexicon.raw(auto, text) - want) < 1e-9
+    start = time.time()
+    assert lexicon.raw(auto, "taking out the trash idiot " * 400_000) > 0  # 10 MB
+    assert time.time() - start < 60
+
+
 def test_toxicity_without_labels_and_on_awkward_rows(spark, awkward, none):
     docs, labels = _labelled(spark, [("plain words", 0)])
     lexicon = toxicity.learn(toxicity.training_rows(docs, labels.limit(0), "toxic"))
