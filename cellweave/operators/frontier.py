@@ -13,6 +13,8 @@ from math import gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +184,20 @@ def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], pri
     )
 
 
+def walking_field(ground: DataFrame, starts: DataFrame, keys: Sequence[str], margin: int = 0) -> DataFrame:
+    """Walking field over free ground, priced by its clearance to buildings: costs and parents as :func:`cheapest_field`.
+
+    ``ground``: keys, row, col, ``built`` (0 or 1), counted from the window's corner; with a halo of ``margin`` cells
+    rows and columns begin at ``-margin``, and ways may leave the window. Ground without a cell is closed.
+    """
+    clear = distance_to_other(ground, keys, "built", [0, 1]).filter("built = 0")
+    # blocks count from the corner of the halo, so that a window within one block stays in it
+    priced = clear.select(*keys, (F.col("row") + margin).alias("row"), (F.col("col") + margin).alias("col"), walking_price(F.coalesce("dist", F.lit(8.0))).alias("price"))
+    at = starts.select(*keys, (F.col("srow") + margin).alias("srow"), (F.col("scol") + margin).alias("scol"))
+    found = cheapest_field(priced, at, keys, "price")
+    return found.select(*keys, *[(F.col(c) - margin).alias(c) for c in ("row", "col")], "cost", *[(F.col(c) - margin).alias(c) for c in ("prow", "pcol")])
+
+
 def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Free cells with the mask of the sixteen steps that cut no corner: the cells between must be free as well."""
     around = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if (dy, dx) != (0, 0)]
@@ -313,11 +329,43 @@ def label_cells(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int
     return runs.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
 
 
+FAR = 1 << 60  # squared gap of a column without a cell of another class
+ROW_BLOCK = 64
+
+
+def lower_envelope(gaps: np.ndarray) -> np.ndarray:
+    """min over j of (i - j)^2 + gaps[r, j] for every row r and column i.
+
+    The best j never falls as i grows, so columns are settled at half the stride each time, each between the best of
+    its two neighbours: all rows together look at about width x log2(width) places, whatever the distances.
+    """
+    height, width = gaps.shape
+    best, value = np.zeros((height, width), np.int64), np.zeros((height, width), np.int64)
+    stride = 1 << (width - 1).bit_length()
+    while stride:
+        cols = np.arange(stride - 1, width, 2 * stride)
+        if len(cols):
+            low = np.where(cols >= stride, best[:, np.maximum(cols - stride, 0)], 0).ravel()
+            high = np.where(cols + stride < width, best[:, np.minimum(cols + stride, width - 1)], width - 1).ravel()
+            size = high - low + 1
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) - np.repeat(ends - size - low, size)
+            place = np.repeat(np.arange(len(size)), size)
+            cost = (cols[place % len(cols)] - at) ** 2 + gaps[place // len(cols), at]
+            least = np.minimum.reduceat(cost, ends - size)
+            first = np.flatnonzero(cost == least[place])
+            owner, where = np.unique(place[first], return_index=True)
+            best[:, cols] = at[first[where]].reshape(height, -1)
+            value[:, cols] = least.reshape(height, -1)
+        stride >>= 1
+    return value
+
+
 def distance_to_other(cells: DataFrame, keys: Sequence[str], value: str, classes: Sequence[int]) -> DataFrame:
     """Exact Euclidean distance of every cell to the nearest cell of another class; null when there is none.
 
-    Columns first: per class the nearest row of another class, by two running scans. Then each cell looks along
-    its row only as far as its own column distance, as equi-joins on cells.
+    Columns first: per class the nearest row of another class, by two running scans. Then the lower envelope along
+    each row, for ``ROW_BLOCK`` rows of a raster in one task. No cell is multiplied.
     """
     up = Window.partitionBy(*keys, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys, "col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
@@ -325,22 +373,26 @@ def distance_to_other(cells: DataFrame, keys: Sequence[str], value: str, classes
     for c in classes:
         other = F.when(F.col(value) != c, F.col("row"))
         above, below = F.last(other, ignorenulls=True).over(up), F.first(other, ignorenulls=True).over(down)
-        gaps.append(F.least(F.col("row") - above, below - F.col("row")))
-    at = cells.select(*keys, "row", "col", value, F.array(*gaps).alias("_g")).withColumn(
-        "g", F.element_at("_g", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(value)).cast("int"))
-    )
-    edge = cells.groupBy(*keys, "row").agg(F.min("col").alias("_c0"), F.max("col").alias("_c1"))
-    look = at.join(edge, [*keys, "row"]).select(
-        *keys, "row", "col", value, F.col("g").alias("own"),
-        F.explode(F.sequence(
-            F.greatest(F.col("_c0"), F.coalesce(F.col("col") - F.col("g"), F.col("_c0"))),
-            F.least(F.col("_c1"), F.coalesce(F.col("col") + F.col("g"), F.col("_c1"))),
-        )).alias("_c"),
-    )
-    side_gap = at.select(*keys, "row", F.col("col").alias("_c"), "_g")
-    g = F.element_at("_g", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(value)).cast("int"))
-    d2 = g * g + (F.col("_c") - F.col("col")) * (F.col("_c") - F.col("col"))
-    return look.join(side_gap, [*keys, "row", "_c"]).groupBy(*keys, "row", "col", value).agg(F.sqrt(F.min(d2).cast("double")).alias("dist"))
+        gaps.append(F.least(F.col("row") - above, below - F.col("row")).cast("bigint"))
+    at = cells.select(*keys, "row", "col", value, F.array(*gaps).alias("_g"), F.floor(F.col("row") / ROW_BLOCK).alias("_b"))
+    known = list(classes)
+
+    def along_rows(rows: pa.Table) -> pa.Table:
+        row, col, own = (rows.column(c).to_numpy() for c in ("row", "col", value))
+        row, col = row - row.min(), col - col.min()
+        gap = pc.fill_null(pc.list_flatten(rows.column("_g")), -1).to_numpy().reshape(-1, len(known))
+        squares = np.full(len(row), FAR)
+        for i, c in enumerate(known):
+            mine = own == c
+            if mine.any():
+                grid = np.full((int(row.max()) + 1, int(col.max()) + 1), FAR)
+                grid[row, col] = np.where(gap[:, i] < 0, FAR, gap[:, i] ** 2)
+                squares[mine] = lower_envelope(grid)[row[mine], col[mine]]
+        dist = pa.array(np.sqrt(squares.astype(np.float64)), mask=squares >= FAR)
+        return rows.select([*keys, "row", "col", value]).append_column("dist", dist)
+
+    schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in (*keys, "row", "col", value))
+    return at.groupBy(*keys, "_b").applyInArrow(along_rows, f"{schema}, dist double")
 
 
 def walking_price(clearance: Column, weight: float = 4.0, cap: float = 8.0) -> Column:

@@ -82,6 +82,26 @@ def cut_windows(raster: DataFrame, windows: DataFrame, keys: Sequence[str], size
     )
 
 
+def cut_with_halo(raster: DataFrame, windows: DataFrame, keys: Sequence[str], size: int, margin: int, block: int) -> DataFrame:
+    """:func:`cut_windows` with ``margin`` cells of ground round each window; ``core`` marks the window itself.
+
+    Rows and columns count from the window's corner, so the halo has negative ones and such beyond ``size``. A cell of
+    the big raster serves every window it is near, by one equi-join on blocks. Ground beyond the raster has no cells;
+    :func:`ground_bounds` says where it ends.
+    """
+    wide = windows.withColumns({"dx": F.col("dx") - margin, "dy": F.col("dy") - margin})
+    cells = cut_windows(raster, wide, keys, size + 2 * margin, block)
+    return cells.withColumns({"row": F.col("row") - margin, "col": F.col("col") - margin}).withColumn("core", inside("row", "col", size))
+
+
+def ground_bounds(size: int, margin: int, height: int, width: int) -> dict[str, Column]:
+    """Half-open bounds ``r0, r1, c0, c1`` of the ground a window ``(dx, dy)`` with its halo has inside a raster."""
+    return {
+        "r0": F.greatest(F.lit(-margin), -F.col("dy")), "r1": F.least(F.lit(size + margin), height - F.col("dy")),
+        "c0": F.greatest(F.lit(-margin), -F.col("dx")), "c1": F.least(F.lit(size + margin), width - F.col("dx")),
+    }
+
+
 def neighbours8() -> list[tuple[int, int]]:
     return [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 

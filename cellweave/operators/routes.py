@@ -53,15 +53,20 @@ def samples(segs: DataFrame, step: float = SAMPLE_STEP_M) -> DataFrame:
     }).drop("_n")
 
 
+BOUNDS = ("r0", "r1", "c0", "c1")  # half-open ground round a window, where it is more than the window
+
+
 def crossing(segs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
-    """Per key: does any sample lie on a building or off the window.
+    """Per key: does any sample lie on a building or off the ground.
 
-    Only building cells ``(frame, row, col)`` are joined; being off the window is arithmetic. Samples are
-    reduced to distinct cells per key inside the tasks before they meet the buildings.
+    The ground is the window, or the bounds ``r0, r1, c0, c1`` if the segments carry them. Only building cells
+    ``(frame, row, col)`` are joined; being off the ground is arithmetic. Samples are reduced to distinct cells per
+    key inside the tasks before they meet the buildings.
     """
     hit = buildings.select(frame, "row", "col").withColumn("_hit", F.lit(True))
-    cells = samples(segs).groupBy(*keys, frame, "row", "col").agg(F.lit(1).alias("_one"))
-    off = ~F.expr(f"row >= 0 AND row < {side} AND col >= 0 AND col < {side}")
+    bounds = [c for c in BOUNDS if c in segs.columns]
+    cells = samples(segs).groupBy(*keys, frame, "row", "col").agg(*[F.first(c).alias(c) for c in bounds], F.lit(1).alias("_one"))
+    off = ~F.expr("row >= r0 AND row < r1 AND col >= c0 AND col < c1" if bounds else f"row >= 0 AND row < {side} AND col >= 0 AND col < {side}")
     return cells.join(hit, [frame, "row", "col"], "left").groupBy(*keys).agg(
         F.bool_or(F.coalesce("_hit", F.lit(False)) | off).alias("crosses")
     )
@@ -76,13 +81,15 @@ def visible(pairs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[s
 def verdicts(routes: DataFrame, points: DataFrame, buildings: DataFrame, side: int) -> DataFrame:
     """One row per route: solved or the first failing check, with errors, length and ratio.
 
-    ``routes``: route_id, crop_id, sx, sy, gx, gy, teacher_m. Routes without points are unparseable.
+    ``routes``: route_id, crop_id, sx, sy, gx, gy, teacher_m, and the bounds of the ground if there is a halo. Routes
+    without points are unparseable.
     """
+    bounds = [c for c in BOUNDS if c in routes.columns]
     ends = points.groupBy("route_id").agg(
         F.count("*").alias("n"), F.min_by(F.struct("x", "y"), "pos").alias("a"), F.max_by(F.struct("x", "y"), "pos").alias("b"),
         F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).alias("finite"),
     )
-    segs = segments(points, ["route_id"]).join(routes.select("route_id", "crop_id"), "route_id")
+    segs = segments(points, ["route_id"]).join(routes.select("route_id", "crop_id", *bounds), "route_id")
     lengths = segs.groupBy("route_id").agg(F.sum(seg_length()).alias("length_m"))
     hits = crossing(segs, "crop_id", buildings, ["route_id"], side)
     err = lambda p, x, y: F.sqrt(F.pow(F.col(f"{p}.x") - F.col(x), 2) + F.pow(F.col(f"{p}.y") - F.col(y), 2))

@@ -120,6 +120,30 @@ def walking_field_costs(spark, sf):
     return walking_field(spark, sf).filter("cost IS NOT NULL").select("crop_id", "row", "col", "cost")
 
 
+HALO_SQL = """hw AS (SELECT crop_id, crop_id // 16 AS district, CAST((crop_id % 16 - crop_id % 4) / 4 * 32 AS INT) AS dy, CAST(crop_id % 4 * 32 AS INT) AS dx FROM fx_walks),
+    hd AS MATERIALIZED (SELECT crop_id // 16 AS district, CAST((crop_id % 16 - crop_id % 4) / 4 * 32 + row AS INT) AS row, CAST(crop_id % 4 * 32 + col AS INT) AS col, surface FROM fx_raster),
+    hal AS MATERIALIZED (SELECT w.crop_id, d.row - w.dy AS row, d.col - w.dx AS col, d.surface FROM hw w JOIN hd d USING (district)
+      WHERE d.row >= w.dy - 8 AND d.row < w.dy + 40 AND d.col >= w.dx - 8 AND d.col < w.dx + 40), """ + PRICED_SQL.replace(
+    # a price is 1 from 8 m on, so no building further away matters
+    "fx_raster a JOIN fx_raster b ON a.crop_id = b.crop_id AND a.surface <> 3 AND b.surface = 3", "hal a LEFT JOIN hal b ON a.crop_id = b.crop_id AND b.surface = 3 AND abs(a.row - b.row) <= 8 AND abs(a.col - b.col) <= 8 WHERE a.surface <> 3"
+).replace("least(dist, 8)", "least(coalesce(dist, 8), 8)")
+
+
+def halo_field(spark, sf):
+    """Walking field of every window over the window and the ground round it, so that ways may leave the window."""
+    from cellweave.plans import q_routes as qr
+
+    windows = qr.halo_windows(walks(spark, sf).select("crop_id"))
+    ground = grids.cut_with_halo(qr.district_cells(spark, sf), windows, ["district"], SIDE, qr.MARGIN, SIDE)
+    return fr.walking_field(ground.selectExpr("crop_id", "row", "col", "CAST(surface = 3 AS INT) AS built"), walks(spark, sf), K, qr.MARGIN)
+
+
+@query("r03_field_with_margin", HALO_SQL + " SELECT crop_id, row, col, cost FROM fld WHERE row BETWEEN 0 AND 31 AND col BETWEEN 0 AND 31")
+def field_with_margin(spark, sf):
+    found = once(spark, sf, "field_halo", lambda: halo_field(spark, sf))
+    return found.filter("cost IS NOT NULL").filter(grids.inside("row", "col", SIDE)).select("crop_id", "row", "col", "cost")
+
+
 # ------------------------------------------------------------------ drawings on the 8 x 8 grid
 
 G = fx.GRID

@@ -36,14 +36,33 @@ def stream_replaces_rows(spark, sf):
     stream = sm.metric_stream(spark, f"{work}/in", src.schema, files_per_batch=2)
     q = sm.keep_latest(stream, f"{work}/out", f"{work}/state", ["run_id", "step", "metric"], "seq")
     q.awaitTermination()
-    return sm.current(spark, f"{work}/out", ["run_id", "step", "metric"], "seq").select("run_id", "step", "metric", "value", "seq")
+    return sm.current(spark, f"{work}/out", src.schema, ["run_id", "step", "metric"], "seq").select("run_id", "step", "metric", "value", "seq")
 
 
-@query("t02_run_state", """SELECT run_id, coalesce(arg_max(s, seq) FILTER (WHERE s <> 'active'), arg_max(s, seq)) AS state, max(seq) AS seq FROM
-    (SELECT run_id, seq, CASE WHEN seq % 40 = 0 THEN 'complete' WHEN seq % 53 = 0 THEN 'aborted' ELSE 'active' END AS s FROM fx_eval_rows) GROUP BY 1""")
+STATE_SQL = """SELECT run_id, coalesce(arg_max(s, seq) FILTER (WHERE s <> 'active'), arg_max(s, seq)) AS state, max(seq) AS seq FROM
+    (SELECT run_id, seq, CASE WHEN seq % 40 = 0 THEN 'complete' WHEN seq % 53 = 0 THEN 'aborted' ELSE 'active' END AS s FROM fx_eval_rows) GROUP BY 1"""
+
+
+def ledger_events(spark, sf):
+    return rows(spark, sf).selectExpr("run_id", "seq", "CASE WHEN seq % 40 = 0 THEN 'complete' WHEN seq % 53 = 0 THEN 'aborted' ELSE 'active' END AS state")
+
+
+@query("t02_run_state", STATE_SQL)
 def run_state(spark, sf):
-    ev = rows(spark, sf).selectExpr("run_id", "seq", "CASE WHEN seq % 40 = 0 THEN 'complete' WHEN seq % 53 = 0 THEN 'aborted' ELSE 'active' END AS state")
-    return sm.run_state(ev)
+    return sm.run_state(ledger_events(spark, sf))
+
+
+@query("t02_run_state_stream", STATE_SQL)
+def run_state_stream(spark, sf):
+    """The ledger as a stream of files that arrive in no order, stopped half-way and started again."""
+    work = scratch_folder(spark)
+    events = ledger_events(spark, sf)
+    table = sm.state_table(spark, f"{work}/state", every=3)
+    for part in (1, 0):  # the later half of the events arrives first
+        events.filter(F.pmod(F.expr("seq DIV 64"), F.lit(2)) == part).repartition(4).write.mode("append").parquet(f"{work}/in")
+        stream = sm.metric_stream(spark, f"{work}/in", events.schema, files_per_batch=1)
+        table.keep(sm.state_rows(stream), f"{work}/checkpoint").awaitTermination()
+    return sm.run_states(table.read())
 
 
 @query("t03_filtered_big_table", """SELECT stop_id, count(*) AS n FROM fx_stop_times WHERE stop_id IN (SELECT stop_id FROM fx_stops WHERE x < 500) GROUP BY 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import answers as an
 from cellweave.functions import bins
-from cellweave.operators import ranking
+from cellweave.operators import grids, ranking
 from cellweave.operators import routes as rt
 from cellweave.plans import fixtures as fx
 from cellweave.plans.registry import query
@@ -340,3 +340,83 @@ def baselines(spark, sf):
             F.lit(name).alias("baseline"), F.count("*").alias("vertices"), F.round(F.sum("x"), 3).alias("sum_x"), F.round(F.sum("y"), 3).alias("sum_y"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ------------------------------------------------------------------ windows with ground round them
+
+MARGIN = 8  # cells of ground round a window
+ACROSS = 4  # windows along a district
+PLACE = ("CAST((crop_id % 16 - crop_id % 4) / 4 * 32 AS INT) AS dy", "CAST(crop_id % 4 * 32 AS INT) AS dx")  # of a window in its district
+
+
+def _halo_sql(text: str) -> str:
+    """The verdicts' SQL on lines that may leave their window, and on the ground of the whole district round it."""
+    bld = """hw AS MATERIALIZED (SELECT DISTINCT crop_id, crop_id // 16 AS district, """ + ", ".join(PLACE) + """ FROM fx_routes),
+    hd AS MATERIALIZED (SELECT crop_id // 16 AS district, CAST((crop_id % 16 - crop_id % 4) / 4 * 32 + row AS INT) AS row, CAST(crop_id % 4 * 32 + col AS INT) AS col FROM fx_raster WHERE surface = 3),
+    bld AS MATERIALIZED (SELECT w.crop_id, d.row - w.dy AS row, d.col - w.dx AS col FROM hw w JOIN hd d USING (district)
+      WHERE d.row >= w.dy - 8 AND d.row < w.dy + 40 AND d.col >= w.dx - 8 AND d.col < w.dx + 40)"""
+    plain = "bld AS (SELECT crop_id, row, col FROM fx_raster WHERE surface = 3)"
+    off = "a.row < 0 OR a.row > 31 OR a.col < 0 OR a.col > 31"
+    assert plain in text and off in text
+    text = text.replace(plain, bld).replace(off, "a.row < greatest(-8, -dy) OR a.row >= least(40, 128 - dy) OR a.col < greatest(-8, -dx) OR a.col >= least(40, 128 - dx)")
+    text = text.replace("FROM cel a LEFT JOIN bld b USING (crop_id, row, col)", "FROM cel a JOIN hw USING (crop_id) LEFT JOIN bld b USING (crop_id, row, col)").replace("fx_route_points", "hp")
+    return """hp AS MATERIALIZED (SELECT route_id, pos, x, round(y - CASE WHEN route_id % 4 = 0 AND pos = 2 AND route_id % 5 > 0 THEN 12 ELSE 0 END, 3) AS y FROM fx_route_points), """ + text
+
+
+def halo_points(spark, sf):
+    """Predicted lines of which every fourth makes a detour that may leave its window."""
+    away = F.expr("IF(route_id % 4 = 0 AND pos = 2 AND route_id % 5 > 0, 12, 0)")
+    return points(spark, sf).withColumn("y", F.round(F.col("y") - away, 3))
+
+
+def halo_windows(df):
+    return df.selectExpr("crop_id", "crop_id DIV 16 AS district", *PLACE)
+
+
+def halo_routes(spark, sf):
+    """Routes with the bounds of their ground: the window, the margin and no more than the district."""
+    r = routes(spark, sf)
+    where = r.selectExpr("*", *PLACE)
+    return where.withColumns(grids.ground_bounds(SIDE, MARGIN, ACROSS * SIDE, ACROSS * SIDE)).drop("dy", "dx")
+
+
+def district_cells(spark, sf, columns=("surface",)):
+    """The windows of the fixture laid side by side, sixteen to a district raster."""
+    r = fx.view(spark, sf, "fx_raster").selectExpr("*", *PLACE)
+    return r.selectExpr("crop_id DIV 16 AS district", "row + dy AS row", "col + dx AS col", *columns)
+
+
+def halo_buildings(spark, sf):
+    windows = halo_windows(routes(spark, sf).select("crop_id").distinct())
+    built = district_cells(spark, sf).filter("surface = 3").drop("surface")
+    return grids.cut_with_halo(built, windows, ["district"], SIDE, MARGIN, SIDE).select("crop_id", "row", "col")
+
+
+def halo_verdicts(spark, sf, lines=halo_points):
+    return rt.verdicts(halo_routes(spark, sf), lines(spark, sf), halo_buildings(spark, sf), SIDE)
+
+
+@query("j11_segments_with_margin", _halo_sql(HIT_SQL) + " SELECT route_id, seg, crosses FROM hit")
+def segments_with_margin(spark, sf):
+    r = halo_routes(spark, sf).select("route_id", "crop_id", *rt.BOUNDS)
+    segs = rt.segments(halo_points(spark, sf), ["route_id"]).join(r, "route_id")
+    return rt.crossing(segs, "crop_id", halo_buildings(spark, sf), ["route_id", "seg"], SIDE)
+
+
+@query("a36_verdicts_with_margin", _halo_sql(VERDICT_SQL) + """ SELECT route_id, coalesce(reason, 'solved') AS verdict, crosses, round(length_m, 3) AS length_m,
+    round(ratio, 4) AS length_ratio FROM vd""")
+def verdicts_with_margin(spark, sf):
+    return halo_verdicts(spark, sf).select(
+        "route_id", F.coalesce("reason", F.lit("solved")).alias("verdict"), "crosses", F.round("length_m", 3).alias("length_m"), F.round("ratio", 4).alias("length_ratio"))
+
+
+@query("a37_report_with_margin", _halo_sql(VERDICT_SQL) + f" SELECT {REPORT_SQL} FROM vd")
+def report_with_margin(spark, sf):
+    return rt.report(halo_verdicts(spark, sf))
+
+
+@query("a56_methods_with_margin", _halo_sql(STRAIGHT_SQL) + f""" SELECT 'predicted' AS method, {REPORT_SQL} FROM vd UNION ALL SELECT 'straight', {REPORT_SQL} FROM sv""")
+def methods_with_margin(spark, sf):
+    cols = ["n_goal", "ratio", "reason", "solved"]
+    base = halo_verdicts(spark, sf, straight).select(*cols).withColumn("method", F.lit("straight"))
+    return rt.report(halo_verdicts(spark, sf).select(*cols).withColumn("method", F.lit("predicted")).unionByName(base), ["method"])

@@ -69,7 +69,7 @@ ANSWERS = [
     ("go [1, 2] then [3, 4] then [5", [[1, 2], [3, 4]]),
     ('{"path": [[1, 2], [3]]}', None),
     ("", None),
-    ("[" + ", ".join(f"[{i}, {i}]" for i in range(20)) + "]", [[i, i] for i in range(12)]),
+    ("[" + ", ".join(f"[{i}, {i}]" for i in range(20)) + "]", [[i, i] for i in range(20)]),
 ]
 
 
@@ -79,6 +79,12 @@ def test_answer_parsing(spark, text, want):
     assert got == want
 
 
+def test_answer_parsing_takes_as_many_points_as_asked(spark):
+    text = "[" + ", ".join(f"[{i}, {i}]" for i in range(20)) + "]"
+    got = spark.createDataFrame([(text,)], "t string").select(answers.answer_points(F.col("t"), max_points=12).alias("p")).first().p
+    assert got == [[i, i] for i in range(12)]
+
+
 def block_world():
     """200 x 200 free ground with a wall and a closed court."""
     built = {(r, 100) for r in range(40, 160)}
