@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.grids import dilate
-from cellweave.operators.routes import MAX_LENGTH_RATIO
+from cellweave.operators.routes import MAX_LENGTH_RATIO, REASONS, verdicts
 
 CLEAN_EXCESS_RATIO = 1.25
 CHAIN_WIDTH = 3
@@ -68,3 +68,24 @@ def connected_markers(labels: DataFrame, walks: DataFrame, keys: Sequence[str],
     return walks.select(*keys).join(hit, list(keys), "left").select(
         *keys, F.col("n").isNotNull().alias("connected"), (F.coalesce("n", F.lit(0)) * F.lit(float(cell_m))).alias("length_m")
     )
+
+
+def rescoring(frame: DataFrame, points: DataFrame, buildings: DataFrame, side: int) -> DataFrame:
+    """Verdicts of every line as it is and with moved points, in one pass, and how they differ: one row.
+
+    ``frame``: crop_id, sx, sy, gx, gy, teacher_m, one route a window; ``points``: crop_id, pos, ``raw`` and ``moved``
+    points. Both variants of a route are keyed rows of one vertex table, so buildings are joined once. ``rescued``
+    counts lines that cross a building as drawn and are solved when moved.
+    """
+    variants = F.array(F.struct(F.lit(0).alias("v"), F.col("raw").alias("p")), F.struct(F.lit(1).alias("v"), F.col("moved").alias("p")))
+    ident = (F.col("crop_id") * 2 + F.col("v")).alias("route_id")
+    lines = points.select("crop_id", "pos", F.explode(variants).alias("o")).select("crop_id", "pos", "o.v", "o.p.x", "o.p.y").select(ident, "pos", "x", "y")
+    routes = frame.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select("*", ident)
+    judged = verdicts(routes, lines, buildings, side)
+    pair = judged.groupBy("crop_id").agg(*[F.max(F.when(F.col("v") == v, F.coalesce("reason", F.lit("")))).alias(n) for v, n in ((0, "a"), (1, "b"))])
+    a, b = F.col("a") == "", F.col("b") == ""
+    crossed, n = F.col("a") == REASONS[2], F.count("*")
+    return pair.agg(
+        n.alias("n"), F.count_if(a).alias("raw_solved"), F.count_if(crossed).alias("raw_crosses"), F.count_if(b).alias("moved_solved"),
+        F.count_if(crossed & b).alias("rescued"), F.count_if(~a & b).alias("gained"), F.count_if(a & ~b).alias("lost"),
+        F.round(F.count_if(a) / n, 6).alias("raw_share"), F.round(F.count_if(b) / n, 6).alias("moved_share"))

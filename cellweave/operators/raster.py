@@ -107,25 +107,44 @@ def touching_box(polys: DataFrame, keys: Sequence[str], x0: float, y0: float, x1
     )
 
 
+BAND_EDGES = 32  # edges a band should hold
+
+
+def banded(polys: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Polygons with their box and ``band_h``, the height of the bands their edges are dealt to.
+
+    A band holds about ``BAND_EDGES`` edges, so a huge outline is many small keys. Bands are not made so thin that the
+    edges, each in every band it reaches into, become more than four times as many.
+    """
+    climbs = F.aggregate("rings", F.lit(0.0), lambda s, r: s + F.aggregate(
+        F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)), lambda p, q: F.abs(q["y"] - p["y"])), F.lit(0.0), lambda t, v: t + v))
+    n = F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r))
+    high = F.col("by1") - F.col("by0")
+    height = F.greatest(high * BAND_EDGES / F.greatest(n, F.lit(1)), climbs / (3 * F.greatest(n, F.lit(1))), F.lit(1e-6))
+    return with_bbox(polys).withColumn("band_h", height)
+
+
 def hosts(points: DataFrame, polys: DataFrame, frame: Sequence[str], pid: str, bid: str, cell: float = 32.0) -> DataFrame:
     """``(frame, pid, bid)`` for every point inside a polygon; points outside are absent (left join them back).
 
-    Bounding boxes are put on a grid for the candidate join. The even-odd test then joins candidates
-    with polygon edges on (polygon, row band), so the edges of one huge polygon are spread over bands.
+    Bounding boxes are put on a grid for the candidate join. The even-odd test then joins candidates with polygon edges
+    on (polygon, band of rows). Bands are as high as the polygon's own edges ask for, see :func:`banded`.
     """
-    boxes = with_bbox(polys).select(*frame, bid, "bx0", "bx1", "by0", "by1")
+    measured = banded(polys, [*frame, bid])
+    boxes = measured.select(*frame, bid, "bx0", "bx1", "by0", "by1", "band_h")
     gridded = boxes.withColumns({
         "_gx": F.explode(F.sequence(F.floor(F.col("bx0") / cell), F.floor(F.col("bx1") / cell))),
     }).withColumn("_gy", F.explode(F.sequence(F.floor(F.col("by0") / cell), F.floor(F.col("by1") / cell))))
     at = points.select(*frame, pid, "x", "y", F.floor(F.col("x") / cell).alias("_gx"), F.floor(F.col("y") / cell).alias("_gy"))
+    band = lambda y: F.floor((y - F.col("by0")) / F.col("band_h"))
     cand = (
         at.join(gridded, [*frame, "_gx", "_gy"])
         .filter("x >= bx0 AND x <= bx1 AND y >= by0 AND y <= by1")
-        .select(*frame, pid, bid, "x", "y", F.floor(F.col("y") / cell).alias("_band"))
-    )
-    lines = edges(polys, [*frame, bid]).withColumn(
-        "_band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell)))
+        .select(*frame, pid, bid, "x", "y", band(F.col("y")).alias("_band"))
     )
+    lines = edges(measured, [*frame, bid, "by0", "band_h"]).withColumn(
+        "_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))
+    ).drop("by0", "band_h")
     crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < crossing_x(F.col("y")))
     return (
         cand.join(lines, [*frame, bid, "_band"]).groupBy(*frame, pid, bid)

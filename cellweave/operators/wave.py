@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.grids import dilate
+from cellweave.operators.grids import dilate, inside, spread, square
 
 # Fixed values of the stored field
 SUB_CELL_SPAN_M = 2.9  # a 2 m cell holds its minimum; its maximum is at most this much more
@@ -85,6 +85,39 @@ def way_cells(way: DataFrame, field: DataFrame, keys: Sequence[str], s: int, sid
     return dilate(cells, keys, PATH_WIDTH, side).withColumnsRenamed({"row": "gr", "col": "gc"})
 
 
+def way_reach(way: DataFrame, field: DataFrame, keys: Sequence[str], s: int, side: int) -> DataFrame:
+    """Cells of the way back at line width with ``d``, the largest walking distance of the way's cells they stand for.
+
+    A cell is lit for every lower bound up to its ``d``, so one table serves the drawings of all passes.
+    """
+    px = way.withColumns({"r2": F.expr("CAST(row DIV 2 AS INT)"), "c2": F.expr("CAST(col DIV 2 AS INT)")}).join(field, [*keys, "r2", "c2"])
+    cells = px.groupBy(*keys, F.expr(f"CAST(row DIV {s} AS INT) AS gr"), F.expr(f"CAST(col DIV {s} AS INT) AS gc")).agg((F.max("d2") * 2).alias("d"))
+    wide = spread(cells, square(PATH_WIDTH), "gr", "gc").filter(inside("gr", "gc", side))
+    return wide.groupBy(*keys, "gr", "gc").agg(F.max("d").alias("d"))
+
+
+def backward_drawings(goals: DataFrame, minmax: DataFrame, disc: DataFrame, reach: DataFrame, keys: Sequence[str], horizon: float) -> DataFrame:
+    """Cells lit before or after each pass from the goal back, and of the drawing pass at the end.
+
+    Pass ``j`` takes front j away: before it the start disc, the fronts up to j and the way from j * horizon on are lit,
+    after it those of j - 1. ``j = 0`` is the drawing pass: the whole way with the disc before, the way alone after.
+    Each cell is sent only to passes in which it is lit.
+    """
+    n = goals.select(*keys, "n_goal")
+    ring = rings(minmax, goals, keys, horizon).groupBy(*keys, "gr", "gc").agg(F.min("j").alias("j0"))
+    none = F.lit(None).cast("int")
+    lit = ring.select(*keys, "gr", "gc", "j0", none.alias("d"), F.lit(False).alias("disc")).unionByName(
+        disc.select(*keys, "gr", "gc", F.lit(0).alias("j0"), none.alias("d"), F.lit(True).alias("disc"))
+    ).unionByName(reach.select(*keys, "gr", "gc", none.alias("j0"), F.col("d").cast("int").alias("d"), F.lit(False).alias("disc")))
+    cells = lit.groupBy(*keys, "gr", "gc").agg(F.min("j0").alias("j0"), F.max("d").alias("d"), F.bool_or("disc").alias("disc")).join(n, list(keys))
+    upto = F.floor(F.col("d") / horizon)  # the way is lit before pass j up to here
+    before = lambda j: F.coalesce(F.col("j0") <= j, F.lit(False)) | F.coalesce(upto >= j, F.lit(False))
+    passes = F.filter(F.sequence(F.lit(1), "n_goal"), lambda j: before(j) | before(j - 1))
+    back = cells.withColumn("j", F.explode(passes)).select(*keys, "j", "gr", "gc", before(F.col("j")).alias("pad_in"), before(F.col("j") - 1).alias("pad_out"))
+    draw = cells.filter(F.col("disc") | F.col("d").isNotNull()).select(*keys, F.lit(0).alias("j"), "gr", "gc", F.lit(True).alias("pad_in"), F.col("d").isNotNull().alias("pad_out"))
+    return back.unionByName(draw)
+
+
 def source_slot(kind: Column, k_in: Column, j: Column, n_goal: Column) -> Column:
     """Slot of the pass whose drawing is this pass's input; -1 where the input is the start disc."""
     return (

@@ -270,6 +270,40 @@ def moved_points(spark, sf):
     )
 
 
+def _rescored_sql() -> str:
+    from cellweave.plans.q_routes import VERDICT_SQL
+
+    verdict = VERDICT_SQL.replace("fx_route_points", "p8").replace("fx_routes", "r8").replace("cel AS (", "spot AS (").replace("FROM cel a", "FROM spot a")
+    return CHAIN8_SQL + """, lastp AS (SELECT crop_id, max(pos) AS last FROM way GROUP BY 1),
+    p8 AS MATERIALIZED (SELECT crop_id * 2 + v.v AS route_id, CAST(last - pos + 1 AS INT) AS pos, CASE WHEN v.v = 1 AND centre_built AND nb < 16 THEN free_px % 32 + 0.5 ELSE col * 4 + 2.0 END::DOUBLE AS x,
+      CASE WHEN v.v = 1 AND centre_built AND nb < 16 THEN free_px // 32 + 0.5 ELSE row * 4 + 2.0 END::DOUBLE AS y
+      FROM way JOIN blk USING (crop_id, row, col) JOIN lastp USING (crop_id), (SELECT unnest([0, 1]) AS v) v),
+    r8 AS (SELECT w.crop_id * 2 + v.v AS route_id, w.crop_id, f.scol + 0.5::DOUBLE AS sx, f.srow + 0.5::DOUBLE AS sy, f.gcol + 0.5::DOUBLE AS gx, f.grow + 0.5::DOUBLE AS gy, w.teacher_m
+      FROM w8 w JOIN fx_walks f USING (crop_id), (SELECT unnest([0, 1]) AS v) v), """ + verdict + """,
+    pair AS (SELECT a.crop_id, a.reason AS raw, b.reason AS moved FROM vd a JOIN vd b ON b.route_id = a.route_id + 1 WHERE a.route_id % 2 = 0)
+    SELECT count(*) AS n, count(*) FILTER (WHERE raw IS NULL) AS raw_solved, coalesce(count(*) FILTER (WHERE raw = 'crosses a building'), 0) AS raw_crosses,
+    count(*) FILTER (WHERE moved IS NULL) AS moved_solved, count(*) FILTER (WHERE raw = 'crosses a building' AND moved IS NULL) AS rescued,
+    count(*) FILTER (WHERE raw IS NOT NULL AND moved IS NULL) AS gained, count(*) FILTER (WHERE raw IS NULL AND moved IS NOT NULL) AS lost,
+    round(count(*) FILTER (WHERE raw IS NULL) / count(*), 6) AS raw_share, round(count(*) FILTER (WHERE moved IS NULL) / count(*), 6) AS moved_share FROM pair"""
+
+
+@query("a42_rescored", _rescored_sql())
+def rescored(spark, sf):
+    """One verdict pass over every chain as drawn and with its points moved off buildings; what the moving gains and loses."""
+    from cellweave.operators.chains import rescoring
+    from cellweave.plans import q_routes as qr
+
+    chain = chain8(spark, sf)[0].join(blocks8(spark, sf), ["crop_id", "row", "col"])
+    last = chain8(spark, sf)[0].groupBy("crop_id").agg(F.max("pos").alias("last"))
+    move = F.col("centre_built") & (F.col("nb") < 16)
+    raw = F.struct((F.col("col") * 4 + 2.0).alias("x"), (F.col("row") * 4 + 2.0).alias("y"))
+    moved = F.when(move, F.struct((F.col("free_px.col") + 0.5).alias("x"), (F.col("free_px.row") + 0.5).alias("y"))).otherwise(raw)
+    points = chain.join(last, "crop_id").select("crop_id", (F.col("last") - F.col("pos") + 1).cast("int").alias("pos"), raw.alias("raw"), moved.alias("moved"))
+    frame = walks(spark, sf).selectExpr("crop_id", *[f"{c} + 0.5D AS {n}" for c, n in (("scol", "sx"), ("srow", "sy"), ("gcol", "gx"), ("grow", "gy"))])
+    frame = frame.join(walks8(spark, sf).select("crop_id", "teacher_m"), "crop_id")
+    return rescoring(frame, points, qr.buildings(spark, sf), SIDE)
+
+
 @query("r17_drawing_to_polyline", CHAIN8_SQL + """, m AS (SELECT crop_id, max(pos) AS last FROM way GROUP BY 1)
     SELECT crop_id, last - pos AS pos, round(CAST((col + 0.5) * 8 AS DOUBLE), 3) AS px, round(CAST((row + 0.5) * 8 AS DOUBLE), 3) AS py FROM way JOIN m USING (crop_id)""")
 def drawing_to_polyline(spark, sf):
@@ -430,6 +464,33 @@ def way_cells_beyond_front(spark, sf):
     return wave.way_cells(way, two_metre(spark, sf), K, 4, G, 10.0)
 
 
+BACK_SQL = FRONT_SQL + """, way AS (SELECT w.crop_id, CAST(w.grow AS INT) AS row, CAST(w.gcol AS INT) AS col FROM fx_walks w JOIN met ON met.crop_id = w.crop_id AND met.row = w.grow AND met.col = w.gcol
+      UNION ALL SELECT p.crop_id, CAST(p.p // 32 AS INT), CAST(p.p % 32 AS INT) FROM way JOIN par p USING (crop_id, row, col)),
+    wc AS (SELECT way.crop_id, way.row // 4 AS gr, way.col // 4 AS gc, max(d2) * 2 AS d FROM way JOIN two ON two.crop_id = way.crop_id AND two.r2 = way.row // 2 AND two.c2 = way.col // 2 GROUP BY 1, 2, 3),
+    pc AS (SELECT f.crop_id, f.gr, f.gc, max(wc.d) AS d FROM dm f JOIN wc USING (crop_id) WHERE abs(f.gr - wc.gr) <= 1 AND abs(f.gc - wc.gc) <= 1 GROUP BY 1, 2, 3),
+    cells AS MATERIALIZED (SELECT crop_id, gr, gc, min(j) AS j0, max(d) AS d, bool_or(disc) AS disc FROM (SELECT crop_id, gr, gc, j, NULL AS d, FALSE AS disc FROM ring
+      UNION ALL SELECT crop_id, gr, gc, 0, NULL, TRUE FROM sd UNION ALL SELECT crop_id, gr, gc, NULL, d, FALSE FROM pc) GROUP BY 1, 2, 3),
+    bk AS (SELECT g.crop_id, g.n_goal, unnest(range(1, CAST(n_goal + 1 AS BIGINT))) AS j FROM goal g),
+    pads AS (SELECT b.crop_id, b.j, coalesce(c.j0 <= b.j, FALSE) OR coalesce(floor(c.d / 10) >= b.j, FALSE) AS a, coalesce(c.j0 <= b.j - 1, FALSE) OR coalesce(floor(c.d / 10) >= b.j - 1, FALSE) AS z
+      FROM bk b JOIN cells c USING (crop_id) UNION ALL SELECT crop_id, 0, TRUE, d IS NOT NULL FROM cells WHERE disc OR d IS NOT NULL)"""
+
+
+@query("r10_backward_drawings", BACK_SQL + """ SELECT crop_id, CAST(2 * n_goal - j AS INT) AS pos, CASE WHEN j = 0 THEN 'draw' WHEN j = 1 THEN 'origin' ELSE 'back' END AS kind,
+    CASE WHEN j = 0 THEN 'DONE' WHEN j = 1 THEN 'DRAW' ELSE 'BACK' END AS token, count(*) FILTER (WHERE a) AS cells_in, count(*) FILTER (WHERE z) AS cells_out
+    FROM pads JOIN goal USING (crop_id) WHERE a OR z GROUP BY 1, 2, 3, 4""")
+def backward_drawings(spark, sf):
+    """Passes from the goal back and the drawing pass, with their kind, token and lit cells before and after."""
+    from cellweave.operators import wave
+
+    way = once(spark, sf, "way", lambda: fr.way_back(field(spark, sf), walks(spark, sf).select("crop_id", "grow", "gcol"), K))
+    reach = wave.way_reach(way, two_metre(spark, sf), K, 4, G)
+    g = goals(spark, sf)
+    pads = wave.backward_drawings(g, cell_min_max(spark, sf), wave.start_disc(walks(spark, sf), K, 4, G), reach, K, HORIZON_M)
+    counts = pads.groupBy("crop_id", "j").agg(F.count_if("pad_in").alias("cells_in"), F.count_if("pad_out").alias("cells_out"))
+    plan = wave.schedule(g.select("crop_id", "n_goal", F.col("n_goal").alias("n"))).withColumn("j", 2 * F.col("n") - F.col("pos"))
+    return plan.join(counts, ["crop_id", "j"]).select("crop_id", "pos", "kind", "token", "cells_in", "cells_out")
+
+
 @query("r20_tie_family", PRICED_SQL + """, """ + _field_sql("SELECT * FROM cel", "SELECT crop_id, grow AS row, gcol AS col FROM fx_walks").replace(OFFS_SQL + ", cel AS MATERIALIZED (SELECT * FROM cel),", "").replace("fld", "bak") + """,
     t AS (SELECT w.crop_id, f.cost AS total FROM fx_walks w JOIN fld f ON f.crop_id = w.crop_id AND f.row = w.grow AND f.col = w.gcol)
     SELECT t.crop_id, count(*) FILTER (WHERE f.cost + b.cost - total <= 0) AS tie, count(*) FILTER (WHERE f.cost + b.cost - total <= 500000) AS within_half,

@@ -148,3 +148,38 @@ def test_states_are_the_same_in_any_order_and_after_a_restart(spark, tmp_path):
         results.append(sorted(tuple(r) for r in metrics.run_states(table.read()).collect()))
     assert results[0] == results[1] == sorted(tuple(r) for r in metrics.run_state(spark.createDataFrame(events, "run_id long, state string, seq long")).select("run_id", "state", "seq").collect())
     assert dict((r, s) for r, s, _ in results[0])[3] == "complete" and isinstance(table, KeyedTable)
+
+
+def test_one_huge_outline_is_many_small_keys(spark):
+    """20,000 edges round a star and 20,000 points: the right ones are inside, and no band holds a large share."""
+    from cellweave.operators import raster
+
+    n, rng = 20_000, np.random.default_rng(5)
+    turn = 2 * np.pi * np.arange(n) / n
+    radius = lambda a: 400 + 80 * np.sin(9 * a)
+    ring = [(float(500 + r * np.cos(a)), float(500 + r * np.sin(a))) for a, r in zip(turn, radius(turn))]
+    comb = [(float(x), float(500 * (x % 2))) for x in range(400)] + [(399.0, -5.0), (0.0, -5.0)]  # every tooth as high as the whole
+    polys = spark.createDataFrame([(0, 1, [ring]), (0, 2, [comb])], "d int, bid int, rings array<array<struct<x:double,y:double>>>")
+    at = rng.uniform(0, 1000, (20_000, 2))
+    points = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(at)], "d int, id int, x double, y double")
+    got = {r.id for r in raster.hosts(points, polys, ["d"], "id", "bid").filter("bid = 1").collect()}
+    off = at - 500
+    gap = np.hypot(*off.T) - radius(np.arctan2(off[:, 1], off[:, 0]))
+    assert {i for i in range(len(at)) if gap[i] < -0.05} <= got <= {i for i in range(len(at)) if gap[i] < 0.05}
+    lines = raster.edges(raster.banded(polys, ["bid"]), ["bid", "by0", "band_h"]).withColumn(
+        "band", F.explode(F.expr("sequence(floor((least(y1, y2) - by0) / band_h), floor((greatest(y1, y2) - by0) / band_h))")))
+    held = {r.bid: (r.most, r.rows) for r in lines.groupBy("bid", "band").count().groupBy("bid").agg(F.max("count").alias("most"), F.sum("count").alias("rows")).collect()}
+    assert held[1][0] <= 40 * raster.BAND_EDGES and held[1][1] <= 4 * n and held[2][1] <= 5 * 402
+
+
+def test_rescoring_counts_what_moving_gains_and_loses(spark):
+    from cellweave.operators.chains import rescoring
+
+    frame = spark.createDataFrame([(i, 0.5, 0.5, 9.5, 0.5, 9.0) for i in range(3)], "crop_id long, sx double, sy double, gx double, gy double, teacher_m double")
+    p = lambda x, y: (float(x), float(y))
+    rows = [(0, 1, p(0.5, 0.5), p(0.5, 0.5)), (0, 2, p(5, 3.5), p(5, 0.5)), (0, 3, p(9.5, 0.5), p(9.5, 0.5)),
+            (1, 1, p(0.5, 0.5), p(0.5, 0.5)), (1, 2, p(9.5, 0.5), p(9.5, 9.5))]
+    points = spark.createDataFrame(rows, "crop_id long, pos int, raw struct<x:double,y:double>, moved struct<x:double,y:double>")
+    built = spark.createDataFrame([(0, 3, 5)], "crop_id long, row int, col int")
+    got = rescoring(frame, points, built, 10).first().asDict()
+    assert got == {"n": 3, "raw_solved": 1, "raw_crosses": 1, "moved_solved": 1, "rescued": 1, "gained": 1, "lost": 1, "raw_share": 0.333333, "moved_share": 0.333333}
