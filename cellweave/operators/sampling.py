@@ -156,3 +156,16 @@ def corners(buildings: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
 
 def first_marker(items: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:
     return first_row(items, [key], [F.col(order)], cols)
+
+
+def atom_pairs(atoms: DataFrame, block: int = 256) -> DataFrame:
+    """``(ka, kb)`` of all atoms ``(layer, key)`` on different layers, each pair once, the lower layer first.
+
+    Atoms are dealt to blocks of about ``block`` and every two blocks meet in one equi-join key, so the pairs, which are
+    the result, are made by many tasks and nothing is listed in one place.
+    """
+    blocks = F.lit(max(1, -(-atoms.count() // block)))
+    dealt = atoms.select("layer", "key", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    low = dealt.select(F.col("own").alias("i"), F.col("other").cast("long").alias("j"), F.col("layer").alias("la"), F.col("key").alias("ka"))
+    high = dealt.select(F.col("other").cast("long").alias("i"), F.col("own").alias("j"), F.col("layer").alias("lb"), F.col("key").alias("kb"))
+    return low.join(high, ["i", "j"]).filter("la < lb").select("ka", "kb")

@@ -178,6 +178,50 @@ def wrong_description_gap(spark, sf):
     )
 
 
+# every task with the wrong description of each of its atoms: (task, slot, right condition, wrong condition)
+GAPS = [
+    ("surface_3", 0, "surface = 3", "surface = 0"), ("surface_2", 0, "surface = 2", "surface = 3"),
+    ("noise7_0+surface_2", 0, "noise7 = 0 AND surface = 2", "noise7 = 1 AND surface = 2"), ("noise7_0+surface_2", 1, "noise7 = 0 AND surface = 2", "noise7 = 0 AND surface = 3"),
+    ("surface_3+estab_0", 0, "surface = 3 AND estab = 0", "surface = 0 AND estab = 0"), ("surface_3+estab_0", 1, "surface = 3 AND estab = 0", "surface = 3 AND estab = 1"),
+]
+GAP_SQL = "cnt AS MATERIALIZED (SELECT crop_id, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc, " + ", ".join(
+    f"count(*) FILTER (WHERE {r}) >= 8 AS r{i}, count(*) FILTER (WHERE {w}) >= 8 AS w{i}" for i, (_, _, r, w) in enumerate(GAPS)
+) + " FROM fx_raster GROUP BY 1, 2, 3), all_ AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS task_key, {slot} AS slot, crop_id, gr, gc, r{i} AS r, w{i} AS w FROM cnt" for i, (t, slot, _, _) in enumerate(GAPS)
+) + """), s AS (SELECT task_key, slot, crop_id, bool_or(r) AS has, count(*) FILTER (WHERE pct > 50 AND r) AS i1, count(*) FILTER (WHERE pct > 50 OR r) AS u1,
+      count(*) FILTER (WHERE pct > 50 AND w) AS i2, count(*) FILTER (WHERE pct > 50 OR w) AS u2 FROM all_ JOIN fx_pred USING (task_key, crop_id, gr, gc) GROUP BY 1, 2, 3),
+    g AS (SELECT task_key, slot, i1 / u1 AS a, CASE WHEN u2 > 0 THEN i2 / u2 END AS b FROM s WHERE has)
+    SELECT task_key, CAST(slot AS INT) AS slot, count(*) AS n, round(avg(a), 6) AS right_iou, round(avg(b), 6) AS wrong_iou, round(avg(a) - avg(b), 6) AS gap FROM g GROUP BY 1, 2"""
+
+
+@query("a29_gap_by_task", GAP_SQL)
+def gap_by_task(spark, sf):
+    """The gap of every task, conjunctions with either atom described wrongly: all conditions are counters of one pass."""
+    from cellweave.operators.grids import pool_many
+    from cellweave.operators.targets import Atom, next_class, task_hit
+
+    hits = {}
+    for key, *_ in fx.TASK_ROWS:
+        atoms = [Atom(a.rsplit("_", 1)[0], int(a.rsplit("_", 1)[1])) for a in key.split("+")]
+        hits[f"{key}|right"] = task_hit(atoms)
+        for slot, atom in enumerate(atoms):
+            flipped = [next_class(a, 7 if a.layer == "noise7" else 4) if a is atom else a for a in atoms]
+            hits[f"{key}|{slot}"] = task_hit(flipped)
+    cells = pool_many(raster(spark, sf), ["crop_id"], 4, hits, "condition").select(
+        "crop_id", "gr", "gc", F.split_part("condition", F.lit("|"), F.lit(1)).alias("task_key"), F.split_part("condition", F.lit("|"), F.lit(2)).alias("which"), "fg")
+    # right and wrong targets of a cell meet in one row each, per slot
+    at = ["crop_id", "gr", "gc", "task_key"]
+    pairs = cells.groupBy(*at).agg(F.max(F.when(F.col("which") == "right", F.col("fg"))).alias("r"), *[F.max(F.when(F.col("which") == str(s), F.col("fg"))).alias(f"w{s}") for s in (0, 1)])
+    slots = F.filter(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"w{s}").alias("w")) for s in (0, 1)]), lambda x: x["w"].isNotNull())
+    flat = pairs.select(*at, "r", F.explode(slots).alias("v")).select(*at, "r", "v.slot", "v.w")
+    pred = fx.view(spark, sf, "fx_pred").select(*at, (F.col("pct") > 50).alias("p"))
+    p, r, w = F.col("p"), F.col("r"), F.col("w")
+    per = flat.join(pred, at).groupBy("task_key", "slot", "crop_id").agg(
+        F.bool_or("r").alias("has"), F.try_divide(F.count_if(p & r), F.count_if(p | r)).alias("a"), F.try_divide(F.count_if(p & w), F.count_if(p | w)).alias("b")).filter("has")
+    return per.groupBy("task_key", "slot").agg(
+        F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("right_iou"), F.round(F.avg("b"), 6).alias("wrong_iou"), F.round(F.avg("a") - F.avg("b"), 6).alias("gap"))
+
+
 @query("a30_held_out_means", MARK_PER_SQL + f""", t AS (SELECT task_id, avg({IOU_SQL}) FILTER (WHERE n_tgt > 0) AS iou FROM per GROUP BY 1)
     SELECT task_id IN (3, 7) AS held_out, count(*) AS tasks, round(avg(iou), 6) AS mean_iou FROM t GROUP BY 1""")
 def held_out_means(spark, sf):

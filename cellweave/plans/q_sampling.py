@@ -322,12 +322,8 @@ def first_marker(spark, sf):
     SELECT least(ka, kb) || '+' || greatest(ka, kb) AS task_key FROM c""")
 def task_keys(spark, sf):
     """Two-atom conditions over a dimension of known atoms; both atoms on different layers, names in canonical order."""
-    atoms = fx.table(spark, sf, "part").selectExpr("p_type AS layer", "p_size % 4 AS cls").distinct()
-    # the atoms of a register are few; each one meets the listed atoms of later layers only
-    listed = atoms.agg(F.collect_list(F.struct("layer", F.concat_ws("_", "layer", F.col("cls").cast("string")).alias("key")))).scalar()
-    a = atoms.selectExpr("layer AS la", "concat(layer, '_', cls) AS ka").withColumn("later", listed)
-    pairs = a.withColumn("b", F.explode(F.filter("later", lambda x: x["layer"] > F.col("la")))).select("ka", F.col("b.key").alias("kb"))
-    return pairs.select(F.array_join(F.array_sort(F.array("ka", "kb")), "+").alias("task_key"))
+    atoms = fx.table(spark, sf, "part").selectExpr("p_type AS layer", "concat(p_type, '_', p_size % 4) AS key").distinct()
+    return sp.atom_pairs(atoms).select(F.array_join(F.array_sort(F.array("ka", "kb")), "+").alias("task_key"))
 
 
 @query("p26_wrong_description", """SELECT crop_id, row, col, CAST((surface + 1) % 4 AS INT) AS wrong_class FROM fx_raster""")

@@ -30,9 +30,21 @@ def local_session(app: str = "cellweave", cores: str = "*", partitions: int = 8,
     )
 
 
-def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted and is small, else as it is (a shuffle join then)."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def small_side(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its rows were measured to be small, else as it is (a shuffle join then).
+
+    Numbers, dates and truth values count 8 bytes, texts and bytes their length, nested values the length of their JSON.
+    """
+    size = F.lit(16)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary", "varchar", "char"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.col(f"`{field.name}`"))), F.lit(0))
+        else:
+            size = size + 8
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes else df
 
 
 _LOCAL: dict[str, str] = {}  # folders of local sessions that name none
