@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,6 +121,32 @@ def report(verdict: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return verdict.groupBy(*by).agg(*aggs)
 
 
+def supercover(segs: DataFrame, keys: Sequence[str], size: int, fine: int = 1024) -> DataFrame:
+    """All cells of ``size`` that the segments ``(keys, x1, y1, x2, y2)`` touch, each once per key, as ``(row, col)``.
+
+    A cell is half open: it holds its lower edges. Nothing is sampled: coordinates are taken on a grid of 1 / ``fine``
+    (halves go up), and each segment is cut at the column borders it crosses. Inside a column strip the rows run from
+    the row of one cut to that of the other, found by whole-number division, so corners and ties are exact as long as
+    twice the product of the two sides, in fine steps, fits a BIGINT. A segment makes as many rows as it touches cells.
+    A point is its own cell, a segment with a null or non-finite end touches nothing.
+    """
+    s = size * fine
+    at = lambda c: F.floor(F.col(c) * fine + 0.5).cast("bigint")
+    ends = [F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf")) for c in ("x1", "y1", "x2", "y2")]
+    whole = segs.filter(functools.reduce(lambda a, b: a & b, ends)).select(*keys, *[at(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    turned = F.col("_x1") > F.col("_x2")  # left end first
+    way = whole.select(*keys, *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(n) for n, a, b in (("_l", "_x1", "_x2"), ("_lv", "_y1", "_y2"), ("_r", "_x2", "_x1"), ("_rv", "_y2", "_y1"))])
+    way = way.withColumns({"_w": F.expr("_r - _l"), "_h": F.expr("_rv - _lv")})
+    below = lambda a, b: f"(({a}) - pmod({a}, {b})) DIV ({b})"
+    strips = way.withColumn("col", F.explode(F.expr(f"sequence({below('_l', s)}, {below('_r', s)})")))
+    # heights at both cuts of the strip, in fine steps times the width of the segment
+    cut = strips.withColumns({"_a": F.expr(f"greatest(col * {s}, _l)"), "_b": F.expr(f"least((col + 1) * {s}, _r)"), "_open": F.expr(f"(col + 1) * {s} <= _r")})
+    cut = cut.withColumns({"_va": F.expr("_lv * _w + (_a - _l) * _h"), "_vb": F.expr("_lv * _w + (_b - _l) * _h - IF(_open AND _h > 0, 1, 0)"), "_d": F.expr(f"_w * {s}")})
+    first = F.expr(f"IF(_w = 0, {below('_lv', s)}, {below('_va', 'greatest(_d, 1)')})")
+    last = F.expr(f"IF(_w = 0, {below('_rv', s)}, {below('_vb', 'greatest(_d, 1)')})")
+    return cut.withColumn("row", F.explode(F.sequence(F.least(first, last), F.greatest(first, last)))).select(*keys, "row", "col").distinct()
+
+
 def visited_pixels(segs: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
     """Distinct pixels of a polyline numbered in the order of their first visit."""
     px = samples(segs).withColumns({

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.hashing import draw
 from cellweave.operators.grids import inside
-from cellweave.operators.ranking import first_row, top_k
+from cellweave.operators.ranking import first_row, tiered_rank, top_k
 from cellweave.session import cut_lineage
 
 
@@ -105,6 +107,53 @@ def quotas(n: int, strata: int) -> list[int]:
     return out
 
 
+@dataclass(frozen=True)
+class Accepted:
+    """What ``accept_until_full`` found: accepted draws with ``rank``, and how many draws ended for which reason."""
+
+    rows: DataFrame
+    reasons: DataFrame
+    draws: int
+
+
+def accept_until_full(propose: Callable[[int, int], DataFrame], stratum: str, quotas: Sequence[int], first: int = 4096, most_rounds: int = 16) -> Accepted:
+    """Accept legal draws of each stratum in arrival order until every stratum has its quota.
+
+    ``propose(lo, hi)`` gives the draws with numbers ``lo <= draw < hi``, one row each: ``draw``, ``stratum`` (null if it
+    is not known), ``early`` and ``late``, the first reason that rules a draw out before and after its stratum is asked
+    for room (null: none), and any other columns. Rounds double in size, so their number is logarithmic; between rounds
+    the driver sees one count per stratum. Drawing ends with the draw that fills the last stratum, and draws after it
+    do not count. ``reasons`` (reason, n) counts each draw once, under its first reason, 'stratum full' for those that
+    came after the quota, or 'accepted', so the counts add up to ``draws``. Quotas that are not met after
+    ``most_rounds`` are an error. A draw rests on its number alone, so reruns and other round sizes agree.
+    """
+    wanted = {i: q for i, q in enumerate(quotas) if q > 0}
+    have, tried, lo, seen = dict.fromkeys(wanted, 0), [], 0, 0
+    while any(have[i] < q for i, q in wanted.items()):
+        if seen == most_rounds:
+            short = {i: f"{have[i]} of {q}" for i, q in wanted.items() if have[i] < q}
+            raise ValueError(f"strata not full after {lo} draws: {short}")
+        hi = lo + first * 2**seen
+        tried.append(cut_lineage(propose(lo, hi)))
+        legal = tried[-1].filter("early IS NULL AND late IS NULL").filter(F.col(stratum).isin(list(wanted)))
+        for i, n in legal.groupBy(stratum).agg(F.count("*")).collect():
+            have[i] += n
+        lo, seen = hi, seen + 1
+    if not tried:
+        tried.append(propose(0, 0))
+    every = functools.reduce(DataFrame.unionByName, tried)
+    quota = F.element_at(F.array(*[F.lit(q).cast("bigint") for q in quotas]), F.col(stratum).cast("int") + 1)
+    room = F.col(stratum).isin(list(wanted))
+    legal = every.filter("early IS NULL AND late IS NULL").filter(room).withColumn("_block", F.expr(f"draw DIV {first}"))
+    rows = cut_lineage(tiered_rank(legal, [stratum], ["_block", "draw"], "rank").filter(F.col("rank") <= quota).drop("_block", "early", "late"))
+    full = rows.groupBy(stratum).agg(F.max("draw").alias("_full"))  # one row per stratum
+    end = full.agg(F.max("_full")).first()[0]
+    draws = 0 if end is None else end + 1
+    asked = every.filter(F.col("draw") < draws).join(F.broadcast(full), stratum, "left")
+    reason = F.coalesce(F.col("early"), F.when(~F.coalesce(room, F.lit(False)) | (F.col("draw") > F.col("_full")), "stratum full"), F.col("late"), F.lit("accepted"))
+    return Accepted(rows, asked.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")), draws)
+
+
 def inner_ground(free: DataFrame, keys: Sequence[str], side: int, margin: int) -> DataFrame:
     """Free cells at least two steps from anything not free and ``margin`` away from the window's edge."""
     diamond = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if abs(dy) + abs(dx) <= 2]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellweave.functions.bins import detour_stratum
 from cellweave.functions.hashing import draw, draw_sql, uniform, uniform_sql
 from cellweave.operators import checks, ranking
 from cellweave.operators import routes as rt
@@ -11,10 +12,11 @@ from cellweave.operators import sampling as sp
 from cellweave.operators import wave
 from cellweave.operators.frontier import label_cells
 from cellweave.plans import fixtures as fx
-from cellweave.plans.q_frontier import _labels_sql
+from cellweave.plans.q_frontier import WALKED_SQL, _labels_sql, metres, once
 from cellweave.plans.q_raster import TASKS
 from cellweave.plans.q_routes import SEG_SQL, buildings, points, routes
 from cellweave.plans.registry import query
+from cellweave.session import cut_lineage
 
 HELD = [(0, 2), (3, 1), (1, 0), (2, 3)]
 VAL = [(0, 2), (3, 1)]
@@ -107,6 +109,63 @@ def route_candidates(spark, sf):
     return out.filter("la = lb AND (arow - brow) * (arow - brow) + (acol - bcol) * (acol - bcol) BETWEEN 64 AND 784").select("crop_id", "draw", "arow", "acol", "brow", "bcol")
 
 
+DETOURS = (0.0, 1.05, 1.3, 99.0)
+PER_CROP = 3  # accepted routes per crop, shared out over the strata
+FULL_SQL = WALKED_SQL + ", " + FREE_SQL + f""", nc AS (SELECT count(*) AS n FROM fx_walks),
+    dw AS (SELECT j.j AS draw, CAST(floor({draw_sql('j.j // 4', salt=61)} * nc.n) AS BIGINT) AS crop_id, {draw_sql('j.j', salt=62)} AS u FROM nc, (SELECT unnest(range((SELECT 256 * n FROM nc))) AS j) j),
+    pr AS (SELECT dw.draw, dw.crop_id, k.row AS grow, k.col AS gcol, met.m, sqrt((k.row - w.srow) * (k.row - w.srow) + (k.col - w.scol) * (k.col - w.scol)) AS straight
+      FROM dw JOIN fx_walks w USING (crop_id) LEFT JOIN rk k ON k.crop_id = dw.crop_id AND k.rn = CAST(floor(u * k.n) AS BIGINT) + 1
+      LEFT JOIN met ON met.crop_id = dw.crop_id AND met.row = k.row AND met.col = k.col),
+    js AS (SELECT *, CASE WHEN grow IS NULL THEN 'no free ground' WHEN NOT straight BETWEEN 8 AND 28 THEN 'distance' WHEN m IS NULL THEN 'blocked' END AS early,
+      CASE WHEN m / straight < 1.05 THEN 0 WHEN m / straight < 1.3 THEN 1 ELSE 2 END AS st, CASE WHEN m > 36 THEN 'too long' END AS late FROM pr),
+    lg AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY draw) AS rank FROM js WHERE early IS NULL AND late IS NULL),
+    ac AS (SELECT lg.* FROM lg, nc WHERE rank <= nc.n), fl AS (SELECT st, max(draw) AS full_at FROM ac GROUP BY 1)"""
+
+
+def routes_until_full(spark, sf):
+    """Routes from each window's start to drawn goals on inner free ground until every detour stratum is full.
+
+    One walking field serves all goals of a window; the first reasons are no ground, distance and a blocked way, the
+    late one a way that is too long.
+    """
+
+    def build():
+        starts = fx.view(spark, sf, "fx_walks").select("crop_id", "srow", "scol")
+        n_crops = starts.count()
+        free = fx.view(spark, sf, "fx_raster").filter("surface <> 3").select("crop_id", "row", "col")
+        inner = sp.inner_ground(free, ["crop_id"], 32, 2)
+        ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"]).join(metres(spark, sf), ["crop_id", "row", "col"], "left")
+        goals = cut_lineage(ranked.selectExpr("crop_id", "rn", "row AS grow", "col AS gcol", "metres"))
+        starts = cut_lineage(starts.join(goals.groupBy("crop_id").agg(F.count("*").alias("n")), "crop_id", "left"))
+
+        def propose(lo, hi):
+            d = F.col("draw")
+            drawn = spark.range(lo, hi).withColumnRenamed("id", "draw").select("draw", F.floor(draw(F.expr("draw DIV 4"), salt=61) * n_crops).alias("crop_id"), draw(d, salt=62).alias("_u"))
+            asked = drawn.join(starts, "crop_id").withColumn("rn", F.floor(F.col("_u") * F.col("n")) + 1).join(goals, ["crop_id", "rn"], "left")
+            straight = F.sqrt(F.pow(F.col("grow") - F.col("srow"), 2) + F.pow(F.col("gcol") - F.col("scol"), 2))
+            ratio = F.try_divide(F.col("metres"), F.col("straight"))
+            return asked.withColumn("straight", straight).select(
+                "draw", "crop_id", "grow", "gcol", "metres", "straight", detour_stratum(ratio, DETOURS).alias("stratum"),
+                F.when(F.col("grow").isNull(), "no free ground").when(~F.col("straight").between(8, 28), "distance").when(F.col("metres").isNull(), "blocked").alias("early"),
+                F.when(F.col("metres") > 36, "too long").alias("late"))
+
+        return sp.accept_until_full(propose, "stratum", sp.quotas(PER_CROP * n_crops, 3), first=max(1024, 8 * n_crops))
+
+    return once(spark, sf, "routes_until_full", build)
+
+
+@query("r16_routes_until_full", FULL_SQL + """ SELECT CAST(st AS INT) AS stratum, rank, draw, crop_id, grow, gcol, round(m, 6) AS metres, round(m / straight, 6) AS ratio FROM ac""")
+def accepted_routes(spark, sf):
+    rows = routes_until_full(spark, sf).rows
+    return rows.select("stratum", "rank", "draw", "crop_id", "grow", "gcol", F.round("metres", 6).alias("metres"), F.round(F.col("metres") / F.col("straight"), 6).alias("ratio"))
+
+
+@query("w11_reject_reasons", FULL_SQL + """ SELECT coalesce(early, CASE WHEN draw > full_at THEN 'stratum full' END, late, 'accepted') AS reason, count(*) AS n FROM js LEFT JOIN fl USING (st)
+    WHERE draw <= (SELECT max(full_at) FROM fl) GROUP BY 1""")
+def reject_reasons(spark, sf):
+    return routes_until_full(spark, sf).reasons
+
+
 READ_SQL = f"""u AS (SELECT route_id, crop_id, sx, sy, gx, gy, {draw_sql('route_id', salt=1)} AS u0, {draw_sql('route_id', salt=2)} AS u1, {draw_sql('route_id', salt=5)} < 0.5 AS whole FROM fx_routes),
     t AS (SELECT *, CASE WHEN whole THEN 0.0 ELSE 0.7 * u0 END AS t0 FROM u), tt AS (SELECT *, CASE WHEN whole THEN 1.0 ELSE t0 + 0.1 + (1.0 - t0 - 0.1) * u1 END AS t1 FROM t),
     rd AS (SELECT *, (t1 - t0) * sqrt((gx - sx) * (gx - sx) + (gy - sy) * (gy - sy)) AS len FROM tt)"""
@@ -218,6 +277,31 @@ def path_cells(spark, sf):
     ).distinct()
 
 
+BOX_SQL = """f AS (SELECT route_id, pos, CAST(floor(x * 1024 + 0.5) AS BIGINT) AS x, CAST(floor(y * 1024 + 0.5) AS BIGINT) AS y FROM fx_route_points),
+    g AS (SELECT route_id, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2 FROM f WINDOW w AS (PARTITION BY route_id ORDER BY pos)),
+    c AS (SELECT g.*, r.r, k.k, k.k * 4096 AS a, r.r * 4096 AS b, greatest(abs(x2 - x1), 1) AS nx, greatest(abs(y2 - y1), 1) AS ny FROM g, (SELECT unnest(range(-1, 11)) AS r) r, (SELECT unnest(range(-1, 11)) AS k) k
+      WHERE x1 IS NOT NULL AND greatest(x1, x2) >= k.k * 4096 AND least(x1, x2) < k.k * 4096 + 4096 AND greatest(y1, y2) >= r.r * 4096 AND least(y1, y2) < r.r * 4096 + 4096),
+    t AS (SELECT *, CASE WHEN x2 > x1 THEN 2 * (a - x1) * ny WHEN x2 < x1 THEN 2 * (x1 - a - 4096) * ny + 1 ELSE 0 END AS xin,
+      CASE WHEN x2 > x1 THEN 2 * (a + 4096 - x1) * ny - 1 WHEN x2 < x1 THEN 2 * (x1 - a) * ny ELSE 2 * nx * ny END AS xout,
+      CASE WHEN y2 > y1 THEN 2 * (b - y1) * nx WHEN y2 < y1 THEN 2 * (y1 - b - 4096) * nx + 1 ELSE 0 END AS yin,
+      CASE WHEN y2 > y1 THEN 2 * (b + 4096 - y1) * nx - 1 WHEN y2 < y1 THEN 2 * (y1 - b) * nx ELSE 2 * nx * ny END AS yout FROM c)
+    SELECT DISTINCT route_id, r AS gr, k AS gc FROM t WHERE greatest(xin, yin, 0) <= least(xout, yout, 2 * nx * ny)"""
+
+
+@query("a09_trajectory_cells", BOX_SQL)
+def trajectory_cells(spark, sf):
+    """Every 4 m cell a route touches, however briefly. The SQL tests each segment against each cell's box, in whole numbers."""
+    segs = rt.segments(points(spark, sf), ["route_id"])
+    return rt.supercover(segs, ["route_id"], 4).withColumnsRenamed({"row": "gr", "col": "gc"})
+
+
+@query("a09_marker_cell", "SELECT crop_id, CAST(mrow * 8 // 32 AS INT) AS gr, CAST(mcol * 8 // 32 AS INT) AS gc FROM fx_markers")
+def marker_cell(spark, sf):
+    """The one cell of the grid that holds a window's marker."""
+    cell = lambda c: F.expr(f"CAST({c} * {fx.GRID} DIV {fx.SIDE} AS INT)")
+    return fx.view(spark, sf, "fx_markers").select("crop_id", cell("mrow").alias("gr"), cell("mcol").alias("gc"))
+
+
 @query("a09_building_cells", """SELECT crop_id, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc FROM fx_raster GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE surface = 3) >= 8""")
 def building_cells(spark, sf):
     from cellweave.operators.grids import cell_of
