@@ -1,9 +1,10 @@
-"""Interpolated modified Kneser-Ney bigram model in memory-mapped sorted arrays (operator 10)."""
+"""Interpolated modified Kneser-Ney trigram model in memory-mapped sorted arrays (operator 10)."""
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,9 +19,10 @@ from cellweave.session import cut_lineage
 
 END = xxhash.xxh64_intdigest(b"\n</s>") - (1 << 63)  # no word holds a line feed
 SLICE = 24 << 20
+TRIPLE_SLICE = 12 << 20
 BLOCK_BITS = 18
 MIX = 0x9E3779B97F4A7C15
-MOST_WORDS = 1 << 31
+MAPS = 4096  # arrays a worker keeps mapped
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -33,18 +35,57 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
     part = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        f.write(np.ascontiguousarray(values).tobytes())
+        np.save(f, np.ascontiguousarray(values))
     os.replace(part, f"{folder}/{name}")
 
 
-def _open(folder: str, name: str, kind: str) -> np.ndarray:
-    """One array of the model, mapped once in each worker; pages are shared and read on demand."""
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them all; nothing is cut off."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
 
-    def make() -> np.ndarray:
-        path = f"{folder}/{name}"
-        return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
 
-    return per_process(f"map {folder}/{name}", make)
+def _open(folder: str, name: str) -> np.ndarray:
+    """One array of the model, mapped in each worker; pages are shared and read on demand.
+
+    The maps least used are let go, so the number of files of a large model does not matter.
+    """
+    maps: OrderedDict = per_process("kneser-ney maps", OrderedDict)
+    path = f"{folder}/{name}"
+    if path in maps:
+        maps.move_to_end(path)
+        return maps[path]
+    if not os.path.exists(path):
+        values = np.zeros(0, np.int64)
+    else:
+        with open(path, "rb") as f:
+            version = np.lib.format.read_magic(f)
+            shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+            at = f.tell()
+        values = np.memmap(path, kind, "r", at, shape) if shape[0] else np.zeros(0, kind)
+    maps[path] = values
+    if len(maps) > MAPS:
+        maps.popitem(last=False)
+    return values
+
+
+def _mixed(*ids: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of ids, position by position."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(ids[0]), 0x243F6A8885A308D3, np.uint64)
+        for x in ids:
+            h = (h ^ x.astype(np.uint64)) * np.uint64(MIX)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return h
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where each is found first, and the sums of the rows of ``values`` (rows, columns)."""
+    order = np.argsort(keys, kind="stable")
+    starts, _ = _runs(keys[order])
+    sums = np.add.reduceat(values[order], starts, axis=0) if len(starts) else values[:0]
+    return keys[order[starts]], order[starts], sums
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +113,11 @@ class Model:
     folder: str
     word_bits: int = 0
     offsets: list[int] = field(default_factory=lambda: [0])
-    pair_shards: int = 1
+    shards: int = 1
     n_words: int = 0
     n_tokens: int = 0
     n_texts: int = 0
+    triple_discounts: tuple[float, float, float] = (0.5, 0.75, 0.75)
     pair_discounts: tuple[float, float, float] = (0.5, 0.75, 0.75)
     word_discounts: tuple[float, float, float] = (0.5, 0.75, 0.75)
     n_pairs: int = 0
@@ -89,48 +131,79 @@ class Model:
         ids, counts = np.full(len(asked), -1, np.int64), np.zeros(len(asked), np.int64)
         for a, b in zip(*_runs(shard)):
             s = int(shard[a])
-            known = _open(self.folder, f"words-{s}", "<i8")
+            known = _open(self.folder, f"words-{s}")
             if not len(known):
                 continue
             at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
             hit = known[at] == asked[a:b]
             ids[a:b] = np.where(hit, at + self.offsets[s], -1)
-            counts[a:b] = np.where(hit, _open(self.folder, f"counts-{s}", "<i8")[at], 0)
+            counts[a:b] = np.where(hit, _open(self.folder, f"counts-{s}")[at], 0)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         return ids[back], counts[back]
 
-    def shard(self, prev: np.ndarray, this: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
-        """Shard of each pair: by its first word, and by parts of the second word if the first one is frequent."""
-        with np.errstate(over="ignore"):
-            part = ((this.astype(np.uint64) * np.uint64(MIX)) >> np.uint64(33)) % (1 + (prev_count >> 18)).astype(np.uint64)
-            return (((prev.astype(np.uint64) * np.uint64(MIX) + part) * np.uint64(MIX)) >> np.uint64(24)).astype(np.int64) % self.pair_shards
+    def count_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of known ids, the start among them."""
+        out = np.full(len(ids), self.n_texts, np.int64)
+        order = np.argsort(ids, kind="stable")
+        shard = np.searchsorted(self.offsets, ids[order], "right") - 1
+        for a, b in zip(*_runs(shard)):
+            at = order[a:b][ids[order[a:b]] < self.n_words]
+            if len(at):
+                out[at] = _open(self.folder, f"counts-{int(shard[a])}")[ids[at] - self.offsets[shard[a]]]
+        return out
 
-    def sequence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all tokens of the texts (words, then one end each): previous id, id, count, count of the previous; tokens per text."""
+    def pair_shard(self, prev: np.ndarray, this: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
+        """Shard of each pair: by its first word, and by parts of the second word if the first one is frequent."""
+        part = _mixed(this) % (1 + (prev_count >> 18)).astype(np.uint64)
+        return (_mixed(prev, part) % np.uint64(self.shards)).astype(np.int64)
+
+    def triple_shard(self, first: np.ndarray, prev: np.ndarray, this: np.ndarray, first_count: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
+        """Shard of each triple: by its middle word, by parts of the first one if the middle one is frequent, and by
+        parts of the last one if both are."""
+        part = _mixed(first) % (1 + (prev_count >> 18)).astype(np.uint64)
+        last = _mixed(this) % (1 + (np.minimum(first_count, prev_count) >> 18)).astype(np.uint64)
+        return (_mixed(prev, part, last) % np.uint64(self.shards)).astype(np.int64)
+
+    def sequence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all tokens of the texts (words, then one end each): ids of the two before, of itself, counts of all three
+        as rows of one array; tokens per text."""
         words, index, n_words = batch_words(texts)
         ids, counts = self.find(np.append(_hashes(words), END))
         index = np.insert(index, np.cumsum(n_words), len(words))
         n = n_words + 1
-        this, count = ids[index], counts[index]
-        prev, before = np.concatenate([[0], this[:-1]]), np.concatenate([[0], count[:-1]])
         heads = np.cumsum(n) - n
-        prev[heads], before[heads] = self.n_words, self.n_texts  # the start has the id after the last word
-        return prev, this, count, before, n
-
-    def pair_counts(self, prev: np.ndarray, this: np.ndarray, before: np.ndarray) -> np.ndarray:
-        key = prev << 32 | this
-        asked, first, back = np.unique(key, return_index=True, return_inverse=True)
-        shard = self.shard(prev[first], this[first], before[first])
+        named, count = [ids[index]], [counts[index]]
+        for _ in range(2):
+            before, times = np.concatenate([[0], named[0][:-1]]), np.concatenate([[0], count[0][:-1]])
+            before[heads], times[heads] = self.n_words, self.n_texts  # the start has the id after the last word
+            named.insert(0, before)
+            count.insert(0, times)
+        return np.stack(named), np.stack(count), n, heads
+
+    def looked_up(self, table: str, names: tuple[str, ...], keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Columns ``names`` of a sorted table at the keys, 0 where it has none."""
+        out = np.zeros((len(keys), len(names)), np.int64)
         order = np.argsort(shard, kind="stable")
-        counts = np.zeros(len(asked), np.int64)
         for a, b in zip(*_runs(shard[order])):
-            at = order[a:b]
-            keys = _open(self.folder, f"pairs-{int(shard[at[0]])}", "<i8")
-            if len(keys):
-                where = np.minimum(np.searchsorted(keys, asked[at]), len(keys) - 1)
-                counts[at] = np.where(keys[where] == asked[at], _open(self.folder, f"pair-counts-{int(shard[at[0]])}", "<u4")[where], 0)
-        return counts[back]
+            at, s = order[a:b], int(shard[order[a]])
+            known = _open(self.folder, f"{table}-{s}")
+            if len(known):
+                where = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+                hit = known[where] == keys[at]
+                for i, name in enumerate(names):
+                    out[at[hit], i] = _open(self.folder, f"{name}-{s}")[where[hit]]
+        return out
+
+    def pairs(self, prev: np.ndarray, this: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
+        """For each pair: words before it, then as a context its total and how many words follow it once, twice, more often."""
+        keys, first, back = np.unique(_mixed(prev, this), return_index=True, return_inverse=True)
+        return self.looked_up("pairs", PAIR_COLUMNS, keys, self.pair_shard(prev[first], this[first], prev_count[first]))[back]
+
+    def triples(self, named: np.ndarray, count: np.ndarray) -> np.ndarray:
+        keys, first, back = np.unique(_mixed(*named), return_index=True, return_inverse=True)
+        shard = self.triple_shard(*named[:, first], *count[:2, first])
+        return self.looked_up("triples", ("triple-counts",), keys, shard)[back, 0]
 
     def block(self, name: str, kind: str, ids: np.ndarray) -> np.ndarray:
         """Values of a dense array (cut into blocks of ids) at known ids."""
@@ -139,29 +212,36 @@ class Model:
         blocks = ids[order] >> BLOCK_BITS
         for a, b in zip(*_runs(blocks)):
             at = order[a:b]
-            values = _open(self.folder, f"{name}-{int(blocks[a])}", kind)
+            values = _open(self.folder, f"{name}-{int(blocks[a])}")
             if len(values):  # a model without texts has no blocks
                 out[at] = values[ids[at] & ((1 << BLOCK_BITS) - 1)]
         return out
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, base and model log10 probability of each text."""
-        prev, this, count, before, n = self.sequence(texts)
-        heads = np.cumsum(n) - n
+        named, counts, n, heads = self.sequence(texts)
+        first, prev, this = named
+        count = counts[2]
         base = np.log10((count + 1) / (self.n_tokens + self.n_words + 1))
-        single = np.full(len(this), self.rest / (self.n_words + 1))
+        chance = np.full(len(this), self.rest / (self.n_words + 1))
         known = np.flatnonzero(this >= 0)
         names, back = np.unique(this[known], return_inverse=True)
-        follows = self.block("follows", "<i8", names)
-        single[known] += (_discounted(follows, self.word_discounts) / max(self.n_pairs, 1))[back]
-        chance = single.copy()
+        chance[known] += (_discounted(self.block("follows", "<i8", names), self.word_discounts) / max(self.n_pairs, 1))[back]
         linked = np.flatnonzero(prev >= 0)
         names, back = np.unique(prev[linked], return_inverse=True)
-        total, share = self.block("totals", "<i8", names)[back], self.block("shares", "<f8", names)[back]
-        chance[linked] = np.where(total > 0, share, 1.0) * single[linked]
-        both = linked[this[linked] >= 0]
-        seen = self.pair_counts(prev[both], this[both], before[both])
-        chance[both] += _discounted(seen, self.pair_discounts) / np.maximum(total[this[linked] >= 0], 1)
+        total, share = np.zeros(len(this), np.int64), np.ones(len(this))
+        total[linked], share[linked] = self.block("totals", "<i8", names)[back], self.block("shares", "<f8", names)[back]
+        chance *= np.where(total > 0, share, 1.0)
+        both = np.flatnonzero((prev >= 0) & (this >= 0))
+        seen = self.pairs(prev[both], this[both], counts[1, both])[:, 0]
+        chance[both] += _discounted(seen, self.pair_discounts) / np.maximum(total[both], 1)
+        wide = np.flatnonzero((first >= 0) & (prev >= 0))
+        of = self.pairs(first[wide], prev[wide], counts[0, wide])
+        total = of[:, 1]
+        chance[wide] *= np.where(total > 0, (of[:, 2:] @ np.array(self.triple_discounts)) / np.maximum(total, 1), 1.0)
+        inner = this[wide] >= 0
+        every = wide[inner]
+        chance[every] += _discounted(self.triples(named[:, every], counts[:, every]), self.triple_discounts) / np.maximum(total[inner], 1)
         return n, np.add.reduceat(count > 0, heads, dtype=np.int64), np.add.reduceat(base, heads), np.add.reduceat(np.log10(chance), heads)
 
 
@@ -199,75 +279,137 @@ def _vocabulary(texts: DataFrame, model: Model, parts: int) -> None:
     table = cut_lineage(texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     model.n_words, model.n_tokens = (int(x or 0) for x in table.agg(F.count("*"), F.sum("c")).first())
     model.n_texts = int(table.filter(F.col("h") == END).agg(F.sum("c")).first()[0] or 0)
-    if model.n_words >= MOST_WORDS:
-        raise ValueError("more than 2^31 distinct words")
     bits = model.word_bits = max(0, (model.n_words >> 19).bit_length())
     shard = F.shiftright("h", 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0).cast("long")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _grouped(batches, "shard"):
             _save(folder, f"words-{s}", rows.column("h").to_numpy().astype("<i8"))
-            _save(folder, f"counts-{s}", rows.column("c").to_numpy().astype("<i8"))
+            _save(folder, f"counts-{s}", _narrow(rows.column("c").to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([rows.num_rows])], ["shard", "n"])
 
     sizes = dict(_sorted_shards(table.withColumn("shard", shard), ["shard", "h"], min(parts, 1 << bits)).mapInArrow(write, "shard long, n long").collect())
     model.offsets = np.cumsum([0, *[sizes.get(s, 0) for s in range(1 << bits)]]).tolist()
 
 
-def _pairs(texts: DataFrame, model: Model, parts: int) -> DataFrame:
-    """Count all pairs, write them as sorted arrays, and return what they say of each word, by blocks of ids."""
-    folder, mask = model.folder, (1 << BLOCK_BITS) - 1
-    model.pair_shards = 1 << max(0, (model.n_tokens >> 20).bit_length())
+PAIR_COLUMNS = ("pair-before", "pair-totals", "pair-once", "pair-twice", "pair-more")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            prev, this, _, before, _ = model.sequence(column(batch, "text"))
-            keys, first, n = np.unique(prev << 32 | this, return_index=True, return_counts=True)
-            shard = model.shard(prev[first], this[first], before[first])
-            order = np.argsort(shard, kind="stable")
-            starts, ends = _runs(shard[order])
-            out = []
-            for a, b in zip(starts, ends):
-                at = order[a:b]
-                out.append((int(shard[at[0]]), np.diff(keys[at], prepend=0).tobytes(), n[at].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["shard", "keys", "counts"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, rows in _grouped(batches, "shard"):
-            every = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in rows.column("keys").to_pylist()])
-            n = np.concatenate([np.frombuffer(b, "<u4") for b in rows.column("counts").to_pylist()]).astype(np.int64)
-            order = np.argsort(every, kind="stable")
-            every, n = every[order], n[order]
-            starts, _ = _runs(every)
-            keys, counts = every[starts], np.add.reduceat(n, starts)
-            _save(folder, f"pairs-{s}", keys.astype("<i8"))
-            _save(folder, f"pair-counts-{s}", np.minimum(counts, 2**32 - 1).astype("<u4"))
-            prev = keys >> 32
-            at, _ = _runs(prev)
-            first = np.stack([prev[at], np.add.reduceat(counts, at), *[np.add.reduceat((np.minimum(counts, 3) == k).astype(np.int64), at) for k in (1, 2, 3)]], 1)
-            this, follows = np.unique(keys & 0xFFFFFFFF, return_counts=True)
-            of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]
-            out = [(-1, np.array(of_counts, np.int64).tobytes(), b"")]
-            for a, b in zip(*_runs(first[:, 0] >> BLOCK_BITS)):
-                out.append((int(first[a, 0] >> BLOCK_BITS), first[a:b].tobytes(), b""))
-            for a, b in zip(*_runs(this >> BLOCK_BITS)):
-                out.append((int(this[a] >> BLOCK_BITS), b"", np.stack([this[a:b], follows[a:b]], 1).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["block", "first", "second"])
-
-    sent = _sorted_shards(texts.mapInArrow(count, "shard long, keys binary, counts binary"), ["shard"], min(4 * parts, model.pair_shards))
-    said = cut_lineage(sent.mapInArrow(merge, "block long, first binary, second binary"))
+def _packed(shard: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """(shard, its rows) of equally long columns of ids and counts; each column travels in its smallest type."""
+    order = np.argsort(shard, kind="stable")
+    out = []
+    for a, b in zip(*_runs(shard[order])):
+        at = order[a:b]
+        narrow = [_narrow(c[at]) for c in columns]
+        head = np.array([len(at), *[c.itemsize for c in narrow]], np.int64)
+        out.append((int(shard[at[0]]), head.tobytes() + b"".join(c.tobytes() for c in narrow)))
+    return out
+
+
+def _unpacked(blobs: list[bytes], width: int) -> list[np.ndarray]:
+    """The columns that ``_packed`` sent, all pieces after one another."""
+    pieces: list[list[np.ndarray]] = [[] for _ in range(width)]
+    for blob in blobs:
+        n, *sizes = np.frombuffer(blob, np.int64, 1 + width).tolist()
+        at = 8 * (1 + width)
+        for i, size in enumerate(sizes):
+            pieces[i].append(np.frombuffer(blob, f"<u{size}", n, at).astype(np.int64))
+            at += n * size
+    return [np.concatenate(p) for p in pieces]
+
+
+def _of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _sum_columns(said: DataFrame, width: int) -> list[int]:
+    """Sums of the arrays in ``rows`` of the rows that carry counts of counts."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(5, np.int64)
+        total = np.zeros(width, np.int64)
         for batch in batches:
-            for b in column(batch, "first").to_pylist():
+            for b in column(batch, "rows").to_pylist():
                 total += np.frombuffer(b, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], list("abcde"))
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], [f"c{i}" for i in range(width)])
+
+    sums = said.filter("key = -1").mapInArrow(add, ", ".join(f"c{i} long" for i in range(width)))
+    return [int(x or 0) for x in sums.agg(*[F.sum(f"c{i}") for i in range(width)]).first()]
+
+
+def _sent(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["key", "rows"])
+
+
+def _triples(texts: DataFrame, model: Model, parts: int) -> DataFrame:
+    """Count all triples, write them as sorted hash arrays, and return what they say of pairs, by shards of pairs.
 
-    sums = said.filter("block = -1").mapInArrow(add, "a long, b long, c long, d long, e long").agg(*[F.sum(c) for c in "abcde"]).first()
-    n1, n2, n3, n4, model.n_pairs = (int(x or 0) for x in sums)
-    model.pair_discounts = discounts(n1, n2, n3, n4)
-    return said.filter("block >= 0")
+    A pair (v, w) learns how many words come before it; a pair (u, v) learns its total as a context and how many words
+    follow it once, twice and more often.
+    """
+    folder = model.folder
+    model.shards = 1 << max(0, (model.n_tokens >> 20).bit_length())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TRIPLE_SLICE):
+            named, counts, _, _ = model.sequence(column(batch, "text"))
+            _, first, n = np.unique(_mixed(*named), return_index=True, return_counts=True)
+            named, counts = named[:, first], counts[:2, first]
+            order = np.lexsort((named[0], named[1]))  # equal neighbours pack well
+            named, n, counts = named[:, order], n[order], counts[:, order]
+            yield _sent(_packed(model.triple_shard(*named, *counts), [*named, n]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, rows in _grouped(batches, "key"):
+            u, v, w, n = _unpacked(rows.column("rows").to_pylist(), 4)
+            keys, at, sums = _summed(_mixed(u, v, w), n[:, None])
+            u, v, w, n = u[at], v[at], w[at], sums[:, 0]
+            _save(folder, f"triples-{s}", keys)
+            _save(folder, f"triple-counts-{s}", _narrow(n))
+            one, none = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+            values = np.concatenate([
+                np.stack([one, none, none, none, none], 1), np.stack([none, n, n == 1, n == 2, n > 2], 1).astype(np.int64)])
+            a, b = np.concatenate([v, u]), np.concatenate([w, v])
+            _, at, values = _summed(_mixed(a, b), values)
+            a, b = a[at], b[at]
+            order = np.argsort(a, kind="stable")
+            a, b, values = a[order], b[order], values[order]
+            yield _sent([(-1, np.array(_of_counts(n), np.int64).tobytes()), *_packed(model.pair_shard(a, b, model.count_of(a)), [a, b, *values.T])])
+
+    sent = _sorted_shards(texts.mapInArrow(count, "key long, rows binary"), ["key"], min(4 * parts, model.shards))
+    said = cut_lineage(sent.mapInArrow(merge, "key long, rows binary"))
+    model.triple_discounts = discounts(*_sum_columns(said, 4))
+    return said.filter("key >= 0")
+
+
+def _pairs(told: DataFrame, model: Model, parts: int) -> DataFrame:
+    """Add up what triples say of pairs, write it as sorted hash arrays, and return what pairs say of words, by blocks of ids."""
+    folder = model.folder
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, rows in _grouped(batches, "key"):
+            a, b, *values = _unpacked(rows.column("rows").to_pylist(), 2 + len(PAIR_COLUMNS))
+            keys, at, sums = _summed(_mixed(a, b), np.stack(values, 1))
+            _save(folder, f"pairs-{s}", keys)
+            for name, sent in zip(PAIR_COLUMNS, sums.T):
+                _save(folder, f"{name}-{s}", _narrow(sent))
+            real = sums[:, 0] > 0  # not the two starts of a text
+            a, b, n = a[at][real], b[at][real], sums[real, 0]
+            prev, _, first = _summed(a, np.stack([n, n == 1, n == 2, n > 2], 1).astype(np.int64))
+            first = np.concatenate([prev[:, None], first], 1)
+            second = np.stack(np.unique(b, return_counts=True), 1)
+            out = [(-1, np.array([*_of_counts(n), len(n)], np.int64).tobytes(), b"")]
+            for i, j in zip(*_runs(first[:, 0] >> BLOCK_BITS)):
+                out.append((int(first[i, 0] >> BLOCK_BITS), first[i:j].tobytes(), b""))
+            for i, j in zip(*_runs(second[:, 0] >> BLOCK_BITS)):
+                out.append((int(second[i, 0] >> BLOCK_BITS), b"", second[i:j].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["key", "rows", "second"])
+
+    sent = _sorted_shards(told, ["key"], min(4 * parts, model.shards))
+    said = cut_lineage(sent.mapInArrow(merge, "key long, rows binary, second binary"))
+    *of_counts, model.n_pairs = _sum_columns(said, 5)
+    model.pair_discounts = discounts(*of_counts)
+    return said.filter("key >= 0").selectExpr("key AS block", "rows AS first", "second")
 
 
 def _blocks(said: DataFrame, model: Model, parts: int) -> None:
@@ -284,9 +426,9 @@ def _blocks(said: DataFrame, model: Model, parts: int) -> None:
                 if b:
                     x = np.frombuffer(b, np.int64).reshape(-1, 2)
                     follows[x[:, 0] & mask] += x[:, 1]
-            _save(folder, f"totals-{block}", first[:, 0].astype("<i8"))
+            _save(folder, f"totals-{block}", _narrow(first[:, 0]))
             _save(folder, f"shares-{block}", ((first[:, 1] * d1 + first[:, 2] * d2 + first[:, 3] * d3) / np.maximum(first[:, 0], 1)).astype("<f8"))
-            _save(folder, f"follows-{block}", follows.astype("<i8"))
+            _save(folder, f"follows-{block}", _narrow(follows))
             yield pa.RecordBatch.from_arrays([pa.array([int((follows == k).sum())]) for k in (1, 2, 3, 4)] + [pa.array([int((follows > 2).sum())])], list("abcde"))
 
     n_blocks = (model.n_words >> BLOCK_BITS) + 1
@@ -298,12 +440,15 @@ def _blocks(said: DataFrame, model: Model, parts: int) -> None:
 
 
 def train(texts: DataFrame, text_col: str = "text") -> Model:
-    """Count a bigram model over whole texts (null: empty) and write its arrays to the shared folder.
+    """Count a trigram model over whole texts (null: empty) and write its arrays to the shared folder.
 
     Words (lower-case A-Z, between ASCII white space) are hashed to 64 bits and numbered by their rank in the sorted
-    hash array. Pairs are counted per slice of texts, sent once as sorted arrays to the shard of their first word (a
-    frequent first word is spread over shards by its second), merged there and written. All parts of the model grow
-    with the corpus and are cut into files of bounded size; the driver sees only sizes and counts of counts.
+    hash array; a text has two starts before it. Triples are counted per slice of texts, sent once to the shard of
+    their middle word (frequent ones are spread over shards by the other words), merged there and written. The merged
+    triples tell pairs in how many places they stand, pairs tell words, so the texts are sent only once. Triples and
+    pairs are found by a 64-bit hash of their ids; counts are kept whole in the smallest type that holds a file's. All
+    parts of the model grow with the corpus and are cut into files of bounded size; the driver sees only sizes and
+    counts of counts.
     """
     spark = texts.sparkSession
     path, _ = shared_path(spark)
@@ -312,15 +457,15 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     rows = texts.select(F.col(text_col).alias("text"))
     _vocabulary(rows, model, parts)
     if model.n_words:
-        _blocks(_pairs(rows, model, parts), model, parts)
+        _blocks(_pairs(_triples(rows, model, parts), model, parts), model, parts)
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
-    The base is add-one over single tokens; the model interpolates pairs with continuation counts and a uniform rest,
-    which also serves unknown words. Null and empty texts are one end. Repeated rows and null ids stay rows of their
+    The base is add-one over single tokens; the model interpolates triples, pairs and words (the lower two by continuation counts)
+    and a uniform rest, which also serves unknown words. Null and empty texts are one end. Repeated rows and null ids stay rows of their
     own; other columns are not read. An untrained model gives every token the uniform rest, that is 1. No shuffle.
     """
 

@@ -133,35 +133,39 @@ def test_column_score_is_the_array_score(spark, awkward):
 def _brute_scores(train, texts):
     end, start = b"\n", b"\n\n"
     tokens = lambda t: (t or "").encode().lower().split() + [end]
-    uni, bi = Counter(), Counter()
+    uni, tri = Counter(), Counter()
     for t in train:
         w = tokens(t)
         uni.update(w)
-        bi.update(zip([start, *w[:-1]], w))
+        tri.update(zip([start, start, *w][:len(w)], [start, *w[:-1]], w))
     n, v = sum(uni.values()), len(uni)
-    cc = Counter(min(c, 5) for c in bi.values())
-    d = (0, *kneser_ney.discounts(*[cc[k] for k in (1, 2, 3, 4)]))
-    follows = Counter(b for _, b in bi)
-    fc = Counter(min(c, 5) for c in follows.values())
-    e = (0, *kneser_ney.discounts(*[fc[k] for k in (1, 2, 3, 4)]))
-    contexts = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in bi.items():
-        contexts[a][0] += c
-        contexts[a][min(c, 3)] += 1
+    of = lambda counts: (0, *kneser_ney.discounts(*[Counter(counts.values())[k] for k in (1, 2, 3, 4)]))
+    bi = Counter((b, c) for _, b, c in tri)
+    follows = Counter(c for _, c in bi)
+    f, d, e = of(tri), of(bi), of(follows)
+    contexts, wide = defaultdict(lambda: [0, 0, 0, 0]), defaultdict(lambda: [0, 0, 0, 0])
+    for into, counts in ((contexts, {(b, c): k for (b, c), k in bi.items()}), (wide, tri)):
+        for key, c in counts.items():
+            of_key = into[key[0] if into is contexts else key[:2]]
+            of_key[0] += c
+            of_key[min(c, 3)] += 1
     rest = sum(e[min(c, 3)] for c in follows.values()) / len(bi) if bi else 1.0
 
-    def chance(a, b):
+    def chance(u, a, b):
         p = (max(follows[b] - e[min(follows[b], 3)], 0) / len(bi) if bi else 0) + rest / (v + 1)
         if a in contexts:
             x = contexts[a]
             p = p * sum(x[k] * d[k] for k in (1, 2, 3)) / x[0] + max(bi[a, b] - d[min(bi[a, b], 3)], 0) / x[0]
+        if (u, a) in wide:
+            x, c = wide[u, a], tri[u, a, b]
+            p = p * sum(x[k] * f[k] for k in (1, 2, 3)) / x[0] + max(c - f[min(c, 3)], 0) / x[0]
         return p
 
     out = []
     for t in texts:
         w = tokens(t)
-        out.append((len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(chance(a, b)) for a, b in zip([start, *w[:-1]], w))))
-    total = [sum(chance(a, b) for b in [*uni, b"unseen word"]) for a in list(contexts)[:5]] if bi else []
+        out.append((len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(chance(*g)) for g in zip([start, start, *w], [start, *w[:-1]], w))))
+    total = [sum(chance(*g, b) for b in [*uni, b"unseen word"]) for g in list(wide)[:5]] if bi else []
     return out, total
 
 
@@ -190,3 +194,20 @@ def test_model_beats_the_base(spark, sf_dir):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     held = [r for r in rows if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_tables_of_the_model(tmp_path):
+    """Sums by key, columns as they travel, and counts beyond 32 bits."""
+    rng = np.random.default_rng(5)
+    keys, values = rng.integers(0, 50, 400).astype(np.uint64), rng.integers(0, 9, (400, 2))
+    found, at, sums = kneser_ney._summed(keys, values)
+    assert found.tolist() == sorted(set(keys.tolist())) and (keys[at] == found).all()
+    assert all((values[keys == k].sum(0) == s).all() for k, s in zip(found, sums))
+    shard, columns = rng.integers(0, 4, 400), [keys.astype(np.int64), values[:, 0] + (1 << 33), np.arange(400)]
+    got = {s: kneser_ney._unpacked([blob, blob], 3) for s, blob in kneser_ney._packed(shard, columns)}
+    for s in range(4):
+        assert all((g == np.tile(c[shard == s], 2)).all() for g, c in zip(got[s], columns))
+    kneser_ney._save(str(tmp_path), "counts-0", kneser_ney._narrow(np.array([1, 1 << 40])))
+    assert kneser_ney._open(str(tmp_path), "counts-0").tolist() == [1, 1 << 40]
+    kneser_ney._save(str(tmp_path), "empty-0", kneser_ney._narrow(np.zeros(0, np.int64)))
+    assert len(kneser_ney._open(str(tmp_path), "empty-0")) == 0 and len(kneser_ney._open(str(tmp_path), "none-0")) == 0
