@@ -19,10 +19,11 @@ from cellweave.session import cut_lineage
 
 END = xxhash.xxh64_intdigest(b"\n</s>") - (1 << 63)  # no word holds a line feed
 SLICE = 24 << 20
-TRIPLE_SLICE = 12 << 20
+TRIPLE_SLICE = 8 << 20
+SCORE_SLICE = 4 << 20
 BLOCK_BITS = 18
 MIX = 0x9E3779B97F4A7C15
-MAPS = 4096  # arrays a worker keeps mapped
+MAPS = 64  # arrays a worker keeps mapped
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -80,12 +81,17 @@ def _mixed(*ids: np.ndarray) -> np.ndarray:
     return h
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts the keys, and where in it the run of each distinct key starts and ends."""
+    order = np.argsort(keys)
+    return order, *_runs(keys[order])
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, where each is found first, and the sums of the rows of ``values`` (rows, columns)."""
-    order = np.argsort(keys, kind="stable")
-    starts, _ = _runs(keys[order])
-    sums = np.add.reduceat(values[order], starts, axis=0) if len(starts) else values[:0]
-    return keys[order[starts]], order[starts], sums
+    """Distinct keys in order, a place of each, and the sums of the rows of ``values`` (rows, columns)."""
+    order, starts, _ = _distinct(keys)
+    at = order[starts]
+    return keys[at], at, np.stack([np.add.reduceat(c[order], starts, dtype=np.int64) for c in values.T], 1) if len(starts) else values[:0]
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +177,13 @@ class Model:
         words, index, n_words = batch_words(texts)
         ids, counts = self.find(np.append(_hashes(words), END))
         index = np.insert(index, np.cumsum(n_words), len(words))
+        ids = ids.astype(np.int32 if self.n_words < 2**31 - 1 else np.int64)
+        counts = counts.astype(np.uint32 if self.n_tokens < 2**32 - 1 else np.int64)
         n = n_words + 1
         heads = np.cumsum(n) - n
         named, count = [ids[index]], [counts[index]]
         for _ in range(2):
-            before, times = np.concatenate([[0], named[0][:-1]]), np.concatenate([[0], count[0][:-1]])
+            before, times = np.roll(named[0], 1), np.roll(count[0], 1)
             before[heads], times[heads] = self.n_words, self.n_texts  # the start has the id after the last word
             named.insert(0, before)
             count.insert(0, times)
@@ -197,13 +205,15 @@ class Model:
 
     def pairs(self, prev: np.ndarray, this: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
         """For each pair: words before it, then as a context its total and how many words follow it once, twice, more often."""
-        keys, first, back = np.unique(_mixed(prev, this), return_index=True, return_inverse=True)
-        return self.looked_up("pairs", PAIR_COLUMNS, keys, self.pair_shard(prev[first], this[first], prev_count[first]))[back]
+        keys = _mixed(prev, this)
+        order, starts, ends = _distinct(keys)
+        at = order[starts]
+        out = np.empty((len(keys), len(PAIR_COLUMNS)), np.int64)
+        out[order] = np.repeat(self.looked_up("pairs", PAIR_COLUMNS, keys[at], self.pair_shard(prev[at], this[at], prev_count[at])), ends - starts, axis=0)
+        return out
 
     def triples(self, named: np.ndarray, count: np.ndarray) -> np.ndarray:
-        keys, first, back = np.unique(_mixed(*named), return_index=True, return_inverse=True)
-        shard = self.triple_shard(*named[:, first], *count[:2, first])
-        return self.looked_up("triples", ("triple-counts",), keys, shard)[back, 0]
+        return self.looked_up("triples", ("triple-counts",), _mixed(*named), self.triple_shard(*named, *count[:2]))[:, 0]
 
     def block(self, name: str, kind: str, ids: np.ndarray) -> np.ndarray:
         """Values of a dense array (cut into blocks of ids) at known ids."""
@@ -323,8 +333,8 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _sum_columns(said: DataFrame, width: int) -> list[int]:
-    """Sums of the arrays in ``rows`` of the rows that carry counts of counts."""
+def _sum_columns(said: DataFrame, key: int, width: int) -> list[int]:
+    """Sums of the arrays in the rows of that key, which carry counts of counts."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
@@ -333,7 +343,7 @@ def _sum_columns(said: DataFrame, width: int) -> list[int]:
                 total += np.frombuffer(b, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], [f"c{i}" for i in range(width)])
 
-    sums = said.filter("key = -1").mapInArrow(add, ", ".join(f"c{i} long" for i in range(width)))
+    sums = said.filter(F.col("key") == key).mapInArrow(add, ", ".join(f"c{i} long" for i in range(width)))
     return [int(x or 0) for x in sums.agg(*[F.sum(f"c{i}") for i in range(width)]).first()]
 
 
@@ -353,11 +363,11 @@ def _triples(texts: DataFrame, model: Model, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TRIPLE_SLICE):
             named, counts, _, _ = model.sequence(column(batch, "text"))
-            _, first, n = np.unique(_mixed(*named), return_index=True, return_counts=True)
-            named, counts = named[:, first], counts[:2, first]
-            order = np.lexsort((named[0], named[1]))  # equal neighbours pack well
-            named, n, counts = named[:, order], n[order], counts[:, order]
-            yield _sent(_packed(model.triple_shard(*named, *counts), [*named, n]))
+            order, starts, ends = _distinct(_mixed(*named))
+            at, n = order[starts], ends - starts
+            shard = model.triple_shard(*named[:, at], *counts[:2, at])
+            packs = np.argsort((shard << 40) + named[1, at])  # equal neighbours pack well
+            yield _sent(_packed(shard[packs], [*named[:, at[packs]], n[packs]]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _grouped(batches, "key"):
@@ -377,9 +387,7 @@ def _triples(texts: DataFrame, model: Model, parts: int) -> DataFrame:
             yield _sent([(-1, np.array(_of_counts(n), np.int64).tobytes()), *_packed(model.pair_shard(a, b, model.count_of(a)), [a, b, *values.T])])
 
     sent = _sorted_shards(texts.mapInArrow(count, "key long, rows binary"), ["key"], min(4 * parts, model.shards))
-    said = cut_lineage(sent.mapInArrow(merge, "key long, rows binary"))
-    model.triple_discounts = discounts(*_sum_columns(said, 4))
-    return said.filter("key >= 0")
+    return sent.mapInArrow(merge, "key long, rows binary")
 
 
 def _pairs(told: DataFrame, model: Model, parts: int) -> DataFrame:
@@ -388,6 +396,10 @@ def _pairs(told: DataFrame, model: Model, parts: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _grouped(batches, "key"):
+            if s < 0:  # counts of counts of the triples
+                total = sum(np.frombuffer(x, np.int64) for x in rows.column("rows").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["key", "rows", "second"])
+                continue
             a, b, *values = _unpacked(rows.column("rows").to_pylist(), 2 + len(PAIR_COLUMNS))
             keys, at, sums = _summed(_mixed(a, b), np.stack(values, 1))
             _save(folder, f"pairs-{s}", keys)
@@ -407,7 +419,8 @@ def _pairs(told: DataFrame, model: Model, parts: int) -> DataFrame:
 
     sent = _sorted_shards(told, ["key"], min(4 * parts, model.shards))
     said = cut_lineage(sent.mapInArrow(merge, "key long, rows binary, second binary"))
-    *of_counts, model.n_pairs = _sum_columns(said, 5)
+    model.triple_discounts = discounts(*_sum_columns(said, -2, 4))
+    *of_counts, model.n_pairs = _sum_columns(said, -1, 5)
     model.pair_discounts = discounts(*of_counts)
     return said.filter("key >= 0").selectExpr("key AS block", "rows AS first", "second")
 
@@ -470,7 +483,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCORE_SLICE):
             n, known, base, logp = model.score(column(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.n_tokens)), pa.array(base), pa.array(logp)],
