@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +70,22 @@ def _open(folder: str, name: str) -> np.ndarray:
     return values
 
 
+def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """One byte a count; the few from 255 on stand in a list of places and values beside them."""
+    large = np.flatnonzero(counts >= 255)
+    _save(folder, f"{name}-at", large)
+    _save(folder, f"{name}-large", counts[large])
+    _save(folder, name, np.minimum(counts, 255).astype(np.uint8))
+
+
+def _counts(folder: str, name: str, places: np.ndarray) -> np.ndarray:
+    out = _open(folder, name)[places].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    if len(large):
+        out[large] = _open(folder, f"{name}-large")[np.searchsorted(_open(folder, f"{name}-at"), places[large])]
+    return out
+
+
 def _mixed(*ids: np.ndarray) -> np.ndarray:
     """One 64-bit hash of ids, position by position."""
     with np.errstate(over="ignore"):
@@ -200,7 +217,7 @@ class Model:
                 where = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
                 hit = known[where] == keys[at]
                 for i, name in enumerate(names):
-                    out[at[hit], i] = _open(self.folder, f"{name}-{s}")[where[hit]]
+                    out[at[hit], i] = _counts(self.folder, f"{name}-{s}", where[hit])
         return out
 
     def pairs(self, prev: np.ndarray, this: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
@@ -306,25 +323,32 @@ PAIR_COLUMNS = ("pair-before", "pair-totals", "pair-once", "pair-twice", "pair-m
 
 
 def _packed(shard: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, bytes]]:
-    """(shard, its rows) of equally long columns of ids and counts; each column travels in its smallest type."""
+    """(shard, its rows) of equally long columns of ids and counts.
+
+    Each column travels in its smallest type, byte by byte place, compressed: high bytes are all but equal.
+    """
     order = np.argsort(shard, kind="stable")
-    out = []
+    out, squeeze = [], zstandard.ZstdCompressor(1)
     for a, b in zip(*_runs(shard[order])):
         at = order[a:b]
         narrow = [_narrow(c[at]) for c in columns]
         head = np.array([len(at), *[c.itemsize for c in narrow]], np.int64)
-        out.append((int(shard[at[0]]), head.tobytes() + b"".join(c.tobytes() for c in narrow)))
+        planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(at), -1).T).tobytes() for c in narrow]
+        out.append((int(shard[at[0]]), squeeze.compress(head.tobytes() + b"".join(planes))))
     return out
 
 
 def _unpacked(blobs: list[bytes], width: int) -> list[np.ndarray]:
     """The columns that ``_packed`` sent, all pieces after one another."""
     pieces: list[list[np.ndarray]] = [[] for _ in range(width)]
-    for blob in blobs:
+    spread = zstandard.ZstdDecompressor()
+    for packed in blobs:
+        blob = spread.decompress(packed)
         n, *sizes = np.frombuffer(blob, np.int64, 1 + width).tolist()
         at = 8 * (1 + width)
         for i, size in enumerate(sizes):
-            pieces[i].append(np.frombuffer(blob, f"<u{size}", n, at).astype(np.int64))
+            planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
+            pieces[i].append(np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.int64))
             at += n * size
     return [np.concatenate(p) for p in pieces]
 
@@ -375,7 +399,7 @@ def _triples(texts: DataFrame, model: Model, parts: int) -> DataFrame:
             keys, at, sums = _summed(_mixed(u, v, w), n[:, None])
             u, v, w, n = u[at], v[at], w[at], sums[:, 0]
             _save(folder, f"triples-{s}", keys)
-            _save(folder, f"triple-counts-{s}", _narrow(n))
+            _save_counts(folder, f"triple-counts-{s}", n)
             one, none = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
             values = np.concatenate([
                 np.stack([one, none, none, none, none], 1), np.stack([none, n, n == 1, n == 2, n > 2], 1).astype(np.int64)])
@@ -404,7 +428,7 @@ def _pairs(told: DataFrame, model: Model, parts: int) -> DataFrame:
             keys, at, sums = _summed(_mixed(a, b), np.stack(values, 1))
             _save(folder, f"pairs-{s}", keys)
             for name, sent in zip(PAIR_COLUMNS, sums.T):
-                _save(folder, f"{name}-{s}", _narrow(sent))
+                _save_counts(folder, f"{name}-{s}", sent)
             real = sums[:, 0] > 0  # not the two starts of a text
             a, b, n = a[at][real], b[at][real], sums[real, 0]
             prev, _, first = _summed(a, np.stack([n, n == 1, n == 2, n > 2], 1).astype(np.int64))

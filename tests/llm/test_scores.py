@@ -211,3 +211,6 @@ def test_tables_of_the_model(tmp_path):
     assert kneser_ney._open(str(tmp_path), "counts-0").tolist() == [1, 1 << 40]
     kneser_ney._save(str(tmp_path), "empty-0", kneser_ney._narrow(np.zeros(0, np.int64)))
     assert len(kneser_ney._open(str(tmp_path), "empty-0")) == 0 and len(kneser_ney._open(str(tmp_path), "none-0")) == 0
+    some = np.array([0, 254, 255, 256, 1 << 40, 3])
+    kneser_ney._save_counts(str(tmp_path), "many-0", some)
+    assert kneser_ney._counts(str(tmp_path), "many-0", np.array([4, 0, 2, 1, 3, 5, 4])).tolist() == [1 << 40, 0, 255, 254, 256, 3, 1 << 40]
