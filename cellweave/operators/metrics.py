@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.grids import inside, spread, square
+from cellweave.operators.grids import cell_of, inside, majority, spread, square
 
 
 def ratio(num: Column, den: Column, empty: float = 1.0) -> Column:
@@ -173,3 +173,40 @@ def bucket_means(per_sample: DataFrame, dims: Sequence[str], values: Sequence[st
         names = F.when(F.col("_g") == mask, F.lit(d)).otherwise(names)
         label = F.when(F.col("_g") == mask, F.col(d).cast("string")).otherwise(label)
     return out.select(names.alias("bucket"), label.alias("bucket_value"), "n", *values)
+
+
+def label_agreement(stored: DataFrame, again: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Agreement and pooled overlap of ``stored`` and ``again``, masks of the same cells; cells only one side has are left out."""
+    a, b = F.col("stored"), F.col("again")
+    return stored.join(again, list(keys)).groupBy(*by).agg(
+        F.round(F.avg((a == b).cast("double")), 6).alias("agreement"), F.count("*").alias("cells"),
+        F.round(F.count_if(a & b) / F.greatest(F.count_if(a | b), F.lit(1)), 6).alias("pooled_iou"),
+    )
+
+
+def composition(pixels: DataFrame, single: DataFrame, pairs: Mapping[str, tuple[tuple[str, int], tuple[str, int]]], s: int) -> DataFrame:
+    """Overlap of a two-condition target with the AND of its single masks: the true ones (``ceiling``) and predicted ones.
+
+    ``pixels`` holds the layers, ``single`` rows (crop_id, gr, gc, atom, hit) with ``layer_class`` as atom. All tasks
+    share one pass over the pixels and one over the predictions. Windows without the target do not count, cells without a prediction are
+    left out.
+    """
+    atoms = sorted({a for pair in pairs.values() for a in pair})
+    holds = {a: F.col(a[0]) == a[1] for a in atoms}
+    cell = ["crop_id", "gr", "gc"]
+    name = lambda a: f"{a[0]}_{a[1]}"
+    true = pixels.groupBy("crop_id", *cell_of("row", "col", s)).agg(
+        *[majority(F.count_if(holds[a]), s).alias(f"m_{name(a)}") for a in atoms],
+        *[majority(F.count_if(holds[a] & holds[b]), s).alias(f"t_{key}") for key, (a, b) in pairs.items()],
+    )
+    told = single.groupBy(*cell).agg(*[F.bool_or(F.col("hit") & (F.col("atom") == name(a))).alias(f"p_{name(a)}") for a in atoms])
+    tasks = F.explode(F.array(*[
+        F.struct(F.lit(key).alias("task_key"), F.col(f"`t_{key}`").alias("t"), (F.col(f"m_{name(a)}") & F.col(f"m_{name(b)}")).alias("m"),
+                 (F.col(f"p_{name(a)}") & F.col(f"p_{name(b)}")).alias("p"))
+        for key, (a, b) in pairs.items()
+    ]))
+    t, m, p = F.col("t"), F.col("m"), F.col("p")
+    per = true.join(told, cell).select("crop_id", tasks.alias("x")).select("crop_id", "x.*").groupBy("crop_id", "task_key").agg(
+        F.bool_or("t").alias("has"), ratio(F.count_if(m & t), F.count_if(m | t)).alias("c"), ratio(F.count_if(p & t), F.count_if(p | t)).alias("o")
+    ).filter("has")
+    return per.groupBy("task_key").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("ceiling"), F.round(F.avg("o"), 6).alias("composed_iou"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.places import name_key
+from cellweave.operators.meet import meet
 from cellweave.operators.ranking import exact_percentiles
 
 
@@ -25,7 +26,8 @@ def pairs_within(left: DataFrame, right: DataFrame, keys: list[str], radius: flo
     """Pairs of distinct positions at most ``radius`` apart, with the row counts of both positions.
 
     Rows at one position (and name) are counted before the join, so many copies of one place make one
-    pair, not all pairs. The range join is an equi-join on the grid cell plus the exact distance test.
+    pair, not all pairs. The range join is an equi-join on the grid cell plus the exact distance test; dense cells are
+    dealt to many tasks.
     """
     cols = [*keys, *extra, "x", "y"]
     a = left.groupBy(*cols).agg(F.count("*").alias("na")).withColumnsRenamed({"x": "ax", "y": "ay"})
@@ -33,7 +35,7 @@ def pairs_within(left: DataFrame, right: DataFrame, keys: list[str], radius: flo
     a = _at_cells(a.withColumns({"x": F.col("ax"), "y": F.col("ay")}), radius).drop("x", "y")
     d2 = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
     return (
-        a.join(_around(b, radius), [*keys, *extra, "_cx", "_cy"])
+        meet(a, _around(b, radius), [*keys, *extra, "_cx", "_cy"])
         .withColumn("d", F.sqrt(d2)).filter(F.col("d") <= radius).drop("_cx", "_cy")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.grids import disc_offsets, spread
+from cellweave.operators.meet import meet
 
 
 def edges(polys: DataFrame, keys: Sequence[str], horizontal: bool = False) -> DataFrame:
@@ -156,7 +157,7 @@ def overlapping_boxes(boxes: DataFrame, frame: Sequence[str], bid: str, attrs: S
     """Pairs of boxes ``[x0, x1) x [y0, y1)`` that share area, each pair once, with the shared area.
 
     Boxes meet on grid cells; a pair is kept only in the cell that holds the corner of its overlap, so
-    no distinct is needed and no cell-by-cell pair rows are made.
+    no distinct is needed and no cell-by-cell pair rows are made. Dense cells are dealt to many tasks.
     """
     grid = boxes.withColumn("_gx", F.explode(F.expr(f"sequence(x0 DIV {cell}, (x1 - 1) DIV {cell})"))).withColumn(
         "_gy", F.explode(F.expr(f"sequence(y0 DIV {cell}, (y1 - 1) DIV {cell})"))
@@ -167,7 +168,7 @@ def overlapping_boxes(boxes: DataFrame, frame: Sequence[str], bid: str, attrs: S
     ox, oy = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     wx, wy = F.least("a_x1", "b_x1") - ox, F.least("a_y1", "b_y1") - oy
     return (
-        a.join(b, [*frame, "_gx", "_gy"])
+        meet(a, b, [*frame, "_gx", "_gy"])
         .filter((F.col(f"a_{bid}") < F.col(f"b_{bid}")) & (wx > 0) & (wy > 0))
         .filter((F.floor(ox / cell) == F.col("_gx")) & (F.floor(oy / cell) == F.col("_gy")))
         .withColumn("area", (wx * wy).cast("bigint"))

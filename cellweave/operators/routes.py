@@ -205,3 +205,12 @@ def simplify(points: DataFrame, frame: DataFrame, buildings: DataFrame, tol: flo
     for k in kept[1:]:
         out = out.union(k)
     return out.distinct()
+
+
+def rule_cross_table(cell_rule: DataFrame, line_rule: DataFrame, keys: list[str]) -> DataFrame:
+    """How often two verdicts, ``cell_rule`` and ``line_rule``, of the same keys agree.
+
+    Verdicts are counted per key before the join, so a key with many lines is two rows. Keys without both verdicts are left out.
+    """
+    counted = line_rule.groupBy(*keys, "line_rule").agg(F.count("*").alias("n"))
+    return counted.join(cell_rule.select(*keys, "cell_rule"), keys).groupBy("cell_rule", "line_rule").agg(F.sum("n").alias("n"))

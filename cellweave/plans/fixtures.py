@@ -82,6 +82,19 @@ VIEWS = {
         ],
         None,
     ),
+    # one predicted mask per condition
+    "fx_atom_pred": (
+        "supplier",
+        [("atom_no", "4"), ("cell", "64")],
+        [
+            "s_suppkey AS crop_id",
+            "CASE atom_no WHEN 0 THEN 'surface_3' WHEN 1 THEN 'estab_0' WHEN 2 THEN 'noise7_0' ELSE 'surface_2' END AS atom",
+            "CAST((cell - cell % 8) / 8 AS INT) AS gr",
+            "CAST(cell % 8 AS INT) AS gc",
+            "CAST(((s_suppkey * 64 + cell) * 16807 + atom_no * 7919) % 65521 % 100 AS INT) AS pct",
+        ],
+        None,
+    ),
     "fx_rects": (
         "customer",
         [],

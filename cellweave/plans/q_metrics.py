@@ -326,32 +326,21 @@ def shortcut_bands(spark, sf):
     ).select("task_key", F.element_at(lows, F.col("b") + 1).alias("band_from"), F.element_at(highs, F.col("b") + 1).alias("band_to"), "cells", "marked")
 
 
-@query("a45_composition_ceiling", """c AS (SELECT crop_id, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc,
-      count(*) FILTER (WHERE surface = 3) >= 8 AS a, count(*) FILTER (WHERE estab = 0) >= 8 AS b,
-      count(*) FILTER (WHERE surface = 3 AND estab = 0) >= 8 AS t FROM fx_raster GROUP BY 1, 2, 3),
-    q AS (SELECT crop_id, gr, gc, bool_or(pct > 50 AND task_key = 'surface_3') AS p1, bool_or(pct > 50 AND task_key = 'surface_2') AS p2
-      FROM fx_pred GROUP BY 1, 2, 3),
-    s AS (SELECT crop_id, bool_or(t) AS has, count(*) FILTER (WHERE a AND b AND t) AS ci, count(*) FILTER (WHERE (a AND b) OR t) AS cu,
-      count(*) FILTER (WHERE p1 AND p2 AND t) AS pi, count(*) FILTER (WHERE (p1 AND p2) OR t) AS pu FROM c JOIN q USING (crop_id, gr, gc) GROUP BY 1)
-    SELECT count(*) AS n, round(avg(CASE WHEN cu > 0 THEN ci / cu ELSE 1.0 END), 6) AS ceiling,
-    round(avg(CASE WHEN pu > 0 THEN pi / pu ELSE 1.0 END), 6) AS composed_iou FROM s WHERE has""")
+@query("a45_composition_ceiling", """tk AS (SELECT * FROM fx_tasks WHERE layer_b IS NOT NULL),
+    px AS (SELECT t.task_key, r.crop_id, CAST(row // 4 AS INT) AS gr, CAST(col // 4 AS INT) AS gc,
+      CASE layer_a WHEN 'surface' THEN surface ELSE noise7 END = class_a AS a, CASE layer_b WHEN 'surface' THEN surface ELSE estab END = class_b AS b FROM fx_raster r, tk t),
+    c AS (SELECT task_key, crop_id, gr, gc, count(*) FILTER (WHERE a) >= 8 AS a, count(*) FILTER (WHERE b) >= 8 AS b, count(*) FILTER (WHERE a AND b) >= 8 AS t FROM px GROUP BY 1, 2, 3, 4),
+    q AS (SELECT c.*, x.pct > 50 AND y.pct > 50 AS p FROM c JOIN tk USING (task_key)
+      JOIN fx_atom_pred x ON x.crop_id = c.crop_id AND x.gr = c.gr AND x.gc = c.gc AND x.atom = layer_a || '_' || class_a
+      JOIN fx_atom_pred y ON y.crop_id = c.crop_id AND y.gr = c.gr AND y.gc = c.gc AND y.atom = layer_b || '_' || class_b),
+    s AS (SELECT task_key, crop_id, bool_or(t) AS has, count(*) FILTER (WHERE a AND b AND t) AS ci, count(*) FILTER (WHERE (a AND b) OR t) AS cu,
+      count(*) FILTER (WHERE p AND t) AS pi, count(*) FILTER (WHERE p OR t) AS pu FROM q GROUP BY 1, 2)
+    SELECT task_key, count(*) AS n, round(avg(CASE WHEN cu > 0 THEN ci / cu ELSE 1.0 END), 6) AS ceiling,
+    round(avg(CASE WHEN pu > 0 THEN pi / pu ELSE 1.0 END), 6) AS composed_iou FROM s WHERE has GROUP BY 1""")
 def composition_ceiling(spark, sf):
-    from cellweave.operators.grids import cell_of, majority
-
-    a, b = F.col("surface") == 3, F.col("estab") == 0
-    cells = raster(spark, sf).groupBy("crop_id", *cell_of("row", "col", 4)).agg(
-        majority(F.count_if(a), 4).alias("a"), majority(F.count_if(b), 4).alias("b"), majority(F.count_if(a & b), 4).alias("t")
-    )
-    hit = F.col("pct") > 50
-    preds = fx.view(spark, sf, "fx_pred").groupBy("crop_id", "gr", "gc").agg(
-        F.bool_or(hit & (F.col("task_key") == "surface_3")).alias("p1"), F.bool_or(hit & (F.col("task_key") == "surface_2")).alias("p2")
-    )
-    t, ab, pp = F.col("t"), F.col("a") & F.col("b"), F.col("p1") & F.col("p2")
-    per = cells.join(preds, ["crop_id", "gr", "gc"]).groupBy("crop_id").agg(
-        F.bool_or("t").alias("has"), mt.ratio(F.count_if(ab & t), F.count_if(ab | t)).alias("c"),
-        mt.ratio(F.count_if(pp & t), F.count_if(pp | t)).alias("p"),
-    ).filter("has")
-    return per.agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("ceiling"), F.round(F.avg("p"), 6).alias("composed_iou"))
+    """Every task of two conditions against the AND of its two single masks, true and predicted."""
+    pairs = {key: ((la, ca), (lb, cb)) for key, la, ca, lb, cb in fx.TASK_ROWS if lb is not None}
+    return mt.composition(raster(spark, sf), fx.view(spark, sf, "fx_atom_pred").withColumn("hit", F.col("pct") > 50), pairs, 4)
 
 
 @query("a48_equal_group_weights", PAD_SQL + """, ch AS (SELECT sample_id, gr, gc FROM pd WHERE tgt <> pad AND score > 0.1),
@@ -390,17 +379,14 @@ def rollout_summary(spark, sf):
     )
 
 
-@query("a51_label_agreement", """SELECT task_id, round(avg(CASE WHEN pred = tgt THEN 1.0 ELSE 0.0 END), 6) AS agreement, count(*) AS cells,
-    round(count(*) FILTER (WHERE pred AND tgt) / greatest(count(*) FILTER (WHERE pred OR tgt), 1), 6) AS pooled_iou FROM fx_marks GROUP BY 1""")
+@query("a51_label_agreement", TARGETS_SQL + """, z AS (SELECT tg.task_key, p.pct > 50 AS a, tg.fg AS b FROM fx_pred p JOIN tg USING (crop_id, task_key, gr, gc))
+    SELECT task_key, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS agreement, count(*) AS cells,
+    round(count(*) FILTER (WHERE a AND b) / greatest(count(*) FILTER (WHERE a OR b), 1), 6) AS pooled_iou FROM z GROUP BY 1""")
 def label_agreement(spark, sf):
-    m = fx.marks(spark, sf)
-    stored = m.select("sample_id", "task_id", "gr", "gc", F.col("tgt").alias("a"))
-    again = m.select("sample_id", "task_id", "gr", "gc", F.col("pred").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return stored.join(again, ["sample_id", "task_id", "gr", "gc"]).groupBy("task_id").agg(
-        F.round(F.avg((a == b).cast("double")), 6).alias("agreement"), F.count("*").alias("cells"),
-        F.round(F.count_if(a & b) / F.greatest(F.count_if(a | b), F.lit(1)), 6).alias("pooled_iou"),
-    )
+    """Stored marks of every task against targets recomputed from the rasters."""
+    stored = fx.view(spark, sf, "fx_pred").select("crop_id", "task_key", "gr", "gc", (F.col("pct") > 50).alias("stored"))
+    again = task_targets(spark, sf).select("crop_id", "task_key", "gr", "gc", F.col("fg").alias("again"))
+    return mt.label_agreement(stored, again, ["crop_id", "task_key", "gr", "gc"], ["task_key"])
 
 
 @query("a55_label_coverage", """f AS (SELECT task_id, avg(CASE WHEN tgt THEN 1.0 ELSE 0.0 END) AS share FROM fx_marks GROUP BY 1),

@@ -10,6 +10,7 @@ from cellweave.functions import bins
 from cellweave.operators import grids, ranking
 from cellweave.operators import routes as rt
 from cellweave.plans import fixtures as fx
+from cellweave.plans.q_frontier import CHAIN8_SQL, cell_rule
 from cellweave.plans.registry import query
 
 SIDE = fx.SIDE
@@ -113,13 +114,14 @@ def alignment_audit(spark, sf):
     )
 
 
-@query("j19_rule_cross_table", VERDICT_SQL + """ SELECT (route_id * 48271) % 65521 % 2 = 0 AS cell_rule, reason IS NULL AS line_rule, count(*) AS n
-    FROM vd WHERE route_id % 13 <> 0 GROUP BY 1, 2""")
+@query("j19_rule_cross_table", VERDICT_SQL.replace("    cel AS", "    samples AS").replace("FROM cel ", "FROM samples ") + ", " + CHAIN8_SQL + """, cr AS (SELECT w.crop_id,
+      coalesce(x.length_m / w.teacher_m <= 1.1 AND s.blocked = 0, FALSE) AS cell_rule FROM w8 w LEFT JOIN len x USING (crop_id) LEFT JOIN shr s USING (crop_id))
+    SELECT cell_rule, reason IS NULL AS line_rule, count(*) AS n FROM vd JOIN cr USING (crop_id) GROUP BY 1, 2""")
 def rule_cross_table(spark, sf):
-    cell_rule = routes(spark, sf).filter("route_id % 13 <> 0").selectExpr("route_id", "(route_id * 48271) % 65521 % 2 = 0 AS cell_rule")
-    return verdicts(spark, sf).select("route_id", F.col("solved").alias("line_rule")).join(cell_rule, "route_id").groupBy(
-        "cell_rule", "line_rule"
-    ).agg(F.count("*").alias("n"))
+    """Verdict of the cells of a window's drawing by verdict of every line in the window."""
+    rule = cell_rule(spark, sf).select("crop_id", F.col("success").alias("cell_rule"))
+    lines = verdicts(spark, sf).select("crop_id", F.col("solved").alias("line_rule"))
+    return rt.rule_cross_table(rule, lines, ["crop_id"])
 
 
 @query("w04_polyline_length", SEG_SQL + " SELECT route_id, count(*) AS segments, round(sum(len), 6) AS length_m FROM sg GROUP BY 1")

@@ -115,6 +115,29 @@ def manifest(spark, sf):
     return tb.update_manifest(d.filter("stamp % 2 = 0"), d.filter("stamp % 2 = 1"))
 
 
+LAYER_DOCS = """SELECT doc_id, concat(coalesce(lang, 'none'), '_', coalesce(source, 'none')) AS layer, CAST((doc_id - doc_id % 1024) / 1024 AS BIGINT) AS part, coalesce(text, '') AS line FROM {docs}"""
+REPLACED = "part % 2 = 0 AND layer >= 'f'"  # layers a second batch delivers anew, each line with its id
+
+
+@query("s11_manifest_of_files", f"""d AS ({LAYER_DOCS.format(docs="documents")}),
+    c AS (SELECT layer, part, CAST(CASE WHEN {REPLACED} THEN 2 ELSE 1 END AS INT) AS stamp,
+      string_agg((CASE WHEN {REPLACED} THEN doc_id || ' ' || line ELSE line END) || chr(10), '' ORDER BY doc_id, line) AS content FROM d GROUP BY 1, 2, 3)
+    SELECT layer, part, octet_length(encode(content)) AS bytes, CAST(length(content) - length(replace(content, chr(10), '')) AS BIGINT) AS lines,
+      sha256(content) AS sha256, stamp, TRUE AS stamped_utc FROM c""")
+def manifest_of_files(spark, sf):
+    """Files of two batches, the second one replaces some layers; entries are read back from the files themselves."""
+    first = spark.sql(LAYER_DOCS.format(docs="{docs}"), docs=fx.table(spark, sf, "documents"))
+    second = first.filter(REPLACED).withColumn("line", F.concat_ws(" ", "doc_id", "line"))
+    found = []
+    for stamp, rows in ((1, first), (2, second)):
+        path = scratch_folder(spark)
+        tb.write_layers(rows.withColumn("text", F.col("line")), path, ["layer", "part"], ["doc_id", "line"], "text")
+        found.append(tb.provenance(spark, path, "*.txt").withColumn("stamp", F.lit(stamp)))
+    return tb.update_manifest(*found, keys=["layer", "part"]).select(
+        "layer", F.col("part").cast("bigint").alias("part"), "bytes", "lines", "sha256", "stamp",
+        F.col("changed").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("stamped_utc"))
+
+
 @query("s12_output_per_source_and_period", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
 def output_per_source_and_period(spark, sf):
     path = scratch_folder(spark)

@@ -46,15 +46,35 @@ def mosaic(tiles: DataFrame, box: tuple[int, int, int, int], keys: Sequence[str]
     return at.groupBy(*keys, (F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col")).agg(F.max_by("value", "tile_order").alias("value"))
 
 
-def provenance(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and sha256 of every file; one file is one row."""
-    f = spark.read.format("binaryFile").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def write_layers(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], line: str) -> None:
+    """One text file per combination of the keys, lines in the given order; null lines are empty.
+
+    A combination is written by one task, so the keys have to hold a part number that bounds it.
+    """
+    laid = rows.select(*keys, *order, F.coalesce(F.col(line), F.lit("")).alias("value")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    laid.select(*keys, "value").write.partitionBy(*keys).text(path)
 
 
-def update_manifest(entries: DataFrame, changes: DataFrame) -> DataFrame:
-    """Insert or replace entries by layer, sorted by layer."""
-    return upsert(entries, changes, ["layer"], "stamp").orderBy("layer")
+def provenance(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Every file below ``path``: keys of its folders, path below ``path``, bytes, lines, sha256 and UTC time of change.
+
+    A file is one row and is hashed in the task that reads it, so the reader's limit of 2 GB a file applies; a larger file is
+    an error. Lines are counted by their ends. An empty folder gives no rows.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", pattern).load(path)
+    keys = [c for c in f.columns if c not in ("path", "modificationTime", "length", "content")]
+    text = F.col("content").cast("string")
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    utc = F.to_utc_timestamp("modificationTime", F.current_timezone())
+    return f.select(
+        *keys, F.substring_index(F.col("path"), f"/{root}/", -1).alias("file"), F.col("length").alias("bytes"),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))).cast("bigint").alias("lines"),
+        F.sha2("content", 256).alias("sha256"), F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("changed"))
+
+
+def update_manifest(entries: DataFrame, changes: DataFrame, keys: Sequence[str] = ("layer",)) -> DataFrame:
+    """Insert or replace entries by the keys, the latest stamp wins; sorted by the keys."""
+    return upsert(entries, changes, list(keys), "stamp").orderBy(*keys)
 
 
 def pack_bits(lit: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
