@@ -28,17 +28,23 @@ SPANS = "array<struct<start:bigint,no:int,stop:bigint,ok:boolean>>"
 BLOCK = 256
 
 
-def _running(values: Column) -> Column:
-    """Running sums of an array, each without its own value. In blocks, so that long arrays stay near linear."""
-    n = F.size(values)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
-    add = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, v: s + v)
-    sums = F.transform(blocks, add)
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+def _blocks(values: Column) -> Column:
+    """An array in slices of ``BLOCK`` elements; an empty one is one empty slice."""
+    last = F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+
+
+def _running(values: Column, join=lambda s, v: s + v, first: int = 0) -> Column:
+    """What ``join`` makes of all values before each one, from ``first`` on. In blocks, so that long arrays stay near linear."""
+    zero = F.lit(first).cast("bigint")
+    blocks = _blocks(values)
+    fold = lambda x: F.aggregate(x, zero, join)
+    folded = F.transform(blocks, fold)
+    start = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("out"))
     inner = lambda block, before: F.aggregate(
-        block, start, lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.array_append(s["out"], before + s["sum"]).alias("out"))
+        block, start, lambda s, v: F.struct(join(s["sum"], v).alias("sum"), F.array_append(s["out"], join(before, s["sum"])).alias("out"))
     )["out"]
-    return F.when(n > 0, F.flatten(F.zip_with(blocks, F.transform(blocks, lambda _, i: add(F.slice(sums, 1, i))), inner))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, F.transform(blocks, lambda _, i: fold(F.slice(folded, 1, i))), inner))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _with_spans(df: DataFrame, text_col: str, name: str, pattern: str, no: int, least: int = 1, group: int = 0, rest: int | None = None) -> DataFrame:
@@ -67,6 +73,25 @@ def _shown(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", kinds[x["no"]], x["start"], x["stop"])))
 
 
+def _apart(found: DataFrame) -> DataFrame:
+    """Keep the ``_weak`` spans that overlap no ``_base`` span: one sweep over both by start, base spans first, and one back.
+
+    A span overlaps an earlier base span if the furthest stop so far lies behind its start, and a later one if the next base
+    start lies before its stop.
+    """
+    base = lambda x: x["no"] < len(KINDS)
+    far = 1 << 62
+    out = found.withColumn("_all", F.when((F.size("_weak") > 0) & (F.size("_base") > 0), F.array_sort(F.concat("_base", "_weak"))).otherwise(F.array().cast(SPANS)))
+    out = out.withColumn("_stop", F.transform("_all", lambda x: F.when(base(x), x["stop"]).otherwise(F.lit(0).cast("bigint"))))
+    out = out.withColumn("_next", F.reverse(F.transform("_all", lambda x: F.when(base(x), x["start"]).otherwise(F.lit(far)))))
+    out = out.withColumn("_stop", _running(F.col("_stop"), lambda s, v: F.greatest(s, v)))
+    out = out.withColumn("_next", F.reverse(_running(F.col("_next"), lambda s, v: F.least(s, v), far)))
+    free = F.filter(F.arrays_zip(F.col("_all").alias("x"), F.col("_stop").alias("stop"), F.col("_next").alias("next")),
+                    lambda z: ~base(z["x"]) & (z["stop"] <= z["x"]["start"]) & (z["next"] >= z["x"]["stop"]))
+    kept = F.when(F.size("_all") > 0, F.transform(free, lambda z: z["x"])).otherwise(F.col("_weak"))
+    return out.withColumn("_weak", kept).drop("_all", "_stop", "_next")
+
+
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``_base``, the matches of the three base patterns, by start, then in the listed order, and ``_weak``.
 
@@ -79,8 +104,7 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         out = _with_spans(out, text_col, f"_weak{i}", pattern, len(KINDS) + i)
     out = out.withColumn("_base", F.array_sort(F.concat(F.filter("_base0", lambda x: x["ok"]), "_base1", "_base2")))
     weak = F.concat(*[f"_weak{i}" for i in range(len(WEAK))], F.filter("_base0", lambda x: ~x["ok"]))
-    free = F.filter(weak, lambda w: ~F.exists(F.col("_base"), lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    return out.withColumn("_weak", free).drop("_base0", "_base1", "_base2", *[f"_weak{i}" for i in range(len(WEAK))])
+    return _apart(out.withColumn("_weak", weak)).drop("_base0", "_base1", "_base2", *[f"_weak{i}" for i in range(len(WEAK))])
 
 
 def linked_spans(found: DataFrame, reach: int = 300) -> DataFrame:
@@ -138,19 +162,29 @@ def secret_report(docs: DataFrame, reach: int = 300, id_col: str = "doc_id", tex
     return some.union(none).select(F.col("_id").alias(id_col), *counts, F.sha2(_shown(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"), _shown(F.col("_pairs")).alias("weak_spans"))
 
 
+def _masked(df: DataFrame, text_col: str, mask: str) -> DataFrame:
+    """``text_col`` with the ``_spans`` masked. Each block of spans cuts its stretch of the text once, so work stays near linear.
+
+    A span that starts behind all stops before it opens a mask; what lies between that furthest stop and its start stays.
+    """
+    text, n = F.col(text_col), F.col("_spans")
+    part = lambda t, lo, hi: F.substring(t, (lo + 1).cast("int"), (hi - lo).cast("int"))
+    out = df.withColumn("_at", _running(F.transform(n, lambda x: x["stop"]), lambda s, v: F.greatest(s, v)))
+    gaps = F.filter(F.zip_with(n, F.col("_at"), lambda x, at: F.struct(at.alias("lo"), x["start"].alias("hi"))), lambda g: g["hi"] >= g["lo"])
+    out = out.withColumn("_at", gaps)
+    stretches = F.transform(_blocks(F.col("_at")), lambda b: F.struct(
+        b.alias("gaps"), b[0]["lo"].alias("lo"), part(text, b[0]["lo"], F.element_at(b, -1)["hi"]).alias("t")))
+    out = out.withColumn("_at", stretches)
+    pieces = F.transform("_at", lambda s: F.array_join(F.transform(s["gaps"], lambda g: F.concat(part(s["t"], g["lo"] - s["lo"], g["hi"] - s["lo"]), F.lit(mask))), ""))
+    end = F.aggregate(n, F.lit(0).cast("bigint"), lambda s, x: F.greatest(s, x["stop"]))
+    whole = F.concat(F.array_join(pieces, ""), part(text, end, F.length(text)))
+    return out.withColumn(text_col, F.when(n.isNotNull(), whole).otherwise(text))
+
+
 def redact(docs: DataFrame, reach: int = 300, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs`` with every reported span replaced by ``mask``; overlapping spans are replaced once, other texts stay."""
     text = F.col(text_col)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    fold = F.aggregate(
-        F.col("_spans"), start,
-        lambda s, x: F.struct(
-            F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))).alias("out"),
-            F.greatest(s["at"], x["stop"]).alias("at"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
-    )
     found = _found(docs, text_col).filter("_digest IS NOT NULL").dropDuplicates(["_digest"])
     spans = cut_lineage(found.join(linked_spans(found, reach), "_digest", "left").select("_digest", _all_spans("_linked", "_paired").alias("_spans")).filter("size(_spans) > 0"))
     marked = docs.withColumn("_digest", F.sha2(text.cast("binary"), 256)).join(spans, "_digest", "left")
-    return marked.withColumn(text_col, F.when(F.col("_spans").isNotNull(), fold).otherwise(text)).select(*docs.columns)
+    return _masked(marked, text_col, mask).select(*docs.columns)

@@ -113,7 +113,7 @@ def edit_report(docs: DataFrame, k: int = 5, window: int = 4, id_col: str = "doc
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document by id (after the last: the first; of a single document: itself). ``near_edited`` and ``near_next`` are
-    Jaccard similarities of the kept hashes. Null texts are empty, and two texts without words are alike (1).
+    Jaccard similarities of the kept hashes; ``positions`` lists the first words of the kept k-grams in text order. Null texts are empty, and two texts without words are alike (1).
     Repeated ids follow each other by text, null ids come first. Other columns are not read.
     """
     n_buckets = n_buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -128,4 +128,5 @@ def edit_report(docs: DataFrame, k: int = 5, window: int = 4, id_col: str = "doc
     return rows.select(
         F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest("kept").alias("fingerprint"),
         digest("kept_edited").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"),
+        F.concat_ws(",", positions("kept").cast("array<string>")).alias("positions"),
     )
