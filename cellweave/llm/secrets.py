@@ -39,12 +39,11 @@ def _running(values: Column, join=lambda s, v: s + v, first: int = 0) -> Column:
     zero = F.lit(first).cast("bigint")
     blocks = _blocks(values)
     fold = lambda x: F.aggregate(x, zero, join)
-    folded = F.transform(blocks, fold)
     start = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("out"))
     inner = lambda block, before: F.aggregate(
         block, start, lambda s, v: F.struct(join(s["sum"], v).alias("sum"), F.array_append(s["out"], join(before, s["sum"])).alias("out"))
     )["out"]
-    return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, F.transform(blocks, lambda _, i: fold(F.slice(folded, 1, i))), inner))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, inner(F.transform(blocks, fold), zero), inner))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _with_spans(df: DataFrame, text_col: str, name: str, pattern: str, no: int, least: int = 1, group: int = 0, rest: int | None = None) -> DataFrame:
@@ -169,7 +168,8 @@ def _masked(df: DataFrame, text_col: str, mask: str) -> DataFrame:
     """
     text, n = F.col(text_col), F.col("_spans")
     part = lambda t, lo, hi: F.substring(t, (lo + 1).cast("int"), (hi - lo).cast("int"))
-    out = df.withColumn("_at", _running(F.transform(n, lambda x: x["stop"]), lambda s, v: F.greatest(s, v)))
+    out = df.withColumn("_at", F.transform(n, lambda x: x["stop"]))
+    out = out.withColumn("_at", _running(F.col("_at"), lambda s, v: F.greatest(s, v)))
     gaps = F.filter(F.zip_with(n, F.col("_at"), lambda x, at: F.struct(at.alias("lo"), x["start"].alias("hi"))), lambda g: g["hi"] >= g["lo"])
     out = out.withColumn("_at", gaps)
     stretches = F.transform(_blocks(F.col("_at")), lambda b: F.struct(
