@@ -188,3 +188,16 @@ def test_vector_links(spark, monkeypatch):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in lattice.near_vectors(with_null).collect()) == [
         ("1", 1, "1", True), ("1", 1, "1", True), ("None", 0, "None", True)]
     assert lattice.near_vectors(df.limit(0)).count() == 0
+
+
+def test_masks_of_a_text_dense_in_spans(spark):
+    text = "é user=bob1 0123456789abcdef token=abcdefghijklmnop " * 300
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [tuple(map(int, x.split(":")[1:])) for x in secrets.secret_report(docs).first().spans.split(",")]
+    want, at = [], 0
+    for start, stop in spans:
+        if start >= at:
+            want += [text[at:start], "[SECRET]"]
+        at = max(at, stop)
+    assert len(spans) > 2 * secrets.BLOCK
+    assert secrets.redact(docs).first().text == "".join(want) + text[at:]
