@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.session import numbered
+
 
 def cell_of(row: str, col: str, s: int) -> tuple[Column, Column]:
     return F.expr(f"CAST({row} DIV {s} AS INT)").alias("gr"), F.expr(f"CAST({col} DIV {s} AS INT)").alias("gc")
@@ -109,7 +111,7 @@ def neighbours8() -> list[tuple[int, int]]:
 def spread(cells: DataFrame, offsets: Sequence[tuple[int, int]], row: str = "row", col: str = "col") -> DataFrame:
     """Every cell repeated at each offset; the base of dilation, discs and neighbour joins."""
     arr = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    return cells.withColumn("_o", F.explode(arr)).withColumns({
+    return numbered(cells, "_k", len(offsets)).withColumn("_o", F.get(arr, F.col("_k").cast("int"))).drop("_k").withColumns({
         row: F.col(row) + F.col("_o.dy"), col: F.col(col) + F.col("_o.dx")
     })
 

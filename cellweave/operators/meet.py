@@ -46,6 +46,9 @@ def dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], block: int = B
 
 
 def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], block: int = BLOCK_ROWS) -> DataFrame:
-    """Inner join on ``keys``, hot keys dealt to many tasks; see :func:`dealt`. Null keys meet nothing."""
+    """Inner join on ``keys``, hot keys dealt to many tasks; see :func:`dealt`. Null keys meet nothing.
+
+    Either side may be large where its files are small, so neither goes through the driver on an estimate.
+    """
     a, b, on = dealt(left, right, keys, block)
-    return a.join(b, on).drop("_i", "_j")
+    return a.hint("merge").join(b, on).drop("_i", "_j")

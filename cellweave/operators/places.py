@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.places import name_key
 from cellweave.operators.meet import meet
 from cellweave.operators.ranking import exact_percentiles
+from cellweave.session import numbered
 
 
 def _at_cells(points: DataFrame, radius: float) -> DataFrame:
@@ -16,9 +17,8 @@ def _at_cells(points: DataFrame, radius: float) -> DataFrame:
 
 def _around(points: DataFrame, radius: float) -> DataFrame:
     """Each point once per cell of its 3 x 3 neighbourhood."""
-    step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return _at_cells(points, radius).withColumn("_s", F.explode(step)).withColumns({
-        "_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")
+    return numbered(_at_cells(points, radius), "_s", 9).withColumns({
+        "_cx": F.expr("_cx + _s DIV 3 - 1"), "_cy": F.expr("_cy + _s % 3 - 1")
     }).drop("_s")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.session import numbered
 
 SIDE = 32  # cells along a window
 GRID = 8  # output cells along a window
@@ -20,6 +21,7 @@ TASK_ROWS = [
     ("noise7_0+surface_2", "noise7", 0, "surface", 2),
     ("surface_3+estab_0", "surface", 3, "estab", 0),
 ]
+MOST = {"2 + o_orderkey % 5": 6}  # largest value of a size that is no constant
 CALENDAR_DATE_ROWS = [("F", "20260915", "1"), ("O", "20260915", "1"), ("O", "20260915", "2"), ("P", "20260916", "1")]
 CALENDAR_ROWS = [
     ("O", "0", "1", "20260901", "20261231"),
@@ -336,21 +338,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if where:
         df = df.filter(where)
     for gen, size in gens:
-        df = df.withColumn(gen, F.explode(F.expr(f"sequence(0L, CAST({size} AS BIGINT) - 1L)")))
+        df = numbered(df, gen, MOST.get(size) or int(size))
+        if size in MOST:
+            df = df.filter(f"{gen} < {size}")
     return df.selectExpr(*exprs)
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "embeddings")
-        .select("vec_id", "label", F.posexplode("embedding").alias("p", "v"))
-        .selectExpr(
-            "vec_id AS sample_id",
-            "CAST(label AS INT) AS task_id",
-            "CAST(p DIV 8 AS INT) AS gr",
-            "CAST(p % 8 AS INT) AS gc",
-            "CAST(v AS DOUBLE) AS score",
-        )
+    return numbered(table(spark, sf_dir, "embeddings"), "p", 64).selectExpr(
+        "vec_id AS sample_id",
+        "CAST(label AS INT) AS task_id",
+        "CAST(p DIV 8 AS INT) AS gr",
+        "CAST(p % 8 AS INT) AS gc",
+        "CAST(get(embedding, CAST(p AS INT)) AS DOUBLE) AS score",
     )
 
 

@@ -47,6 +47,15 @@ def small_side(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes else df
 
 
+def numbered(df: DataFrame, name: str, times: int) -> DataFrame:
+    """Each row ``times`` times with the numbers from 0 in ``name``.
+
+    A join with a short range, because its size estimate counts the rows it makes. That of ``explode`` does not: a window
+    of 1024 cells would pass for one row and be sent whole through the driver as the small side of a later join.
+    """
+    return df.crossJoin(F.broadcast(df.sparkSession.range(0, times, 1, 1).withColumnRenamed("id", name)))
+
+
 _LOCAL: dict[str, str] = {}  # folders of local sessions that name none
 
 

@@ -131,3 +131,27 @@ def test_cross_table_counts_every_line_with_a_verdict_of_its_cells(spark):
     lines = spark.createDataFrame([(1, True)] * 4 + [(1, False)] + [(2, True)] * 2 + [(9, True)], "crop_id int, line_rule boolean")
     got = {(r.cell_rule, r.line_rule): r.n for r in routes.rule_cross_table(cells, lines, ["crop_id"]).collect()}
     assert got == {(True, True): 4, (True, False): 1, (False, True): 2}
+
+
+def test_made_rows_count_in_size_estimates(spark, sf_dir):
+    """Sides that grow by a fixed factor must not pass for small ones, or a later join sends them whole through the driver."""
+    from cellweave.operators import grids, places
+    from cellweave.plans import fixtures as fx
+
+    rows = spark.range(100).selectExpr("id AS row", "id AS col")
+    made = [fx.view(spark, sf_dir, v) for v in ("fx_raster", "fx_pred", "fx_atom_pred", "fx_route_points", "fx_dense_lines")]
+    made += [fx.grid(spark, sf_dir), grids.spread(rows, grids.disc_offsets(7)), places._around(spark.range(100).selectExpr("id AS x", "id AS y"), 3.0)]
+    for df in made:
+        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        assert estimate >= 8 * df.count(), df.columns
+
+
+def test_meet_sends_no_side_through_the_driver(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        both = meet.meet(spark.range(50).withColumn("a", F.lit(1)), spark.range(50).withColumn("b", F.lit(2)), ["id"])
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert both.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
