@@ -194,24 +194,27 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(keyed: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, key, size, bands): the number of distinct shingles of each text and its band keys."""
+    """(id, key, size, fp, bands): the number of distinct shingles of each text, its SimHash over them and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t, shingle, 0, True)) for t in column(batch, "text").to_pylist()]
             flat = pa.array(np.concatenate([band_keys(x, bands, rows) for x in sets]).view(np.int64))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "key"), pa.array(map(len, sets), pa.int64()), keys], ["id", "key", "size", "bands"])
+            fps = pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "key"), pa.array(map(len, sets), pa.int64()), fps, keys], ["id", "key", "size", "fp", "bands"])
 
-    return keyed.select("id", "key", "text").mapInArrow(run, f"id {keyed.schema['id'].dataType.simpleString()}, key string, size long, bands array<long>")
+    return keyed.select("id", "key", "text").mapInArrow(run, f"id {keyed.schema['id'].dataType.simpleString()}, key string, size long, fp long, bands array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text: ``key``, its smallest id ``first_id`` and the smallest id of its group, ``component_id``.
 
-    Texts are near copies if their sets of ``shingle``-word shingles have Jaccard ``similarity`` or more. At 0.8 about
-    10 of 64 SimHash bits differ, too many for a ball, so candidates come from MinHash over the same shingles: texts
-    meet if all ``rows`` smallest values of one of ``bands`` bands agree. A pair of similarity J is missed with
+    Texts are near copies if their sets of ``shingle``-word shingles have Jaccard ``similarity`` or more. Candidates are
+    texts whose SimHash fingerprints over these shingles differ in ``radius`` or fewer bits: they share a value of their
+    balls of half the radius, as in :func:`near_pairs`. At 0.8 about 10 of 64 bits differ, too many for a ball, so the
+    pairs beyond it come from MinHash over the same shingles: texts meet if all ``rows`` smallest values of one of
+    ``bands`` bands agree. A pair of similarity J outside the ball is missed with
     probability (1 - J^rows)^bands, at 0.8 three in a million, whatever kind of edit lies between the two. Each text
     of a bucket is compared with the first one, by the full shingle sets; buckets that still hold more than one
     component then compare every text with those of the other components, block by block, so no pair of a bucket is
@@ -219,8 +222,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     prints = cut_lineage(_sketches(keyed, shingle, bands, rows))
-    reps = cut_lineage(prints.groupBy("key").agg(F.min("id").alias("first_id"), F.max("size").alias("size"), F.max("bands").alias("bands")).withColumn("num", F.xxhash64("key")), prints)
-    spread = reps.select("num", F.explode("bands").alias("bucket"))
+    reps = cut_lineage(prints.groupBy("key").agg(F.min("id").alias("first_id"), F.max("size").alias("size"), F.max("fp").alias("fp"), F.max("bands").alias("bands")).withColumn("num", F.xxhash64("key")), prints)
+    # texts without a shingle all have fingerprint zero and are like nothing
+    spread = reps.select("num", F.explode("bands").alias("bucket")).union(
+        reps.filter("size > 0").select("num", F.explode(ball(F.col("fp"), 64, radius // 2)).alias("variant")).select("num", F.xxhash64("variant").alias("bucket")))
     heads = spread.groupBy("bucket").agg(F.min("num").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut_lineage(spread.join(heads, "bucket").filter("num <> head"))
     met = members.select(F.explode(F.array("num", "head")).alias("num")).distinct().join(reps, "num")

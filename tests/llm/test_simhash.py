@@ -169,3 +169,15 @@ def test_a_bucket_of_boilerplate(spark):
     got = {r.first_id: r.component_id for r in simhash.near_duplicates(docs, bands=rows + 8, rows=1).collect()}
     assert [got[4980 + i] for i in range(20)] == [250 * i for i in range(20)]
     assert sum(got[i] == i for i in range(4980)) == 4980
+
+
+def test_fingerprints_bring_near_copies_together(spark):
+    """One band over 5000 minima never agrees for texts that differ; the balls of the fingerprints find the copies."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 6000)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.first_id: r.component_id for r in simhash.near_duplicates(docs, bands=1, rows=5000).collect()}
+    assert got == {i: i - i % 2 for i in range(8)}
