@@ -71,7 +71,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
         vocab = per_process(f"vocabulary {tokenizer}", lambda: bpe.load(tokenizer))
         known = per_process(f"pieces {tokenizer}", bpe.Pieces)
         signs = per_process(f"directions {tokenizer}", lambda: directions(int(max(vocab.merged.max(), vocab.byte_ids.max(), *vocab.special.values(), 0)) + 1))
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2 << 20):  # the merge arrays of a slice are many times its bytes
             ids, counts = bpe.token_ids(vocab, column(batch, text_col), known)
             keys = curve_keys(ids, counts, signs)
             ends = np.cumsum(counts)
