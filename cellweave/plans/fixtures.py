@@ -8,6 +8,8 @@ everything that can meet in a join lives in a district or window whose number gr
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -327,25 +329,44 @@ SQL["fx_marks"] = (
 )
 
 
+ROWS_A_TASK = 1 << 19  # rows one task makes, about
+_COUNTED: dict[tuple[str, str, str], int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(spark: SparkSession, sf_dir: str, base: str, times: int) -> DataFrame:
+    """A table whose rows will be repeated ``times`` times, dealt by its key to as many tasks as the made rows need.
+
+    A small file is read by one task, which would make the rows of all windows. The tasks hold whole windows, so
+    aggregates by window and cell need no shuffle after this one of the small table.
+    """
+    df = table(spark, sf_dir, base)
+    read = spark.sparkContext.applicationId, sf_dir, base
+    if read not in _COUNTED:
+        _COUNTED[read] = df.count()
+    parts = -(-_COUNTED[read] * times // ROWS_A_TASK)
+    return df.repartition(parts, df.columns[0]) if parts > 1 else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived views as a lazy DataFrame; column pruning reaches the scan."""
     base, gens, exprs, where = VIEWS[name]
-    df = table(spark, sf_dir, base)
+    sizes = [MOST.get(size) or int(size) for _, size in gens]
+    df = dealt_out(spark, sf_dir, base, prod(sizes)) if gens else table(spark, sf_dir, base)
     if where:
         df = df.filter(where)
-    for gen, size in gens:
-        df = numbered(df, gen, MOST.get(size) or int(size))
+    for (gen, size), most in zip(gens, sizes):
+        df = numbered(df, gen, most)
         if size in MOST:
             df = df.filter(f"{gen} < {size}")
     return df.selectExpr(*exprs)
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(table(spark, sf_dir, "embeddings"), "p", 64).selectExpr(
+    return numbered(dealt_out(spark, sf_dir, "embeddings", 64), "p", 64).selectExpr(
         "vec_id AS sample_id",
         "CAST(label AS INT) AS task_id",
         "CAST(p DIV 8 AS INT) AS gr",

@@ -10,6 +10,7 @@ from cellweave.operators import ranking
 from cellweave.plans import fixtures as fx
 from cellweave.plans.q_raster import TARGETS_SQL, TASKS, raster, task_targets
 from cellweave.plans.registry import query
+from cellweave.session import numbered
 
 COUNT_SQL = """count(*) FILTER (WHERE p AND t) AS inter, count(*) FILTER (WHERE p OR t) AS uni, count(*) FILTER (WHERE p) AS n_pred,
     count(*) FILTER (WHERE t) AS n_tgt"""
@@ -403,8 +404,8 @@ def label_coverage(spark, sf):
 @query("p22_one_hot_planes", """SELECT crop_id, row, col, k AS plane, CAST(CASE WHEN surface = k THEN 1 ELSE 0 END AS INT) AS value
     FROM (SELECT *, CAST(unnest(range(4)) AS INT) AS k FROM fx_raster)""")
 def one_hot_planes(spark, sf):
-    planes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (k == F.col("surface")).cast("int"))
-    return raster(spark, sf).select("crop_id", "row", "col", F.posexplode(planes).alias("plane", "value"))
+    return numbered(raster(spark, sf), "plane", 4).selectExpr(
+        "crop_id", "row", "col", "CAST(plane AS INT) AS plane", "CAST(coalesce(surface = plane, false) AS INT) AS value")
 
 
 @query("p32_cell_error_labels", """SELECT sample_id, task_id, gr, gc, CASE WHEN pred AND tgt THEN 'TP' WHEN pred THEN 'FP' WHEN tgt THEN 'FN' END AS label
