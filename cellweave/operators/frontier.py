@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import count
 from math import gcd
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -95,49 +93,113 @@ def relax(state: DataFrame, keys: Sequence[str], moves: Moves = KING) -> DataFra
 
 
 BLOCK = 256  # cells along a side of what one task settles at a time
+PAD = 8  # blocks begin so many cells before 0, so windows that begin there touch no edge of a block
+EDGE = 2  # the longest step
+CAP_M = 8  # clearance beyond which the price of a cell no longer falls
+FAR = 1 << 60  # squared gap of a column without a cell of another class; cost of a cell not reached
 
 
-def _settle(pdf: pd.DataFrame, offsets: tuple[tuple[int, int], ...], half: list[str]) -> pd.DataFrame:
-    """Relax one block of one window until nothing inside it changes.
+def _block(of: str) -> Column:
+    return F.floor((F.col(of) + PAD) / BLOCK)
 
-    Only cells that improved in the last step send offers, all directions at once; the grid has a rim of absent cells
-    as wide as the longest step. Cells near the block's edge that improved keep the mark ``changed``, because cells of
-    other blocks may gain from them.
+
+def _by_block(cells: DataFrame, keys: Sequence[str]):
+    return cells.groupBy(*keys, _block("row").alias("_br"), _block("col").alias("_bc"))
+
+
+def _near_blocks(cells: DataFrame, keys: Sequence[str], reach: int):
+    """Blocks with the cells up to ``reach`` round them; ``_br`` and ``_bc`` tell which cells are the block's own."""
+    for at, name in (("row", "_br"), ("col", "_bc")):
+        low, high = ((F.floor((F.col(at) + PAD + d) / BLOCK)) for d in (-reach, reach))
+        cells = cells.withColumn(name, F.explode(F.sequence(low, high)))
+    return cells.groupBy(*keys, "_br", "_bc")
+
+
+def _numbers(rows: pa.Table, name: str, null: int = FAR) -> np.ndarray:
+    return pc.fill_null(pc.cast(rows.column(name), pa.int64()), null).to_numpy()
+
+
+def _with(rows: pa.Table, **columns: np.ndarray) -> pa.Table:
+    """The table with columns set; those of whole numbers hold null where they are ``FAR``."""
+    for name, values in columns.items():
+        array = pa.array(values, mask=values == FAR) if values.dtype == np.int64 else pa.array(values)
+        at = rows.schema.get_field_index(name)
+        rows = rows.append_column(name, array) if at < 0 else rows.set_column(at, name, array)
+    return rows
+
+
+class _Grid:
+    """Flat numbers of the cells of one block, with a rim of absent cells ``EDGE`` wide."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray):
+        self.top, self.left = int(row.min()) - EDGE, int(col.min()) - EDGE
+        self.width, self.height = int(col.max()) - self.left + EDGE + 1, int(row.max()) - self.top + EDGE + 1
+
+    def number(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        return (row - self.top) * self.width + col - self.left
+
+    def table(self, cell: np.ndarray, values, empty=0, dtype=np.int64) -> np.ndarray:
+        out = np.full(self.width * self.height, empty, dtype)
+        out[cell] = values
+        return out
+
+
+def _at_edge(at: np.ndarray, block: int, rim: int = EDGE) -> np.ndarray:
+    return ((at + PAD) % block < rim) | ((at + PAD) % block >= block - rim)
+
+
+def _settle(row, col, steps, half, best, changed, offsets: tuple[tuple[int, int], ...], block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Relax the cells of one block of one window until nothing inside it changes: their best offers, and their marks.
+
+    Only cells that improved in the last step send offers, all directions at once. Cells near the block's edge that
+    improved keep the mark ``changed``, because cells of other blocks may gain from them.
     """
-    far = np.iinfo(np.int64).max
     order = sorted(offsets)
     lengths = sorted({(dy * dy + dx * dx) ** 0.5 for dy, dx in offsets})
     rim = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
-    row, col = pdf["row"].to_numpy() % BLOCK + rim, pdf["col"].to_numpy() % BLOCK + rim
-    width = BLOCK + 2 * rim
-    cell = row.astype(np.int64) * width + col
-    present = np.zeros(width * width, bool)
-    present[cell] = True
-    best, steps = np.full(width * width, far), np.zeros(width * width, np.int64)
-    had = pdf["best"].isna().to_numpy()
-    best[cell] = np.where(had, far, pdf["best"].fillna(0).to_numpy(np.int64))
-    steps[cell] = pdf["moves"].to_numpy(np.int64)
-    price = np.zeros((len(half), width * width), np.int64)
-    for i, h in enumerate(half):
-        price[i, cell] = pdf[h].to_numpy(np.int64)
-    shift = np.array([dy * width + dx for dy, dx in order])
+    grid = _Grid(row, col)
+    cell = grid.number(row, col)
+    present = grid.table(cell, True, False, bool)
+    now, allowed = grid.table(cell, best, FAR), grid.table(cell, steps)
+    price = np.stack([grid.table(cell, h) for h in half])
+    shift = np.array([dy * grid.width + dx for dy, dx in order])
     kind = np.array([lengths.index((dy * dy + dx * dx) ** 0.5) for dy, dx in order])
     code = np.array([order.index((-dy, -dx)) for dy, dx in order])
-    before = best.copy()
-    front = cell[pdf["changed"].to_numpy(bool)]
+    front = np.unique(cell[changed])
     while len(front):
         to = front[:, None] + shift
-        cost = (best[front] // 32)[:, None] + price[kind, front[:, None]] + price[kind, to]
-        open_ = ((steps[front][:, None] >> np.arange(len(order))) & 1).astype(bool) & present[to]
+        cost = (now[front] // 32)[:, None] + price[kind, front[:, None]] + price[kind, to]
+        open_ = ((allowed[front][:, None] >> np.arange(len(order))) & 1).astype(bool) & present[to]
         to, offer = to[open_], (cost * 32 + code)[open_]
-        old = best[to] // 32
-        np.minimum.at(best, to, offer)
-        front = np.unique(to[best[to] // 32 < old])
-    out = pdf.assign(best=pd.array(np.where(best[cell] == far, 0, best[cell]), dtype="Int64"))
-    out.loc[best[cell] == far, "best"] = pd.NA
-    edge = (row < 2 * rim) | (row >= BLOCK) | (col < 2 * rim) | (col >= BLOCK)
-    out["changed"] = edge & ((best[cell] // 32 < before[cell] // 32) | pdf["changed"].to_numpy(bool))
-    return out
+        old = now[to] // 32
+        np.minimum.at(now, to, offer)
+        front = np.unique(to[now[to] // 32 < old])
+    edge = _at_edge(row, block, rim) | _at_edge(col, block, rim)
+    return now[cell], edge & ((now[cell] // 32 < best // 32) | changed)
+
+
+def _marked(row, col, own: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the rows ``own`` lie at the place of one of the rows ``marks``."""
+    grid = _Grid(row, col)
+    cell = grid.number(row, col)
+    return grid.table(cell[marks], True, False, bool)[cell[own]]
+
+
+def _starts(starts: DataFrame, cells: DataFrame, keys: Sequence[str], margin: int = 0) -> DataFrame:
+    """Start places with the key and place types of ``cells``."""
+    kind = lambda c: cells.schema[c].dataType
+    return starts.dropna(subset=list(keys)).select(
+        *[F.col(k).cast(kind(k)).alias(k) for k in keys],
+        *[(F.col(f"s{c}") + margin).cast(kind(c)).alias(c) for c in ("row", "col")],
+    )
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def _state(cells: DataFrame, keys: Sequence[str], half: Sequence[str]) -> str:
+    return _fields(cells, [*keys, "row", "col"]) + ", moves bigint, " + "".join(f"{h} bigint, " for h in half) + "best bigint, changed boolean"
 
 
 def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], price: str = "1.0D", moves: Moves = KING) -> DataFrame:
@@ -149,33 +211,51 @@ def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], pri
     Windows are cut into blocks of ``BLOCK`` x ``BLOCK`` cells, the bound of what a task holds. A round settles every
     block by itself and then sends the offers that cross a block's edge, as one aggregate by cell. So a window within
     one block takes one shuffle, and larger ones a few rounds per block on the way. Costs only fall, so it ends.
+    Starts travel as rows of their own, told by their missing ``moves``.
     """
     every = f"{(1 << len(moves.offsets)) - 1}L"
     half = moves.halves()
-    at = starts.selectExpr(*keys, "srow AS row", "scol AS col", "true AS changed").distinct()
-    state = cells.selectExpr(
-        *keys, "row", "col", f"{'moves' if 'moves' in cells.columns else every} AS moves",
+    rows = cells.selectExpr(
+        *keys, "row", "col", f"CAST({'moves' if 'moves' in cells.columns else every} AS BIGINT) AS moves",
         *[f"CAST(round({price} * {MICRO / 2 * n}D) AS BIGINT) AS {h}" for h, n in zip(half, moves.lengths)],
-    ).join(at, [*keys, "row", "col"], "left").selectExpr(
-        *keys, "row", "col", "moves", *half, f"CAST(IF(changed, {moves.start_code}, NULL) AS BIGINT) AS best",
-        "coalesce(changed, false) AS changed",
-    )
-    offsets = moves.offsets
-    run = lambda pdf: _settle(pdf, offsets, half)
-    written = None
-    while True:
-        br, bc = F.floor(F.col("row") / BLOCK), F.floor(F.col("col") / BLOCK)
-        settled = cut_lineage(state.groupBy(*keys, br.alias("_br"), bc.alias("_bc")).applyInPandas(run, state.schema), written)
-        if settled.filter("changed").isEmpty():
-            break
-        wide = settled.groupBy(*keys).agg(((F.min(br) < F.max(br)) | (F.min(bc) < F.max(bc))).alias("wide"))
+    ).unionByName(_starts(starts, cells, keys), allowMissingColumns=True)
+    offsets, code, block, names = moves.offsets, moves.start_code, BLOCK, [*keys, "row", "col", "moves", *half]
+
+    def first(rows: pa.Table) -> pa.Table:
+        row, col = _numbers(rows, "row"), _numbers(rows, "col")
+        free = rows.column("moves").is_valid().to_numpy()
+        own = rows.select(names).filter(pa.array(free))
+        if not own.num_rows:
+            return _with(own, best=np.zeros(0, np.int64), changed=np.zeros(0, bool))
+        begin = _marked(row, col, free, ~free)
+        at = row[free], col[free], _numbers(own, "moves"), [_numbers(own, h) for h in half]
+        best, changed = _settle(*at, np.where(begin, code, FAR), begin, offsets, block)
+        return _with(own, best=best, changed=changed)
+
+    return _cheapest(cut_lineage(_by_block(rows, keys).applyInArrow(first, _state(cells, keys, half))), keys, moves)
+
+
+def _cheapest(settled: DataFrame, keys: Sequence[str], moves: Moves) -> DataFrame:
+    """Rounds over blocks until none has an offer for another; ``settled`` is a written table."""
+    half, offsets, block = moves.halves(), moves.offsets, BLOCK
+    names = [*keys, *settled.columns[len(keys):]]
+
+    def again(rows: pa.Table) -> pa.Table:
+        rows = rows.select(names)
+        at = _numbers(rows, "row"), _numbers(rows, "col"), _numbers(rows, "moves"), [_numbers(rows, h) for h in half]
+        best, changed = _settle(*at, _numbers(rows, "best"), rows.column("changed").to_numpy(), offsets, block)
+        return _with(rows, best=best, changed=changed)
+
+    while not settled.filter("changed").isEmpty():
+        wide = settled.groupBy(*keys).agg(
+            ((F.min(_block("row")) < F.max(_block("row"))) | (F.min(_block("col")) < F.max(_block("col")))).alias("wide"))
         if wide.filter("wide").isEmpty():  # every window lies in one block
             break
         written = cut_lineage(relax(settled, keys, moves), settled)
         if written.filter("changed").isEmpty():
             settled = written
             break
-        state = written
+        settled = cut_lineage(_by_block(written, keys).applyInArrow(again, written.schema), written)
     pdy, pdx = ([str(o[i]) for o in sorted(moves.offsets)] for i in (0, 1))
     return settled.selectExpr(
         *keys, "row", "col", "best DIV 32 AS cost",
@@ -184,52 +264,118 @@ def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], pri
     )
 
 
+def _clearance(built: np.ndarray) -> np.ndarray:
+    """Distance of every cell of a grid to the nearest built one, as far as ``CAP_M``: first along columns, then along rows."""
+    wide = np.pad(np.where(built, 0, CAP_M * CAP_M), CAP_M, constant_values=CAP_M * CAP_M)
+    height, width = built.shape
+    gap = np.minimum.reduce([wide[CAP_M + d:CAP_M + d + height] + d * d for d in range(1 - CAP_M, CAP_M)])
+    square = np.minimum.reduce([gap[:, CAP_M + d:CAP_M + d + width] + d * d for d in range(1 - CAP_M, CAP_M)])
+    return np.sqrt(np.minimum(square, CAP_M * CAP_M).astype(np.float64))
+
+
 def walking_field(ground: DataFrame, starts: DataFrame, keys: Sequence[str], margin: int = 0) -> DataFrame:
     """Walking field over free ground, priced by its clearance to buildings: costs and parents as :func:`cheapest_field`.
 
     ``ground``: keys, row, col, ``built`` (0 or 1), counted from the window's corner; with a halo of ``margin`` cells
     rows and columns begin at ``-margin``, and ways may leave the window. Ground without a cell is closed.
+
+    No price looks further than ``CAP_M`` cells (:func:`walking_price`), so a block with the ground that far round it
+    is priced and settled in one go, after one shuffle.
     """
-    clear = distance_to_other(ground, keys, "built", [0, 1]).filter("built = 0")
+    moves, block = KING, BLOCK
+    half, offsets, code = moves.halves(), moves.offsets, moves.start_code
+    scale, every, names = [MICRO / 2 * n for n in moves.lengths], (1 << len(moves.offsets)) - 1, [*keys, "row", "col"]
     # blocks count from the corner of the halo, so that a window within one block stays in it
-    priced = clear.select(*keys, (F.col("row") + margin).alias("row"), (F.col("col") + margin).alias("col"), walking_price(F.coalesce("dist", F.lit(8.0))).alias("price"))
-    at = starts.select(*keys, (F.col("srow") + margin).alias("srow"), (F.col("scol") + margin).alias("scol"))
-    found = cheapest_field(priced, at, keys, "price")
+    moved = ground.filter("built IS NOT NULL").select(*keys, *[(F.col(c) + margin).cast(ground.schema[c].dataType).alias(c) for c in ("row", "col")],
+                          F.expr("CAST(built <=> 1 AS INT)").alias("built"))
+    rows = moved.unionByName(_starts(starts, ground, keys, margin), allowMissingColumns=True)
+
+    def first(rows: pa.Table) -> pa.Table:
+        row, col, built = _numbers(rows, "row"), _numbers(rows, "col"), _numbers(rows, "built", -1)
+        own = (np.floor_divide(row + PAD, block) == _numbers(rows, "_br")) & (np.floor_divide(col + PAD, block) == _numbers(rows, "_bc"))
+        free = own & (built == 0)
+        out = rows.select(names).filter(pa.array(free))
+        if not out.num_rows:
+            none = np.zeros(0, np.int64)
+            return _with(out, moves=none, **{h: none for h in half}, best=none, changed=np.zeros(0, bool))
+        grid = _Grid(row, col)
+        walls = grid.table(grid.number(row, col)[built == 1], True, False, bool).reshape(grid.height, grid.width)
+        near = 1 - _clearance(walls).ravel()[grid.number(row[free], col[free])] / CAP_M
+        price = 1 + 4.0 * near * near
+        prices = [np.floor(price * n + 0.5).astype(np.int64) for n in scale]  # rounds as SQL does
+        begin = _marked(row, col, free, built == -1)
+        steps = np.full(len(price), every)
+        best, changed = _settle(row[free], col[free], steps, prices, np.where(begin, code, FAR), begin, offsets, block)
+        return _with(out, moves=steps, **dict(zip(half, prices)), best=best, changed=changed)
+
+    priced = _near_blocks(rows, keys, CAP_M).applyInArrow(first, _state(moved, keys, half))
+    found = _cheapest(cut_lineage(priced), keys, moves)
     return found.select(*keys, *[(F.col(c) - margin).alias(c) for c in ("row", "col")], "cost", *[(F.col(c) - margin).alias(c) for c in ("prow", "pcol")])
 
 
 def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Free cells with the mask of the sixteen steps that cut no corner: the cells between must be free as well."""
-    around = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if (dy, dx) != (0, 0)]
-    bit = {o: 1 << i for i, o in enumerate(around)}
-    # every cell reports itself to its neighbourhood; the centre row marks free cells
-    rows = ", ".join(f"named_struct('row', row - {dy}, 'col', col - {dx}, 'b', {bit[(dy, dx)]}L)" for dy, dx in around)
-    seen = cells.selectExpr(*keys, f"explode(array(named_struct('row', row, 'col', col, 'b', {1 << 40}L), {rows})) AS _m").selectExpr(
-        *keys, "_m.*"
-    ).groupBy(*keys, "row", "col").agg(F.expr("bit_or(b) AS b")).filter(f"(b & {1 << 40}L) <> 0")
-    terms = []
-    for i, (dy, dx) in enumerate(sorted(KNIGHT.offsets)):
+    """Free cells with the mask of the sixteen steps that cut no corner: the cells between must be free as well.
+
+    Every block sees the cells ``EDGE`` round it, so no cell is sent to its neighbours.
+    """
+    block, names = BLOCK, [*keys, "row", "col"]
+    needs = []
+    for dy, dx in sorted(KNIGHT.offsets):
         sy, sx = (dy > 0) - (dy < 0), (dx > 0) - (dx < 0)
         need = {(dy, dx)}
         if abs(dy) + abs(dx) == 3:
             need |= {(sy if abs(dy) == 2 else 0, sx if abs(dx) == 2 else 0), (sy, sx)}
         elif abs(dy) + abs(dx) == 2:
             need |= {(0, dx), (dy, 0)}
-        mask = sum(bit[o] for o in need)
-        terms.append(f"IF((b & {mask}L) = {mask}L, {1 << i}L, 0L)")
-    return seen.selectExpr(*keys, "row", "col", " + ".join(terms) + " AS moves")
+        needs.append(sorted(need))
+
+    def masks(rows: pa.Table) -> pa.Table:
+        row, col = _numbers(rows, "row"), _numbers(rows, "col")
+        own = (np.floor_divide(row + PAD, block) == _numbers(rows, "_br")) & (np.floor_divide(col + PAD, block) == _numbers(rows, "_bc"))
+        grid = _Grid(row, col)
+        cell = grid.number(row, col)
+        free = grid.table(cell, True, False, bool)
+        mask = np.zeros(int(own.sum()), np.int64)
+        for i, need in enumerate(needs):
+            mask |= np.logical_and.reduce([free[cell[own] + dy * grid.width + dx] for dy, dx in need]).astype(np.int64) << i
+        return _with(rows.select(names).filter(pa.array(own)), moves=mask)
+
+    return _near_blocks(cells.select(*names).distinct(), keys, EDGE).applyInArrow(masks, _fields(cells, names) + ", moves bigint")
+
+
+def _parents(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of the cells of one block: place, place of the parent, whether there is none, and the parent's number here (own, if not here)."""
+    row, col = _numbers(rows, "row"), _numbers(rows, "col")
+    home = ~rows.column("prow").is_valid().to_numpy()
+    up, left = np.where(home, row, _numbers(rows, "prow")), np.where(home, col, _numbers(rows, "pcol"))
+    grid = _Grid(row, col)
+    number = grid.table(grid.number(row, col), np.arange(len(row)), -1)
+    known = (up >= grid.top) & (up < grid.top + grid.height) & (left >= grid.left) & (left < grid.left + grid.width)
+    to = np.where(known, number[np.where(known, grid.number(up, left), 0)], -1)
+    return row, col, up, left, home, np.where(to < 0, np.arange(len(row)), to)
+
+
+def _exits(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of the cells of one block: where their way leaves it (or ends), steps and metres until there, and whether it ends."""
+    row, col, up, left, home, to = _parents(rows)
+    hop = np.sqrt(((row - up) ** 2 + (col - left) ** 2).astype(np.float64))
+    last = to == np.arange(len(to))
+    metres, steps = np.where(last, 0.0, hop), np.where(last, 0, 1)
+    while not last[to].all():
+        metres, steps, to = metres + metres[to], steps + steps[to], to[to]
+    return up[to], left[to], steps + ~home[to], metres + hop[to], home[to]
 
 
 def walked_metres(field: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Real metres along the tree of parents, by pointer doubling: every round halves what is left of each way."""
+    """Real metres along the tree of parents: first to where a way leaves its block, then by pointer doubling over blocks."""
     me = [*keys, "row", "col"]
-    tree = field.filter("cost IS NOT NULL").select(
-        *me, F.coalesce("prow", "row").alias("jr"), F.coalesce("pcol", "col").alias("jc"),
-        F.when(F.col("prow").isNull(), 0.0).otherwise(
-            F.sqrt((F.pow(F.col("row") - F.col("prow"), 2) + F.pow(F.col("col") - F.col("pcol"), 2)))
-        ).alias("m"), F.col("prow").isNull().alias("home"),
-    )
-    tree = cut_lineage(tree)
+
+    def within(rows: pa.Table) -> pa.Table:
+        jr, jc, _, metres, home = _exits(rows)
+        return _with(rows.select(me), jr=jr, jc=jc, m=metres, home=home)
+
+    reached = field.filter("cost IS NOT NULL").select(*me, "prow", "pcol")
+    tree = cut_lineage(_by_block(reached, keys).applyInArrow(within, _fields(field, me) + ", jr bigint, jc bigint, m double, home boolean"))
     while True:
         if tree.filter("NOT home").isEmpty():
             return tree.select(*me, F.round("m", 6).alias("metres"))
@@ -243,22 +389,59 @@ def walked_metres(field: DataFrame, keys: Sequence[str]) -> DataFrame:
 def way_back(field: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells from the goal to the start with their position (goal first), for every reached goal.
 
-    The known part of the way doubles each round: the jump table skips 2^k parents, and every cell found so far
-    adds the cell 2^k further on.
+    A way is followed inside the goal's block. Where ways go on, the cells at which they enter further blocks are found
+    by doubling over the blocks, and are then followed in all blocks at once.
     """
-    me = [*keys, "row", "col"]
-    jump = cut_lineage(field.filter("prow IS NOT NULL").select(*me, F.col("prow").alias("jr"), F.col("pcol").alias("jc")))
-    path = goals.select(*keys, F.col("grow").alias("row"), F.col("gcol").alias("col")).join(
-        field.filter("cost IS NOT NULL").select(*me), me, "left_semi"
-    ).withColumn("pos", F.lit(0).cast("bigint"))
-    path = cut_lineage(path)
-    for k in count():
-        more = path.join(jump, me).selectExpr(*keys, "jr AS row", "jc AS col", f"pos + {1 << k} AS pos")
+    me, block = [*keys, "row", "col"], BLOCK
+    reached = field.filter("cost IS NOT NULL").select(*me, "prow", "pcol")
+    kind = lambda c: field.schema[c].dataType
+
+    def follow(rows: pa.Table) -> pa.Table:
+        asked = rows.column("pos").is_valid().to_numpy()
+        cells, marks = rows.filter(pa.array(~asked)), rows.filter(pa.array(asked))
+        found = [np.zeros((0, 4), np.int64)]
+        if cells.num_rows and marks.num_rows:
+            row, col, up, left, home, to = _parents(cells)
+            grid = _Grid(_numbers(rows, "row"), _numbers(rows, "col"))
+            at = grid.table(grid.number(row, col), np.arange(len(row)), -1)[grid.number(_numbers(marks, "row"), _numbers(marks, "col"))]
+            pos, at = _numbers(marks, "pos")[at >= 0], at[at >= 0]
+            while len(at):
+                found.append(np.column_stack([row[at], col[at], pos, np.zeros(len(at), np.int64)]))
+                leaves = (to[at] == at) & ~home[at]
+                found.append(np.column_stack([up[at], left[at], pos + 1, np.ones(len(at), np.int64)])[leaves])
+                on = to[at] != at
+                at, pos = to[at][on], pos[on] + 1
+        cells_on = np.concatenate(found)
+        out = rows.select(list(keys)).take(pa.array(np.zeros(len(cells_on), np.int64)))
+        for c, values in zip(("row", "col"), cells_on.T):
+            out = out.append_column(c, pa.array(values).cast(rows.schema.field(c).type))
+        return out.append_column("pos", pa.array(cells_on[:, 2])).append_column("out", pa.array(cells_on[:, 3] == 1))
+
+    def followed(marks: DataFrame) -> DataFrame:
+        rows = reached.unionByName(marks.select(*[F.col(c).cast(kind(c)).alias(c) for c in me], "pos"), allowMissingColumns=True)
+        return cut_lineage(_by_block(rows, keys).applyInArrow(follow, _fields(field, me) + ", pos bigint, out boolean"))
+
+    def edges(rows: pa.Table) -> pa.Table:
+        jr, jc, steps, _, home = _exits(rows)
+        row, col = _numbers(rows, "row"), _numbers(rows, "col")
+        kept = pa.array((_at_edge(row, block) | _at_edge(col, block)) & ~home)
+        return _with(rows.select(me), jr=jr, jc=jc, n=steps).filter(kept)
+
+    asked = goals.dropna(subset=list(keys)).select(*keys, F.col("grow").alias("row"), F.col("gcol").alias("col"), F.lit(0).cast("bigint").alias("pos"))
+    first = followed(asked)
+    ways, entered = first.filter("NOT out").drop("out"), first.filter("out").drop("out")
+    if entered.isEmpty():
+        return ways
+    jump = cut_lineage(_by_block(reached, keys).applyInArrow(edges, _fields(field, me) + ", jr bigint, jc bigint, n bigint"))
+    entered = cut_lineage(entered)
+    while True:
+        more = entered.join(jump, me).selectExpr(*keys, "jr AS row", "jc AS col", "pos + n AS pos")
         if more.isEmpty():
-            return path
-        path = cut_lineage(path.unionByName(more), path)
-        far = jump.selectExpr(*keys, "row AS jr", "col AS jc", "jr AS _r", "jc AS _c")
-        jump = cut_lineage(jump.join(far, [*keys, "jr", "jc"]).selectExpr(*me, "_r AS jr", "_c AS jc"), jump)
+            break
+        entered = cut_lineage(entered.unionByName(more), entered)
+        far = jump.selectExpr(*keys, "row AS jr", "col AS jc", "jr AS _r", "jc AS _c", "n AS _n")
+        jump = cut_lineage(jump.join(far, [*keys, "jr", "jc"]).selectExpr(*me, "_r AS jr", "_c AS jc", "n + _n AS n"), jump)
+    return ways.unionByName(followed(entered).filter("NOT out").drop("out"))
 
 
 def lit_with_markers(cells: DataFrame, walks: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
@@ -329,7 +512,6 @@ def label_cells(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int
     return runs.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
 
 
-FAR = 1 << 60  # squared gap of a column without a cell of another class
 ROW_BLOCK = 64
 
 

@@ -93,11 +93,8 @@ def distance_to_other_class(spark, sf):
     return out.select("crop_id", "row", "col", F.round("dist", 6).alias("dist"))
 
 
-def priced_free(spark, sf):
-    """Free cells with their walking price from the clearance to the nearest building."""
-    cells = fx.view(spark, sf, "fx_raster").selectExpr("crop_id", "row", "col", "CAST(surface = 3 AS INT) AS built")
-    clear = fr.distance_to_other(cells, K, "built", [0, 1]).filter("built = 0")
-    return clear.select("crop_id", "row", "col", fr.walking_price(F.coalesce("dist", F.lit(8.0))).alias("price"))
+def built_ground(spark, sf):
+    return fx.view(spark, sf, "fx_raster").selectExpr("crop_id", "row", "col", "CAST(surface = 3 AS INT) AS built")
 
 
 def walk_starts(spark, sf):
@@ -105,8 +102,7 @@ def walk_starts(spark, sf):
 
 
 def walking_field(spark, sf):
-    cells = priced_free(spark, sf)
-    return fr.cheapest_field(cells, walks(spark, sf), K, "price")
+    return fr.walking_field(built_ground(spark, sf), walks(spark, sf), K)
 
 
 PRICED_SQL = DIST_SQL.replace("{cond}", "a.surface <> 3 AND b.surface = 3") + ", " + _field_sql(
@@ -354,8 +350,9 @@ def metres(spark, sf):
 def two_metre(spark, sf):
     from cellweave.operators import wave
 
+    # cells without a way count as well; they are added as rows of their own, not joined
     frame = fx.view(spark, sf, "fx_raster").select("crop_id", "row", "col")
-    return wave.two_metre_field(frame.join(metres(spark, sf), ["crop_id", "row", "col"], "left"), K)
+    return wave.two_metre_field(frame.unionByName(metres(spark, sf), allowMissingColumns=True), K)
 
 
 def goals(spark, sf):
@@ -498,8 +495,8 @@ def backward_drawings(spark, sf):
 def tie_family(spark, sf):
     """Cells on some cheapest way between start and goal, exactly and within a slack."""
     ahead = field(spark, sf)
-    back = once(spark, sf, "field_back", lambda: fr.cheapest_field(
-        priced_free(spark, sf), walks(spark, sf).selectExpr("crop_id", "grow AS srow", "gcol AS scol"), K, "price"))
+    back = once(spark, sf, "field_back", lambda: fr.walking_field(
+        built_ground(spark, sf), walks(spark, sf).selectExpr("crop_id", "grow AS srow", "gcol AS scol"), K))
     total = walks(spark, sf).selectExpr("crop_id", "grow AS row", "gcol AS col").join(ahead, ["crop_id", "row", "col"]).filter(
         "cost IS NOT NULL").select("crop_id", F.col("cost").alias("total"))
     both = ahead.select("crop_id", "row", "col", "cost").join(

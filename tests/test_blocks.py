@@ -1,7 +1,11 @@
-"""Made rows that are dealt to many tasks."""
+"""Jobs that are settled block by block, and made rows that are dealt to many tasks."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from cellweave.operators import frontier as fr
 from cellweave.plans import fixtures as fx
 
 
@@ -19,3 +23,76 @@ def test_made_rows_are_dealt_to_many_tasks(spark, sf_dir, monkeypatch):
     counted = made.groupBy("crop_id", "row").count()
     # the only shuffle is the one of the table that is read
     assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def _ground(spark):
+    draw = random.Random(4)
+    cells = [(w, r, c, int(draw.random() < 0.25)) for w in range(2) for r in range(-4, 20) for c in range(-4, 20)]
+    cells = [(w, r, c, 0 if (r, c) in ((0, 0), (15, 15)) else b) for w, r, c, b in cells]
+    ground = spark.createDataFrame(cells, "w long, row int, col int, built int")
+    return ground, spark.createDataFrame([(w, 0, 0, 15, 15) for w in range(2)], "w long, srow int, scol int, grow int, gcol int")
+
+
+def _plain_field(ground, starts):
+    clear = fr.distance_to_other(ground, ["w"], "built", [0, 1]).filter("built = 0")
+    priced = clear.select("w", "row", "col", fr.walking_price(F.coalesce("dist", F.lit(8.0))).alias("price"))
+    return fr.cheapest_field(priced, starts, ["w"], "price")
+
+
+def test_blocks_give_what_one_block_gives(spark, monkeypatch):
+    ground, ends = _ground(spark)
+    ground = ground.cache()
+    free = ground.filter("built = 0").select("w", "row", "col")
+    found = []
+    for block in (256, 8):
+        monkeypatch.setattr(fr, "BLOCK", block)
+        field = fr.walking_field(ground, ends, ["w"], 4)
+        way = fr.way_back(field, ends.select("w", "grow", "gcol"), ["w"])
+        found.append((_rows(field), _rows(fr.walked_metres(field, ["w"])), _rows(way), _rows(fr.clear_moves(free, ["w"]))))
+    assert found[0][0] == _rows(_plain_field(ground, ends))
+    assert all(a == b for a, b in zip(*found))
+    assert {w for w, *_ in found[0][2]} == {0, 1}
+
+
+def test_windows_of_one_block_take_one_written_table(spark, monkeypatch):
+    ground, ends = _ground(spark)
+    written = []
+
+    def counted(df, instead_of=None):
+        written.append(df)
+        return cut(df, instead_of)
+
+    cut = fr.cut_lineage
+    monkeypatch.setattr(fr, "cut_lineage", counted)
+    field = fr.walking_field(ground, ends, ["w"], 4)
+    assert len(written) == 1
+    fr.walked_metres(field, ["w"])
+    assert len(written) == 2
+    fr.way_back(field, ends.select("w", "grow", "gcol"), ["w"])
+    assert len(written) == 3
+
+
+def test_starts_off_the_ground_and_windows_without_ground(spark):
+    ground = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 0), (2, 0, 0, 1), (3, 0, 0, None)], "w int, row int, col int, built int")
+    starts = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 0, 0), (9, 5, 5), (None, 0, 0)], "w long, srow long, scol long")
+    assert [(r.w, r.row, r.col, r.cost) for r in fr.walking_field(ground, starts, ["w"]).collect()] == [(1, 0, 1, None)]
+    cells = ground.filter("built = 0").select("w", "row", "col")
+    assert [(r.w, r.cost) for r in fr.cheapest_field(cells, starts, ["w"]).collect()] == [(1, None)]
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_clear_moves_cut_no_corner(spark, monkeypatch, block):
+    monkeypatch.setattr(fr, "BLOCK", block)
+    draw = random.Random(7)
+    free = {(r, c) for r in range(-3, 14) for c in range(-3, 14) if draw.random() < 0.7}
+    got = {(r.row, r.col): r.moves for r in fr.clear_moves(spark.createDataFrame([(1, *x) for x in sorted(free)], "w int, row int, col int"), ["w"]).collect()}
+    assert set(got) == free
+    for i, (dy, dx) in enumerate(sorted(fr.KNIGHT.offsets)):
+        for r, c in free:
+            between = {(dy, dx)}
+            if abs(dy) + abs(dx) == 3:
+                sy, sx = (dy > 0) - (dy < 0), (dx > 0) - (dx < 0)
+                between |= {(sy if abs(dy) == 2 else 0, sx if abs(dx) == 2 else 0), (sy, sx)}
+            elif abs(dy) + abs(dx) == 2:
+                between |= {(0, dx), (dy, 0)}
+            assert bool(got[(r, c)] >> i & 1) == all((r + y, c + x) in free for y, x in between)
