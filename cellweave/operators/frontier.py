@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.grids import neighbours8
+from cellweave.operators.grids import neighbours8, spread
 from cellweave.session import cut_lineage
 
 MICRO = 1_000_000
@@ -489,27 +489,71 @@ def label_runs(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int)
     below = stretch.select(*keys, (F.col("row") - 1).alias("row"), "_s", F.col("id").alias("_j"), F.col("c0").alias("_a"), F.col("c1").alias("_b"))
     touch = stretch.join(below, [*keys, "row", "_s"]).filter(f"_a <= c1 + {reach} AND _b >= c0 - {reach}").select(*keys, "id", "_j").distinct()
     edges = cut_lineage(touch.unionByName(touch.select(*keys, F.col("_j").alias("id"), F.col("id").alias("_j"))))
-    labels = runs.select(*keys, "id", F.col("id").alias("label"))
+    return runs.join(_merged(runs.select(*keys, "id"), edges, keys), [*keys, "id"]).drop("id")
+
+
+def _merged(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Smallest id each node ``(keys, id)`` reaches along ``edges`` ``(keys, id, _j)``, which lead both ways."""
+    labels = nodes.select(*keys, "id", F.col("id").alias("label"))
     low = None
     while True:
         ends = edges.join(labels.selectExpr(*keys, "id AS _j", "label"), [*keys, "_j"]).join(
             labels.selectExpr(*keys, "id", "label AS mine"), [*keys, "id"]
         ).filter("label < mine")
-        # the lower label goes to the run itself and to the run its group is named after
+        # the lower label goes to the node itself and to the node its group is named after
         offers = ends.selectExpr(*keys, "explode(array(id, mine)) AS id", "label")
         found = labels.selectExpr(*keys, "id", "label", "label AS old").union(
             offers.selectExpr(*keys, "id", "label", "CAST(NULL AS BIGINT) AS old")
         ).groupBy(*keys, "id").agg(F.expr("min(label) AS label"), F.expr("max(old) AS old"))
         low = cut_lineage(found, low)
         if low.filter("label <> old").isEmpty():
-            return runs.join(low.drop("old"), [*keys, "id"]).drop("id")
+            return low.drop("old")
         jump = low.selectExpr(*keys, "id AS label", "label AS _l")
         labels = low.join(jump, [*keys, "label"]).selectExpr(*keys, "id", "_l AS label")
 
 
+def _labelled(row: np.ndarray, col: np.ndarray, ids: np.ndarray, offsets: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Smallest id of the component of each cell of one block: the least of the neighbours', then that of the cell it names."""
+    grid = _Grid(row, col)
+    cell = grid.number(row, col)
+    known, rank = np.unique(ids, return_inverse=True)
+    place = np.zeros(len(known), np.int64)
+    place[rank] = cell
+    label = grid.table(cell, rank, FAR)
+    while True:
+        least = np.minimum.reduce([label[cell], *[label[cell + dy * grid.width + dx] for dy, dx in offsets]])
+        low = label.copy()
+        np.minimum.at(low, place[label[cell]], least)  # the cell a group is named after learns it, too
+        low[cell] = np.minimum(low[cell], least)
+        low[cell] = low[place[low[cell]]]
+        if (low == label).all():
+            return known[label[cell]]
+        label = low
+
+
 def label_cells(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int) -> DataFrame:
-    runs = label_runs(cells, keys, diagonal, side)
-    return runs.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
+    """Connected components of cells ``(keys, row, col, label)``; the label is the smallest row * side + col inside.
+
+    Every block is labelled by itself after one shuffle. Where windows have several blocks, the parts that touch across
+    their edges are merged; only cells at edges are joined for that.
+    """
+    offsets = [o for o in neighbours8() if diagonal or 0 in o]
+    names, block = [*keys, "row", "col"], BLOCK
+
+    def within(rows: pa.Table) -> pa.Table:
+        row, col = _numbers(rows, "row"), _numbers(rows, "col")
+        edge = _at_edge(row, block, 1) | _at_edge(col, block, 1)
+        return _with(rows.select(names), label=_labelled(row, col, row * side + col, offsets), edge=edge)
+
+    parts = cut_lineage(_by_block(cells.select(*names), keys).applyInArrow(within, _fields(cells, names) + ", label bigint, edge boolean"))
+    rim = parts.filter("edge").select(*names, "label")
+    wide = rim.groupBy(*keys).agg(((F.min(_block("row")) < F.max(_block("row"))) | (F.min(_block("col")) < F.max(_block("col")))).alias("wide"))
+    if wide.filter("wide").isEmpty():
+        return parts.drop("edge")
+    beside = spread(rim.withColumnRenamed("label", "_j"), offsets)
+    touch = rim.join(beside.drop("_o"), names).filter("label <> _j").select(*keys, F.col("label").alias("id"), "_j").distinct()
+    merged = _merged(parts.select(*keys, F.col("label").alias("id")).distinct(), cut_lineage(touch), keys)
+    return parts.drop("edge").withColumnRenamed("label", "id").join(merged, [*keys, "id"]).select(*names, "label")
 
 
 ROW_BLOCK = 64

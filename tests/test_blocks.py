@@ -96,3 +96,18 @@ def test_clear_moves_cut_no_corner(spark, monkeypatch, block):
             elif abs(dy) + abs(dx) == 2:
                 between |= {(0, dx), (dy, 0)}
             assert bool(got[(r, c)] >> i & 1) == all((r + y, c + x) in free for y, x in between)
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_components_by_blocks(spark, monkeypatch, diagonal):
+    draw = random.Random(11)
+    rows = [(w, r, c) for w in range(2) for r in range(40) for c in range(40) if draw.random() < 0.6 + 0.1 * w]
+    cells = spark.createDataFrame(rows, "w long, row int, col int").cache()
+    runs = fr.label_runs(cells, ["w"], diagonal, 40)
+    want = _rows(runs.select("w", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label"))
+    written, cut = [], fr.cut_lineage
+    monkeypatch.setattr(fr, "cut_lineage", lambda df, instead_of=None: written.append(df) or cut(df, instead_of))
+    assert _rows(fr.label_cells(cells, ["w"], diagonal, 40)) == want
+    assert len(written) == 1  # windows of one block take no rounds
+    monkeypatch.setattr(fr, "BLOCK", 8)
+    assert _rows(fr.label_cells(cells, ["w"], diagonal, 40)) == want
