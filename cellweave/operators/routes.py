@@ -60,16 +60,18 @@ BOUNDS = ("r0", "r1", "c0", "c1")  # half-open ground round a window, where it i
 def crossing(segs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
     """Per key: does any sample lie on a building or off the ground.
 
-    The ground is the window, or the bounds ``r0, r1, c0, c1`` if the segments carry them. Only building cells
-    ``(frame, row, col)`` are joined; being off the ground is arithmetic. Samples are reduced to distinct cells per
-    key inside the tasks before they meet the buildings.
+    The ground is the window, or the bounds ``r0, r1, c0, c1`` if the segments carry them; being off it is arithmetic.
+    Building cells ``(frame, row, col)`` and samples travel as blocks of 8 x 8 cells, one bit a cell, so that a segment
+    is as many rows as it touches blocks and both sides are reduced inside the tasks before they meet.
     """
-    hit = buildings.select(frame, "row", "col").withColumn("_hit", F.lit(True))
+    block = [F.shiftright("row", 3).alias("_br"), F.shiftright("col", 3).alias("_bc")]
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST((row & 7) * 8 + (col & 7) AS INT))")
+    hit = buildings.groupBy(frame, *block).agg(F.bit_or(bit).alias("_hit"))
     bounds = [c for c in BOUNDS if c in segs.columns]
-    cells = samples(segs).groupBy(*keys, frame, "row", "col").agg(*[F.first(c).alias(c) for c in bounds], F.lit(1).alias("_one"))
     off = ~F.expr("row >= r0 AND row < r1 AND col >= c0 AND col < c1" if bounds else f"row >= 0 AND row < {side} AND col >= 0 AND col < {side}")
-    return cells.join(hit, [frame, "row", "col"], "left").groupBy(*keys).agg(
-        F.bool_or(F.coalesce("_hit", F.lit(False)) | off).alias("crosses")
+    seen = samples(segs).groupBy(*keys, frame, *block).agg(F.bit_or(bit).alias("_seen"), F.bool_or(off).alias("_off"))
+    return seen.join(hit, [frame, "_br", "_bc"], "left").groupBy(*keys).agg(
+        F.bool_or((F.coalesce(F.col("_hit"), F.lit(0)).bitwiseAND(F.col("_seen")) != 0) | F.col("_off")).alias("crosses")
     )
 
 

@@ -1,11 +1,13 @@
 """Jobs that are settled block by block, and made rows that are dealt to many tasks."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.operators import frontier as fr
+from cellweave.operators import routes
 from cellweave.plans import fixtures as fx
 
 
@@ -111,3 +113,22 @@ def test_components_by_blocks(spark, monkeypatch, diagonal):
     assert len(written) == 1  # windows of one block take no rounds
     monkeypatch.setattr(fr, "BLOCK", 8)
     assert _rows(fr.label_cells(cells, ["w"], diagonal, 40)) == want
+
+
+def test_crossing_sends_blocks_of_cells(spark):
+    rng = random.Random(4)
+    built = {(f, rng.randint(-9, 70), rng.randint(-9, 70)) for f in range(3) for _ in range(60)}
+    lines = [(i, i % 3, *[rng.uniform(-9, 70) for _ in range(4)]) for i in range(300)]
+    segs = spark.createDataFrame([(*x, -8, 69, -8, 69) for x in lines], "route_id long, crop_id long, x1 double, y1 double, x2 double, y2 double, r0 int, r1 int, c0 int, c1 int")
+    buildings = spark.createDataFrame(sorted(built), "crop_id long, row int, col int")
+    want = {}
+    for i, f, x1, y1, x2, y2 in lines:
+        n = max(math.ceil(math.sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 0.5), 1)
+        cells = {(math.floor(y1 + k / n * (y2 - y1)), math.floor(x1 + k / n * (x2 - x1))) for k in range(n + 1)}
+        want[i] = any((f, r, c) in built or not (-8 <= r < 69 and -8 <= c < 69) for r, c in cells)
+    sent = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = sent()
+    assert {r.route_id: r.crosses for r in routes.crossing(segs, "crop_id", buildings, ["route_id"], 64).collect()} == want
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sent() - before < 150_000  # bytes; a row for each cell sends 212,052
+    assert 20 < sum(want.values()) < 280
