@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -54,6 +55,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             at = end
 
 
+def give_back() -> None:
+    """Return the memory that finished batches of this worker held to the machine: workers stay, and so would their free lists."""
+    pa.default_memory_pool().release_unused()
+    trim = per_process("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import bpe
-from cellweave.llm.common import column, per_process, slices
+from cellweave.llm.common import column, give_back, per_process, slices
 from cellweave.session import cut_lineage
 
 DIMS, BITS = 3, 10
+SLICE = 1 << 20  # bytes of text tokenised together
+KNOWN = 200_000  # merged pieces a worker remembers
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -69,9 +71,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = per_process(f"vocabulary {tokenizer}", lambda: bpe.load(tokenizer))
-        known = per_process(f"pieces {tokenizer}", bpe.Pieces)
+        known = per_process(f"pieces {tokenizer}", lambda: bpe.Pieces(KNOWN))
         signs = per_process(f"directions {tokenizer}", lambda: directions(int(max(vocab.merged.max(), vocab.byte_ids.max(), *vocab.special.values(), 0)) + 1))
-        for batch in slices(batches, text_col, 2 << 20):  # the merge arrays of a slice are many times its bytes
+        for batch in slices(batches, text_col, SLICE):  # the merge arrays of a slice are many times its bytes
             ids, counts = bpe.token_ids(vocab, column(batch, text_col), known)
             keys = curve_keys(ids, counts, signs)
             ends = np.cumsum(counts)
@@ -79,6 +81,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
             offsets = np.concatenate([[0], flat.itemsize * (ends + np.arange(1, len(ends) + 1))]).astype(np.int64)
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([column(batch, id_col), pa.array(keys), pa.array(counts + 1), packed], ["id", "key", "n", "ids"])
+            del ids, counts, keys, ends, flat, offsets, packed
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key long, n long, ids binary")

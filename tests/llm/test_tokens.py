@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -73,3 +76,27 @@ def test_packing(awkward, none, corpus, library):
     _check_pieces(packing.pack(awkward, PATH).collect(), [r.text for r in awkward.collect()], library)
     _check_pieces(packing.pack(corpus, PATH).collect(), [r.text for r in corpus.collect()], library)
     assert packing.pack(none, PATH).count() == 0
+
+
+def test_packing_workers_give_memory_back():
+    """A worker that has tokenised much text of ever new words holds little between its batches."""
+    code = f"""
+import random, sys
+import pyarrow as pa
+from cellweave.llm import packing
+
+class Docs:
+    schema = type("S", (), {{"__getitem__": lambda s, k: type("K", (), {{"dataType": type("D", (), {{"simpleString": staticmethod(lambda: "bigint")}})}})}})()
+    select = lambda s, *c: s
+    mapInArrow = lambda s, run, kind: run
+
+rng = random.Random(1)
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+run = packing.tokenized(Docs(), {PATH!r}, 1, "doc_id", "text")
+made = lambda: pa.record_batch([pa.array(range(40)), pa.array([" ".join("%x" % rng.getrandbits(40) for _ in range(3000)) for _ in range(40)])], ["doc_id", "text"])
+before = held()
+most = max(held() for _ in range(14) for out in run(iter([made()])))
+print(most - before)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert float(said.stdout) < 155, said.stderr
