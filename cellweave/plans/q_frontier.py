@@ -359,7 +359,8 @@ def goals(spark, sf):
     from cellweave.operators import wave
 
     g = walks(spark, sf).selectExpr("crop_id", "grow AS row", "gcol AS col", "srow", "scol")
-    return g.join(metres(spark, sf), ["crop_id", "row", "col"], "left").select(
+    # the files of a field are far smaller than its rows, so an estimate would send it through the driver
+    return g.join(metres(spark, sf).hint("merge"), ["crop_id", "row", "col"], "left").select(
         "crop_id", "srow", "scol", F.col("metres").alias("goal_m"), wave.n_goal(F.col("metres"), HORIZON_M).alias("n_goal")
     )
 

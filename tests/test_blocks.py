@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import frontier as fr
 from cellweave.operators import routes
 from cellweave.plans import fixtures as fx
+from cellweave.plans import q_frontier
 
 
 def _rows(df):
@@ -132,3 +133,12 @@ def test_crossing_sends_blocks_of_cells(spark):
     spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert sent() - before < 150_000  # bytes; a row for each cell sends 212,052
     assert 20 < sum(want.values()) < 280
+
+
+def test_walked_metres_never_go_through_the_driver(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        plan = q_frontier.goals(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
