@@ -134,14 +134,14 @@ def routes_until_full(spark, sf):
         n_crops = starts.count()
         free = fx.view(spark, sf, "fx_raster").filter("surface <> 3").select("crop_id", "row", "col")
         inner = sp.inner_ground(free, ["crop_id"], 32, 2)
-        ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"]).join(metres(spark, sf), ["crop_id", "row", "col"], "left")
+        ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"]).join(metres(spark, sf).hint("merge"), ["crop_id", "row", "col"], "left")
         goals = cut_lineage(ranked.selectExpr("crop_id", "rn", "row AS grow", "col AS gcol", "metres"))
         starts = cut_lineage(starts.join(goals.groupBy("crop_id").agg(F.count("*").alias("n")), "crop_id", "left"))
 
         def propose(lo, hi):
             d = F.col("draw")
             drawn = spark.range(lo, hi).withColumnRenamed("id", "draw").select("draw", F.floor(draw(F.expr("draw DIV 4"), salt=61) * n_crops).alias("crop_id"), draw(d, salt=62).alias("_u"))
-            asked = drawn.join(starts, "crop_id").withColumn("rn", F.floor(F.col("_u") * F.col("n")) + 1).join(goals, ["crop_id", "rn"], "left")
+            asked = drawn.join(starts.hint("merge"), "crop_id").withColumn("rn", F.floor(F.col("_u") * F.col("n")) + 1).join(goals.hint("merge"), ["crop_id", "rn"], "left")
             straight = F.sqrt(F.pow(F.col("grow") - F.col("srow"), 2) + F.pow(F.col("gcol") - F.col("scol"), 2))
             ratio = F.try_divide(F.col("metres"), F.col("straight"))
             return asked.withColumn("straight", straight).select(
