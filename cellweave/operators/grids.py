@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.session import numbered
+from cellweave.session import numbered, small_side
 
 
 def cell_of(row: str, col: str, s: int) -> tuple[Column, Column]:
@@ -77,7 +77,7 @@ def cut_windows(raster: DataFrame, windows: DataFrame, keys: Sequence[str], size
         "_br": F.expr(f"CAST(row DIV {block} AS INT)"), "_bc": F.expr(f"CAST(col DIV {block} AS INT)")
     })
     return (
-        cells.join(touched, [*keys, "_br", "_bc"])
+        cells.join(small_side(touched), [*keys, "_br", "_bc"])
         .filter(f"row >= dy AND row < dy + {size} AND col >= dx AND col < dx + {size}")
         .withColumns({"row": F.col("row") - F.col("dy"), "col": F.col("col") - F.col("dx")})
         .drop("_br", "_bc", "dx", "dy")

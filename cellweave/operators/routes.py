@@ -70,7 +70,7 @@ def crossing(segs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[s
     bounds = [c for c in BOUNDS if c in segs.columns]
     off = ~F.expr("row >= r0 AND row < r1 AND col >= c0 AND col < c1" if bounds else f"row >= 0 AND row < {side} AND col >= 0 AND col < {side}")
     seen = samples(segs).groupBy(*keys, frame, *block).agg(F.bit_or(bit).alias("_seen"), F.bool_or(off).alias("_off"))
-    return seen.join(hit, [frame, "_br", "_bc"], "left").groupBy(*keys).agg(
+    return seen.join(hit.hint("merge"), [frame, "_br", "_bc"], "left").groupBy(*keys).agg(
         F.bool_or((F.coalesce(F.col("_hit"), F.lit(0)).bitwiseAND(F.col("_seen")) != 0) | F.col("_off")).alias("crosses")
     )
 
@@ -78,26 +78,27 @@ def crossing(segs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[s
 def visible(pairs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
     """Pairs ``(keys, x1, y1, x2, y2)`` whose connecting segment meets no building."""
     met = crossing(pairs, frame, buildings, keys, side).filter("NOT crosses").select(*keys)
-    return pairs.join(met, list(keys), "left_semi")
+    return pairs.join(met.hint("merge"), list(keys), "left_semi")
 
 
 def verdicts(routes: DataFrame, points: DataFrame, buildings: DataFrame, side: int) -> DataFrame:
     """One row per route: solved or the first failing check, with errors, length and ratio.
 
     ``routes``: route_id, crop_id, sx, sy, gx, gy, teacher_m, and the bounds of the ground if there is a halo. Routes
-    without points are unparseable.
+    without points are unparseable. All joins are merged: a few columns of the routes look small by the size of their
+    file, and were sent whole through the driver.
     """
     bounds = [c for c in BOUNDS if c in routes.columns]
     ends = points.groupBy("route_id").agg(
         F.count("*").alias("n"), F.min_by(F.struct("x", "y"), "pos").alias("a"), F.max_by(F.struct("x", "y"), "pos").alias("b"),
         F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).alias("finite"),
     )
-    segs = segments(points, ["route_id"]).join(routes.select("route_id", "crop_id", *bounds), "route_id")
+    segs = segments(points, ["route_id"]).join(routes.select("route_id", "crop_id", *bounds).hint("merge"), "route_id")
     lengths = segs.groupBy("route_id").agg(F.sum(seg_length()).alias("length_m"))
     hits = crossing(segs, "crop_id", buildings, ["route_id"], side)
     err = lambda p, x, y: F.sqrt(F.pow(F.col(f"{p}.x") - F.col(x), 2) + F.pow(F.col(f"{p}.y") - F.col(y), 2))
     joined = (
-        routes.join(ends, "route_id", "left").join(lengths, "route_id", "left").join(hits, "route_id", "left")
+        routes.join(ends.hint("merge"), "route_id", "left").join(lengths.hint("merge"), "route_id", "left").join(hits.hint("merge"), "route_id", "left")
         .withColumns({"start_err": err("a", "sx", "sy"), "goal_err": err("b", "gx", "gy"), "ratio": F.col("length_m") / F.col("teacher_m")})
     )
     reason = (
@@ -187,7 +188,7 @@ def simplify(points: DataFrame, frame: DataFrame, buildings: DataFrame, tol: flo
             *[F.first(c).alias(c) for c in ("x1", "y1", "x2", "y2")],
             F.max_by(F.struct("x", "y"), F.struct("_d", -F.col("pos"))).alias("m"),
         )
-        hits = crossing(spans.join(frame, line), "crop_id", buildings, [*line, "i"], side)
+        hits = crossing(spans.join(frame.hint("merge"), line), "crop_id", buildings, [*line, "i"], side)
         split = (
             spans.join(hits, [*line, "i"]).filter((F.col("d") > tol) | F.col("crosses"))
             .select(*line, "i", "j", "k", F.col("m.x").alias("mx"), F.col("m.y").alias("my"))

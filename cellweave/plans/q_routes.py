@@ -65,7 +65,7 @@ def straight(spark, sf):
 
 @query("j11_segments_hit_building", HIT_SQL + " SELECT route_id, seg, crosses FROM hit")
 def segments_hit_building(spark, sf):
-    segs = rt.segments(points(spark, sf), ["route_id"]).join(routes(spark, sf).select("route_id", "crop_id"), "route_id")
+    segs = rt.segments(points(spark, sf), ["route_id"]).join(routes(spark, sf).select("route_id", "crop_id").hint("merge"), "route_id")
     return rt.crossing(segs, "crop_id", buildings(spark, sf), ["route_id", "seg"], SIDE)
 
 
@@ -91,7 +91,7 @@ def line_of_sight(spark, sf):
     LEFT JOIN (SELECT route_id, count(*) AS n FROM fx_route_points GROUP BY 1) p USING (route_id)""")
 def routes_with_predictions(spark, sf):
     n = points(spark, sf).groupBy("route_id").agg(F.count("*").alias("n"))
-    return routes(spark, sf).select("route_id").join(n, "route_id", "left").select(
+    return routes(spark, sf).select("route_id").join(n.hint("merge"), "route_id", "left").select(
         "route_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_points"), F.col("n").isNull().alias("unparseable")
     )
 
@@ -107,7 +107,7 @@ def alignment_audit(spark, sf):
         "CAST((o_orderkey * 48271 + 41) % 65521 % 32 AS DOUBLE) + 0.5D + IF(o_orderkey % 89 = 0, 0.01D, 1e-9D) AS d_sx",
     )
     off = (F.col("d_crop") != F.col("crop_id")) | (F.abs(F.col("d_sx") - F.col("sx")) > 1e-8 + 1e-5 * F.abs("sx"))
-    joined = routes(spark, sf).join(drawings, "route_id", "left")
+    joined = routes(spark, sf).join(drawings.hint("merge"), "route_id", "left")
     return joined.agg(
         F.count("*").alias("records"), F.count("d_crop").alias("drawings"), F.count_if(F.col("d_crop").isNull()).alias("missing"),
         F.count_if(off).alias("misaligned"),
@@ -209,7 +209,7 @@ def band_means(spark, sf):
 def export_summary(spark, sf):
     off = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= SIDE) | (F.col("y") >= SIDE)
     per = points(spark, sf).groupBy("route_id").agg(F.count("*").alias("k"), F.bool_or(off).alias("leaves"))
-    per = per.join(routes(spark, sf).select("route_id", "n_goal"), "route_id").withColumn("all", F.lit(1))
+    per = per.join(routes(spark, sf).select("route_id", "n_goal").hint("merge"), "route_id").withColumn("all", F.lit(1))
     band = bins.front_band(F.col("n_goal"))
     total = routes(spark, sf).agg(F.count("*")).scalar()
     base = per.groupBy("all").agg(
@@ -291,7 +291,7 @@ def example_per_group(spark, sf):
     """Best example per verdict group; the later groups prefer windows the first one did not use."""
     per = by_method(spark, sf).groupBy("route_id").agg(
         F.bool_or(F.col("solved") & (F.col("method") == "predicted")).alias("p"), F.bool_or(F.col("solved") & (F.col("method") == "straight")).alias("s")
-    ).join(routes(spark, sf).select("route_id", "crop_id", "n_goal", "teacher_m"), "route_id")
+    ).join(routes(spark, sf).select("route_id", "crop_id", "n_goal", "teacher_m").hint("merge"), "route_id")
     grp = F.when(F.col("p") & F.col("s"), "both").when(F.col("p"), "only predicted").when(F.col("s"), "only straight")
     g = per.withColumn("grp", grp).filter("grp IS NOT NULL")
     best = ranking.first_row(g.filter("grp = 'both'"), ["grp"], [-F.col("n_goal"), -F.col("teacher_m"), F.col("route_id")], ["route_id", "crop_id"])
@@ -401,7 +401,7 @@ def halo_verdicts(spark, sf, lines=halo_points):
 @query("j11_segments_with_margin", _halo_sql(HIT_SQL) + " SELECT route_id, seg, crosses FROM hit")
 def segments_with_margin(spark, sf):
     r = halo_routes(spark, sf).select("route_id", "crop_id", *rt.BOUNDS)
-    segs = rt.segments(halo_points(spark, sf), ["route_id"]).join(r, "route_id")
+    segs = rt.segments(halo_points(spark, sf), ["route_id"]).join(r.hint("merge"), "route_id")
     return rt.crossing(segs, "crop_id", halo_buildings(spark, sf), ["route_id", "seg"], SIDE)
 
 

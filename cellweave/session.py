@@ -31,7 +31,7 @@ def local_session(app: str = "cellweave", cores: str = "*", partitions: int = 8,
 
 
 def small_side(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
-    """``df`` with a broadcast hint if its rows were measured to be small, else as it is (a shuffle join then).
+    """``df`` with a broadcast hint if its rows were measured to be small, else with one for a merge join.
 
     Numbers, dates and truth values count 8 bytes, texts and bytes their length, nested values the length of their JSON.
     """
@@ -44,7 +44,7 @@ def small_side(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
             size = size + F.coalesce(F.octet_length(F.to_json(F.col(f"`{field.name}`"))), F.lit(0))
         else:
             size = size + 8
-    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes else df
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes else df.hint("merge")
 
 
 def numbered(df: DataFrame, name: str, times: int) -> DataFrame:
