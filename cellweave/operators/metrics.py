@@ -178,7 +178,7 @@ def bucket_means(per_sample: DataFrame, dims: Sequence[str], values: Sequence[st
 def label_agreement(stored: DataFrame, again: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Agreement and pooled overlap of ``stored`` and ``again``, masks of the same cells; cells only one side has are left out."""
     a, b = F.col("stored"), F.col("again")
-    return stored.join(again, list(keys)).groupBy(*by).agg(
+    return stored.join(again.hint("merge"), list(keys)).groupBy(*by).agg(
         F.round(F.avg((a == b).cast("double")), 6).alias("agreement"), F.count("*").alias("cells"),
         F.round(F.count_if(a & b) / F.greatest(F.count_if(a | b), F.lit(1)), 6).alias("pooled_iou"),
     )

@@ -22,7 +22,7 @@ IOU_SQL = "CASE WHEN uni > 0 THEN inter / uni ELSE 1.0 END"
 
 def scored(spark, sf):
     """Condition targets joined with the predicted cells."""
-    return task_targets(spark, sf).join(fx.view(spark, sf, "fx_pred"), ["crop_id", "task_key", "gr", "gc"])
+    return task_targets(spark, sf).join(fx.view(spark, sf, "fx_pred").hint("merge"), ["crop_id", "task_key", "gr", "gc"])
 
 
 @query("a25_overlap_by_task", SCORED_SQL + f""", per AS (SELECT crop_id, task_key, {COUNT_SQL},
@@ -144,7 +144,7 @@ def error_attribution(spark, sf):
         F.struct(F.lit(key).alias("task_key"), *[F.col(f"{n}{i}").alias(n) for n in ("fg", "ma", "mb")]) for i, key in enumerate(pairs)
     ])
     cells = pooled.select("crop_id", "gr", "gc", F.explode(by_task).alias("t")).select("crop_id", "gr", "gc", "t.*")
-    wrong = cells.join(fx.view(spark, sf, "fx_pred"), ["crop_id", "task_key", "gr", "gc"]).filter((F.col("pct") > 50) != F.col("fg"))
+    wrong = cells.join(fx.view(spark, sf, "fx_pred").hint("merge"), ["crop_id", "task_key", "gr", "gc"]).filter((F.col("pct") > 50) != F.col("fg"))
     ma, mb, n = F.col("ma"), F.col("mb"), F.greatest(F.count("*"), F.lit(1))
     return wrong.agg(
         F.count("*").alias("wrong"), F.round(F.count_if(~ma & mb) / n, 6).alias("only_a"), F.round(F.count_if(ma & ~mb) / n, 6).alias("only_b"),
@@ -169,7 +169,7 @@ def wrong_description_gap(spark, sf):
     )
     pred = fx.view(spark, sf, "fx_pred").filter(F.col("task_key") == right.key).withColumn("p", F.col("pct") > 50)
     p, r, w = F.col("p"), F.col("r"), F.col("w")
-    per = cells.join(pred, ["crop_id", "gr", "gc"]).groupBy("crop_id").agg(
+    per = cells.join(pred.hint("merge"), ["crop_id", "gr", "gc"]).groupBy("crop_id").agg(
         F.bool_or("r").alias("has"), mt.ratio(F.count_if(p & r), F.count_if(p | r)).alias("a"),
         mt.ratio(F.count_if(p & w), F.count_if(p | w)).alias("b"),
     ).filter("has")
@@ -217,7 +217,7 @@ def gap_by_task(spark, sf):
     flat = pairs.select(*at, "r", F.explode(slots).alias("v")).select(*at, "r", "v.slot", "v.w")
     pred = fx.view(spark, sf, "fx_pred").select(*at, (F.col("pct") > 50).alias("p"))
     p, r, w = F.col("p"), F.col("r"), F.col("w")
-    per = flat.join(pred, at).groupBy("task_key", "slot", "crop_id").agg(
+    per = flat.join(pred.hint("merge"), at).groupBy("task_key", "slot", "crop_id").agg(
         F.bool_or("r").alias("has"), F.try_divide(F.count_if(p & r), F.count_if(p | r)).alias("a"), F.try_divide(F.count_if(p & w), F.count_if(p | w)).alias("b")).filter("has")
     return per.groupBy("task_key", "slot").agg(
         F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("right_iou"), F.round(F.avg("b"), 6).alias("wrong_iou"), F.round(F.avg("a") - F.avg("b"), 6).alias("gap"))
