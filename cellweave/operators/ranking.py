@@ -31,7 +31,7 @@ def tiered_rank(df: DataFrame, keys: Sequence[str], tiers: Sequence[str], name:
             offsets = level.withColumnRenamed(f"_o{depth}", "_off")
         else:
             offsets = (
-                offsets.join(level, outer + [tiers[depth - 1]])
+                offsets.join(level.hint("merge"), outer + [tiers[depth - 1]])
                 .withColumn("_off", F.col("_off") + F.col(f"_o{depth}"))
                 .drop(f"_o{depth}")
             )
@@ -40,7 +40,7 @@ def tiered_rank(df: DataFrame, keys: Sequence[str], tiers: Sequence[str], name:
         return df.withColumn(name, F.row_number().over(inner).cast("bigint"))
     ranked = df.withColumn("_rn", F.row_number().over(inner))
     return (
-        ranked.join(offsets, keys + tiers[:-1])
+        ranked.join(offsets.hint("merge"), keys + tiers[:-1])
         .withColumn(name, (F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_off", "_rn")
     )
@@ -82,7 +82,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         parts = near.groupBy(*span, "_before", part.alias("_b")).agg(F.sum("_n").alias("_m"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"))
         run = Window.partitionBy(*span).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         found = parts.select(*span, "_m", "_nlo", "_nhi", (F.col("_before") + F.coalesce(F.sum("_m").over(run), F.lit(0))).alias("_from"))
-        narrowed = open_.join(found, span).filter("_r >= _from AND _r < _from + _m").select(
+        narrowed = open_.hint("merge").join(found, span).filter("_r >= _from AND _r < _from + _m").select(
             *by, "_p", "_wt", "_r", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"), F.col("_from").alias("_before"))
         ranks = cut_lineage(ranks.filter("_lo >= _hi").unionByName(narrowed), ranks)
     out = ranks.groupBy(*by).agg(*[

@@ -313,7 +313,7 @@ def rule_pixels(spark, sf):
     """Ground pixels of the usable crops with one boolean column per relative rule."""
     g = ground(spark, sf)
     levels = targets.relative_levels(g, "noise7").filter(F.col("n") >= targets.MIN_PIXELS)
-    ranked = ranking.tiered_rank(g, ["crop_id"], ["noise7", "row", "col"], "_rank").join(levels, "crop_id")
+    ranked = ranking.tiered_rank(g, ["crop_id"], ["noise7", "row", "col"], "_rank").join(levels.hint("merge"), "crop_id")
     v = F.col("noise7")
     return ranked.withColumns({
         "below_median": v < F.col("med"), "up_to_median": v <= F.col("med"),
