@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.places import name_key
 from cellweave.operators.meet import meet
 from cellweave.operators.ranking import exact_percentiles
-from cellweave.session import numbered
+from cellweave.session import cut_lineage, numbered
 
 
 def _at_cells(points: DataFrame, radius: float) -> DataFrame:
@@ -44,7 +44,8 @@ def name_matches(a: DataFrame, b: DataFrame, keys: list[str], radius: float) ->
     """One row per district: pairs of equal names within the radius, matched places, median distance."""
     an = a.withColumn("nk", name_key(F.col("name"))).filter("nk IS NOT NULL")
     bn = b.withColumn("nk", name_key(F.col("name"))).filter("nk IS NOT NULL")
-    pairs = pairs_within(an, bn, keys, radius, ["nk"]).withColumn("w", F.col("na") * F.col("nb"))
+    # four aggregates read the pairs, so they are written once
+    pairs = cut_lineage(pairs_within(an, bn, keys, radius, ["nk"]).withColumn("w", F.col("na") * F.col("nb")))
     sums = pairs.groupBy(*keys).agg(F.sum("w").alias("pairs"))
     left = pairs.select(*keys, "nk", "ax", "ay", "na").distinct().groupBy(*keys).agg(F.sum("na").alias("a_matched"))
     right = pairs.select(*keys, "nk", "x", "y", "nb").distinct().groupBy(*keys).agg(F.sum("nb").alias("b_matched"))

@@ -155,3 +155,12 @@ def test_meet_sends_no_side_through_the_driver(spark):
         assert both.count() == 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def test_pairs_of_equal_names_are_found_once(spark, sf_dir):
+    from cellweave.plans import QUERIES
+
+    df = QUERIES["j06_name_matches"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # of the joins by grid cell only that of all near places is left in the plan
+    assert sum("Join Inner" in x and "_cx" in x for x in plan.splitlines()) == 1
