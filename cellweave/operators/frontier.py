@@ -6,7 +6,7 @@ take the parent with the smallest (row, col).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import gcd
 
@@ -95,6 +95,8 @@ def relax(state: DataFrame, keys: Sequence[str], moves: Moves = KING) -> DataFra
 BLOCK = 256  # cells along a side of what one task settles at a time
 PAD = 8  # blocks begin so many cells before 0, so windows that begin there touch no edge of a block
 EDGE = 2  # the longest step
+STACK = 1 << 17  # cells gathered before small blocks are settled
+GRID_CELLS = 1 << 21  # places of the grid of small blocks that are settled in one call
 CAP_M = 8  # clearance beyond which the price of a cell no longer falls
 FAR = 1 << 60  # squared gap of a column without a cell of another class; cost of a cell not reached
 
@@ -112,7 +114,52 @@ def _near_blocks(cells: DataFrame, keys: Sequence[str], reach: int):
     for at, name in (("row", "_br"), ("col", "_bc")):
         low, high = ((F.floor((F.col(at) + PAD + d) / BLOCK)) for d in (-reach, reach))
         cells = cells.withColumn(name, F.explode(F.sequence(low, high)))
-    return cells.groupBy(*keys, "_br", "_bc")
+    return cells
+
+
+def _stacked(cells: DataFrame, keys: Sequence[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``run`` over the blocks of ``cells`` (with ``_br`` and ``_bc``), many small ones in one call.
+
+    It gets whole blocks and what to add to each row number so that they lie one below the other, ``CAP_M`` rows apart:
+    no step and no price reaches another block. A call takes blocks of one column only, and a grid of ``GRID_CELLS`` or one
+    block.
+    """
+    at = [*keys, "_br", "_bc"]
+
+    def heads(rows: pa.Table) -> np.ndarray:
+        new = np.arange(rows.num_rows) == 0
+        for c in at:
+            codes = rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    def called(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, ends = _numbers(rows, "row"), np.append(starts[1:], rows.num_rows)
+        low, high = np.minimum.reduceat(row, starts), np.maximum.reduceat(row, starts)
+        tall = high - low + 1 + CAP_M
+        part = np.cumsum(tall * (BLOCK + 2 * CAP_M)) // GRID_CELLS
+        across = _numbers(rows, "_bc")[starts]
+        first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (across[1:] != across[:-1])))
+        for i, j in zip(first, np.append(first[1:], len(starts))):
+            shift = np.repeat(np.cumsum(tall[i:j]) - tall[i:j] - low[i:j], ends[i:j] - starts[i:j])
+            yield from run(rows.slice(int(starts[i]), len(shift)), shift).to_batches()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) < STACK:
+                continue
+            rows = pa.Table.from_batches(kept)
+            starts = heads(rows)
+            if len(starts) > 1:
+                yield from called(rows.slice(0, int(starts[-1])), starts[:-1])
+                kept = rows.slice(int(starts[-1])).to_batches()
+        rows = pa.Table.from_batches(kept) if kept else None
+        if rows is not None and rows.num_rows:
+            yield from called(rows, heads(rows))
+
+    return cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(each, schema)
 
 
 def _numbers(rows: pa.Table, name: str, null: int = FAR) -> np.ndarray:
@@ -148,11 +195,12 @@ def _at_edge(at: np.ndarray, block: int, rim: int = EDGE) -> np.ndarray:
     return ((at + PAD) % block < rim) | ((at + PAD) % block >= block - rim)
 
 
-def _settle(row, col, steps, half, best, changed, offsets: tuple[tuple[int, int], ...], block: int) -> tuple[np.ndarray, np.ndarray]:
+def _settle(row, col, steps, half, best, changed, offsets: tuple[tuple[int, int], ...], block: int, shift=0) -> tuple[np.ndarray, np.ndarray]:
     """Relax the cells of one block of one window until nothing inside it changes: their best offers, and their marks.
 
     Only cells that improved in the last step send offers, all directions at once. Cells near the block's edge that
-    improved keep the mark ``changed``, because cells of other blocks may gain from them.
+    improved keep the mark ``changed``, because cells of other blocks may gain from them. ``shift`` is what was added to
+    the rows of stacked blocks.
     """
     order = sorted(offsets)
     lengths = sorted({(dy * dy + dx * dx) ** 0.5 for dy, dx in offsets})
@@ -162,19 +210,19 @@ def _settle(row, col, steps, half, best, changed, offsets: tuple[tuple[int, int]
     present = grid.table(cell, True, False, bool)
     now, allowed = grid.table(cell, best, FAR), grid.table(cell, steps)
     price = np.stack([grid.table(cell, h) for h in half])
-    shift = np.array([dy * grid.width + dx for dy, dx in order])
+    jump = np.array([dy * grid.width + dx for dy, dx in order])
     kind = np.array([lengths.index((dy * dy + dx * dx) ** 0.5) for dy, dx in order])
     code = np.array([order.index((-dy, -dx)) for dy, dx in order])
     front = np.unique(cell[changed])
     while len(front):
-        to = front[:, None] + shift
+        to = front[:, None] + jump
         cost = (now[front] // 32)[:, None] + price[kind, front[:, None]] + price[kind, to]
         open_ = ((allowed[front][:, None] >> np.arange(len(order))) & 1).astype(bool) & present[to]
         to, offer = to[open_], (cost * 32 + code)[open_]
         old = now[to] // 32
         np.minimum.at(now, to, offer)
         front = np.unique(to[now[to] // 32 < old])
-    edge = _at_edge(row, block, rim) | _at_edge(col, block, rim)
+    edge = _at_edge(row - shift, block, rim) | _at_edge(col, block, rim)
     return now[cell], edge & ((now[cell] // 32 < best // 32) | changed)
 
 
@@ -221,18 +269,19 @@ def cheapest_field(cells: DataFrame, starts: DataFrame, keys: Sequence[str], pri
     ).unionByName(_starts(starts, cells, keys), allowMissingColumns=True)
     offsets, code, block, names = moves.offsets, moves.start_code, BLOCK, [*keys, "row", "col", "moves", *half]
 
-    def first(rows: pa.Table) -> pa.Table:
-        row, col = _numbers(rows, "row"), _numbers(rows, "col")
+    def first(rows: pa.Table, shift: np.ndarray) -> pa.Table:
+        row, col = _numbers(rows, "row") + shift, _numbers(rows, "col")
         free = rows.column("moves").is_valid().to_numpy()
         own = rows.select(names).filter(pa.array(free))
         if not own.num_rows:
             return _with(own, best=np.zeros(0, np.int64), changed=np.zeros(0, bool))
         begin = _marked(row, col, free, ~free)
         at = row[free], col[free], _numbers(own, "moves"), [_numbers(own, h) for h in half]
-        best, changed = _settle(*at, np.where(begin, code, FAR), begin, offsets, block)
+        best, changed = _settle(*at, np.where(begin, code, FAR), begin, offsets, block, shift[free])
         return _with(own, best=best, changed=changed)
 
-    return _cheapest(cut_lineage(_by_block(rows, keys).applyInArrow(first, _state(cells, keys, half))), keys, moves)
+    blocks = rows.withColumns({"_br": _block("row"), "_bc": _block("col")})
+    return _cheapest(cut_lineage(_stacked(blocks, keys, first, _state(cells, keys, half))), keys, moves)
 
 
 def _cheapest(settled: DataFrame, keys: Sequence[str], moves: Moves) -> DataFrame:
@@ -290,7 +339,7 @@ def walking_field(ground: DataFrame, starts: DataFrame, keys: Sequence[str], mar
                           F.expr("CAST(built <=> 1 AS INT)").alias("built"))
     rows = moved.unionByName(_starts(starts, ground, keys, margin), allowMissingColumns=True)
 
-    def first(rows: pa.Table) -> pa.Table:
+    def first(rows: pa.Table, shift: np.ndarray) -> pa.Table:
         row, col, built = _numbers(rows, "row"), _numbers(rows, "col"), _numbers(rows, "built", -1)
         own = (np.floor_divide(row + PAD, block) == _numbers(rows, "_br")) & (np.floor_divide(col + PAD, block) == _numbers(rows, "_bc"))
         free = own & (built == 0)
@@ -298,6 +347,7 @@ def walking_field(ground: DataFrame, starts: DataFrame, keys: Sequence[str], mar
         if not out.num_rows:
             none = np.zeros(0, np.int64)
             return _with(out, moves=none, **{h: none for h in half}, best=none, changed=np.zeros(0, bool))
+        row = row + shift
         grid = _Grid(row, col)
         walls = grid.table(grid.number(row, col)[built == 1], True, False, bool).reshape(grid.height, grid.width)
         near = 1 - _clearance(walls).ravel()[grid.number(row[free], col[free])] / CAP_M
@@ -305,10 +355,10 @@ def walking_field(ground: DataFrame, starts: DataFrame, keys: Sequence[str], mar
         prices = [np.floor(price * n + 0.5).astype(np.int64) for n in scale]  # rounds as SQL does
         begin = _marked(row, col, free, built == -1)
         steps = np.full(len(price), every)
-        best, changed = _settle(row[free], col[free], steps, prices, np.where(begin, code, FAR), begin, offsets, block)
+        best, changed = _settle(row[free], col[free], steps, prices, np.where(begin, code, FAR), begin, offsets, block, shift[free])
         return _with(out, moves=steps, **dict(zip(half, prices)), best=best, changed=changed)
 
-    priced = _near_blocks(rows, keys, CAP_M).applyInArrow(first, _state(moved, keys, half))
+    priced = _stacked(_near_blocks(rows, keys, CAP_M), keys, first, _state(moved, keys, half))
     found = _cheapest(cut_lineage(priced), keys, moves)
     return found.select(*keys, *[(F.col(c) - margin).alias(c) for c in ("row", "col")], "cost", *[(F.col(c) - margin).alias(c) for c in ("prow", "pcol")])
 
@@ -329,9 +379,10 @@ def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
             need |= {(0, dx), (dy, 0)}
         needs.append(sorted(need))
 
-    def masks(rows: pa.Table) -> pa.Table:
+    def masks(rows: pa.Table, shift: np.ndarray) -> pa.Table:
         row, col = _numbers(rows, "row"), _numbers(rows, "col")
         own = (np.floor_divide(row + PAD, block) == _numbers(rows, "_br")) & (np.floor_divide(col + PAD, block) == _numbers(rows, "_bc"))
+        row = row + shift
         grid = _Grid(row, col)
         cell = grid.number(row, col)
         free = grid.table(cell, True, False, bool)
@@ -340,7 +391,7 @@ def clear_moves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
             mask |= np.logical_and.reduce([free[cell[own] + dy * grid.width + dx] for dy, dx in need]).astype(np.int64) << i
         return _with(rows.select(names).filter(pa.array(own)), moves=mask)
 
-    return _near_blocks(cells.select(*names).distinct(), keys, EDGE).applyInArrow(masks, _fields(cells, names) + ", moves bigint")
+    return _stacked(_near_blocks(cells.select(*names).distinct(), keys, EDGE), keys, masks, _fields(cells, names) + ", moves bigint")
 
 
 def _parents(rows: pa.Table) -> tuple[np.ndarray, ...]:
@@ -370,12 +421,14 @@ def walked_metres(field: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Real metres along the tree of parents: first to where a way leaves its block, then by pointer doubling over blocks."""
     me = [*keys, "row", "col"]
 
-    def within(rows: pa.Table) -> pa.Table:
-        jr, jc, _, metres, home = _exits(rows)
-        return _with(rows.select(me), jr=jr, jc=jc, m=metres, home=home)
+    def within(rows: pa.Table, shift: np.ndarray) -> pa.Table:
+        up = _numbers(rows, "prow")
+        jr, jc, _, metres, home = _exits(_with(rows, row=_numbers(rows, "row") + shift, prow=np.where(up == FAR, FAR, up + shift)))
+        return _with(rows.select(me), jr=jr - shift, jc=jc, m=metres, home=home)
 
     reached = field.filter("cost IS NOT NULL").select(*me, "prow", "pcol")
-    tree = cut_lineage(_by_block(reached, keys).applyInArrow(within, _fields(field, me) + ", jr bigint, jc bigint, m double, home boolean"))
+    blocks = reached.withColumns({"_br": _block("row"), "_bc": _block("col")})
+    tree = cut_lineage(_stacked(blocks, keys, within, _fields(field, me) + ", jr bigint, jc bigint, m double, home boolean"))
     while True:
         if tree.filter("NOT home").isEmpty():
             return tree.select(*me, F.round("m", 6).alias("metres"))

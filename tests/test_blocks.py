@@ -165,3 +165,25 @@ def test_rows_of_small_files_never_go_through_the_driver(spark, sf_dir, name):
     assert any("SortMergeJoin" in x for x in lines)
     joins = [x for x in lines if "BroadcastHashJoin" in x]
     assert len(joins) <= (1 if "margin" in name else 0), joins
+
+
+def test_small_windows_share_a_call_and_nothing_else(spark):
+    ground, starts = _ground(spark)
+    times = spark.range(0, 40, 1, 1).withColumnRenamed("id", "n")
+    many = ground.crossJoin(times).selectExpr("n * 2 + w AS w", "row", "col", "built")
+    begun = starts.crossJoin(times).selectExpr("n * 2 + w AS w", "srow", "scol", "grow", "gcol")
+    one = fr.walking_field(ground, starts, ["w"], 4)
+    field = fr.walking_field(many, begun, ["w"], 4)
+    for got, want in ((field, one), (fr.walked_metres(field, ["w"]), fr.walked_metres(one, ["w"]))):
+        want = _rows(want)
+        for n in (0, 39):
+            assert _rows(got.filter(f"w DIV 2 = {n}").withColumn("w", F.col("w") % 2)) == want
+    blocks = many.selectExpr("w", "row", "col", "0 AS _br", "CAST(w = 7 AS INT) * 300 AS _bc").repartition(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(rows, shift):
+        calls.add(1)
+        return rows.select(["w"])
+
+    assert fr._stacked(blocks, ["w"], counted, "w long").count() == many.count()
+    assert calls.value < 80  # windows, a call each before
