@@ -19,6 +19,16 @@ LENGTH_BIN_M = 10
 LAST_LENGTH_BIN = 36
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do: it is scaled first, and halves go away from zero.
+
+    ``round(value, digits)`` takes the shortest decimal of the double instead: 0.60835, which times 10,000 is a last bit
+    below 6083.5, becomes 0.6084 there and 0.6083 here.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(value * scale) / scale
+
+
 def length_bin(metres: Column) -> Column:
     """10 m bins, clamped to the first and the last bin."""
     return F.least(F.greatest(F.floor(metres / LENGTH_BIN_M), F.lit(0)), F.lit(LAST_LENGTH_BIN)).cast("int")

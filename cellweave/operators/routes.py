@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.bins import FRONT_BANDS, front_band
+from cellweave.functions.bins import FRONT_BANDS, front_band, rounded
 from cellweave.operators.ranking import tiered_rank
 from cellweave.session import cut_lineage
 
@@ -21,28 +21,46 @@ REASONS = ("unparseable", "wrong endpoints", "crosses a building", "too long")
 POS_BLOCK = 1024  # vertices handled together; a polyline of any length is spread over its blocks
 
 
-def segments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, seg, x1, y1, x2, y2)`` of neighbouring vertices.
-
-    The window works on blocks of positions; the first vertex of a block is also sent to the block
-    before it, so no polyline has to fit into one task and no self-join is needed.
-    """
+def _in_blocks(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`segments` with the ``pos`` they end at and their block ``_b``, each block from its last segment to its first."""
     block = F.expr(f"pos DIV {POS_BLOCK}")
     both = F.when(F.col("pos") % POS_BLOCK == 0, F.array(block, block - 1)).otherwise(F.array(block))
-    w = Window.partitionBy(*keys, "_b").orderBy("pos")
+    w = Window.partitionBy(*keys, "_b").orderBy(F.desc("pos"))
     return (
         points.withColumn("_b", F.explode(both))
-        .select(*keys, (F.col("pos") - 1).alias("seg"), F.lag("x").over(w).alias("x1"), F.lag("y").over(w).alias("y1"),
+        .select(*keys, "_b", "pos", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"),
                 F.col("x").alias("x2"), F.col("y").alias("y2"))
         .filter("x1 IS NOT NULL")
     )
 
 
+def segments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, seg, x1, y1, x2, y2)`` of neighbouring vertices.
+
+    The window works on blocks of positions; the first vertex of a block is also sent to the block
+    before it, so no polyline has to fit into one task and no self-join is needed.
+    """
+    return _in_blocks(points, keys).select(*keys, (F.col("pos") - 1).alias("seg"), "x1", "y1", "x2", "y2")
+
+
 def seg_length() -> Column:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return F.sqrt(dx * dx + dy * dy)
 
 
+def line_lengths(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, length_m)``: the segments of a line added from its last to its first.
+
+    The order counts: a ratio of just 1.1 lies a last bit above or below the limit, as its lengths were added. A running
+    sum fixes the order whatever the tasks do; it is that of the SQL on one thread. Lines beyond a block of positions
+    are added block by block.
+    """
+    back = Window.partitionBy(*keys, "_b").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = _in_blocks(points, keys).withColumn("_m", F.sum(seg_length()).over(back)).groupBy(*keys, "_b").agg(F.max("_m").alias("_m"))
+    over = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("_m", F.sum("_m").over(over)).groupBy(*keys).agg(F.max("_m").alias("length_m"))
+
+
 def samples(segs: DataFrame, step: float = SAMPLE_STEP_M) -> DataFrame:
     """Points at most ``step`` apart along each segment, both ends included, with their cell."""
     n = F.greatest(F.ceil(seg_length() / step), F.lit(1))
@@ -94,7 +112,7 @@ def verdicts(routes: DataFrame, points: DataFrame, buildings: DataFrame, side: i
         F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).alias("finite"),
     )
     segs = segments(points, ["route_id"]).join(routes.select("route_id", "crop_id", *bounds).hint("merge"), "route_id")
-    lengths = segs.groupBy("route_id").agg(F.sum(seg_length()).alias("length_m"))
+    lengths = line_lengths(points, ["route_id"])
     hits = crossing(segs, "crop_id", buildings, ["route_id"], side)
     err = lambda p, x, y: F.sqrt(F.pow(F.col(f"{p}.x") - F.col(x), 2) + F.pow(F.col(f"{p}.y") - F.col(y), 2))
     joined = (
@@ -113,14 +131,14 @@ def verdicts(routes: DataFrame, points: DataFrame, buildings: DataFrame, side: i
 def report(verdict: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Solved share overall and per band of fronts, failure shares and mean ratio of solved routes."""
     n = F.count("*")
-    aggs = [n.alias("n"), F.count_if("solved").alias("solved"), F.round(F.count_if("solved") / n, 4).alias("solved_share")]
+    aggs = [n.alias("n"), F.count_if("solved").alias("solved"), rounded(F.count_if("solved") / n, 4).alias("solved_share")]
     for name, _, _ in FRONT_BANDS:
         inb = front_band(F.col("n_goal")) == name
         tag = name.replace("-", "_").replace("+", "_up")
-        aggs.append(F.round(F.try_divide(F.count_if(F.col("solved") & inb), F.count_if(inb)), 4).alias(f"solved_{tag}"))
+        aggs.append(rounded(F.try_divide(F.count_if(F.col("solved") & inb), F.count_if(inb)), 4).alias(f"solved_{tag}"))
     for r in REASONS:
-        aggs.append(F.round(F.count_if(F.col("reason") == r) / n, 4).alias("fail_" + r.replace(" ", "_")))
-    aggs.append(F.round(F.avg(F.when(F.col("solved"), F.round("ratio", 4))), 4).alias("mean_ratio_solved"))
+        aggs.append(rounded(F.count_if(F.col("reason") == r) / n, 4).alias("fail_" + r.replace(" ", "_")))
+    aggs.append(rounded(F.avg(F.when(F.col("solved"), rounded(F.col("ratio"), 4))), 4).alias("mean_ratio_solved"))
     return verdict.groupBy(*by).agg(*aggs)
 
 
