@@ -550,8 +550,8 @@ def _merged(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFram
     labels = nodes.select(*keys, "id", F.col("id").alias("label"))
     low = None
     while True:
-        ends = edges.join(labels.selectExpr(*keys, "id AS _j", "label"), [*keys, "_j"]).join(
-            labels.selectExpr(*keys, "id", "label AS mine"), [*keys, "id"]
+        ends = edges.join(labels.selectExpr(*keys, "id AS _j", "label").hint("merge"), [*keys, "_j"]).join(
+            labels.selectExpr(*keys, "id", "label AS mine").hint("merge"), [*keys, "id"]
         ).filter("label < mine")
         # the lower label goes to the node itself and to the node its group is named after
         offers = ends.selectExpr(*keys, "explode(array(id, mine)) AS id", "label")
@@ -562,7 +562,7 @@ def _merged(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFram
         if low.filter("label <> old").isEmpty():
             return low.drop("old")
         jump = low.selectExpr(*keys, "id AS label", "label AS _l")
-        labels = low.join(jump, [*keys, "label"]).selectExpr(*keys, "id", "_l AS label")
+        labels = low.join(jump.hint("merge"), [*keys, "label"]).selectExpr(*keys, "id", "_l AS label")
 
 
 def _labelled(row: np.ndarray, col: np.ndarray, ids: np.ndarray, offsets: Sequence[tuple[int, int]]) -> np.ndarray:
@@ -604,9 +604,9 @@ def label_cells(cells: DataFrame, keys: Sequence[str], diagonal: bool, side: int
     if wide.filter("wide").isEmpty():
         return parts.drop("edge")
     beside = spread(rim.withColumnRenamed("label", "_j"), offsets)
-    touch = rim.join(beside.drop("_o"), names).filter("label <> _j").select(*keys, F.col("label").alias("id"), "_j").distinct()
+    touch = rim.join(beside.drop("_o").hint("merge"), names).filter("label <> _j").select(*keys, F.col("label").alias("id"), "_j").distinct()
     merged = _merged(parts.select(*keys, F.col("label").alias("id")).distinct(), cut_lineage(touch), keys)
-    return parts.drop("edge").withColumnRenamed("label", "id").join(merged, [*keys, "id"]).select(*names, "label")
+    return parts.drop("edge").withColumnRenamed("label", "id").join(merged.hint("merge"), [*keys, "id"]).select(*names, "label")
 
 
 ROW_BLOCK = 64

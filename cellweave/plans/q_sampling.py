@@ -93,19 +93,22 @@ FREE_SQL = """inner_px AS MATERIALIZED (SELECT a.crop_id, a.row, a.col FROM fx_r
       JOIN lab la ON la.crop_id = a.crop_id AND la.row = a.row AND la.col = a.col JOIN lab lb ON lb.crop_id = b.crop_id AND lb.row = b.row AND lb.col = b.col
     WHERE la.label = lb.label AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) BETWEEN 64 AND 784""")
 def route_candidates(spark, sf):
-    """Seeded pairs on inner free ground, 8 to 28 m apart, both ends in one component of the free ground."""
+    """Seeded pairs on inner free ground, 8 to 28 m apart, both ends in one component of the free ground.
+
+    All joins are merged: the written labels of all cells are small files, and were sent whole through the driver.
+    """
     free = fx.view(spark, sf, "fx_raster").filter("surface <> 3").select("crop_id", "row", "col")
     inner = sp.inner_ground(free, ["crop_id"], 32, 2)
     n = inner.groupBy("crop_id").agg(F.count("*").alias("n"))
     labels = label_cells(free, ["crop_id"], False, 32)
-    ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"]).join(labels, ["crop_id", "row", "col"])
+    ranked = ranking.tiered_rank(inner, ["crop_id"], ["row", "col"]).join(labels.hint("merge"), ["crop_id", "row", "col"])
     seed = F.col("crop_id"), F.col("draw")
-    draws = fx.view(spark, sf, "fx_markers").selectExpr("crop_id", "explode(sequence(0L, 7L)) AS draw").join(n, "crop_id").select(
+    draws = fx.view(spark, sf, "fx_markers").selectExpr("crop_id", "explode(sequence(0L, 7L)) AS draw").join(n.hint("merge"), "crop_id").select(
         "crop_id", "draw", (F.floor(draw(*seed, salt=41) * F.col("n")) + 1).alias("ra"), (F.floor(draw(*seed, salt=42) * F.col("n")) + 1).alias("rb")
     )
     a = ranked.selectExpr("crop_id", "rn AS ra", "row AS arow", "col AS acol", "label AS la")
     b = ranked.selectExpr("crop_id", "rn AS rb", "row AS brow", "col AS bcol", "label AS lb")
-    out = draws.join(a, ["crop_id", "ra"]).join(b, ["crop_id", "rb"])
+    out = draws.join(a.hint("merge"), ["crop_id", "ra"]).join(b.hint("merge"), ["crop_id", "rb"])
     return out.filter("la = lb AND (arow - brow) * (arow - brow) + (acol - bcol) * (acol - bcol) BETWEEN 64 AND 784").select("crop_id", "draw", "arow", "acol", "brow", "bcol")
 
 
