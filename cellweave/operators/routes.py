@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,28 +77,114 @@ def samples(segs: DataFrame, step: float = SAMPLE_STEP_M) -> DataFrame:
 BOUNDS = ("r0", "r1", "c0", "c1")  # half-open ground round a window, where it is more than the window
 
 
+TILE = 256  # cells along a tile of ground; the one round 0 reaches from -128 to 127
+PIECE = 512  # samples of a segment that are tested together; they span a tile at most
+ROWS = 2048  # segments whose samples are made at once
+
+
+def _ground(buildings: DataFrame, frame: str) -> DataFrame:
+    """A row for each tile ``(frame, _tr, _tc)`` with buildings: blocks of 8 x 8 cells, one bit a cell, as a dense array."""
+    tile = [F.shiftright(F.col(c) + TILE // 2, 8).alias(n) for c, n in (("row", "_tr"), ("col", "_tc"))]
+    block = [F.shiftright("row", 3).alias("_br"), F.shiftright("col", 3).alias("_bc")]
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST((row & 7) * 8 + (col & 7) AS INT))")
+    blocks = buildings.groupBy(frame, *tile, *block).agg(F.bit_or(bit).alias("_hit"))
+    tiles = blocks.groupBy(frame, "_tr", "_tc").agg(
+        F.min("_br").alias("_r"), F.max("_br").alias("_r9"), F.min("_bc").alias("_c"), F.max("_bc").alias("_c9"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("_br", "_bc"), "_hit"))).alias("_map"),
+    ).withColumn("_w", F.expr("_c9 - _c + 1"))
+    bits = F.expr("transform(sequence(0, (_r9 - _r + 1) * _w - 1), j -> coalesce(try_element_at(_map, named_struct('_br', CAST(_r + j DIV _w AS INT), '_bc', CAST(_c + j % _w AS INT))), 0L))")
+    return tiles.select(frame, "_tr", "_tc", "_r", "_c", "_w", bits.alias("_bits"))
+
+
+def _sampled(segs: DataFrame, side: int) -> DataFrame:
+    """``segs`` with their number of samples ``_n`` and ``_off``: do they leave the ground or have an end that is not finite.
+
+    A box holds all samples if it holds the first and the last, so no sample is made for that.
+    """
+    r0, r1, c0, c1 = BOUNDS if set(BOUNDS) <= set(segs.columns) else (0, side, 0, side)
+    inside = " AND ".join(f"{a} + {t} * ({b} - {a}) >= {lo} AND {a} + {t} * ({b} - {a}) < {hi}" for t in ("0D", "1D") for a, b, lo, hi in (("y1", "y2", r0, r1), ("x1", "x2", c0, c1)))
+    n = F.greatest(F.ceil(seg_length() / SAMPLE_STEP_M), F.lit(1))
+    return segs.withColumns({"_off": ~F.expr(inside), "_n": n}).filter("_off IS NOT NULL")
+
+
+def _hits(batches: Iterator[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The columns ``keep`` and ``_hit``: does a sample from number ``_lo`` to ``_hi`` lie on a building of the tile ``_bits``."""
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        get = batch.column
+        hit = get("_off").to_numpy(zero_copy_only=False).astype(bool)
+        test = np.flatnonzero(~hit & (get("_w").to_numpy(zero_copy_only=False) > 0))
+        if len(test):
+            x1, y1, x2, y2, n, lo, hi, r, c, w = (get(k).to_numpy(zero_copy_only=False)[test] for k in ("x1", "y1", "x2", "y2", "_n", "_lo", "_hi", "_r", "_c", "_w"))
+            bits = get("_bits")
+            size, begin = np.diff(bits.offsets.to_numpy())[test], bits.offsets.to_numpy()[:-1][test]
+            many = (hi - lo + 1).astype(np.int64)
+            first = np.cumsum(many) - many
+            own = np.repeat(np.arange(len(test)), many)
+            t = (np.arange(len(own)) - np.repeat(first - lo.astype(np.int64), many)) / n[own]
+            row, col = np.floor(y1[own] + t * (y2 - y1)[own]).astype(np.int64), np.floor(x1[own] + t * (x2 - x1)[own]).astype(np.int64)
+            br, bc = (row >> 3) - r[own], (col >> 3) - c[own]
+            at = br * w[own] + bc
+            there = (bc >= 0) & (bc < w[own]) & (at >= 0) & (at < size[own])
+            word = bits.values.to_numpy(zero_copy_only=False)[np.where(there, begin[own] + at, 0)]
+            on = there & (word >> ((row & 7) * 8 + (col & 7)) & 1 == 1)
+            hit[test] = np.logical_or.reduceat(on, first)
+        yield pa.RecordBatch.from_arrays([*[get(k) for k in keep], pa.array(hit)], [*keep, "_hit"])
+
+
+def _tested(spots: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """:func:`_hits` of segments that have met their ground."""
+    there = spots.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("_r", "_c", "_w", "_n", "_lo", "_hi")}).withColumn("_bits", F.coalesce("_bits", F.expr("array(0L)")))
+    used = dict.fromkeys([*keep, "x1", "y1", "x2", "y2", "_off", "_n", "_lo", "_hi", "_r", "_c", "_w", "_bits"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spots.select(*keep).schema.fields)
+    return there.select(*used).mapInArrow(functools.partial(_hits, keep=list(keep)), f"{fields}, _hit boolean")
+
+
+def _met(segs: DataFrame, frame: str, buildings: DataFrame, side: int, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` of ``segs`` and ``_hit``, a row for each piece of :data:`PIECE` samples and each tile that it may touch.
+
+    A segment is sent once, to the tile of its window, and tested there; its samples are rows nowhere.
+    """
+    t = lambda a, b, i: f"shiftright(CAST(floor({a} + {i} / _n * ({b} - {a})) AS INT) + {TILE // 2}, 8)"
+    span = lambda a, b: "sequence(least({0}, {1}), greatest({0}, {1}))".format(t(a, b, "lo"), t(a, b, f"least(lo + {PIECE - 1}, _n)"))
+    spot = lambda lo, r, c: f"named_struct('lo', {lo}, 'r', {r}, 'c', {c})"
+    one = " AND ".join([f"_n < {PIECE}", *[f"{t(a, b, 0)} = {t(a, b, '_n')}" for a, b in (("y1", "y2"), ("x1", "x2"))]])
+    many = f"flatten(transform(sequence(0L, _n, {PIECE}L), lo -> flatten(transform({span('y1', 'y2')}, r -> transform({span('x1', 'x2')}, c -> {spot('lo', 'r', 'c')})))))"
+    spots = F.expr(f"CASE WHEN _off THEN array({spot('0L', 0, 0)}) WHEN {one} THEN array({spot('0L', t('y1', 'y2', 0), t('x1', 'x2', 0))}) ELSE {many} END")
+    sent = _sampled(segs, side).withColumn("_s", F.explode(spots)).select(
+        *dict.fromkeys([frame, *keep, "x1", "y1", "x2", "y2"]), "_off", "_n", F.col("_s.lo").alias("_lo"), F.least(F.col("_s.lo") + PIECE - 1, "_n").alias("_hi"), F.col("_s.r").alias("_tr"), F.col("_s.c").alias("_tc"))
+    return _tested(sent.join(_ground(buildings, frame).hint("merge"), [frame, "_tr", "_tc"], "left"), keep)
+
+
 def crossing(segs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
     """Per key: does any sample lie on a building or off the ground.
 
-    The ground is the window, or the bounds ``r0, r1, c0, c1`` if the segments carry them; being off it is arithmetic.
-    Building cells ``(frame, row, col)`` and samples travel as blocks of 8 x 8 cells, one bit a cell, so that a segment
-    is as many rows as it touches blocks and both sides are reduced inside the tasks before they meet.
+    The ground is the window, or the bounds ``r0, r1, c0, c1`` if the segments carry them; being off it is arithmetic, and
+    a segment with an end that is not finite is off. Segments and the bits of their window meet in one join.
     """
-    block = [F.shiftright("row", 3).alias("_br"), F.shiftright("col", 3).alias("_bc")]
-    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST((row & 7) * 8 + (col & 7) AS INT))")
-    hit = buildings.groupBy(frame, *block).agg(F.bit_or(bit).alias("_hit"))
-    bounds = [c for c in BOUNDS if c in segs.columns]
-    off = ~F.expr("row >= r0 AND row < r1 AND col >= c0 AND col < c1" if bounds else f"row >= 0 AND row < {side} AND col >= 0 AND col < {side}")
-    seen = samples(segs).groupBy(*keys, frame, *block).agg(F.bit_or(bit).alias("_seen"), F.bool_or(off).alias("_off"))
-    return seen.join(hit.hint("merge"), [frame, "_br", "_bc"], "left").groupBy(*keys).agg(
-        F.bool_or((F.coalesce(F.col("_hit"), F.lit(0)).bitwiseAND(F.col("_seen")) != 0) | F.col("_off")).alias("crosses")
-    )
+    return _met(segs, frame, buildings, side, keys).groupBy(*keys).agg(F.bool_or("_hit").alias("crosses"))
 
 
 def visible(pairs: DataFrame, frame: str, buildings: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
     """Pairs ``(keys, x1, y1, x2, y2)`` whose connecting segment meets no building."""
-    met = crossing(pairs, frame, buildings, keys, side).filter("NOT crosses").select(*keys)
-    return pairs.join(met.hint("merge"), list(keys), "left_semi")
+    if side <= TILE // 2 and not set(BOUNDS) <= set(pairs.columns):  # one tile and one piece
+        return _met(pairs, frame, buildings, side, pairs.columns).filter("NOT _hit").drop("_hit")
+    free = _met(pairs, frame, buildings, side, keys).groupBy(*keys).agg(F.bool_or("_hit").alias("_hit")).filter("NOT _hit").select(*keys)
+    return pairs.join(free.hint("merge"), list(keys), "left_semi")
+
+
+def visible_rays(origins: DataFrame, frame: str, buildings: DataFrame, rays: Column, keys: Sequence[str], side: int) -> DataFrame:
+    """:func:`visible` for the ``rays`` (array of structs with ``x2`` and ``y2``) of each origin ``(frame, x1, y1)``.
+
+    Where a window is one tile, an origin is sent to it once and its rays are made there, so what is sent and kept does
+    not grow with their number. ``keys`` are those of a ray.
+    """
+    spread = lambda df: df.withColumn("_ray", F.explode(rays)).select(*df.columns, "_ray.*")
+    if side > TILE // 2:
+        return visible(spread(origins), frame, buildings, keys, side)
+    ground = _ground(buildings, frame).filter("_tr = 0 AND _tc = 0").drop("_tr", "_tc")
+    there = spread(origins.join(ground.hint("merge"), frame, "left"))
+    sampled = _sampled(there, side).withColumns({"_lo": F.lit(0).cast("bigint"), "_hi": F.col("_n")})
+    return _tested(sampled, [c for c in there.columns if c not in ground.columns or c == frame]).filter("NOT _hit").drop("_hit")
 
 
 def verdicts(routes: DataFrame, points: DataFrame, buildings: DataFrame, side: int) -> DataFrame:

@@ -80,10 +80,8 @@ def segments_hit_building(spark, sf):
 def line_of_sight(spark, sf):
     targets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")), lambda k: F.struct(
         k.alias("target"), (F.lit(4) + 8 * (k % 4) + 0.5).cast("double").alias("x2"), (8 * F.floor(k / 4) + 0.5).cast("double").alias("y2")))
-    pairs = routes(spark, sf).select(
-        "route_id", "crop_id", F.col("sx").alias("x1"), F.col("sy").alias("y1"), F.explode(targets).alias("t")
-    ).select("route_id", "crop_id", "x1", "y1", "t.*")
-    seen = rt.visible(pairs, "crop_id", buildings(spark, sf), ["route_id", "target"], SIDE)
+    origins = routes(spark, sf).select("route_id", "crop_id", F.col("sx").alias("x1"), F.col("sy").alias("y1"))
+    seen = rt.visible_rays(origins, "crop_id", buildings(spark, sf), targets, ["route_id", "target"], SIDE)
     return seen.groupBy("target").agg(F.count("*").alias("visible"))
 
 
