@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,12 +33,16 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
+HEAD = 16  # bytes before the values of an array: its type
+
+
 def _save(folder: str, name: str, values: np.ndarray) -> None:
     """Written under another name first, so a lost or repeated task never leaves half a file."""
     os.makedirs(folder, exist_ok=True)
     part = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        np.save(f, np.ascontiguousarray(values))
+        f.write(values.dtype.str.encode().ljust(HEAD))
+        f.write(np.ascontiguousarray(values).data)
     os.replace(part, f"{folder}/{name}")
 
 
@@ -60,10 +65,8 @@ def _open(folder: str, name: str) -> np.ndarray:
         values = np.zeros(0, np.int64)
     else:
         with open(path, "rb") as f:
-            version = np.lib.format.read_magic(f)
-            shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
-            at = f.tell()
-        values = np.memmap(path, kind, "r", at, shape) if shape[0] else np.zeros(0, kind)
+            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        values = np.frombuffer(whole, whole[:HEAD].decode().strip(), offset=HEAD)
     maps[path] = values
     if len(maps) > MAPS:
         maps.popitem(last=False)
@@ -86,6 +89,24 @@ def _counts(folder: str, name: str, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def _save_rows(folder: str, name: str, rows: np.ndarray) -> None:
+    """Rows of counts, most of them alike, as a table of the rows that occur and the place of each in it.
+
+    Rows of counts under 256 are in the table once, the few others each for itself.
+    """
+    small = (rows < 256).all(1)
+    shifts = np.arange(rows.shape[1]) * 8
+    known, at = np.unique((rows[small] << shifts).sum(1), return_inverse=True)
+    places = np.empty(len(rows), np.int64)
+    places[small], places[~small] = at, len(known) + np.arange(len(rows) - small.sum())
+    _save(folder, f"{name}-rows", np.concatenate([known[:, None] >> shifts & 255, rows[~small]]).astype("<i8").ravel())
+    _save(folder, name, _narrow(places))
+
+
+def _rows(folder: str, name: str, width: int, places: np.ndarray) -> np.ndarray:
+    return _open(folder, f"{name}-rows").reshape(-1, width)[_open(folder, name)[places]]
+
+
 def _mixed(*ids: np.ndarray) -> np.ndarray:
     """One 64-bit hash of ids, position by position."""
     with np.errstate(over="ignore"):
@@ -206,9 +227,9 @@ class Model:
             count.insert(0, times)
         return np.stack(named), np.stack(count), n, heads
 
-    def looked_up(self, table: str, names: tuple[str, ...], keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """Columns ``names`` of a sorted table at the keys, 0 where it has none."""
-        out = np.zeros((len(keys), len(names)), np.int64)
+    def looked_up(self, table: str, width: int, values: Callable[[int, np.ndarray], np.ndarray], keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """``values`` (shard, places) of a sorted table at the keys, 0 where it has none."""
+        out = np.zeros((len(keys), width), np.int64)
         order = np.argsort(shard, kind="stable")
         for a, b in zip(*_runs(shard[order])):
             at, s = order[a:b], int(shard[order[a]])
@@ -216,8 +237,7 @@ class Model:
             if len(known):
                 where = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
                 hit = known[where] == keys[at]
-                for i, name in enumerate(names):
-                    out[at[hit], i] = _counts(self.folder, f"{name}-{s}", where[hit])
+                out[at[hit]] = values(s, where[hit])
         return out
 
     def pairs(self, prev: np.ndarray, this: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
@@ -225,12 +245,14 @@ class Model:
         keys = _mixed(prev, this)
         order, starts, ends = _distinct(keys)
         at = order[starts]
-        out = np.empty((len(keys), len(PAIR_COLUMNS)), np.int64)
-        out[order] = np.repeat(self.looked_up("pairs", PAIR_COLUMNS, keys[at], self.pair_shard(prev[at], this[at], prev_count[at])), ends - starts, axis=0)
+        out = np.empty((len(keys), PAIR_COLUMNS), np.int64)
+        of = lambda s, places: _rows(self.folder, f"pair-counts-{s}", PAIR_COLUMNS, places)
+        out[order] = np.repeat(self.looked_up("pairs", PAIR_COLUMNS, of, keys[at], self.pair_shard(prev[at], this[at], prev_count[at])), ends - starts, axis=0)
         return out
 
     def triples(self, named: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return self.looked_up("triples", ("triple-counts",), _mixed(*named), self.triple_shard(*named, *count[:2]))[:, 0]
+        of = lambda s, places: _counts(self.folder, f"triple-counts-{s}", places)[:, None]
+        return self.looked_up("triples", 1, of, _mixed(*named), self.triple_shard(*named, *count[:2]))[:, 0]
 
     def block(self, name: str, kind: str, ids: np.ndarray) -> np.ndarray:
         """Values of a dense array (cut into blocks of ids) at known ids."""
@@ -260,10 +282,14 @@ class Model:
         total[linked], share[linked] = self.block("totals", "<i8", names)[back], self.block("shares", "<f8", names)[back]
         chance *= np.where(total > 0, share, 1.0)
         both = np.flatnonzero((prev >= 0) & (this >= 0))
-        seen = self.pairs(prev[both], this[both], counts[1, both])[:, 0]
-        chance[both] += _discounted(seen, self.pair_discounts) / np.maximum(total[both], 1)
+        pairs = np.zeros((len(this) + 1, PAIR_COLUMNS), np.int64)  # the last row is that of the two starts of a text
+        pairs[both] = self.pairs(prev[both], this[both], counts[1, both])
+        pairs[-1:] = self.pairs(first[heads[:1]], prev[heads[:1]], counts[0, heads[:1]])
+        chance[both] += _discounted(pairs[both, 0], self.pair_discounts) / np.maximum(total[both], 1)
+        before = np.arange(-1, len(this) - 1)  # a pair is the context of the next token
+        before[heads] = len(this)
         wide = np.flatnonzero((first >= 0) & (prev >= 0))
-        of = self.pairs(first[wide], prev[wide], counts[0, wide])
+        of = pairs[before[wide]]
         total = of[:, 1]
         chance[wide] *= np.where(total > 0, (of[:, 2:] @ np.array(self.triple_discounts)) / np.maximum(total, 1), 1.0)
         inner = this[wide] >= 0
@@ -319,7 +345,7 @@ def _vocabulary(texts: DataFrame, model: Model, parts: int) -> None:
     model.offsets = np.cumsum([0, *[sizes.get(s, 0) for s in range(1 << bits)]]).tolist()
 
 
-PAIR_COLUMNS = ("pair-before", "pair-totals", "pair-once", "pair-twice", "pair-more")
+PAIR_COLUMNS = 5  # words before a pair, then of what follows it: the total, words that do once, twice and more often
 
 
 def _packed(shard: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, bytes]]:
@@ -424,11 +450,10 @@ def _pairs(told: DataFrame, model: Model, parts: int) -> DataFrame:
                 total = sum(np.frombuffer(x, np.int64) for x in rows.column("rows").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["key", "rows", "second"])
                 continue
-            a, b, *values = _unpacked(rows.column("rows").to_pylist(), 2 + len(PAIR_COLUMNS))
+            a, b, *values = _unpacked(rows.column("rows").to_pylist(), 2 + PAIR_COLUMNS)
             keys, at, sums = _summed(_mixed(a, b), np.stack(values, 1))
             _save(folder, f"pairs-{s}", keys)
-            for name, sent in zip(PAIR_COLUMNS, sums.T):
-                _save_counts(folder, f"{name}-{s}", sent)
+            _save_rows(folder, f"pair-counts-{s}", sums)
             real = sums[:, 0] > 0  # not the two starts of a text
             a, b, n = a[at][real], b[at][real], sums[real, 0]
             prev, _, first = _summed(a, np.stack([n, n == 1, n == 2, n > 2], 1).astype(np.int64))
